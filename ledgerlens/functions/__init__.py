@@ -2,9 +2,9 @@
 
 from .exprs import (safe_div, clip, flag, null_if_nonfinite, is_numeric,
                     numeric_columns, sql_safe_div)
-from .stats import (median_by, hot_median_by, fill_with_medians, percentiles,
+from .stats import (median_by, hot_median_by, hot_quantiles_by, fill_with_medians, percentiles,
                     pair_corr)
 
 __all__ = ["safe_div", "clip", "flag", "null_if_nonfinite", "is_numeric",
-           "numeric_columns", "sql_safe_div", "median_by", "hot_median_by",
+           "numeric_columns", "sql_safe_div", "median_by", "hot_median_by", "hot_quantiles_by",
            "fill_with_medians", "percentiles", "pair_corr"]

@@ -46,14 +46,14 @@ def median_by(df: DataFrame, keys: list[str], cols: list[str],
     return df.groupBy(*keys).agg(*[F.median(c).alias(c + suffix) for c in cols])
 
 
-def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
-                  suffix: str = "_median") -> DataFrame:
-    """Exact median of each column per key (``keys`` may be empty = global),
-    safe for groups that hold a large share of all rows.
-
-    The result has one row per key combination that has at least one non-null
-    value (all keys when ``keys`` is empty) and one ``<col><suffix>`` column
-    per input column.
+def hot_quantiles_by(df: DataFrame, keys: list[str], cols: list[str],
+                     ps: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per key for groups of any size.
+
+    Returns (keys..., col, q_0, q_1, ...) in long form, one row per group and
+    column with at least one non-null value.  Same interpolation as Spark's
+    ``percentile`` and DuckDB's ``quantile_cont``:
+    ``(hi_rank - pos) * v[lo_rank] + (pos - lo_rank) * v[hi_rank]``.
     """
     gk = list(keys) + ["col"]
     long = _long_form(df, keys, cols).withColumn("bucket", _radix_bucket(F.col("v")))
@@ -63,23 +63,45 @@ def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
     wall = Window.partitionBy(*gk)
     hist = (hist.withColumn("cum", F.sum("c").over(w))
                 .withColumn("n", F.sum("c").over(wall))
-                .withColumn("before", F.col("cum") - F.col("c"))
-                .withColumn("k1", F.floor((F.col("n") - 1) / 2).cast("long"))
-                .withColumn("k2", F.floor(F.col("n") / 2).cast("long")))
+                .withColumn("before", F.col("cum") - F.col("c")))
+    rank_cols = []
+    for i, p in enumerate(ps):
+        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        hist = (hist.withColumn(f"pos{i}", pos)
+                    .withColumn(f"lo{i}", F.floor(F.col(f"pos{i}")).cast("long"))
+                    .withColumn(f"hi{i}", F.ceil(F.col(f"pos{i}")).cast("long")))
+        rank_cols += [f"lo{i}", f"hi{i}"]
+    carry = ["n"] + [f"pos{i}" for i in range(len(ps))] + rank_cols
     hit = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("cum"))
-    target = hist.where(hit("k1") | hit("k2")).select(*gk, "bucket", "before", "k1", "k2")
-    # 2) rank the distinct values of the (at most two) middle buckets
+    target = hist.where(reduce(lambda a, b: a | b, [hit(k) for k in rank_cols]))
+    target = target.select(*gk, "bucket", "before", *carry)
+    # 2) rank the distinct values of the few buckets that hold a target rank
     vals = (long.join(target, on=gk + ["bucket"], how="inner")
-                .groupBy(*gk, "bucket", "before", "k1", "k2", "v")
+                .groupBy(*gk, "bucket", "before", *carry, "v")
                 .agg(F.count(F.lit(1)).alias("c")))
     w2 = Window.partitionBy(*gk, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     vals = (vals.withColumn("cum", F.col("before") + F.sum("c").over(w2))
                 .withColumn("before", F.col("cum") - F.col("c")))
     picked = vals.groupBy(*gk).agg(
-        F.max(F.when(hit("k1"), F.col("v"))).alias("lo"),
-        F.max(F.when(hit("k2"), F.col("v"))).alias("hi"))
-    med = picked.select(*gk, (F.lit(0.5) * F.col("lo") + F.lit(0.5) * F.col("hi")).alias("m"))
-    wide = med.groupBy(*keys).pivot("col", list(cols)).agg(F.max("m"))
+        F.first("n").alias("n"),
+        *[F.first(f"pos{i}").alias(f"pos{i}") for i in range(len(ps))],
+        *[F.max(F.when(hit(k), F.col("v"))).alias("v_" + k) for k in rank_cols])
+    outs = []
+    for i in range(len(ps)):
+        lo, hi, pos = F.col(f"v_lo{i}"), F.col(f"v_hi{i}"), F.col(f"pos{i}")
+        rlo, rhi = F.floor(pos), F.ceil(pos)
+        outs.append(F.when(rlo == rhi, lo)
+                     .otherwise((rhi - pos) * lo + (pos - rlo) * hi).alias(f"q_{i}"))
+    return picked.select(*gk, *outs)
+
+
+def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
+                  suffix: str = "_median") -> DataFrame:
+    """Exact median of each column per key (``keys`` may be empty = global),
+    safe for groups that hold a large share of all rows.  Wide result: one
+    ``<col><suffix>`` column per input column."""
+    med = hot_quantiles_by(df, keys, cols, [0.5])
+    wide = med.groupBy(*keys).pivot("col", list(cols)).agg(F.max("q_0"))
     for c in cols:
         if c not in wide.columns:
             wide = wide.withColumn(c, F.lit(None).cast("double"))

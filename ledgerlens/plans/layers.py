@@ -1,0 +1,28 @@
+"""Layer flows (Flow 1 of the analysed pipeline): raw panel -> cleaned panel
+-> layer-1 features -> layer-2 features.  Lineage is cut after each layer with
+a reliable checkpoint in the session's checkpoint folder, the Spark form of the
+reference's write-and-reload between cleaning and feature building."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.clean import clean_panel
+from ..operators.features import layer1, layer2
+from ..session import cut_lineage
+from ..sources.fixtures import panel_a
+
+
+def cleaned(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    df = clean_panel(panel_a(spark, sf_dir))
+    return cut_lineage(df) if checkpoint else df
+
+
+def features_l1(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    df = layer1(cleaned(spark, sf_dir, checkpoint))
+    return cut_lineage(df) if checkpoint else df
+
+
+def features_l2(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+    df = layer2(features_l1(spark, sf_dir, checkpoint))
+    return cut_lineage(df) if checkpoint else df
