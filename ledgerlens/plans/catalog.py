@@ -416,3 +416,296 @@ def flagship_sector_summary(spark, sf_dir):
         F.max("roa").alias("max_roa"), F.avg("debt_ratio").alias("avg_debt_ratio"),
         F.stddev_samp("debt_ratio").alias("std_debt_ratio"),
         F.avg("roa_rolling3").alias("avg_roa_rolling3"), F.avg("roa_lag1").alias("avg_roa_lag1"))
+
+
+# --------------------------------------------------- regimes (rule based) --
+from ..operators import regimes as R  # noqa: E402
+
+_MV = R.MACRO_VARS
+_RULE_SQL = ("CASE WHEN {s} > 60 THEN 'HIGH_STRESS' WHEN {i} > 5 AND {r} > 3 THEN 'HIGH_INFLATION_TIGHTENING' "
+             "WHEN {i} > 5 THEN 'HIGH_INFLATION' WHEN {g} < 0 THEN 'RECESSION' WHEN {r} > 4 THEN 'HIGH_RATES' "
+             "WHEN {r} <= 1 THEN 'ZERO_RATES' WHEN {g} > 3 THEN 'STRONG_GROWTH' ELSE 'NORMAL' END")
+_rule = _RULE_SQL.format(i="inflation", r="fed_rate", g="gdp_growth", s="stress_intensity")
+_RULE_CTE = [("rr", f"SELECT DISTINCT year, {cols_sql(_MV)} FROM l2 WHERE "
+                    + " AND ".join(f"{c} IS NOT NULL" for c in ["year"] + _MV)),
+             ("rn", f"SELECT year, {cols_sql(_MV)}, {_rule} AS regime_name FROM rr")]
+
+
+@query("j17_macro_series", O.with_layers("l2", f"SELECT year, {cols_sql(_MV)}, "
+       + ", ".join(f"avg({c}) OVER () AS {c}_mean" for c in _MV) + " FROM rr", _RULE_CTE[:1]))
+def j17_macro_series(spark, sf_dir):
+    """Macro table (distinct, NULL-free) with each series' mean."""
+    return R.macro_series(l2(spark, sf_dir))
+
+
+@query("d25_rule_regimes", O.with_layers("l2", "SELECT * FROM rn", _RULE_CTE))
+def d25_rule_regimes(spark, sf_dir):
+    """Regime names by the first matching rule, per period."""
+    return R.rule_regimes(l2(spark, sf_dir))
+
+
+@query("g1_regime_lookup", O.with_layers(
+    "l2", "SELECT l2.company, l2.year, rn.regime_name FROM l2 LEFT JOIN rn ON l2.year = rn.year", _RULE_CTE))
+def g1_regime_lookup(spark, sf_dir):
+    """G1: period -> regime lookup joined to every panel row (broadcast)."""
+    p = l2(spark, sf_dir)
+    return R.label_panel(p.select("company", "year"), R.rule_regimes(p).select("year", "regime_name"))
+
+
+@query("f9_regime_transitions", O.with_layers(
+    "l2", "SELECT year, regime_name, previous FROM (SELECT year, regime_name, "
+          "lag(regime_name) OVER (ORDER BY year) AS previous FROM rn) t "
+          "WHERE previous IS NOT NULL AND previous <> regime_name", _RULE_CTE))
+def f9_regime_transitions(spark, sf_dir):
+    """periods whose regime differs from the previous period's."""
+    return R.transitions(R.rule_regimes(l2(spark, sf_dir)), "regime_name")
+
+
+_G1 = "SELECT l2.*, rn.regime_name FROM l2 LEFT JOIN rn ON l2.year = rn.year"
+
+
+@query("e12_regime_share", O.with_layers(
+    "l2", "SELECT regime_name, count(*) AS n_rows, count(*) * 100.0 / sum(count(*)) OVER () AS share_pct "
+          "FROM lab GROUP BY regime_name", _RULE_CTE + [("lab", _G1)]))
+def e12_regime_share(spark, sf_dir):
+    """Share of panel rows per regime."""
+    p = l2(spark, sf_dir)
+    return R.regime_share(R.label_panel(p, R.rule_regimes(p).select("year", "regime_name")), "regime_name")
+
+
+@query("j18_regime_economics", O.with_layers(
+    "l2", "SELECT regime_name, avg(roa) AS roa_mean, stddev_samp(roa) AS roa_std, "
+          "avg(perfect_storm_risk) AS perfect_storm_risk_mean, stddev_samp(perfect_storm_risk) AS perfect_storm_risk_std, "
+          "count(*) AS n_rows FROM lab GROUP BY regime_name", _RULE_CTE + [("lab", _G1)]))
+def j18_regime_economics(spark, sf_dir):
+    """Roa and perfect-storm mean/std/count by regime."""
+    p = l2(spark, sf_dir)
+    return R.economic_check(R.label_panel(p, R.rule_regimes(p).select("year", "regime_name")), "regime_name")
+
+
+@query("i1_standardize", O.with_layers(
+    "l2", f"SELECT year, " + ", ".join(
+        f"({c} - avg({c}) OVER ()) / NULLIF(stddev_pop({c}) OVER (), 0) AS z_{c}" for c in _MV)
+    + " FROM rr", _RULE_CTE[:1]))
+def i1_standardize(spark, sf_dir):
+    """Standardised macro table (population std)."""
+    t = l2(spark, sf_dir).select("year", *_MV).distinct().dropna()
+    return R.standardize(t, _MV).select("year", *[f"z_{c}" for c in _MV])
+
+
+# ----------------------------------------------- scenarios (linear scorer) --
+from ..operators import scenarios as S  # noqa: E402
+from ..operators import risk as RK  # noqa: E402
+
+TARGETS = ["roa", "profit_margin"]
+_SC_NEED = sorted({f for t in TARGETS for f, _ in S.LINEAR_SCORER[t][1]} | {
+    "sector", "inflation", "fed_rate", "gdp_growth", "gdp", "debt_ratio", "debt_to_equity",
+    "current_ratio", "gross_margin", "asset_turnover", "profit_margin", "firm_size", "quick_ratio",
+    "roa_volatility"})
+
+
+def _latest(spark, sf_dir):
+    return S.latest_per_company(l2(spark, sf_dir), _SC_NEED)
+
+
+def _pred(spark, sf_dir):
+    key = (id(spark), sf_dir, "pred")
+    if key not in _CACHE:
+        p = l2(spark, sf_dir)
+        _CACHE[key] = cut_lineage(S.score_scenarios(_latest(spark, sf_dir), S.baseline_macros(p), TARGETS))
+    return _CACHE[key]
+
+
+def _wide(spark, sf_dir):
+    return S.base_vs_scenarios(_pred(spark, sf_dir))
+
+
+def _risk(spark, sf_dir):
+    key = (id(spark), sf_dir, "risk")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(RK.risk_scores(_wide(spark, sf_dir), RK.roa_history(l2(spark, sf_dir))))
+    return _CACHE[key]
+
+
+_upd = O.update_terms_sql("s_inflation", "s_interest", "s_gdp")
+_sc_vals = ", ".join(f"('{k}', {O.d(i)}, {O.d(r)}, {O.d(g)})" for k, _n, i, r, g in S.SCENARIOS)
+_latest_cols = [c for c in _SC_NEED]
+_firm_cols = [c for c in _latest_cols if c not in _upd]
+_SC_CTES = [
+    ("lt", O.latest_sql(_latest_cols)),
+    ("bl", "SELECT inflation AS b_i, fed_rate AS b_r, gdp_growth AS b_g FROM l2 "
+           "WHERE year = (SELECT max(year) FROM l2) ORDER BY company LIMIT 1"),
+    ("sc", f"SELECT s.scenario, bl.b_i + s.di AS s_inflation, bl.b_r + s.dr AS s_interest, "
+           f"bl.b_g + s.dg AS s_gdp FROM (VALUES {_sc_vals}) s(scenario, di, dr, dg), bl"),
+    ("fx", "SELECT sc.scenario, lt.company, " + ", ".join(f"lt.{c}" for c in _firm_cols) + ", "
+           + ", ".join(f"{v} AS {k}" for k, v in _upd.items()) + " FROM lt, sc"),
+    ("pred", " UNION ALL ".join(
+        f"SELECT '{t}' AS target, scenario, company, coalesce(sector, 'Unknown') AS sector, "
+        f"{O.score_sql(t, S.LINEAR_SCORER)} AS predicted, debt_ratio, current_ratio FROM fx" for t in TARGETS)),
+    ("wide", "SELECT target, company, any_value(sector) AS sector, any_value(debt_ratio) AS debt_ratio, "
+             "any_value(current_ratio) AS current_ratio, "
+             + ", ".join(f"max(CASE WHEN scenario = '{k}' THEN predicted END) AS {k.lower()}"
+                         for k, *_ in S.SCENARIOS) + " FROM pred GROUP BY target, company"),
+]
+
+
+@query("e4_latest_per_company", O.with_layers("l2", "SELECT * FROM lt", _SC_CTES[:1]))
+def e4_latest_per_company(spark, sf_dir):
+    """Per company, each column's latest non-null value."""
+    return _latest(spark, sf_dir)
+
+
+@query("j2_scenario_table", O.with_layers("l2", "SELECT * FROM sc", _SC_CTES[:3]))
+def j2_scenario_table(spark, sf_dir):
+    """Baseline macros of the latest period + the 7 shifts."""
+    base = S.baseline_macros(l2(spark, sf_dir))
+    return S.scenario_table(spark, base).select("scenario", "s_inflation", "s_interest", "s_gdp")
+
+
+@query("j4_scenario_predictions", O.with_layers("l2", "SELECT * FROM pred", _SC_CTES[:5]))
+def j4_scenario_predictions(spark, sf_dir):
+    """All firms x 7 scenarios, macro terms recomputed, scored."""
+    return _pred(spark, sf_dir)
+
+
+_IMP = " UNION ALL ".join(
+    f"SELECT target, '{k}' AS scenario, '{n}' AS scenario_name, "
+    f"avg(({k.lower()} - base) / greatest(abs(base), {O.d(0.001)}) * 100) AS impact_pct FROM wide GROUP BY target"
+    for k, n, *_ in S.SCENARIOS if k in S.IMPACT_SCENARIOS)
+
+
+@query("j5_stress_impact", O.with_layers(
+    "l2", f"SELECT *, CASE WHEN impact_pct > 0 THEN 'UP' ELSE 'DOWN' END AS direction FROM ({_IMP}) t", _SC_CTES))
+def j5_stress_impact(spark, sf_dir):
+    """Mean % change vs BASE per scenario and target."""
+    return S.stress_impacts(_wide(spark, sf_dir))
+
+
+_RISK_SQL = (
+    "SELECT w.company, w.sector, upper(w.target) AS target, "
+    "round(0.4 * v + 0.3 * l + 0.2 * o + 0.1 * q, 2) AS risk_score, round(v, 2) AS stress_vulnerability, "
+    "round(l, 2) AS leverage_risk, round(o, 2) AS volatility_risk, round(q, 2) AS liquidity_risk, "
+    "round(base, 4) AS baseline, round(stagflation, 4) AS stagflation FROM (SELECT w.*, "
+    f"greatest({O.d(0.0)}, least({O.d(100.0)}, CASE WHEN abs(base) > 0.001 THEN (base - stagflation) / abs(base) * 100 ELSE {O.d(50.0)} END)) AS v, "
+    f"least({O.d(100.0)}, coalesce(debt_ratio, {O.d(0.5)}) * 100) AS l, "
+    f"CASE WHEN h.roa_n > 1 THEN least({O.d(100.0)}, h.roa_std * 100 * 2) ELSE {O.d(20.0)} END AS o, "
+    f"greatest({O.d(0.0)}, least({O.d(100.0)}, ({O.d(1.0)} / NULLIF(coalesce(current_ratio, {O.d(1.0)}) + {O.d(0.01)}, 0)) * 50)) AS q "
+    "FROM wide w LEFT JOIN (SELECT company, stddev_pop(roa) AS roa_std, count(roa) AS roa_n FROM l2 GROUP BY company) h "
+    "ON w.company = h.company) w")
+_RISK_CTES = _SC_CTES + [("risk", _RISK_SQL)]
+
+
+@query("j6_risk_scores", O.with_layers("l2", "SELECT * FROM risk", _RISK_CTES))
+def j6_risk_scores(spark, sf_dir):
+    """Risk score components per (target, company)."""
+    return _risk(spark, sf_dir)
+
+
+@query("j7_primary_extremes", O.with_layers(
+    "l2", "SELECT * FROM (SELECT 'top' AS side, company, sector, risk_score FROM risk WHERE target = 'ROA' "
+          "ORDER BY risk_score DESC, company LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'bottom', company, sector, "
+          "risk_score FROM risk WHERE target = 'ROA' ORDER BY risk_score ASC, company LIMIT 10) b",
+    _RISK_CTES))
+def j7_primary_extremes(spark, sf_dir):
+    """Top and bottom 10 ROA risk scores."""
+    return RK.primary_extremes(_risk(spark, sf_dir)).drop("screen_level")
+
+
+_WARN_SQL = (
+    "SELECT company, sector, upper(target) AS target, "
+    "concat_ws(' | ', CASE WHEN dp > 30 THEN printf('CRITICAL: %.0f%% drop under stagflation', dp) END, "
+    "CASE WHEN dr > 0.7 THEN printf('HIGH LEVERAGE: %.1f%%', dr * 100) END, "
+    "CASE WHEN cr < 1 THEN printf('LIQUIDITY CRISIS: Current ratio = %.2f', cr) END) AS warnings, "
+    "round(dp, 1) AS stress_drop_pct, round(dr, 3) AS leverage, round(cr, 2) AS current_ratio "
+    f"FROM (SELECT *, CASE WHEN abs(base) > 0.001 THEN (base - stagflation) / abs(base) * 100 ELSE {O.d(0.0)} END AS dp, "
+    f"coalesce(debt_ratio, {O.d(0.0)}) AS dr, coalesce(current_ratio, {O.d(1.0)}) AS cr FROM wide) t "
+    "WHERE dp > 30 OR dr > 0.7 OR cr < 1")
+_WARN_CTES = _RISK_CTES + [("warn", _WARN_SQL)]
+
+
+@query("j10_warnings", O.with_layers("l2", "SELECT * FROM warn", _WARN_CTES))
+def j10_warnings(spark, sf_dir):
+    """Warning signals (drop > 30%, leverage > .7, liquidity < 1)."""
+    return RK.warnings(_wide(spark, sf_dir))
+
+
+@query("j11_warning_types", O.with_layers(
+    "l2", "SELECT warning_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS share_pct FROM ("
+          "SELECT 'High Leverage' AS warning_type FROM warn WHERE contains(warnings, 'HIGH LEVERAGE') "
+          "UNION ALL SELECT 'Liquidity Crisis' FROM warn WHERE contains(warnings, 'LIQUIDITY CRISIS') "
+          "UNION ALL SELECT 'Critical Drop' FROM warn WHERE contains(warnings, 'CRITICAL')) t GROUP BY warning_type",
+    _WARN_CTES))
+def j11_warning_types(spark, sf_dir):
+    """Warning-type counts and shares."""
+    return RK.warning_types(RK.warnings(_wide(spark, sf_dir)))
+
+
+@query("j11b_warnings_per_firm", O.with_layers(
+    "l2", "SELECT company, count(*) AS n_warnings FROM warn GROUP BY company "
+          "ORDER BY n_warnings DESC, company LIMIT 10", _WARN_CTES))
+def j11b_warnings_per_firm(spark, sf_dir):
+    """Firms with the most warning rows (top 10)."""
+    return RK.warnings_per_firm(RK.warnings(_wide(spark, sf_dir)))
+
+
+_LEVEL = ("CASE WHEN risk_score >= 60 THEN 'CRITICAL' WHEN risk_score >= 40 THEN 'HIGH' "
+          "WHEN risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END")
+
+
+@query("j12_risk_ranking", O.with_layers(
+    "l2", f"SELECT *, row_number() OVER (ORDER BY risk_score DESC, company, target) AS rank, "
+          f"{_LEVEL} AS risk_level FROM risk", _RISK_CTES))
+def j12_risk_ranking(spark, sf_dir):
+    """Global ranking by score with levels (distributed rank)."""
+    return RK.risk_ranking(_risk(spark, sf_dir))
+
+
+@query("j13_sector_summary", O.with_layers(
+    "l2", "SELECT sector, avg(risk_score) AS avg_risk, stddev_samp(risk_score) AS std_risk, "
+          "round(min(risk_score), 2) AS min_risk, round(max(risk_score), 2) AS max_risk, "
+          "count(risk_score) AS firm_count, list_sort(list(DISTINCT company)) AS companies, "
+          "CASE WHEN round(avg(risk_score), 2) >= 40 THEN '!' WHEN round(avg(risk_score), 2) >= 25 THEN '?' "
+          "ELSE '.' END AS flag FROM risk GROUP BY sector", _RISK_CTES))
+def j13_sector_summary(spark, sf_dir):
+    """Sector risk summary with firm list and flag."""
+    return RK.sector_summary(_risk(spark, sf_dir))
+
+
+@query("j14_sector_primary", O.with_layers(
+    "l2", "SELECT sector, avg(risk_score) AS avg_risk, CASE WHEN avg(risk_score) > 60 THEN 'darkred' "
+          "WHEN avg(risk_score) > 40 THEN 'red' WHEN avg(risk_score) > 25 THEN 'orange' ELSE 'green' END AS band "
+          "FROM risk WHERE target = 'ROA' GROUP BY sector", _RISK_CTES))
+def j14_sector_primary(spark, sf_dir):
+    """Sector mean of the ROA risk score with chart band."""
+    return RK.sector_primary_mean(_risk(spark, sf_dir))
+
+
+@query("e14_scenario_pivot", O.with_layers(
+    "l2", "SELECT scenario, " + ", ".join(
+        f"coalesce(avg(CASE WHEN target = '{t}' THEN predicted END), {O.d(0.0)}) AS {t}" for t in TARGETS)
+    + " FROM pred GROUP BY scenario", _SC_CTES))
+def e14_scenario_pivot(spark, sf_dir):
+    """Scenario x target mean predictions (0 if missing)."""
+    return RK.scenario_pivot(_pred(spark, sf_dir), TARGETS)
+
+
+@query("h8_sector_performance", O.with_layers(
+    "l2", "SELECT upper(target) AS target, scenario, sector, avg(predicted) AS mean_predicted FROM pred "
+          "WHERE scenario IN ('BASE', 'STAGFLATION', 'RECESSION', 'INFLATION_SHOCK') "
+          "GROUP BY upper(target), scenario, sector", _SC_CTES))
+def h8_sector_performance(spark, sf_dir):
+    """H8/H5: mean prediction by sector for four scenarios and both targets."""
+    return RK.sector_performance(_pred(spark, sf_dir))
+
+
+@query("e15_kpi_row", O.with_layers(
+    "l2", "SELECT * FROM (SELECT count(*) AS n_rows, count(DISTINCT company) AS n_firms, "
+          "count_if(risk_score >= 40) AS n_high, count_if(risk_score >= 60) AS n_critical, "
+          "arg_min(company, (-risk_score, company)) AS top_firm, round(avg(risk_score), 2) AS avg_risk FROM risk) a, "
+          "(SELECT count_if(contains(warnings, 'HIGH LEVERAGE')) AS n_leverage_warnings, "
+          "count_if(contains(warnings, 'LIQUIDITY CRISIS')) AS n_liquidity_warnings FROM warn) w, "
+          "(SELECT arg_min(sector, (-m, sector)) AS top_sector FROM (SELECT sector, avg(risk_score) AS m "
+          "FROM risk GROUP BY sector) s) s", _WARN_CTES))
+def e15_kpi_row(spark, sf_dir):
+    """One-row KPI summary."""
+    return RK.kpi_row(_risk(spark, sf_dir), RK.warnings(_wide(spark, sf_dir)))

@@ -218,3 +218,45 @@ _LAYERS = {"raw": lambda: [("raw", duckdb_sql(PANEL_A_SQL))],
 def with_layers(upto: str, body: str, extra: list[tuple[str, str]] | None = None) -> str:
     ctes = _LAYERS[upto]() + (extra or [])
     return "WITH " + ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes) + "\n" + body
+
+
+# ------------------------------------------------------ scenario twins --
+
+def latest_sql(cols: list[str], src: str = "l2") -> str:
+    """E4 twin: per company, each column's value at its latest non-null year."""
+    return ("SELECT company, " + ", ".join(
+        f"arg_max({c}, CASE WHEN {c} IS NOT NULL THEN year END) AS {c}" for c in cols)
+        + f" FROM {src} GROUP BY company")
+
+
+def update_terms_sql(i: str, r: str, g: str) -> dict:
+    """J3 twin (reference mode) over scenario columns i, r, g."""
+    return {
+        "inflation": i, "fed_rate": r, "gdp_growth": g, "gdp": g,
+        "inflation_debt_interaction": f"{i} * debt_ratio",
+        "rate_debt_interaction": f"{r} * debt_ratio",
+        "gdp_leverage_interaction": f"{g} * debt_to_equity",
+        "rate_liquidity_interaction": f"{r} * {sdiv(d(1.0), sclip('current_ratio', lo=0.1))}",
+        "inflation_margin_interaction": f"{i} * {sdiv(d(1.0), sclip('gross_margin', lo=0.01))}",
+        "gdp_efficiency_interaction": f"{g} * asset_turnover",
+        "turnover_inflation_interaction": f"{i} * asset_turnover",
+        "margin_rate_interaction": f"profit_margin * {r}",
+        "size_gdp_interaction": f"firm_size * {g}",
+        "liquidity_gdp_interaction": f"quick_ratio * {g}",
+        "volatility_debt_interaction": "roa_volatility * debt_ratio",
+        "rollover_risk": f"roa_volatility * debt_ratio * {r}",
+        "inflation_squeeze": f"{i} * {sdiv(d(1.0), sclip('abs(profit_margin)', lo=0.01))} * debt_ratio",
+        "liquidity_crisis": f"greatest({d(0.0)}, -{g}) * debt_to_equity * {sdiv(d(1.0), sclip('current_ratio', lo=0.01))}",
+        "pricing_power": f"{i} * asset_turnover * profit_margin",
+        "stress_intensity": (f"(least({d(0.25)}, greatest({d(0.0)}, {i}) / 10) + "
+                             f"least({d(0.25)}, greatest({d(0.0)}, {r}) / 8) + "
+                             f"least({d(0.25)}, greatest({d(0.0)}, -{g}) / 20)) * 100"),
+    }
+
+
+def score_sql(target: str, scorer) -> str:
+    b, terms = scorer[target]
+    e = d(float(b))
+    for f, w in terms:
+        e = f"({e} + {d(float(w))} * coalesce({f}, {d(0.0)}))"
+    return e
