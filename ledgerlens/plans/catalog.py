@@ -709,3 +709,90 @@ def h8_sector_performance(spark, sf_dir):
 def e15_kpi_row(spark, sf_dir):
     """One-row KPI summary."""
     return RK.kpi_row(_risk(spark, sf_dir), RK.warnings(_wide(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ bootstrap --
+N_SIMS = 500
+
+
+def _draws(spark, sf_dir):
+    key = (id(spark), sf_dir, "draws")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(S.draw_table(l2(spark, sf_dir), N_SIMS))
+    return _CACHE[key]
+
+
+def _boot(spark, sf_dir):
+    key = (id(spark), sf_dir, "boot")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(S.bootstrap_means(_latest(spark, sf_dir), _draws(spark, sf_dir), TARGETS))
+    return _CACHE[key]
+
+
+def _lcg_sql(seed: str) -> str:
+    x = seed
+    for _ in range(2):
+        x = f"(({x}) * {S.LCG_A}) % {S.LCG_M}"
+    return x
+
+
+_bvars = list(S.NOISE_SD)
+_draw_cols = []
+for _j, _v in enumerate(_bvars):
+    _base = f"(sim_id * 7919 + {(_j + 1) * 104729 + 42})"
+    _draw_cols += [
+        f"{_lcg_sql(f'1 + {_base} % {S.LCG_M - 1}')} AS pick_{_v}",
+        f"sqrt(-2.0 * ln(CAST({_lcg_sql(f'1 + ({_base} + 1000003) % {S.LCG_M - 1}')} AS DOUBLE) / {S.LCG_M})) * "
+        f"cos({O.d(2 * 3.141592653589793)} * (CAST({_lcg_sql(f'1 + ({_base} + 2000003) % {S.LCG_M - 1}')} AS DOUBLE) / {S.LCG_M})) AS z_{_v}"]
+_draw_sel = ", ".join(
+    f"(SELECT p.{_v} FROM perc p WHERE pick_{_v} % p.total >= p.cum - p.n_rows AND pick_{_v} % p.total < p.cum) "
+    f"+ z_{_v} * {O.d(S.NOISE_SD[_v])} AS {_v}" for _v in _bvars)
+_upd_d = O.update_terms_sql("d_i", "d_r", "d_g")
+_firm_cols_d = [c for c in _latest_cols if c not in _upd_d]
+_BOOT_CTES = _SC_CTES[:1] + [
+    ("per", "SELECT year, count(*) AS n_rows, " + ", ".join(f"min({v}) AS {v}" for v in _bvars)
+            + " FROM l2 GROUP BY year"),
+    ("perc", "SELECT *, sum(n_rows) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, "
+             "sum(n_rows) OVER () AS total FROM per"),
+    ("sims", f"SELECT sim_id, {', '.join(_draw_cols)} FROM (SELECT range AS sim_id FROM range({N_SIMS})) r"),
+    ("draws", f"SELECT sim_id, {_draw_sel} FROM sims"),
+    ("fxd", "SELECT dr.sim_id, " + ", ".join(f"lt.{c}" for c in _firm_cols_d) + ", "
+            + ", ".join(f"{v} AS {k}" for k, v in _upd_d.items())
+            + " FROM lt, (SELECT sim_id, inflation AS d_i, fed_rate AS d_r, gdp_growth AS d_g FROM draws) dr"),
+    ("boot", " UNION ALL ".join(
+        f"SELECT '{t}' AS target, sim_id, avg({O.score_sql(t, S.LINEAR_SCORER)}) AS mean_prediction "
+        f"FROM fxd GROUP BY sim_id" for t in TARGETS)),
+]
+
+
+@query("j8_draw_table", O.with_layers("l2", "SELECT * FROM draws", _BOOT_CTES))
+def j8_draw_table(spark, sf_dir):
+    """Reproducible macro draws (period picked by panel-row weight + noise)."""
+    return _draws(spark, sf_dir)
+
+
+@query("j8_bootstrap_means", O.with_layers("l2", "SELECT * FROM boot", _BOOT_CTES))
+def j8_bootstrap_means(spark, sf_dir):
+    """All firms rescored under every draw; mean prediction per draw."""
+    return _boot(spark, sf_dir)
+
+
+@query("j8_bootstrap_summary", O.with_layers(
+    "l2", "SELECT target, count(*) AS n_sims, avg(mean_prediction) AS mean, stddev_pop(mean_prediction) AS std, "
+          "quantile_cont(mean_prediction, 0.05) AS ci_90_lower, quantile_cont(mean_prediction, 0.95) AS ci_90_upper, "
+          "quantile_cont(mean_prediction, 0.025) AS ci_95_lower, quantile_cont(mean_prediction, 0.975) AS ci_95_upper, "
+          "quantile_cont(mean_prediction, 0.975) - quantile_cont(mean_prediction, 0.025) AS ci_95_width "
+          "FROM boot GROUP BY target", _BOOT_CTES))
+def j8_bootstrap_summary(spark, sf_dir):
+    """Mean, population std, 90%/95% bounds and interval width."""
+    return S.bootstrap_summary(_boot(spark, sf_dir))
+
+
+@query("j9_histogram", O.with_layers(
+    "l2", "SELECT target, bin, count(*) AS n, min(lo) AS lo, min(hi) AS hi FROM (SELECT target, lo, hi, "
+          "CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((mean_prediction - lo) / (hi - lo) * 50) + 1, 50) END AS INTEGER) AS bin "
+          "FROM (SELECT *, min(mean_prediction) OVER (PARTITION BY target) AS lo, "
+          "max(mean_prediction) OVER (PARTITION BY target) AS hi FROM boot) a) b GROUP BY target, bin", _BOOT_CTES))
+def j9_histogram(spark, sf_dir):
+    """50-bin histogram of the draw means, last edge inclusive."""
+    return S.histogram(_boot(spark, sf_dir), 50)
