@@ -796,3 +796,103 @@ def j8_bootstrap_summary(spark, sf_dir):
 def j9_histogram(spark, sf_dir):
     """50-bin histogram of the draw means, last edge inclusive."""
     return S.histogram(_boot(spark, sf_dir), 50)
+
+
+# --------------------------------------- model metrics (linear scorer) --
+from ..operators import models as MD  # noqa: E402
+
+_SPLIT_SQL = "CASE WHEN year <= 1999 THEN 'train' WHEN year >= 2001 THEN 'test' ELSE 'val' END"
+
+
+def _scored_linear(spark, sf_dir):
+    """I16 with the linear scorer: every panel row scored for both targets."""
+    p = l2(spark, sf_dir).withColumn("split", MD.split_col())
+    parts = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"),
+                               S.linear_score(t).alias("predicted")) for t in TARGETS])
+    x = p.select("company", "year", "split", F.explode(parts).alias("s")).select(
+        "company", "year", "split", "s.*")
+    err = F.col("actual") - F.col("predicted")
+    return x.withColumns({"error": err,
+                          "error_pct": err / F.greatest(F.abs(F.col("actual")), F.lit(0.01)) * 100})
+
+
+_SCORED_CTES = [("scored", "SELECT *, actual - predicted AS error, (actual - predicted) / "
+                 f"greatest(abs(actual), {O.d(0.01)}) * 100 AS error_pct FROM (" + " UNION ALL ".join(
+                     f"SELECT company, year, {_SPLIT_SQL} AS split, '{t}' AS target, {t} AS actual, "
+                     f"{O.score_sql(t, S.LINEAR_SCORER)} AS predicted FROM l2" for t in TARGETS) + ") t")]
+
+
+@query("i16_scored_panel", O.with_layers("l2", "SELECT * FROM scored", _SCORED_CTES))
+def i16_scored_panel(spark, sf_dir):
+    """All rows scored, error and error % per target."""
+    return _scored_linear(spark, sf_dir)
+
+
+_MET_SQL = ("SELECT target, split, count(*) AS n, 1 - sum(error * error) / NULLIF(var_pop(actual) * count(*), 0) AS r2, "
+            "sqrt(sum(error * error) / count(*)) AS rmse, avg(abs(error)) AS mae FROM scored GROUP BY target, split")
+
+
+def _metrics_linear(spark, sf_dir, groups=("split",)):
+    s = _scored_linear(spark, sf_dir).withColumn("pred_col", F.col("predicted"))
+    y, p = F.col("actual"), F.col("predicted")
+    a = s.groupBy("target", *groups).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"),
+        F.var_pop(y).alias("vy"), F.avg(F.abs(y - p)).alias("mae"))
+    return a.select("target", *groups, "n", (1 - F.try_divide(F.col("sse"), F.col("vy") * F.col("n"))).alias("r2"),
+                    F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae")
+
+
+@query("i12_split_metrics", O.with_layers("l2", _MET_SQL, _SCORED_CTES))
+def i12_split_metrics(spark, sf_dir):
+    """R2 / RMSE / MAE per target and split in one pass."""
+    return _metrics_linear(spark, sf_dir)
+
+
+@query("i12b_overfit_report", O.with_layers(
+    "l2", "SELECT target, train_r2, test_r2, train_r2 - test_r2 AS gap, CASE WHEN train_r2 - test_r2 > 0.1 "
+          "THEN 'Possible overfitting' ELSE 'Good generalization' END AS flag, CASE WHEN test_r2 > 0.9 THEN "
+          "'EXCELLENT' WHEN test_r2 > 0.7 THEN 'GOOD' ELSE 'MODERATE' END AS status FROM (SELECT target, "
+          "max(CASE WHEN split = 'train' THEN r2 END) AS train_r2, max(CASE WHEN split = 'test' THEN r2 END) "
+          f"AS test_r2 FROM ({_MET_SQL}) m GROUP BY target) w", _SCORED_CTES))
+def i12b_overfit_report(spark, sf_dir):
+    """Train-test R2 gap, overfit flag and status per target."""
+    return MD.overfit_report(_metrics_linear(spark, sf_dir))
+
+
+@query("i15_regime_r2", O.with_layers(
+    "l2", "SELECT target, regime_name, count(*) AS n, 1 - sum(error * error) / NULLIF(var_pop(actual) * count(*), 0) AS r2 "
+          "FROM scored s JOIN rn ON s.year = rn.year WHERE split = 'test' GROUP BY target, regime_name "
+          "HAVING count(*) >= 5", _RULE_CTE + _SCORED_CTES))
+def i15_regime_r2(spark, sf_dir):
+    """Test-split R2 per regime with at least 5 rows."""
+    s = _scored_linear(spark, sf_dir).where(F.col("split") == "test")
+    s = R.label_panel(s, R.rule_regimes(l2(spark, sf_dir)).select("year", "regime_name"))
+    y, p = F.col("actual"), F.col("predicted")
+    a = s.groupBy("target", "regime_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("vy"))
+    return a.where(F.col("n") >= 5).select(
+        "target", "regime_name", "n", (1 - F.try_divide(F.col("sse"), F.col("vy") * F.col("n"))).alias("r2"))
+
+
+@query("i17_actual_vs_predicted", O.with_layers(
+    "l2", "SELECT target, company, year, actual, predicted FROM scored WHERE split = 'test'", _SCORED_CTES))
+def i17_actual_vs_predicted(spark, sf_dir):
+    """Actual vs predicted pairs of the test split."""
+    return _scored_linear(spark, sf_dir).where(F.col("split") == "test").select(
+        "target", "company", "year", "actual", "predicted")
+
+
+_E8 = [f"{t}_error" for t in TARGETS]
+
+
+@query("e8_error_corr", O.with_layers(
+    "l2", "SELECT a AS error_a, b AS error_b, round(c, 9) AS corr FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, covar_samp(x_{a}, x_{b}) / NULLIF(stddev_samp(x_{a}) * stddev_samp(x_{b}), 0) AS c "
+        f"FROM (SELECT " + ", ".join(f"max(CASE WHEN target = '{t}' THEN error END) AS x_{t}_error" for t in TARGETS)
+        + " FROM scored GROUP BY company, year) w" for a in _E8 for b in _E8) + ") t", _SCORED_CTES))
+def e8_error_corr(spark, sf_dir):
+    """Correlation matrix of the targets' prediction errors."""
+    s = _scored_linear(spark, sf_dir)
+    w = s.groupBy("company", "year").agg(
+        *[F.max(F.when(F.col("target") == t, F.col("error"))).alias(f"{t}_error") for t in TARGETS])
+    return MD.error_corr(w, TARGETS).withColumn("corr", F.round("corr", 9))
