@@ -227,7 +227,7 @@ def pca2(t: DataFrame, zcols: list[str]):
     m = PCA(k=2, inputCol="features", outputCol="pc").fit(vec)
     pcm = m.pc.toArray()
     signs = [1.0 if pcm[abs(pcm[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    out = vec.withColumn("pcs", vector_to_array("pc")).select(
+    out = m.transform(vec).withColumn("pcs", vector_to_array("pc")).select(
         "*", (F.col("pcs")[0] * signs[0]).alias("pc1"), (F.col("pcs")[1] * signs[1]).alias("pc2"))
     ratio = [float(x) for x in m.explainedVariance]
     return out.drop("pc", "pcs"), ratio

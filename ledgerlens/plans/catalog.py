@@ -896,3 +896,290 @@ def e8_error_corr(spark, sf_dir):
     w = s.groupBy("company", "year").agg(
         *[F.max(F.when(F.col("target") == t, F.col("error"))).alias(f"{t}_error") for t in TARGETS])
     return MD.error_corr(w, TARGETS).withColumn("corr", F.round("corr", 9))
+
+
+# ------------------------------------- clustering (rows-only, Spark ML) --
+from ..operators import attribution as AT  # noqa: E402
+from ..sources.fixtures import months_c  # noqa: E402
+
+_C_VARS = ["n_orders", "avg_price", "urgent_share", "finished_share"]
+_C_Z = [f"z_{c}" for c in _C_VARS]
+
+
+def _months_z(spark, sf_dir):
+    key = (id(spark), sf_dir, "months_z")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(R.standardize(months_c(spark, sf_dir), _C_VARS))
+    return _CACHE[key]
+
+
+def _sweep(spark, sf_dir):
+    key = (id(spark), sf_dir, "sweep")
+    if key not in _CACHE:
+        _CACHE[key] = R.kmeans_sweep(_months_z(spark, sf_dir), _C_Z, 6).cache()
+    return _CACHE[key]
+
+
+def _k(spark, sf_dir) -> int:
+    return int(R.choose_k(_sweep(spark, sf_dir)).first()["k"])
+
+
+def _kmeans_c(spark, sf_dir):
+    key = (id(spark), sf_dir, "kmeans_c")
+    if key not in _CACHE:
+        out, centers, cost = R.fit_kmeans(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
+        _CACHE[key] = (cut_lineage(out), centers, cost)
+    return _CACHE[key]
+
+
+@query("i2_k_sweep")
+def i2_k_sweep(spark, sf_dir):
+    """K-means inertia and GMM BIC for k = 1..6 on the month table."""
+    return _sweep(spark, sf_dir)
+
+
+@query("i3_choose_k")
+def i3_choose_k(spark, sf_dir):
+    """Elbow choice of k from the sweep."""
+    return R.choose_k(_sweep(spark, sf_dir))
+
+
+@query("i4_kmeans_labels")
+def i4_kmeans_labels(spark, sf_dir):
+    """I4: k-means labels (10 restarts, stable label order) per period."""
+    return _kmeans_c(spark, sf_dir)[0].select("period", *_C_Z, "regime_kmeans")
+
+
+@query("i5_gmm_labels")
+def i5_gmm_labels(spark, sf_dir):
+    """Gaussian-mixture labels, class probabilities, confidence."""
+    g = R.fit_gmm(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
+    return g.drop("features")
+
+
+@query("i6_cluster_profile")
+def i6_cluster_profile(spark, sf_dir):
+    """Mean of each measure and the period list per k-means label."""
+    return R.cluster_profile(_kmeans_c(spark, sf_dir)[0], "regime_kmeans", _C_VARS, "period")
+
+
+@query("i7_silhouette")
+def i7_silhouette(spark, sf_dir):
+    """Silhouette of the k-means and GMM labellings with bands."""
+    km = _kmeans_c(spark, sf_dir)[0]
+    g = R.fit_gmm(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
+    s_km, s_gm = R.silhouette(km, "regime_kmeans"), R.silhouette(g, "regime_gmm")
+    rows = [("kmeans", s_km), ("gmm", s_gm)]
+    df = spark.createDataFrame(rows, "method string, silhouette double")
+    return df.withColumn("quality", F.when(F.col("silhouette") > 0.5, "strong")
+                         .when(F.col("silhouette") > 0.3, "reasonable").otherwise("weak"))
+
+
+@query("i8_pca")
+def i8_pca(spark, sf_dir):
+    """I8: two-component projection of the standardised table."""
+    out, ratio = R.pca2(_months_z(spark, sf_dir), _C_Z)
+    return out.select("period", "pc1", "pc2", F.lit(ratio[0]).alias("explained_1"),
+                      F.lit(ratio[1]).alias("explained_2"))
+
+
+# -------------------------------------- panel regimes + models (rows-only) --
+
+def l3(spark, sf_dir):
+    """Layer 3: k-means / GMM regimes of the panel's macro table joined back
+    by year, named by rules, with regime dummies and products (D20)."""
+    key = (id(spark), sf_dir, "l3")
+    if key not in _CACHE:
+        p = l2(spark, sf_dir)
+        t = R.standardize(p.select("year", *_MV).distinct().dropna(), _MV)
+        z = [f"z_{c}" for c in _MV]
+        k = int(R.choose_k(R.kmeans_sweep(t, z, 6)).first()["k"])
+        km, _centers, _cost = R.fit_kmeans(t, z, k)
+        labels = km.select("year", F.col("regime_kmeans").alias("regime"))
+        try:
+            g = R.fit_gmm(t, z, k).select("year", "regime_gmm", "regime_confidence")
+            labels = labels.join(g, "year", "left")
+        except Exception:  # noqa: BLE001  (degenerate mixture on very few periods)
+            labels = labels.withColumns({"regime_gmm": F.lit(None).cast("int"),
+                                         "regime_confidence": F.lit(None).cast("double")})
+        names = R.cluster_profile(km.withColumnRenamed("regime_kmeans", "regime"), "regime", _MV).select(
+            "regime", "regime_name")
+        labels = labels.join(names, "regime", "left")
+        panel = R.label_panel(p, labels)
+        panel = R.regime_products(panel, "regime", k, ["roa", "roe", "debt_ratio", "profit_margin",
+                                                       "current_ratio", "asset_turnover"], FE.THREE_WAY)
+        _CACHE[key] = cut_lineage(panel.withColumn("regime_confidence",
+                                                   F.coalesce("regime_confidence", F.lit(0.0))))
+    return _CACHE[key]
+
+
+@query("d20_regime_products")
+def d20_regime_products(spark, sf_dir):
+    """Panel rows with k-means regime, GMM confidence, name,
+    dummies and regime x feature products."""
+    p = l3(spark, sf_dir)
+    cols = ["company", "year", "regime", "regime_gmm", "regime_confidence", "regime_name"]
+    cols += [c for c in p.columns if c.startswith("regime_") and c.endswith("_dummy")]
+    cols += [c for c in p.columns if "_x_regime_" in c]
+    return p.select(*cols)
+
+
+def _features(spark, sf_dir):
+    return MD.feature_columns(l3(spark, sf_dir), TARGETS, mode="clean")
+
+
+def _matrix(spark, sf_dir):
+    key = (id(spark), sf_dir, "matrix")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(MD.model_matrix(l3(spark, sf_dir), _features(spark, sf_dir), TARGETS))
+    return _CACHE[key]
+
+
+def _gbt(spark, sf_dir, target):
+    key = (id(spark), sf_dir, "gbt", target)
+    if key not in _CACHE:
+        _CACHE[key] = MD.train_gbt(_matrix(spark, sf_dir), _features(spark, sf_dir), target)
+    return _CACHE[key]
+
+
+@query("i9_feature_list")
+def i9_feature_list(spark, sf_dir):
+    """The model feature list (sorted) with each feature's non-null count."""
+    m = _matrix(spark, sf_dir)
+    feats = _features(spark, sf_dir)
+    one = m.agg(*[F.count(c).alias(c) for c in feats])
+    return one.unpivot([], feats, "feature", "n_values")
+
+
+@query("i10_gbt_metrics")
+def i10_gbt_metrics(spark, sf_dir):
+    """Boosted trees per target; R2/RMSE/MAE per split."""
+    m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+    out = None
+    for t in TARGETS:
+        pr = MD.predict(_gbt(spark, sf_dir, t), m, feats, "pred")
+        part = MD.metrics(pr, t, "pred")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("i13_importance")
+def i13_importance(spark, sf_dir):
+    """Gain importances of each target's model, descending."""
+    feats = _features(spark, sf_dir)
+    out = None
+    for t in TARGETS:
+        part = MD.importance_table(_gbt(spark, sf_dir, t), feats, spark).withColumn("target", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("target", F.desc("importance"), "feature")
+
+
+@query("i14_linear_baseline")
+def i14_linear_baseline(spark, sf_dir):
+    """Least-squares baseline vs boosted trees on the test split."""
+    m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+    out = None
+    for t in TARGETS:
+        lr = MD.train_linear(m, feats, t)
+        test = m.where(F.col("split") == "test")
+        a = MD.metrics(MD.predict(lr, test, feats, "pred"), t, "pred").select(
+            "target", F.col("r2").alias("lr_r2"), F.col("rmse").alias("lr_rmse"))
+        b = MD.metrics(MD.predict(_gbt(spark, sf_dir, t), test, feats, "pred"), t, "pred").select(
+            "target", F.col("r2").alias("gbt_r2"), F.col("rmse").alias("gbt_rmse"))
+        part = a.join(b, "target").withColumn(
+            "rmse_improvement_pct", (F.col("lr_rmse") - F.col("gbt_rmse")) / F.col("lr_rmse") * 100)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("i16b_gbt_scored_panel")
+def i16b_gbt_scored_panel(spark, sf_dir):
+    """I16: every panel row scored by the boosted trees, with errors."""
+    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
+    x = MD.score_matrix(p, feats)
+    for t in TARGETS:
+        x = MD.with_errors(MD.predict(_gbt(spark, sf_dir, t), x, feats, f"{t}_predicted"), t, f"{t}_predicted")
+    return x.select("company", "year", *[c for t in TARGETS for c in (t, f"{t}_predicted", f"{t}_error",
+                                                                       f"{t}_error_pct")])
+
+
+@query("j4b_gbt_scenarios")
+def j4b_gbt_scenarios(spark, sf_dir):
+    """J3/J4 with the trained models: firms x scenarios rescored by GBT."""
+    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
+    latest = S.latest_per_company(p, [c for c in p.columns if c not in ("company",)])
+    x = MD.score_matrix(S.firms_by_scenario(latest, S.baseline_macros(p)), feats)
+    out = None
+    for t in TARGETS:
+        part = MD.predict(_gbt(spark, sf_dir, t), x, feats, "predicted").select(
+            F.lit(t).alias("target"), "scenario", "company",
+            F.coalesce(F.col("sector"), F.lit("Unknown")).alias("sector"), "predicted")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _attr_wide(spark, sf_dir, target):
+    key = (id(spark), sf_dir, "attr", target)
+    if key not in _CACHE:
+        p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
+        _CACHE[key] = cut_lineage(AT.attributions(MD.score_matrix(p, feats), _gbt(spark, sf_dir, target),
+                                                  feats, target))
+    return _CACHE[key]
+
+
+def _attr_long(spark, sf_dir, target):
+    return AT.long_form(_attr_wide(spark, sf_dir, target), _features(spark, sf_dir))
+
+
+@query("i18_attributions")
+def i18_attributions(spark, sf_dir):
+    """TreeSHAP contributions for every panel row and feature (ROA model)."""
+    return _attr_long(spark, sf_dir, "roa")
+
+
+@query("i18b_local_accuracy")
+def i18b_local_accuracy(spark, sf_dir):
+    """I18 check: base + sum(contributions) vs the model's own prediction."""
+    w = _attr_wide(spark, sf_dir, "roa")
+    feats = _features(spark, sf_dir)
+    pr = MD.predict(_gbt(spark, sf_dir, "roa"), MD.score_matrix(l3(spark, sf_dir), feats), feats, "model_pred")
+    j = w.join(pr.select("company", "year", "model_pred"), ["company", "year"])
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.max(F.abs(F.col("prediction") - F.col("model_pred"))).alias("max_abs_gap"))
+
+
+@query("i19_global_importance")
+def i19_global_importance(spark, sf_dir):
+    """Mean |contribution| per feature, top 15, both targets."""
+    return AT.global_importance(_attr_long(spark, sf_dir, "roa"), 15).unionByName(
+        AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), 15))
+
+
+@query("i20_risk_drivers")
+def i20_risk_drivers(spark, sf_dir):
+    """Mean |negative contribution| per feature, top 10 (ROA)."""
+    return AT.risk_drivers(_attr_long(spark, sf_dir, "roa"), 10)
+
+
+@query("i21_firm_breakdown")
+def i21_firm_breakdown(spark, sf_dir):
+    """One firm's contributions (first listed firm present, first year)."""
+    firms = ["Supplier#000000007", "Supplier#000000001", "Supplier#000000002"]
+    return AT.firm_breakdown(_attr_long(spark, sf_dir, "roa"), firms)
+
+
+@query("i22_importance_comparison")
+def i22_importance_comparison(spark, sf_dir):
+    """ROA vs profit-margin importances with ratios both ways."""
+    a = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 10_000)
+    b = AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), 10_000)
+    return AT.importance_comparison(a, b)
+
+
+@query("i23_dependence_pairs")
+def i23_dependence_pairs(spark, sf_dir):
+    """Value vs contribution for the top 6 ROA features."""
+    feats = _features(spark, sf_dir)
+    top = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 6)
+    vals = MD.score_matrix(l3(spark, sf_dir), feats).select("company", "year", *feats)
+    return AT.dependence_pairs(_attr_long(spark, sf_dir, "roa"), vals, top)
