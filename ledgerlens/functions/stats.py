@@ -99,13 +99,12 @@ def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
                   suffix: str = "_median") -> DataFrame:
     """Exact median of each column per key (``keys`` may be empty = global),
     safe for groups that hold a large share of all rows.  Wide result: one
-    ``<col><suffix>`` column per input column."""
+    ``<col><suffix>`` column per input column (the long-to-wide step is a
+    conditional aggregate, not a separate pivot)."""
     med = hot_quantiles_by(df, keys, cols, [0.5])
-    wide = med.groupBy(*keys).pivot("col", list(cols)).agg(F.max("q_0"))
-    for c in cols:
-        if c not in wide.columns:
-            wide = wide.withColumn(c, F.lit(None).cast("double"))
-    return wide.select(*keys, *[F.col(c).alias(c + suffix) for c in cols])
+    wide = med.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("col") == c, F.col("q_0"))).alias(c + suffix) for c in cols])
+    return wide
 
 
 def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_columns
 from ..functions.stats import fill_with_medians
+from ..session import cut_lineage
 
 KEY, TIME, GROUP = "company", "year", "sector"
 
@@ -84,23 +85,29 @@ def fill_from_related(df: DataFrame, col: str, source: str, share: float) -> Dat
     return df.withColumn(col, F.coalesce(F.col(col), F.col(source) * F.lit(share)))
 
 
-def fill_company_then_global(df: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:
+def fill_company_then_global(df: DataFrame, cols: list[str], key: str = KEY,
+                             checkpoint: bool = True) -> DataFrame:
     """Company median, then the global median of the company-filled
     column.  Company groups are bounded (one row per year); the global median
-    is the distributed radix select."""
+    is the distributed radix select, whose input is checkpointed because it
+    is read three times."""
     cols = [c for c in cols if c in df.columns]
     step = fill_with_medians(df, [key], cols)
+    if checkpoint:
+        step = cut_lineage(step)
     return fill_with_medians(step, [], cols)
 
 
-def clean_panel(df: DataFrame, cash_col: str = "cash") -> DataFrame:
+def clean_panel(df: DataFrame, cash_col: str = "cash", checkpoint: bool = True) -> DataFrame:
     """Layer 0: drop, interpolate + sector-year median + related fill for the
     moderate columns, interpolate the rest, then company/global medians over
     every numeric column."""
     df = drop_columns(df)
     moderate = [c for c in MODERATE_COLUMNS if c in df.columns]
     df = interpolate(df, moderate + [c for c in INTERPOLATE_COLUMNS if c in df.columns])
+    if checkpoint:
+        df = cut_lineage(df)
     df = fill_group_median(df, moderate, [GROUP, TIME])
     for c in moderate:
         df = fill_from_related(df, c, cash_col, MODERATE_COLUMNS[c])
-    return fill_company_then_global(df, numeric_columns(df, exclude=(TIME,)))
+    return fill_company_then_global(df, numeric_columns(df, exclude=(TIME,)), checkpoint=checkpoint)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable (eager) checkpoint into the session's checkpoint folder.
+    """Write the frame as a parquet table in the session's checkpoint folder
+    and scan it back.
 
-    Used between panel layers so that a lost executor recomputes from the
-    last written layer, and so that plans of later layers stay shallow.
+    Used between panel layers and imputation steps: a lost executor then
+    recomputes from the last written table, later plans stay shallow, the
+    frame is computed once (a plain ``checkpoint()`` of an unpersisted frame
+    computes it twice), and downstream scans prune columns and push filters.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
