@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import fill_with_medians, pair_corr
-from .features import LAG_VARIABLES, THREE_WAY
+from .features import THREE_WAY
 
 # Base ratios, macro columns and targets of the analysed model.
 LAYER1_RATIOS = ["gross_margin", "operating_margin", "debt_ratio", "debt_to_equity",
@@ -95,11 +95,12 @@ def train_gbt(matrix: DataFrame, features: list[str], target: str, cfg: GBTConfi
     drives early stopping."""
     data = assemble(matrix.where(F.col("split").isin("train", "val")), features).withColumn(
         "is_val", F.col("split") == "val")
+    has_val = data.where(F.col("is_val")).limit(1).count() > 0
+    extra = {"validationIndicatorCol": "is_val", "validationTol": cfg.validation_tol} if has_val else {}
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
                        maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
                        subsamplingRate=cfg.subsampling_rate, featureSubsetStrategy=cfg.feature_subset,
-                       minInstancesPerNode=cfg.min_instances, seed=cfg.seed,
-                       validationIndicatorCol="is_val", validationTol=cfg.validation_tol)
+                       minInstancesPerNode=cfg.min_instances, seed=cfg.seed, **extra)
     return gbt.fit(data)
 
 
