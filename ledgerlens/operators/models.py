@@ -42,12 +42,13 @@ class GBTConfig:
     validation_tol: float = 0.0
 
 
-def feature_columns(df: DataFrame, targets=TARGETS, mode: str = "clean") -> list[str]:
+def feature_columns(df, targets=TARGETS, mode: str = "clean") -> list[str]:
     """The model's feature list from name families, sorted for a
     stable order.  ``clean`` drops terms that contain a target's current
     value (its rolling mean, trend and regime products); ``reference`` keeps
-    them as the analysed pipeline does."""
-    cols = df.columns
+    them as the analysed pipeline does.  ``df`` is a DataFrame or a list of
+    column names."""
+    cols = list(df) if isinstance(df, (list, tuple)) else df.columns
     fs = [c for c in LAYER1_RATIOS if c in cols]
     fs += [c for c in cols if "_lag" in c and "x_regime" not in c]
     fs += [c for c in cols if "_trend" in c]

@@ -1183,3 +1183,126 @@ def i23_dependence_pairs(spark, sf_dir):
     top = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 6)
     vals = MD.score_matrix(l3(spark, sf_dir), feats).select("company", "year", *feats)
     return AT.dependence_pairs(_attr_long(spark, sf_dir, "roa"), vals, top)
+
+
+# ------------------------------------------------ further inventory keys --
+
+@query("a3_csv_sink", O.with_layers(
+    "l2", f"SELECT *, row_number() OVER (ORDER BY risk_score DESC, company, target) AS rank, "
+          f"{_LEVEL} AS risk_level FROM risk", _RISK_CTES))
+def a3_csv_sink(spark, sf_dir):
+    """A3: the risk ranking written as header CSV (no index column) under the
+    checkpoint folder and read back with its schema."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import write_csv
+    ranking = RK.risk_ranking(_risk(spark, sf_dir))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv/risk-ranking-{uuid.uuid4().hex}"
+    write_csv(ranking, path, sort_cols=["rank"])
+    return spark.read.schema(ranking.schema).option("header", True).csv(path)
+
+
+_L1_NAMES = O.RAW_COLS + FE.layer1_new_columns()
+_C10_FEATS = MD.feature_columns(_L1_NAMES, TARGETS, mode="clean")
+
+
+@query("c10_model_matrix", O.with_layers(
+    "l1", "SELECT company, year, " + _SPLIT_SQL + " AS split, " + ", ".join(TARGETS) + ", "
+    + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in _C10_FEATS)
+    + " FROM l1 WHERE " + " AND ".join(f"{t} IS NOT NULL" for t in TARGETS)))
+def c10_model_matrix(spark, sf_dir):
+    """Rows with every target, features filled with exact global
+    medians, temporal split column."""
+    m = MD.model_matrix(l1(spark, sf_dir), _C10_FEATS, TARGETS)
+    return m.select("company", "year", "split", *TARGETS, *_C10_FEATS)
+
+
+@query("e5_sector_map", O.with_layers(
+    "l2", "SELECT company, arg_min(sector, CASE WHEN sector IS NOT NULL THEN year END) AS sector "
+          "FROM l2 GROUP BY company"))
+def e5_sector_map(spark, sf_dir):
+    """E5: first (earliest non-null) sector per company."""
+    return l2(spark, sf_dir).groupBy("company").agg(
+        F.min_by("sector", F.when(F.col("sector").isNotNull(), F.col("year"))).alias("sector"))
+
+
+@query("e13_fallback_risk", O.with_layers(
+    "l2", "SELECT r.company, roa_mean, roa_std, debt_ratio, current_ratio, "
+          f"least(greatest(debt_ratio * 100, {O.d(0.0)}), {O.d(100.0)}) AS risk_score, m.sector FROM "
+          "(SELECT company, avg(roa) AS roa_mean, stddev_samp(roa) AS roa_std, avg(debt_ratio) AS debt_ratio, "
+          "avg(current_ratio) AS current_ratio FROM l2 GROUP BY company) r LEFT JOIN "
+          "(SELECT company, arg_min(sector, CASE WHEN sector IS NOT NULL THEN year END) AS sector "
+          "FROM l2 GROUP BY company) m ON r.company = m.company"))
+def e13_fallback_risk(spark, sf_dir):
+    """Per-company roa mean/std, leverage and liquidity means,
+    leverage-based score, sector mapped by a join."""
+    p = l2(spark, sf_dir)
+    r = p.groupBy("company").agg(F.avg("roa").alias("roa_mean"), F.stddev_samp("roa").alias("roa_std"),
+                                 F.avg("debt_ratio").alias("debt_ratio"),
+                                 F.avg("current_ratio").alias("current_ratio"))
+    r = r.withColumn("risk_score", F.least(F.greatest(F.col("debt_ratio") * 100, F.lit(0.0)), F.lit(100.0)))
+    m = e5_sector_map(spark, sf_dir)
+    return r.join(m, "company", "left")
+
+
+@query("g5_sector_impact", O.with_layers(
+    "l2", "SELECT s.sector, s.m AS predicted_stress, b.m AS predicted_base, "
+          f"(s.m - b.m) / greatest(abs(b.m), {O.d(0.001)}) * 100 AS impact_pct FROM "
+          "(SELECT sector, avg(predicted) AS m FROM pred WHERE target = 'roa' AND scenario = 'STAGFLATION' GROUP BY sector) s "
+          "JOIN (SELECT sector, avg(predicted) AS m FROM pred WHERE target = 'roa' AND scenario = 'BASE' GROUP BY sector) b "
+          "ON s.sector = b.sector", _SC_CTES))
+def g5_sector_impact(spark, sf_dir):
+    """Stagflation vs base sector means (ROA), % impact with floor .001."""
+    perf = RK.sector_performance(_pred(spark, sf_dir)).where(F.col("target") == "ROA")
+    s = perf.where(F.col("scenario") == "STAGFLATION").select("sector", F.col("mean_predicted").alias("predicted_stress"))
+    b = perf.where(F.col("scenario") == "BASE").select("sector", F.col("mean_predicted").alias("predicted_base"))
+    j = s.join(b, "sector")
+    return j.withColumn("impact_pct", (F.col("predicted_stress") - F.col("predicted_base"))
+                        / F.greatest(F.abs(F.col("predicted_base")), F.lit(0.001)) * 100)
+
+
+@query("g7_split_semijoin", O.with_layers(
+    "l2", "SELECT company, year, roa FROM l2 WHERE year IN (SELECT DISTINCT year FROM l2 WHERE year <= 1999)"))
+def g7_split_semijoin(spark, sf_dir):
+    """Panel rows whose year is in the training-year list (left semi join
+    against the distinct, bounded year list)."""
+    p = l2(spark, sf_dir)
+    years = p.select("year").where(F.col("year") <= 1999).distinct()
+    return p.join(F.broadcast(years), "year", "left_semi").select("company", "year", "roa")
+
+
+@query("h3_negative_contributors")
+def h3_negative_contributors(spark, sf_dir):
+    """H3: per firm, latest year, the 5 most negative contributions below
+    -0.001 (row_number per company; groups are bounded by the feature count)."""
+    from pyspark.sql import Window
+    long = _attr_long(spark, sf_dir, "roa")
+    latest = long.groupBy("company").agg(F.max("year").alias("year"))
+    x = long.join(latest, ["company", "year"]).where(F.col("contribution") < -0.001)
+    w = Window.partitionBy("company").orderBy("contribution", "feature")
+    return x.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 5)
+
+
+@query("h6_attribution_sample")
+def h6_attribution_sample(spark, sf_dir):
+    """A seeded sample of min(200, rows) panel rows (hash order, so it
+    does not depend on partitioning) and their contributions."""
+    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
+    sample = MD.score_matrix(p, feats).orderBy(F.xxhash64("company", "year", F.lit(42)), "company", "year").limit(200)
+    w = AT.attributions(sample, _gbt(spark, sf_dir, "roa"), feats, "roa")
+    return AT.long_form(w, feats)
+
+
+@query("i11_fallback_gbt")
+def i11_fallback_gbt(spark, sf_dir):
+    """Fallback trainer (200 trees, depth 5, no validation split) and
+    its R2/RMSE/MAE per split."""
+    m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+    cfg = MD.GBTConfig(max_iter=200, max_depth=5)
+    out = None
+    for t in TARGETS:
+        model = MD.train_gbt(m.withColumn("split", F.when(F.col("split") == "val", "train")
+                                          .otherwise(F.col("split"))), feats, t, cfg)
+        part = MD.metrics(MD.predict(model, m, feats, "pred"), t, "pred")
+        out = part if out is None else out.unionByName(part)
+    return out
