@@ -1,0 +1,9 @@
+"""No streaming operators.
+
+The analysed workload is a batch pipeline over one company x year panel: it
+has no stream source, watermark, window over event time, or state.  Nothing
+is built here on purpose (the package exists so the layout is uniform).  The
+batch operators are plain DataFrame transformations, so a caller that
+receives new panel years as files can run them per micro-batch with
+``foreachBatch``; that is not part of this library.
+"""
