@@ -19,6 +19,17 @@ from pyspark.sql import functions as F
 from ..functions.exprs import flag
 
 MACRO_VARS = ["inflation", "fed_rate", "gdp_growth", "stress_intensity"]
+
+
+def parallel_map(fn, items, workers: int = 8) -> list:
+    """Submit independent Spark ML fits as concurrent jobs (the way
+    ``CrossValidator(parallelism=...)`` does); results keep item order."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as ex:
+        return list(ex.map(fn, items))
 # Largest period table we accept for broadcast joins and one-task windows.
 MAX_PERIODS = 100_000
 
@@ -111,8 +122,8 @@ def kmeans_sweep(t: DataFrame, zcols: list[str], k_max: int = 6, seed: int = 42)
     n = t.count()
     d = len(zcols)
     vec = _vectors(t, zcols).cache()
-    rows = []
-    for k in range(1, max(1, min(k_max, n - 1)) + 1):
+
+    def one(k):
         if k == 1:
             sse = vec.select(sum((F.col(c) - F.avg(c).over(Window.partitionBy())) ** 2
                                  for c in zcols).alias("e")).agg(F.sum("e")).first()[0]
@@ -127,7 +138,9 @@ def kmeans_sweep(t: DataFrame, zcols: list[str], k_max: int = 6, seed: int = 42)
                 ll = float("nan")
         p = k * (d + d * (d + 1) / 2) + k - 1
         bic = -2 * ll + p * math.log(n) if ll == ll else None
-        rows.append((k, float(sse), bic))
+        return (k, float(sse), bic)
+
+    rows = parallel_map(one, range(1, max(1, min(k_max, n - 1)) + 1))
     vec.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double, gmm_bic double")
 
@@ -164,9 +177,10 @@ def fit_kmeans(t: DataFrame, zcols: list[str], k: int, seed: int = 42, restarts:
     """I4: k-means with several seeds, lowest cost kept, labels renumbered by
     centroid order.  Returns (labelled table, centers, cost)."""
     vec = _vectors(t, zcols).cache()
+    fits = parallel_map(lambda s: KMeans(k=k, seed=s, maxIter=300, tol=1e-6).fit(vec),
+                        range(seed, seed + restarts))
     best = None
-    for s in range(seed, seed + restarts):
-        m = KMeans(k=k, seed=s, maxIter=300, tol=1e-6).fit(vec)
+    for m in fits:                       # seed order: first lowest cost wins
         cost = m.summary.trainingCost
         if best is None or cost < best[1] - 1e-12:
             best = (m, cost)

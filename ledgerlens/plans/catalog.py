@@ -1036,9 +1036,14 @@ def _matrix(spark, sf_dir):
 
 
 def _gbt(spark, sf_dir, target):
+    """Boosted trees per target; both targets are fitted as concurrent jobs."""
     key = (id(spark), sf_dir, "gbt", target)
     if key not in _CACHE:
-        _CACHE[key] = MD.train_gbt(_matrix(spark, sf_dir), _features(spark, sf_dir), target)
+        m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+        todo = [t for t in TARGETS if (id(spark), sf_dir, "gbt", t) not in _CACHE]
+        models = R.parallel_map(lambda t: MD.train_gbt(m, feats, t), todo)
+        for t, mod in zip(todo, models):
+            _CACHE[(id(spark), sf_dir, "gbt", t)] = mod
     return _CACHE[key]
 
 
