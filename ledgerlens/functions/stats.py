@@ -110,15 +110,18 @@ def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
 def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
                       hot: bool = False) -> DataFrame:
     """``x.fillna(x.median())`` per key (``transform('median')``) for all
-    ``cols`` in one aggregate and one join.  Empty ``keys`` = global median,
-    joined as a one-row table (bounded size, broadcast)."""
+    ``cols`` in one aggregate and one join.  Empty ``keys`` = global median:
+    a one-row aggregate whose values are inlined as literals (the way Spark
+    runs an uncorrelated scalar subquery), so no join at all."""
     if not cols:
         return df
-    med = (hot_median_by if (hot or not keys) else median_by)(df, keys, cols, "__m")
-    if keys:
-        joined = df.join(med, on=keys, how="left")
-    else:
-        joined = df.join(F.broadcast(med), how="left")  # one row by construction
+    if not keys:
+        row = hot_median_by(df, [], cols, "__m").first()
+        vals = {c: (row[c + "__m"] if row is not None else None) for c in cols}
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(vals[c]).cast("double"))
+                               for c in cols if vals[c] is not None})
+    med = (hot_median_by if hot else median_by)(df, keys, cols, "__m")
+    joined = df.join(med, on=keys, how="left")
     return joined.select(
         *[F.coalesce(F.col(c), F.col(c + "__m")).alias(c) if c in cols else F.col(c)
           for c in df.columns])

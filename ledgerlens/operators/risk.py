@@ -166,17 +166,27 @@ def sector_performance(pred: DataFrame, scenarios=("BASE", "STAGFLATION", "RECES
 def kpi_row(risk: DataFrame, warn: DataFrame) -> DataFrame:
     """One-row dashboard: rows, distinct firms, counts over 40 and 60,
     leverage and liquidity warning counts, top firm and top sector (ties to
-    the smallest name).  Three one-row aggregates joined on a constant key."""
-    a = risk.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("company").alias("n_firms"),
-        F.count_if(F.col("risk_score") >= 40).alias("n_high"),
-        F.count_if(F.col("risk_score") >= 60).alias("n_critical"),
-        F.min_by("company", F.struct((-F.col("risk_score")).alias("s"), F.col("company"))).alias("top_firm"),
-        F.round(F.avg("risk_score"), 2).alias("avg_risk"))
-    w = warn.agg(F.count_if(F.col("warnings").contains("HIGH LEVERAGE")).alias("n_leverage_warnings"),
-                 F.count_if(F.col("warnings").contains("LIQUIDITY CRISIS")).alias("n_liquidity_warnings"))
-    s = (risk.groupBy("sector").agg(F.avg("risk_score").alias("m"))
-             .agg(F.min_by("sector", F.struct((-F.col("m")).alias("m"), F.col("sector"))).alias("top_sector")))
-    k = F.lit(1).alias("__k")
-    out = a.select(k, "*").join(w.select(k, "*"), "__k").join(s.select(k, "*"), "__k")
-    return out.drop("__k")
+    the smallest name).  The three inputs are tagged, unioned and reduced by
+    one conditional aggregate (no join)."""
+    sectors = risk.groupBy("sector").agg(F.avg("risk_score").alias("m"))
+    u = (risk.select(F.lit("r").alias("t"), "company", "risk_score", F.lit(None).cast("string").alias("warnings"),
+                     F.lit(None).cast("string").alias("sector"), F.lit(None).cast("double").alias("m"))
+         .unionByName(warn.select(F.lit("w").alias("t"), F.lit(None).cast("string").alias("company"),
+                                  F.lit(None).cast("double").alias("risk_score"), "warnings",
+                                  F.lit(None).cast("string").alias("sector"), F.lit(None).cast("double").alias("m")))
+         .unionByName(sectors.select(F.lit("s").alias("t"), F.lit(None).cast("string").alias("company"),
+                                     F.lit(None).cast("double").alias("risk_score"),
+                                     F.lit(None).cast("string").alias("warnings"), "sector", "m")))
+    r, w, s = F.col("t") == "r", F.col("t") == "w", F.col("t") == "s"
+    sc = F.col("risk_score")
+    return u.agg(
+        F.count_if(r).alias("n_rows"),
+        F.count_distinct(F.when(r, F.col("company"))).alias("n_firms"),
+        F.count_if(r & (sc >= 40)).alias("n_high"),
+        F.count_if(r & (sc >= 60)).alias("n_critical"),
+        F.min_by(F.when(r, F.col("company")), F.when(r, F.struct((-sc).alias("s"), F.col("company")))).alias("top_firm"),
+        F.round(F.avg(F.when(r, sc)), 2).alias("avg_risk"),
+        F.count_if(w & F.col("warnings").contains("HIGH LEVERAGE")).alias("n_leverage_warnings"),
+        F.count_if(w & F.col("warnings").contains("LIQUIDITY CRISIS")).alias("n_liquidity_warnings"),
+        F.min_by(F.when(s, F.col("sector")), F.when(s, F.struct((-F.col("m")).alias("m"), F.col("sector"))))
+         .alias("top_sector"))

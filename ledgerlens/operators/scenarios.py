@@ -45,6 +45,7 @@ LINEAR_SCORER = {
                              ("profit_margin_lag1", 0.4)]),
 }
 MAX_DRAWS = 100_000
+MAX_PERIODS = 100_000
 # Bootstrap noise standard deviations per macro variable.
 NOISE_SD = {"inflation": 0.5, "fed_rate": 0.3, "gdp_growth": 0.5}
 LCG_M = 2147483647        # Park-Miller modulus 2^31 - 1
@@ -222,37 +223,38 @@ def draw_table(panel: DataFrame, n_sims: int = 500, time_col: str = "year",
     """J8 draws: for each sim and macro variable, a period picked with
     probability proportional to its panel rows (as picking a random panel
     row), plus normal noise.  Integer Park-Miller streams per (sim, variable)
-    make the table reproducible and independent of partitioning."""
+    make the table reproducible and independent of partitioning.
+
+    The per-period table (one row per period, size-checked) is inlined as
+    literal arrays; the pick is ``size(filter(starts, s -> s <= r))``, so no
+    join is needed."""
     if n_sims > MAX_DRAWS:
         raise ValueError("n_sims above the checked cap")
     spark = panel.sparkSession
     vars_ = list(NOISE_SD)
-    per = panel.groupBy(time_col).agg(F.count(F.lit(1)).alias("n_rows"),
-                                      *[F.min(v).alias(v) for v in vars_])
-    from pyspark.sql import Window
-    w = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)   # bounded period table
-    per = per.withColumns({"cum": F.sum("n_rows").over(w), "total": F.sum("n_rows").over(Window.partitionBy())})
-    per = per.withColumn("before", F.col("cum") - F.col("n_rows"))
+    per = (panel.groupBy(time_col).agg(F.count(F.lit(1)).alias("n_rows"),
+                                       *[F.min(v).alias(v) for v in vars_])
+                .orderBy(time_col).limit(MAX_PERIODS + 1).collect())
+    if len(per) > MAX_PERIODS:
+        raise ValueError("period table above the checked cap")
+    starts, total = [], 0
+    for r in per:
+        starts.append(total)
+        total += int(r["n_rows"])
+    start_arr = F.array(*[F.lit(int(x)) for x in starts])
     sims = spark.range(n_sims).withColumnRenamed("id", "sim_id")
     cols = {}
     for j, v in enumerate(vars_):
         base = F.col("sim_id") * 7919 + (j + 1) * 104729 + seed
-        cols[f"pick_{v}"] = _lcg(1 + base % (LCG_M - 1))
+        pick = _lcg(1 + base % (LCG_M - 1)) % F.lit(total)
+        idx = F.size(F.filter(start_arr, lambda s: s <= pick))
+        hist = F.element_at(F.array(*[F.lit(None if r[v] is None else float(r[v])).cast("double")
+                                      for r in per]), idx)
         u1 = _lcg(1 + (base + 1_000_003) % (LCG_M - 1)).cast("double") / LCG_M
         u2 = _lcg(1 + (base + 2_000_003) % (LCG_M - 1)).cast("double") / LCG_M
-        cols[f"z_{v}"] = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
-    sims = sims.withColumns(cols)
-    out = sims
-    for v in vars_:
-        p = per.select(F.col(time_col).alias(f"t_{v}"), F.col(v).alias(f"h_{v}"),
-                       F.col("before").alias(f"b_{v}"), F.col("cum").alias(f"c_{v}"),
-                       F.col("total").alias(f"n_{v}"))
-        r = F.col(f"pick_{v}") % F.col(f"n_{v}")
-        # range join on a bounded period table: broadcast, and the condition
-        # picks exactly one period per draw
-        out = out.join(F.broadcast(p), (r >= F.col(f"b_{v}")) & (r < F.col(f"c_{v}")), "inner")
-    return out.select("sim_id", *[(F.col(f"h_{v}") + F.col(f"z_{v}") * NOISE_SD[v]).alias(v)
-                                  for v in vars_])
+        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
+        cols[v] = hist + z * NOISE_SD[v]
+    return sims.withColumns(cols).select("sim_id", *vars_)
 
 
 def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],

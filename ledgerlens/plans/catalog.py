@@ -1087,12 +1087,19 @@ def i14_linear_baseline(spark, sf_dir):
     for t in TARGETS:
         lr = MD.train_linear(m, feats, t)
         test = m.where(F.col("split") == "test")
-        a = MD.metrics(MD.predict(lr, test, feats, "pred"), t, "pred").select(
-            "target", F.col("r2").alias("lr_r2"), F.col("rmse").alias("lr_rmse"))
-        b = MD.metrics(MD.predict(_gbt(spark, sf_dir, t), test, feats, "pred"), t, "pred").select(
-            "target", F.col("r2").alias("gbt_r2"), F.col("rmse").alias("gbt_rmse"))
-        part = a.join(b, "target").withColumn(
-            "rmse_improvement_pct", (F.col("lr_rmse") - F.col("gbt_rmse")) / F.col("lr_rmse") * 100)
+        both = MD.predict(_gbt(spark, sf_dir, t), MD.predict(lr, test, feats, "lr_pred"), feats, "gbt_pred")
+        y = F.col(t)
+        a = both.agg(F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("vy"),
+                     F.sum((y - F.col("lr_pred")) ** 2).alias("sse_lr"),
+                     F.sum((y - F.col("gbt_pred")) ** 2).alias("sse_gbt"))
+        part = a.select(
+            F.lit(t).alias("target"),
+            (1 - F.try_divide(F.col("sse_lr"), F.col("vy") * F.col("n"))).alias("lr_r2"),
+            F.sqrt(F.col("sse_lr") / F.col("n")).alias("lr_rmse"),
+            (1 - F.try_divide(F.col("sse_gbt"), F.col("vy") * F.col("n"))).alias("gbt_r2"),
+            F.sqrt(F.col("sse_gbt") / F.col("n")).alias("gbt_rmse"))
+        part = part.withColumn("rmse_improvement_pct",
+                               (F.col("lr_rmse") - F.col("gbt_rmse")) / F.col("lr_rmse") * 100)
         out = part if out is None else out.unionByName(part)
     return out
 
