@@ -96,6 +96,12 @@ def train_gbt(matrix: DataFrame, features: list[str], target: str, cfg: GBTConfi
     drives early stopping."""
     data = assemble(matrix.where(F.col("split").isin("train", "val")), features).withColumn(
         "is_val", F.col("split") == "val")
+    # row sampling is seeded per partition: fix the layout so a given cluster
+    # configuration always trains the same model
+    keys = [c for c in ("company", "year") if c in data.columns]
+    if keys:
+        n = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        data = data.repartition(n, *keys).sortWithinPartitions(*keys)
     has_val = data.where(F.col("is_val")).limit(1).count() > 0
     extra = {"validationIndicatorCol": "is_val", "validationTol": cfg.validation_tol} if has_val else {}
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",

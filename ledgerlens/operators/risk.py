@@ -129,18 +129,25 @@ def risk_ranking(risk: DataFrame) -> DataFrame:
 
 
 def sector_summary(risk: DataFrame) -> DataFrame:
-    """Per sector avg/std/min/max/count of scores (rounded) and flag,
-    plus the sorted firm list."""
+    """Per sector avg/std/min/max/count of scores and flag.  The
+    notebook's per-sector firm list is ``sector_firms`` (a long table): a
+    sector may hold a large share of all firms, so it is never collected
+    into one array."""
     g = risk.groupBy("sector").agg(
         F.avg("risk_score").alias("avg_risk"),
         F.stddev_samp("risk_score").alias("std_risk"),
         F.round(F.min("risk_score"), 2).alias("min_risk"),
         F.round(F.max("risk_score"), 2).alias("max_risk"),
         F.count("risk_score").alias("firm_count"),
-        F.array_sort(F.collect_set("company")).alias("companies"))
+        F.count_distinct("company").alias("n_firms"))
     return g.withColumn("flag", sector_flag(F.round("avg_risk", 2)))
 
 
+def sector_firms(risk: DataFrame) -> DataFrame:
+    """J13 (notebook): the firms of each sector, one row per (sector, firm)."""
+    return risk.select("sector", "company").distinct()
+
+
 def sector_primary_mean(risk: DataFrame) -> DataFrame:
     """Sector mean of the primary (ROA) risk score, chart band."""
     g = risk.where(F.col("target") == "ROA").groupBy("sector").agg(F.avg("risk_score").alias("avg_risk"))

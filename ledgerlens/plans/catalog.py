@@ -663,14 +663,20 @@ def j12_risk_ranking(spark, sf_dir):
 @query("j13_sector_summary", O.with_layers(
     "l2", "SELECT sector, avg(risk_score) AS avg_risk, stddev_samp(risk_score) AS std_risk, "
           "round(min(risk_score), 2) AS min_risk, round(max(risk_score), 2) AS max_risk, "
-          "count(risk_score) AS firm_count, list_sort(list(DISTINCT company)) AS companies, "
+          "count(risk_score) AS firm_count, count(DISTINCT company) AS n_firms, "
           "CASE WHEN round(avg(risk_score), 2) >= 40 THEN '!' WHEN round(avg(risk_score), 2) >= 25 THEN '?' "
           "ELSE '.' END AS flag FROM risk GROUP BY sector", _RISK_CTES))
 def j13_sector_summary(spark, sf_dir):
-    """Sector risk summary with firm list and flag."""
+    """Sector risk summary with flag."""
     return RK.sector_summary(_risk(spark, sf_dir))
 
 
+@query("j13b_sector_firms", O.with_layers("l2", "SELECT DISTINCT sector, company FROM risk", _RISK_CTES))
+def j13b_sector_firms(spark, sf_dir):
+    """Firms per sector as a long table."""
+    return RK.sector_firms(_risk(spark, sf_dir))
+
+
 @query("j14_sector_primary", O.with_layers(
     "l2", "SELECT sector, avg(risk_score) AS avg_risk, CASE WHEN avg(risk_score) > 60 THEN 'darkred' "
           "WHEN avg(risk_score) > 40 THEN 'red' WHEN avg(risk_score) > 25 THEN 'orange' ELSE 'green' END AS band "
@@ -1193,7 +1199,8 @@ def i23_dependence_pairs(spark, sf_dir):
     """Value vs contribution for the top 6 ROA features."""
     feats = _features(spark, sf_dir)
     top = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 6)
-    vals = MD.score_matrix(l3(spark, sf_dir), feats).select("company", "year", *feats)
+    names = [r["feature"] for r in top.collect()]            # bounded: 6 names
+    vals = MD.score_matrix(l3(spark, sf_dir), feats).select("company", "year", *names)
     return AT.dependence_pairs(_attr_long(spark, sf_dir, "roa"), vals, top)
 
 
