@@ -107,12 +107,26 @@ def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
     return wide
 
 
+def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
+    """The columns that hold at least one NULL (one counting pass)."""
+    if not cols:
+        return []
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
+
+
 def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
-                      hot: bool = False) -> DataFrame:
+                      hot: bool = False, only_if_null: bool = True) -> DataFrame:
     """``x.fillna(x.median())`` per key (``transform('median')``) for all
     ``cols`` in one aggregate and one join.  Empty ``keys`` = global median:
     a one-row aggregate whose values are inlined as literals (the way Spark
-    runs an uncorrelated scalar subquery), so no join at all."""
+    runs an uncorrelated scalar subquery), so no join at all.
+
+    Like the analysed pipeline's ``if df[col].isnull().any()`` guard, a
+    counting pass first drops columns without NULLs; when none is left the
+    frame is returned unchanged and no median is computed."""
+    if only_if_null:
+        cols = columns_with_nulls(df, cols)
     if not cols:
         return df
     if not keys:
