@@ -40,12 +40,15 @@ _CACHE: dict[tuple, DataFrame] = {}
 def _layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), sf_dir, name)
     if key not in _CACHE:
+        # raw is a scan + aggregate read once by cleaning; clean and l1 end in
+        # projections over their own internal checkpoints; l2 ends in a
+        # window and feeds many queries, so it is written as a checkpoint.
         if name == "raw":
-            df = cut_lineage(panel_a(spark, sf_dir))
+            df = panel_a(spark, sf_dir)
         elif name == "clean":
-            df = cut_lineage(CL.clean_panel(_layer(spark, sf_dir, "raw")))
+            df = CL.clean_panel(_layer(spark, sf_dir, "raw"))
         elif name == "l1":
-            df = cut_lineage(FE.layer1(_layer(spark, sf_dir, "clean")))
+            df = FE.layer1(_layer(spark, sf_dir, "clean"))
         elif name == "l2":
             df = cut_lineage(FE.layer2(_layer(spark, sf_dir, "l1")))
         else:
