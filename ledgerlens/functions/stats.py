@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 # Buckets per unit of sign(v)*log1p(|v|): a bucket spans ~1/4096 relative width.
 RADIX_SCALE = 4096
+# Largest per-group median table that is broadcast back to the rows.
+BROADCAST_MAX_GROUPS = 200_000
 
 
 def _long_form(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -135,6 +137,15 @@ def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(vals[c]).cast("double"))
                                for c in cols if vals[c] is not None})
     med = (hot_median_by if hot else median_by)(df, keys, cols, "__m")
+    if hot:
+        # Hot keys (a sector-year may hold a third of the rows) must not be
+        # shuffled to one task for the join: the group table is written once
+        # and broadcast when its row count is within the checked bound; above
+        # it, a shuffle join with AQE's skew-join splitting is used.
+        from ..session import cut_lineage
+        med = cut_lineage(med)
+        if med.count() <= BROADCAST_MAX_GROUPS:
+            med = F.broadcast(med)
     joined = df.join(med, on=keys, how="left")
     return joined.select(
         *[F.coalesce(F.col(c), F.col(c + "__m")).alias(c) if c in cols else F.col(c)

@@ -79,9 +79,13 @@ def rule_regimes(df: DataFrame, time_col: str = "year") -> DataFrame:
 
 
 def label_panel(panel: DataFrame, labels: DataFrame, time_col: str = "year") -> DataFrame:
-    """G1: period -> label lookup by broadcast hash join; unmatched -> NULL.
-    The label table is one row per period (bounded by the time domain)."""
-    return panel.join(F.broadcast(labels), time_col, "left")
+    """G1: period -> label lookup; unmatched -> NULL.  The label table has one
+    row per period; it is broadcast after its size is checked (a period can
+    hold a large share of the panel, so it must not be shuffled to one task),
+    and joined by shuffle (AQE skew splitting) beyond the bound."""
+    if labels.count() <= MAX_PERIODS:
+        labels = F.broadcast(labels)
+    return panel.join(labels, time_col, "left")
 
 
 def transitions(labels: DataFrame, label_col: str, time_col: str = "year") -> DataFrame:
