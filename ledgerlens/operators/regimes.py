@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import flag
 
 MACRO_VARS = ["inflation", "fed_rate", "gdp_growth", "stress_intensity"]
+# Candidate columns per macro series, first present wins.
+MACRO_CANDIDATES = {"inflation": ["inflation"], "interest_rate": ["fed_rate"],
+                    "gdp_growth": ["gdp_growth", "gdp"], "stress": ["stress_intensity"]}
 
 
 def parallel_map(fn, items, workers: int = 8) -> list:
@@ -42,17 +45,29 @@ def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
     return None
 
 
-def macro_table(df: DataFrame, time_col: str = "year", cols=MACRO_VARS) -> DataFrame:
+def macro_columns(df: DataFrame) -> list[str]:
+    """C14: resolve each macro series to the first candidate column present."""
+    out = []
+    for cands in MACRO_CANDIDATES.values():
+        c = resolve_column(df, cands)
+        if c is not None:
+            out.append(c)
+    return out
+
+
+def macro_table(df: DataFrame, time_col: str = "year", cols=None) -> DataFrame:
     """Distinct (period, macro values), NULL rows dropped.  If macros
     disagree inside a period the table has more rows than periods;
     ``n_in_period`` exposes that."""
+    cols = cols or macro_columns(df)
     t = df.select(time_col, *cols).distinct().dropna()
     return t.withColumn("n_in_period", F.count(F.lit(1)).over(Window.partitionBy(time_col)))
 
 
-def macro_series(df: DataFrame, time_col: str = "year", cols=MACRO_VARS) -> DataFrame:
-    """Macro time series with each variable's mean over the periods
-    (a window over the bounded period table)."""
+def macro_series(df: DataFrame, time_col: str = "year", cols=None) -> DataFrame:
+    """Macro time series (columns resolved from candidates) with each
+    variable's mean over the periods (a window over the bounded period table)."""
+    cols = cols or macro_columns(df)
     t = df.select(time_col, *cols).distinct().dropna()
     wall = Window.partitionBy()
     return t.select(time_col, *cols, *[F.avg(c).over(wall).alias(f"{c}_mean") for c in cols])

@@ -605,13 +605,15 @@ def j6_risk_scores(spark, sf_dir):
 
 
 @query("j7_primary_extremes", O.with_layers(
-    "l2", "SELECT * FROM (SELECT 'top' AS side, company, sector, risk_score FROM risk WHERE target = 'ROA' "
-          "ORDER BY risk_score DESC, company LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'bottom', company, sector, "
-          "risk_score FROM risk WHERE target = 'ROA' ORDER BY risk_score ASC, company LIMIT 10) b",
+    "l2", "SELECT *, CASE WHEN risk_score > 60 THEN 'HIGH' WHEN risk_score > 35 THEN 'MED' ELSE 'LOW' END "
+          "AS screen_level FROM (SELECT * FROM (SELECT 'top' AS side, company, sector, risk_score FROM risk "
+          "WHERE target = 'ROA' ORDER BY risk_score DESC, company LIMIT 10) a UNION ALL SELECT * FROM "
+          "(SELECT 'bottom', company, sector, risk_score FROM risk WHERE target = 'ROA' "
+          "ORDER BY risk_score ASC, company LIMIT 10) b) t",
     _RISK_CTES))
 def j7_primary_extremes(spark, sf_dir):
     """Top and bottom 10 ROA risk scores."""
-    return RK.primary_extremes(_risk(spark, sf_dir)).drop("screen_level")
+    return RK.primary_extremes(_risk(spark, sf_dir))
 
 
 _WARN_SQL = (
