@@ -81,3 +81,27 @@ def test_null_safe_helpers(spark):
     assert [x.c for x in r] == [None, 1.0, 0.0]
     assert [x.d for x in r] == [None, None, -1.5]
     assert [x.f for x in r] == [0, 1, 0]
+
+
+def test_drop_columns_and_missing_pairs(spark):
+    from ledgerlens.operators import quality as Q
+    from ledgerlens.operators.clean import drop_columns
+    df = spark.createDataFrame([("a", 2000, 1.0, 9.0), ("a", 2002, 2.0, 9.0), ("b", 2001, 3.0, 9.0)],
+                               "company string, year int, v double, other_financing_activities double")
+    assert "other_financing_activities" not in drop_columns(df).columns
+    got = sorted(tuple(r) for r in Q.missing_pairs(df).collect())
+    brute = sorted((c, y) for c in ("a", "b") for y in (2000, 2001, 2002)
+                   if (c, y) not in {("a", 2000), ("a", 2002), ("b", 2001)})
+    assert got == brute
+
+
+def test_feature_modes():
+    from ledgerlens.operators.models import feature_columns
+    names = ["roa", "profit_margin", "roa_lag1", "roa_rolling3", "roa_trend", "debt_ratio",
+             "roa_x_regime_0", "debt_ratio_x_regime_0", "inflation", "regime_0_dummy"]
+    clean = feature_columns(names)
+    ref = feature_columns(names, mode="reference")
+    assert "roa" not in clean and "profit_margin" not in clean
+    assert {"roa_rolling3", "roa_trend", "roa_x_regime_0"} <= set(ref)
+    assert not {"roa_rolling3", "roa_trend", "roa_x_regime_0"} & set(clean)
+    assert clean == sorted(clean)
