@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 
 # ------------------------------------------------------------ tree table --
@@ -174,6 +174,7 @@ def attributions(df: DataFrame, model, features: list[str], target: str,
     contributions array aligned with ``features``), computed per Arrow batch
     on the executors."""
     spark = df.sparkSession
+    ship_package(spark)
     trees = model_trees(spark, model)
     bc = spark.sparkContext.broadcast(trees)
     feats = list(features)

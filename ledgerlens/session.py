@@ -64,3 +64,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerlens`` importable in the Python workers (needed by the
+    ``mapInPandas`` operators): zip the package into the checkpoint folder
+    once per SparkContext and register it with ``addPyFile``."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    target_dir = base.rstrip("/") + f"/pyfiles-{uuid.uuid4().hex}"
+    if "://" in target_dir:           # non-local checkpoint store: stage on the driver
+        target_dir = tempfile.mkdtemp(prefix="ledgerlens-py-")
+    os.makedirs(target_dir, exist_ok=True)
+    path = os.path.join(target_dir, "ledgerlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
