@@ -1292,7 +1292,9 @@ def g7_split_semijoin(spark, sf_dir):
     against the distinct, bounded year list)."""
     p = l2(spark, sf_dir)
     years = p.select("year").where(F.col("year") <= 1999).distinct()
-    return p.join(F.broadcast(years), "year", "left_semi").select("company", "year", "roa")
+    if years.count() <= Q.MAX_YEARS:          # size-checked broadcast, shuffle beyond
+        years = F.broadcast(years)
+    return p.join(years, "year", "left_semi").select("company", "year", "roa")
 
 
 @query("h3_negative_contributors")
