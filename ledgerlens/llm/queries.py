@@ -50,7 +50,7 @@ def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedding whose id is divisible by 50."""
     coded, segments = hamming.codes(read_table(spark, sf_dir, "embeddings"))
     near = hamming.search(coded, segments, F.col("id") % 50 == 0)
-    return near.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+    return near.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
 
 
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
