@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, workers_ready
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 SEQUENCE = 1024
-SHARD_PIECES = 20_000
+SHARD_PIECES = 6_000
 ROUNDS = 2                      # dealings; the last packs what earlier ones left underfull
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -42,11 +42,11 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None,
     path = tokenizer or vocabulary_path()
 
     def cut(batches):
-        enc, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = enc.encode(text) + end
+            for key, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 first = (n - 1) % size + 1
                 ends = range(first, n + 1, size)

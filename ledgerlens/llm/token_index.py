@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions, workers_ready
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 BUCKET_KEYS = 20_000            # expected keys of an index bucket
 BLOCK_BYTES = 1 << 20           # ids of a payload block, about
@@ -102,7 +102,7 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
               .withColumn("shard", F.spark_partition_id()).select("shard", "doc_id", "text"))
 
     def encode(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         dtype = "<u2" if enc.tok.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         state = {"block": 0}
@@ -117,8 +117,9 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
 
         keys, lengths, parts, held, shard = [], [], [], 0, None
         for b in batches:
-            for shard, key, text in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "text"))):
-                ids = enc.encode(text) + end
+            made = enc.encode(b.column("text"))
+            for shard, key, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), made):
+                ids += end
                 keys.append(key)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)
