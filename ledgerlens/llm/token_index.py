@@ -130,7 +130,8 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
         if keys:
             yield row(shard, keys, lengths, parts)
 
-    ranged.mapInArrow(encode, PAYLOAD).write.parquet(f"{path}/payload")
+    # raw ids hardly compress
+    ranged.mapInArrow(encode, PAYLOAD).write.option("compression", "none").parquet(f"{path}/payload")
 
 
 def _blocks(spark: SparkSession, path: str, *cols: str) -> DataFrame:

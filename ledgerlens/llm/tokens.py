@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _WHOLE = ("  ", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
-BLOCK_CHARS = 4_000_000
-UNITS_KEPT = 400_000            # cached units of a worker
-UNITS_SEEN = 1_000_000          # hashes of units met once
+BLOCK_CHARS = 2_500_000
+UNITS_KEPT = 300_000            # cached units of a worker
+UNITS_SEEN = 500_000           # hashes of units met once
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
