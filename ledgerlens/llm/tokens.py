@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_MARKS = ",.;:!?\n"              # cut from letters before them in any context
 _WHOLE = ("  ", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
-BLOCK_CHARS = 2_500_000
+BLOCK_CHARS = 4_000_000
 UNITS_KEPT = 300_000            # cached units of a worker
 UNITS_SEEN = 500_000           # hashes of units met once
 
@@ -40,6 +41,7 @@ class Encoder:
         self.blank[[i for t, i in named.items() if t.startswith("\u0120")]] = True
         self.cache: dict[str, bytes] = {}
         self.seen: set[int] = set()
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         made = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -63,17 +65,37 @@ class Encoder:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units, each after a blank."""
-        got = list(map(self.cache.get, units))
-        new = [i for i, x in enumerate(got) if x is None]
         if len(self.cache) > UNITS_KEPT:
             self.cache.clear()
+        got = list(map(self.cache.get, units))
+        new = [i for i, x in enumerate(got) if x is None]
         if len(self.seen) > UNITS_SEEN:
             self.seen.clear()
-        for i, ids in zip(new, self._after_blank([units[i] for i in new])):
-            got[i] = ids
-            h = hash(units[i])
+        if len(self.tails) > UNITS_KEPT:
+            self.tails.clear()
+        plain: dict[str, bytes | None] = {}        # units and stems of units to encode
+        cut: list[tuple[int, str, str]] = []       # letters and the marks behind them
+        for i in new:
+            u = units[i]
+            stem = u.rstrip(_MARKS)
+            if len(stem) < len(u) and stem.isalpha():
+                tail = u[len(stem):]
+                if tail not in self.tails:
+                    self.tails[tail], = self._ids([tail])
+                cut.append((i, stem, tail))
+                if stem not in self.cache:
+                    plain[stem] = None
+            else:
+                plain[u] = None
+        plain.update(zip(list(plain), self._after_blank(list(plain))))
+        for i in new:
+            got[i] = plain.get(units[i])
+        for i, stem, tail in cut:
+            got[i] = (plain.get(stem) or self.cache[stem]) + self.tails[tail]
+        for u, ids in plain.items():
+            h = hash(u)
             if h in self.seen:
-                self.cache[units[i]] = ids
+                self.cache[u] = ids
             else:
                 self.seen.add(h)
         return got
