@@ -10,7 +10,8 @@ they share at least ``MATCHES`` of the coordinates:
   ``COORDS - MATCHES + 1`` are posted (prefix): a pair with enough matches
   shares one of them, and what is frequent is posted last;
 * matches of a candidate pair are counted over whole signatures, and pairs at
-  or above the threshold are confirmed on their full shingle sets.
+  or above the threshold are confirmed on their full shingle sets (in long
+  lists only if their smallest shingle hashes do not rule the link out).
 
 Members of a posting list are not paired with each other outright.  First
 each is paired with the list's pivot (the class with most shared values), and
@@ -21,7 +22,7 @@ component and all members.  So a large group of copies costs its size, not its
 square, and no pair of the list that could still matter is left out.
 
 Two texts at the similarity bound are missed with a probability of about
-1e-5 (fewer matches than ``MATCHES`` by chance) when nothing else links them.
+4e-5 (fewer matches than ``MATCHES`` by chance) when nothing else links them.
 
 Defined results: null texts and texts without words have the empty set, are
 linked with nothing and kept; repeated rows have equal results; rows that
@@ -44,6 +45,7 @@ COORDS = 64
 MATCHES = 38
 SHORT = 24                      # longest list whose open pairs come from a join
 BLOCK = 512                     # open classes of a long list compared at a time
+SKETCH = 512                    # smallest shingle hashes looked at there
 BROADCAST_IDS = 2_000_000       # ids broadcast at most when sets are fetched again
 SIGNED = "doc_id bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature binary"
 
@@ -129,24 +131,45 @@ def _matching(pairs: DataFrame, classes: DataFrame, coords: int, matches: int) -
     return both.select("a", "b", "sa", "sb").mapInArrow(count, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * |x & y| >= percent * |x | y| on full shingle sets.
-
-    Sets are built again from the texts of the classes in question."""
-    spark = docs.sparkSession
-    pairs = shared_table(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    asked = shared_table(asked, "asked")
+def _sets(docs: DataFrame, ids: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """(cls, s): shingle sets of these classes, built again from their texts;
+    with ``most`` only that many of the smallest hashes."""
+    asked = shared_table(ids.distinct(), "asked")
     side = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("cls"), "text").join(side, "cls")
 
     def build(batches):
         hasher = WordHasher()
         for b in batches:
-            sets = [shingle_set(ascii_words(t), width, hasher).tobytes() for t in b.column("text").to_pylist()]
+            sets = [shingle_set(ascii_words(t), width, hasher)[:most].tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"cls": b.column("cls"), "s": pa.array(sets, pa.binary())})
 
-    sets = shared_table(texts.mapInArrow(build, "cls bigint, s binary").distinct(), "sets")
+    return texts.mapInArrow(build, "cls bigint, s binary").distinct()
+
+
+def _likely(own: np.ndarray, n_own: int, others: list[np.ndarray], n_others: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets can be similar to ``own``: judged by the sorted smallest
+    hashes of both, exactly where these are whole sets, else with a margin of
+    4.5 standard errors."""
+    whole = np.uint64(0xFFFFFFFFFFFFFFFF)
+    top = own[-1] if len(own) < n_own else whole
+    ok = np.zeros(len(others), bool)
+    for j, (x, n) in enumerate(zip(others, n_others.tolist())):
+        limit = min(top, x[-1]) if len(x) < n else top
+        exact = limit == whole
+        a, b = (own, x) if exact else (own[:np.searchsorted(own, limit, "right")], x[:np.searchsorted(x, limit, "right")])
+        at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        common = int((a[at] == b).sum())
+        union = len(a) + len(b) - common
+        margin = 0.0 if exact else 450 * np.sqrt(percent / 100 * (1 - percent / 100) / union)
+        ok[j] = 100 * common >= (percent - margin) * union
+    return ok
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs with 100 * |x & y| >= percent * |x | y| on full shingle sets."""
+    pairs = shared_table(pairs, "pairs")
+    sets = shared_table(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")), width), "sets")
 
     def verify(batches):
         for b in batches:
@@ -194,36 +217,52 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _long_lists(members: DataFrame, classes: DataFrame, percent: int, coords: int, matches: int) -> DataFrame:
-    """Matching pairs of different components in long lists.
+def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int,
+                coords: int, matches: int) -> DataFrame:
+    """Likely pairs of different components in long lists: enough matches, and
+    similar by their ``SKETCH`` smallest shingle hashes.
 
     Classes outside a list's largest component (open) are split into blocks;
     every member visits each block of open classes of its list, and members
-    are dealt into blocks too, so a task holds two blocks at a time."""
+    are dealt into blocks too, so a task holds two blocks at a time.  A pair
+    that meets in several lists is told in that of its first coordinate."""
+    coord = F.shiftright("value", 32).cast("int")
+    held = members.groupBy("cls").agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftright(value, 32) AS int))")).alias("lists"))
+    members = members.join(held, "cls").withColumn("coord", coord)
     sizes = members.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
                                       (F.sum("c") - F.max("c")).alias("n_open"), F.sum("c").alias("n_all"))
     m = (members.join(main, "value").withColumn("open", F.col("comp") != F.col("main"))
          .withColumns({"ob": F.ceil(F.col("n_open") / BLOCK).cast("int"), "mb": F.ceil(F.col("n_all") / (4 * BLOCK)).cast("int"),
                        "h": F.xxhash64("cls")})
-         .join(classes.select("cls", "signature"), "cls"))
+         .join(classes.select("cls", "signature"), "cls")
+         .join(_sets(docs, members.select("cls"), width, SKETCH), "cls"))
     mine = F.pmod("h", "mb").cast("int")
     as_member = m.select("value", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("x"), mine.alias("y"),
-                         F.lit(False).alias("asks"), "cls", "comp", "n", "signature")
+                         F.lit(False).alias("asks"), "cls", "comp", "n", "coord", "lists", "signature", "s")
     as_open = m.where("open").select("value", F.pmod("h", "ob").cast("int").alias("x"),
                                      F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"),
-                                     F.lit(True).alias("asks"), "cls", "comp", "n", "signature")
+                                     F.lit(True).alias("asks"), "cls", "comp", "n", "coord", "lists", "signature", "s")
 
     def compare(rows: pa.Table) -> pa.Table:
         asks = rows.column("asks").to_numpy()
         cls, comp, n = (rows.column(c).to_numpy() for c in ("cls", "comp", "n"))
         sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(-1, coords)
+        lists, coord = rows.column("lists").to_numpy().view(np.uint64), rows.column("coord")[0].as_py()
+        earlier = np.arange(coord, dtype=np.uint64)
+        sketches = [np.frombuffer(x, np.uint64) for x in rows.column("s").to_pylist()]
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         a, b = [], []
         for i in left:
             ok = right[(comp[right] != comp[i])
                        & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= matches]
+            same = sig[ok] == sig[i]
+            here = same.sum(axis=1) >= matches
+            ok, same = ok[here], same[here][:, :coord]
+            both = (lists[ok] & lists[i])[:, None] >> earlier & np.uint64(1)
+            ok = ok[~(same & (both == 1)).any(axis=1)]
+            ok = ok[_likely(sketches[i], int(n[i]), [sketches[j] for j in ok], n[ok], percent)]
             a += [int(cls[i])] * len(ok)
             b += cls[ok].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -260,7 +299,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = COORD
     near = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
                                     & _comparable("na", "nb", bound)).select("a", "b").distinct()
     rest = _matching(near, classes, coords, matches).union(
-        _long_lists(members.where(F.col("size") > SHORT), classes, percent, coords, matches))
+        _long_lists(members.where(F.col("size") > SHORT), classes, docs, width, percent, coords, matches))
     second = _confirmed(_ordered(rest), docs, width, percent)
     links = shared_table(first.union(second), "links")
     comp = components(links)
