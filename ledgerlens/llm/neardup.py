@@ -229,15 +229,15 @@ def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width:
     coord = F.shiftright("value", 32).cast("int")
     held = members.groupBy("cls").agg(
         F.bit_or(F.expr("shiftleft(1L, cast(shiftright(value, 32) AS int))")).alias("lists"))
-    members = members.join(held, "cls").withColumn("coord", coord)
+    each = (held.join(classes.select("cls", "signature"), "cls")
+            .join(_sets(docs, members.select("cls"), width, SKETCH), "cls"))
     sizes = members.groupBy("value", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
                                       (F.sum("c") - F.max("c")).alias("n_open"), F.sum("c").alias("n_all"))
     m = (members.join(main, "value").withColumn("open", F.col("comp") != F.col("main"))
          .withColumns({"ob": F.ceil(F.col("n_open") / BLOCK).cast("int"), "mb": F.ceil(F.col("n_all") / (4 * BLOCK)).cast("int"),
                        "h": F.xxhash64("cls")})
-         .join(classes.select("cls", "signature"), "cls")
-         .join(_sets(docs, members.select("cls"), width, SKETCH), "cls"))
+         .withColumn("coord", coord).join(each, "cls"))
     mine = F.pmod("h", "mb").cast("int")
     as_member = m.select("value", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("x"), mine.alias("y"),
                          F.lit(False).alias("asks"), "cls", "comp", "n", "coord", "lists", "signature", "s")
