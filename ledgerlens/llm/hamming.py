@@ -70,11 +70,11 @@ def search(coded: DataFrame, segments: int, asked: Column, k: int = TOP) -> Data
             F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda m: F.bit_count(m) == r)
         probes = open_q.select("q", F.posexplode("q").alias("seg", "own")).select(
             "q", "seg", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("own")))).alias("val"))
-        hits = probes.join(posts, ["seg", "val"])
-        first = None                                   # least segment distance is r, first met here
+        hits = probes.hint("merge").join(posts, ["seg", "val"])     # far more probes than queries
+        first = F.lit(True)                            # least segment distance is r, first met here
         for s in range(segments):
             ok = F.when(F.col("seg") > s, _far("q", "code", s) > r).otherwise(_far("q", "code", s) >= r)
-            first = ok if first is None else first & ok
+            first = first & ok
         near = sum((_far("q", "code", s) for s in range(segments)), F.lit(0))
         found = hits.where(first).select("q", "code", near.alias("distance")).join(base, "code")
         best = found if best is None else best.unionByName(found)
