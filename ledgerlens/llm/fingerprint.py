@@ -12,7 +12,7 @@ Built from DataFrame functions throughout.
 Defined results: null text counts as empty; the sketch of a text without
 words is empty, and two empty sketches have resemblance 1; repeated rows
 (same id and text) count as one document in the order of documents and get
-the same result; null ids come first; an empty table gives an empty result.
+the same result; null ids come first (the least 64-bit id counts as null); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,24 +88,24 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str = "sketch", k: in
 
 
 def next_documents(ids: DataFrame) -> DataFrame:
-    """(doc_id, h, n) rows with the row after each in ascending (doc_id, h)
-    order as ``next_id, next_h``; after the last comes the first.
+    """(key, h, n) rows with the row after each in ascending (key, h)
+    order as ``next_key, next_h``; after the last comes the first.
 
     The order comes from range partitions, written so that they stay the
     same; only one row of each partition is looked at across partitions.
     """
     spark = ids.sparkSession
-    ranged = shared_table(ids.repartitionByRange(partitions(spark), "doc_id", "h")
+    ranged = shared_table(ids.repartitionByRange(partitions(spark), "key", "h")
                           .withColumn("part", F.spark_partition_id()), "doc-order")
-    me = F.struct("doc_id", "h")
+    me = F.struct("key", "h")
     heads = ranged.groupBy("part").agg(F.min(me).alias("head"))
     over = Window.orderBy("part")                       # one row for each partition
     first = F.first("head").over(over)
     heads = heads.select("part", F.coalesce(F.lead("head").over(over), first).alias("after"))
-    within = F.lead(me).over(Window.partitionBy("part").orderBy("doc_id", "h"))
+    within = F.lead(me).over(Window.partitionBy("part").orderBy("key", "h"))
     return (ranged.withColumn("within", within).join(F.broadcast(heads), "part")
             .withColumn("nxt", F.coalesce("within", "after"))
-            .select("doc_id", "h", "n", F.col("nxt.doc_id").alias("next_id"), F.col("nxt.h").alias("next_h")))
+            .select("key", "h", "n", F.col("nxt.key").alias("next_key"), F.col("nxt.h").alias("next_h")))
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
@@ -113,18 +113,20 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     replaced by as many first characters of the next document) and the next
     document's."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
-    order = shared_table(next_documents(base.select("doc_id", "h", "n").distinct()), "doc-next")
-    cut = F.expr("n div 4").cast("int")
-    lender = order.select(F.col("next_id").alias("l_id"), F.col("next_h").alias("l_h"),
-                          F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), cut.alias("take"))
-    given = base.select("doc_id", "h", F.col("text").alias("next_text")).join(
-        lender, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")))
-    given = with_sketches(given, {"next_sketch": F.col("next_text")}, k)
-    given = given.select("to_id", "to_h", F.expr("substring(next_text, 1, take)").alias("lent"),
-                         "next_sketch").dropDuplicates(["to_id", "to_h"])
-    pairs = base.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
-    pairs = pairs.select("doc_id", "text", F.col("n").cast("long").alias("n_chars"), "next_sketch",
+    # (key, h) names a document: its id, the least 64-bit number for null, and a hash
+    null = F.lit(-2 ** 63).cast("bigint")
+    base = base.select(F.coalesce(F.col("doc_id").cast("bigint"), null).alias("key"),
+                       F.xxhash64("text").alias("h"), "text")
+    ids = base.select("key", "h", F.length("text").alias("n")).distinct()
+    order = shared_table(next_documents(ids), "doc-next")
+    lender = order.select(F.col("next_key").alias("key"), F.col("next_h").alias("h"), F.col("key").alias("to_key"),
+                          F.col("h").alias("to_h"), F.expr("n div 4").cast("int").alias("take"))
+    # both joins read the same exchange of the texts by (key, h)
+    given = with_sketches(base.join(lender, ["key", "h"]), {"next_sketch": F.col("text")}, k)
+    given = given.select(F.col("to_key").alias("key"), F.col("to_h").alias("h"),
+                         F.expr("substring(text, 1, take)").alias("lent"), "next_sketch").dropDuplicates(["key", "h"])
+    pairs = base.join(given, ["key", "h"]).withColumn("n", F.length("text"))
+    pairs = pairs.select(F.nullif("key", null).alias("doc_id"), "text", F.col("n").cast("long").alias("n_chars"), "next_sketch",
                          F.concat(F.expr("substring(text, 1, n - n div 4)"), F.col("lent")).alias("edited"))
     return with_sketches(pairs, {"sketch": F.col("text"), "edited_sketch": F.col("edited")}, k)
 
