@@ -57,7 +57,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences."""
-    return packing.pack(packing.pieces(docs))
+    # workers share their memory with what earlier stages left in the executor
+    return packing.pack(packing.pieces(docs, block_chars=2_000_000, units_kept=150_000))
 
 
 STAGES = [

@@ -29,15 +29,43 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_BATCH = 2500           # texts are long: rows of an Arrow batch at most
+
+
 def workers_ready(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and keep the Arrow
+    batches they get small (results do not depend on it)."""
     ship_package(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= ROWS_PER_BATCH:
+        spark.conf.set(size, str(ROWS_PER_BATCH))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(name: tuple, make):
+    """What a reused Python worker keeps for later tasks, of one operator at a
+    time: asking for another's drops it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def sliced(batches, rows: int = 512):
+    """The batches of a task in slices, so that a worker holds few texts as
+    Python objects at a time; nothing is kept from other operators."""
+    _KEPT.clear()
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def crc_bucket(key: Column, buckets: int) -> Column:
     """crc32 of the key written as text, modulo ``buckets`` (0 for null)."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(buckets)), F.lit(0))
@@ -60,7 +88,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of byte words, cached; the cache is emptied when full."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         import xxhash
         self._digest = xxhash.xxh64_intdigest
         self._limit = limit

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_ready
+from .common import sliced, workers_ready
 
 TRAIN_PER_LANG = 600        # expected training texts per language
 LANDMARKS_PER_LANG = 40     # expected landmark texts per language
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_PER_LANG,
         scorer = Scorer(m["alphabet"], m["vocab"], m["marks"], m["sizes"])
         d = root.shape[1] + 1
         xx, xy = np.zeros((d, d)), np.zeros((d, len(m["langs"])))
-        for b in batches:
+        for b in sliced(batches):
             pairs = [(g, letters(t)) for g, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist())
                      if g in m["langs"]]
             pairs = [(g, x) for g, x in pairs if x.any()]
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     def predict(batches):
         m = shared.value
         scorer = Scorer(m["alphabet"], m["vocab"], m["marks"], m["sizes"])
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index("text"))
             names, scores = [], []
             for i in range(0, len(texts), BATCH):

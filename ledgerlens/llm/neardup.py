@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_words, mix64, shared_table, shingle_set, workers_ready
+from .common import WordHasher, ascii_words, mix64, shared_table, shingle_set, sliced, workers_ready
 
 COORDS = 64
 MATCHES = 38
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
 
     def sign(batches):
         hasher, (mult, add) = WordHasher(), _functions(coords)
-        for b in batches:
+        for b in sliced(batches):
             out = {"doc_id": b.column("doc_id"), "n_shingles": [], "set_hi": [], "set_lo": [], "signature": []}
             for text in b.column("text").to_pylist():
                 s = shingle_set(ascii_words(text), width, hasher)
@@ -93,7 +93,7 @@ def postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
     that other classes have."""
     def spread(batches):
         tag = (np.arange(coords, dtype=np.int64) << 32)
-        for b in batches:
+        for b in sliced(batches):
             sig = b.column("signature")
             vals = [np.frombuffer(x, "<u4").astype(np.int64) + tag for x in sig.to_pylist()]
             reps = np.repeat(np.arange(len(vals)), coords)
@@ -123,7 +123,7 @@ def _matching(pairs: DataFrame, classes: DataFrame, coords: int, matches: int) -
             .join(sig.withColumnsRenamed({"cls": "b", "signature": "sb"}), "b"))
 
     def count(batches):
-        for t in batches:
+        for t in sliced(batches):
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, coords) for c in ("sa", "sb"))
             ok = pa.array((x == y).sum(axis=1) >= matches)
             yield pa.RecordBatch.from_pydict({c: t.column(c).filter(ok) for c in ("a", "b")})
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, most: int | None = None)
 
     def build(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(ascii_words(t), width, hasher)[:most].tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"cls": b.column("cls"), "s": pa.array(sets, pa.binary())})
 
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     sets = shared_table(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")), width), "sets")
 
     def verify(batches):
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, workers_ready
-from .tokens import encoder, vocabulary_path
+from .tokens import BLOCK_CHARS, UNITS_KEPT, encoder, vocabulary_path
 
 SEQUENCE = 1024
 SHARD_PIECES = 6_000
@@ -36,13 +36,15 @@ ROUNDS = 2                      # dealings; the last packs what earlier ones lef
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """The pieces of every document with their ids' place and checksum."""
+def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, end_id: int = 2,
+           block_chars: int = BLOCK_CHARS, units_kept: int = UNITS_KEPT) -> DataFrame:
+    """The pieces of every document with their ids' place and checksum;
+    ``block_chars`` and ``units_kept`` trade a worker's memory for time."""
     workers_ready(docs.sparkSession)
     path = tokenizer or vocabulary_path()
 
     def cut(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, block_chars, units_kept), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for key, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):

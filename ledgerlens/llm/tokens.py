@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept_in_worker
+
 _MARKS = ",.;:!?\n"              # cut from letters before them in any context
 _WHOLE = ("  ", "\x1c", "\x1d", "\x1e", "\x1f", "<|endoftext|>")
 BLOCK_CHARS = 4_000_000
 UNITS_KEPT = 300_000            # cached units of a worker
-UNITS_SEEN = 500_000           # hashes of units met once
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,8 +32,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, block_chars: int = BLOCK_CHARS, units_kept: int = UNITS_KEPT):
         import os
+        self.block_chars, self.units_kept = block_chars, units_kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -65,13 +67,13 @@ class Encoder:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units, each after a blank."""
-        if len(self.cache) > UNITS_KEPT:
+        if len(self.cache) > self.units_kept:
             self.cache.clear()
         got = list(map(self.cache.get, units))
         new = [i for i, x in enumerate(got) if x is None]
-        if len(self.seen) > UNITS_SEEN:
+        if len(self.seen) > 2 * self.units_kept:
             self.seen.clear()
-        if len(self.tails) > UNITS_KEPT:
+        if len(self.tails) > self.units_kept:
             self.tails.clear()
         plain: dict[str, bytes | None] = {}        # units and stems of units to encode
         cut: list[tuple[int, str, str]] = []       # letters and the marks behind them
@@ -107,7 +109,7 @@ class Encoder:
         lo = 0
         while lo < len(texts):
             done = int(size[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, done + BLOCK_CHARS)))
+            hi = max(lo + 1, int(np.searchsorted(size, done + self.block_chars)))
             out += self._block(texts.slice(lo, hi - lo))
             lo = hi
         return out
@@ -148,11 +150,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, block_chars: int = BLOCK_CHARS, units_kept: int = UNITS_KEPT) -> Encoder:
     """The worker's encoder for a vocabulary; its cache serves later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_in_worker(("encoder", path, block_chars), lambda: Encoder(path, block_chars, units_kept))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import workers_ready
+from .common import sliced, workers_ready
 
 TRAIN_ROWS = 8000           # expected labelled rows to learn from
 THRESHOLD = 0.7
@@ -135,7 +135,7 @@ class FuzzyTrie:
 class Scanner:
     """Hits of a lexicon in texts, weighed by context."""
 
-    def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str], limit: int = 400_000):
+    def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str], limit: int = 150_000):
         self.trie = FuzzyTrie(terms, clean)
         self.token = re.compile(TOKEN)
         self.known: set[str] = set()
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
     def near_words(batches):
         trie = FuzzyTrie(terms)
         token, seen = re.compile(TOKEN), set()
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column("text").to_pylist():
                 seen |= set(token.findall(text.lower()))
         yield pa.RecordBatch.from_pydict({"w": pa.array(sorted(w for w in seen if trie.match(w)), pa.string())})
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
 
     def observe(batches):
         scan = Scanner(terms, clean)
-        for b in batches:
+        for b in sliced(batches):
             f = [scan.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"f": pa.array(f, pa.list_(pa.float64())), "y": b.column("toxic")})
 
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     def run(batches):
         m = shared.value
         scan, w = Scanner(m["terms"], m["clean"]), m["weights"]
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             out = [1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * c for a, c in zip(w, scan.features(t))) + w[-1]))))
                    for t in texts]
