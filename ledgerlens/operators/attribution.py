@@ -152,22 +152,6 @@ def explain_batch(X: np.ndarray, trees: list[dict]) -> tuple[np.ndarray, float]:
     return phi, base
 
 
-def predict_batch(X: np.ndarray, trees: list[dict]) -> np.ndarray:
-    out = np.zeros(X.shape[0])
-    for t in trees:
-        j = np.full(X.shape[0], t["root"], dtype=np.int64)
-        for _ in range(64):
-            leaf = t["left"][j] < 0
-            if leaf.all():
-                break
-            f = t["feature"][j]
-            go_left = X[np.arange(X.shape[0]), np.maximum(f, 0)] <= t["threshold"][j]
-            nxt = np.where(go_left, t["left"][j], t["right"][j])
-            j = np.where(leaf, j, nxt)
-        out += t["weight"] * t["value"][j]
-    return out
-
-
 def attributions(df: DataFrame, model, features: list[str], target: str,
                  keys=("company", "year")) -> DataFrame:
     """Wide attribution table (keys, target, base_value, prediction,
@@ -205,10 +189,10 @@ def long_form(wide: DataFrame, features: list[str], keys=("company", "year")) ->
     return x.select(*keys, "target", names[F.col("pos")].alias("feature"), "contribution")
 
 
-def global_importance(long: DataFrame, k: int = 15) -> DataFrame:
-    """Mean |contribution| per feature, top k."""
-    return (long.groupBy("target", "feature").agg(F.avg(F.abs("contribution")).alias("importance"))
-                .orderBy(F.desc("importance"), "feature").limit(k))
+def global_importance(long: DataFrame, k: int | None = 15) -> DataFrame:
+    """Mean |contribution| per feature, top k (None: all)."""
+    out = long.groupBy("target", "feature").agg(F.avg(F.abs("contribution")).alias("importance"))
+    return out if k is None else out.orderBy(F.desc("importance"), "feature").limit(k)
 
 
 def risk_drivers(long: DataFrame, k: int = 10) -> DataFrame:

@@ -100,14 +100,10 @@ def panel_balance(df: DataFrame) -> DataFrame:
 def missing_pairs(df: DataFrame) -> DataFrame:
     """The (company, year) pairs absent from the panel.
 
-    The year domain is small and bounded (checked); it is taken to the driver
-    as a literal list, so each company's gaps are ``array_except`` of its own
-    years: no cross join, one shuffle by company."""
-    years = [r[0] for r in df.select("year").where(F.col("year").isNotNull())
-             .distinct().limit(MAX_YEARS + 1).collect()]
-    if len(years) > MAX_YEARS:
-        raise ValueError("year domain too large for the literal year list")
-    all_years = F.array(*[F.lit(int(y)) for y in sorted(years)]) if years else F.array()
+    The distinct years are a scalar subquery, so each company's gaps are
+    ``array_except`` of its own years: no cross join, no driver list, one
+    shuffle by company."""
+    all_years = df.agg(F.sort_array(F.collect_set("year")).alias("years")).scalar()
     per = (df.where(F.col("company").isNotNull() & F.col("year").isNotNull())
              .groupBy("company").agg(F.collect_set("year").alias("have")))
     return (per.select("company", F.explode(F.array_except(all_years, F.col("have"))).alias("year"))

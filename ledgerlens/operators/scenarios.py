@@ -289,12 +289,14 @@ def bootstrap_summary(means: DataFrame) -> DataFrame:
 
 
 def histogram(means: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width histogram per target, last edge inclusive."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("target")
-    x = means.withColumns({"lo": F.min("mean_prediction").over(w), "hi": F.max("mean_prediction").over(w)})
+    """Equal-width histogram per target, last edge inclusive; bins without
+    draws have count 0."""
+    edges = means.groupBy("target").agg(F.min("mean_prediction").alias("lo"), F.max("mean_prediction").alias("hi"))
+    x = means.join(edges, "target")
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("mean_prediction") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1,
                 F.lit(bins)))
-    return x.withColumn("bin", b.cast("int")).groupBy("target", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    counts = x.withColumn("bin", b.cast("int")).groupBy("target", "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    return every.join(counts, ["target", "bin"], "left").select(
+        "target", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "lo", "hi")

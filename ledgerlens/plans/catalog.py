@@ -800,10 +800,13 @@ def j8_bootstrap_summary(spark, sf_dir):
 
 
 @query("j9_histogram", O.with_layers(
-    "l2", "SELECT target, bin, count(*) AS n, min(lo) AS lo, min(hi) AS hi FROM (SELECT target, lo, hi, "
+    "l2", "SELECT e.target, e.bin, coalesce(c.n, 0) AS n, e.lo, e.hi FROM (SELECT target, lo, hi, "
+          "CAST(unnest(range(1, 51)) AS INTEGER) AS bin FROM (SELECT target, min(mean_prediction) AS lo, "
+          "max(mean_prediction) AS hi FROM boot GROUP BY target) r) e LEFT JOIN ("
+          "SELECT target, bin, count(*) AS n FROM (SELECT target, "
           "CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((mean_prediction - lo) / (hi - lo) * 50) + 1, 50) END AS INTEGER) AS bin "
           "FROM (SELECT *, min(mean_prediction) OVER (PARTITION BY target) AS lo, "
-          "max(mean_prediction) OVER (PARTITION BY target) AS hi FROM boot) a) b GROUP BY target, bin", _BOOT_CTES))
+          "max(mean_prediction) OVER (PARTITION BY target) AS hi FROM boot) a) b GROUP BY target, bin) c USING (target, bin)", _BOOT_CTES))
 def j9_histogram(spark, sf_dir):
     """50-bin histogram of the draw means, last edge inclusive."""
     return S.histogram(_boot(spark, sf_dir), 50)
@@ -1194,8 +1197,8 @@ def i21_firm_breakdown(spark, sf_dir):
 @query("i22_importance_comparison")
 def i22_importance_comparison(spark, sf_dir):
     """ROA vs profit-margin importances with ratios both ways."""
-    a = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 10_000)
-    b = AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), 10_000)
+    a = AT.global_importance(_attr_long(spark, sf_dir, "roa"), None)
+    b = AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), None)
     return AT.importance_comparison(a, b)
 
 

@@ -34,8 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, reading ``spark.checkpoint.dir`` first.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (local tests, local bench) is a fresh scratch folder made.
+    On a cluster that setting names a shared folder and is used as is; without
+    it a local master (tests, bench) gets a fresh scratch folder, others raise.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
