@@ -38,6 +38,8 @@ from .tokens import encoder, vocabulary_path
 BUCKET_KEYS = 20_000            # expected keys of an index bucket
 BLOCK_BYTES = 1 << 20           # ids of a payload block, about
 BLOCK_DOCS = 50_000             # documents of a payload block at most
+BLOCK_CHARS = 8_000_000         # characters encoded at a time
+UNITS_KEPT = 500_000            # cached units of a worker
 GAMMA = 2.0                     # bits per key on each level
 PAYLOAD = "shard int, block int, keys array<bigint>, lengths array<int>, offsets array<bigint>, ids binary"
 SLOT = ("fp array<bigint>, ordinal array<bigint>, copies array<bigint>, shard array<int>, "
@@ -102,7 +104,7 @@ def write_payload(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
               .withColumn("shard", F.spark_partition_id()).select("shard", "doc_id", "text"))
 
     def encode(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, BLOCK_CHARS, UNITS_KEPT)
         dtype = "<u2" if enc.tok.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         state = {"block": 0}
