@@ -1,10 +1,10 @@
 """Column helpers and exact distributed statistics."""
 
-from .exprs import (safe_div, clip, flag, null_if_nonfinite, is_numeric,
-                    numeric_columns, sql_safe_div)
+from .exprs import (safe_div, clip, flag, null_if_nonfinite,
+                    numeric_columns)
 from .stats import (median_by, hot_median_by, hot_quantiles_by, fill_with_medians, percentiles,
                     pair_corr)
 
-__all__ = ["safe_div", "clip", "flag", "null_if_nonfinite", "is_numeric",
-           "numeric_columns", "sql_safe_div", "median_by", "hot_median_by", "hot_quantiles_by",
+__all__ = ["safe_div", "clip", "flag", "null_if_nonfinite", 
+           "numeric_columns", "median_by", "hot_median_by", "hot_quantiles_by",
            "fill_with_medians", "percentiles", "pair_corr"]

@@ -25,11 +25,6 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
-def sql_safe_div(a: str, b: str) -> str:
-    """The SQL twin of ``safe_div`` for the DuckDB oracle texts."""
-    return f"(({a}) / NULLIF(({b}), 0))"
-
-
 def clip(x, lower=None, upper=None) -> Column:
     """pandas ``clip``: NULL stays NULL (``least``/``greatest`` skip NULLs)."""
     x = _c(x)
@@ -52,10 +47,6 @@ def null_if_nonfinite(x) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def is_numeric(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, NumericType)
-
-
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """``select_dtypes(include=number)`` on the schema."""
     return [f.name for f in df.schema.fields

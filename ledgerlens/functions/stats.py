@@ -4,12 +4,13 @@
                       most one row per year): Spark's ``median`` with partial
                       aggregation, one shuffle for all columns.
 * ``hot_median_by``  exact median for groups of any size (a sector-year or the
-                      whole panel may hold a third of all rows).  Radix select:
-                      values are bucketed by a monotone key, bucket counts are
-                      pre-aggregated, cumulative counts find the bucket holding
-                      the middle rank(s), and only that bucket's distinct values
-                      are ranked.  No group is ever collected into one task; the
-                      largest single task ranks the distinct values of one bucket.
+                      whole panel may hold a third of all rows).  Values fall
+                      into buckets of 0.14% relative width; pre-aggregated
+                      bucket counts tell which bucket holds the middle rank(s);
+                      a bucket of many values is cut into 4096 equal parts
+                      between its least and greatest value, again and again
+                      until a part holds few rows or one value.  No task ever
+                      ranks more than ``LEAF_ROWS`` rows.
 * ``fill_with_medians``  coalesce columns with a per-key (or global) median.
 * ``percentiles``   linear-interpolation percentiles (numpy default).
 * ``pair_corr``     pairwise-complete Pearson correlation, NULL when constant.
@@ -22,8 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per unit of sign(v)*log1p(|v|): a bucket spans ~1/4096 relative width.
-RADIX_SCALE = 4096
+from ..session import cut_lineage
+
+# First buckets per doubling of |v|, and an offset above the exponents of doubles.
+BUCKETS_PER_OCTAVE, OCTAVES = 512, 1100
+# Parts that a bucket of more than LEAF_ROWS rows is cut into.
+PARTS, LEAF_ROWS = 4096, 100_000
 # Largest per-group median table that is broadcast back to the rows.
 BROADCAST_MAX_GROUPS = 200_000
 
@@ -34,12 +39,15 @@ def _long_form(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
                       for c in cols])
     return (df.select(*keys, F.explode(pairs).alias("kv"))
               .select(*keys, F.col("kv.col").alias("col"), F.col("kv.v").alias("v"))
-              .where(F.col("v").isNotNull()))
+              .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _radix_bucket(v: Column) -> Column:
-    # monotone non-decreasing in v, so ties share a bucket and bucket order is value order
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * RADIX_SCALE).cast("long")
+def _log_bucket(v: Column) -> Column:
+    """A bucket number that never falls as v grows, of 0.14% relative width at
+    every magnitude; zero has its own."""
+    octave = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-float(OCTAVES))), F.lit(float(OCTAVES)))
+    size = F.floor((octave + OCTAVES) * BUCKETS_PER_OCTAVE) + 1
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
 def median_by(df: DataFrame, keys: list[str], cols: list[str],
@@ -58,32 +66,51 @@ def hot_quantiles_by(df: DataFrame, keys: list[str], cols: list[str],
     ``(hi_rank - pos) * v[lo_rank] + (pos - lo_rank) * v[hi_rank]``.
     """
     gk = list(keys) + ["col"]
-    long = _long_form(df, keys, cols).withColumn("bucket", _radix_bucket(F.col("v")))
-    # 1) bucket histogram per group (partial aggregation map-side)
-    hist = long.groupBy(*gk, "bucket").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*gk).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*gk)
-    hist = (hist.withColumn("cum", F.sum("c").over(w))
-                .withColumn("n", F.sum("c").over(wall))
-                .withColumn("before", F.col("cum") - F.col("c")))
-    rank_cols = []
+    long = _long_form(df, keys, cols).withColumn("bucket", _log_bucket(F.col("v")))
+    rank_cols = [f"{side}{i}" for i in range(len(ps)) for side in ("lo", "hi")]
+    hit = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("c"))
+    state = ["n"] + [f"pos{i}" for i in range(len(ps))] + rank_cols
+    span = [*gk, "bucket", "least", "most"]
+
+    def holding_a_rank(hist: DataFrame, within: list[str], order: str) -> DataFrame:
+        # counts only: one row per bucket, however many rows a group has
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        told = hist.withColumn("before", F.col("before") + F.sum("c").over(w) - F.col("c"))
+        return told.where(reduce(lambda a, b: a | b, [hit(k) for k in rank_cols]))
+
+    def rows_of(target: DataFrame, size: int) -> DataFrame:
+        # the (few) rows between the ends of a target; a hot group is not shuffled
+        target = F.broadcast(target) if size <= BROADCAST_MAX_GROUPS else target
+        return long.join(target, on=gk + ["bucket"]).where(F.col("v").between(F.col("least"), F.col("most")))
+
+    counts = [F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")]
+    # 1) bucket histogram per group (partial aggregation map-side) and the wanted ranks
+    hist = long.groupBy(*gk, "bucket").agg(*counts).withColumns({
+        "n": F.sum("c").over(Window.partitionBy(*gk)), "before": F.lit(0).cast("long")})
     for i, p in enumerate(ps):
-        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        hist = (hist.withColumn(f"pos{i}", pos)
-                    .withColumn(f"lo{i}", F.floor(F.col(f"pos{i}")).cast("long"))
-                    .withColumn(f"hi{i}", F.ceil(F.col(f"pos{i}")).cast("long")))
-        rank_cols += [f"lo{i}", f"hi{i}"]
-    carry = ["n"] + [f"pos{i}" for i in range(len(ps))] + rank_cols
-    hit = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("cum"))
-    target = hist.where(reduce(lambda a, b: a | b, [hit(k) for k in rank_cols]))
-    target = target.select(*gk, "bucket", "before", *carry)
-    # 2) rank the distinct values of the few buckets that hold a target rank
-    vals = (long.join(target, on=gk + ["bucket"], how="inner")
-                .groupBy(*gk, "bucket", "before", *carry, "v")
-                .agg(F.count(F.lit(1)).alias("c")))
-    w2 = Window.partitionBy(*gk, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = (vals.withColumn("cum", F.col("before") + F.sum("c").over(w2))
-                .withColumn("before", F.col("cum") - F.col("c")))
+        hist = hist.withColumn(f"pos{i}", (F.col("n") - 1).cast("double") * F.lit(float(p)))
+        hist = hist.withColumns({f"lo{i}": F.floor(f"pos{i}").cast("long"),
+                                 f"hi{i}": F.ceil(f"pos{i}").cast("long")})
+    target = cut_lineage(holding_a_rank(hist, gk, "bucket").select(*span, "before", "c", *state))
+    # 2) cut the large ones; both ends leave for different parts, so counts fall,
+    #    and a bucket spans fewer than 4096^4 doubles, so four rounds end it
+    large = (F.col("c") > LEAF_ROWS) & (F.col("least") < F.col("most"))
+    while True:
+        size, n_large = target.agg(F.count(F.lit(1)), F.count_if(large)).first()
+        if not n_large:
+            break
+        part = F.least(F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * PARTS),
+                       F.lit(PARTS - 1)).cast("int")
+        cut = (rows_of(target.where(large).drop("c"), size)
+               .withColumns({"part": part, "from": F.col("least")})
+               .groupBy(*gk, "bucket", "from", "before", *state, "part").agg(*counts))
+        cut = holding_a_rank(cut, gk + ["bucket", "from"], "part")
+        target = cut_lineage(target.where(~large).unionByName(cut.select(*target.columns)))
+    # 3) rank the distinct values of what is left
+    vals = (rows_of(target.drop("c"), size).groupBy(*span, "before", *state, "v")
+            .agg(F.count(F.lit(1)).alias("c")))
+    w2 = Window.partitionBy(*span).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("before", F.col("before") + F.sum("c").over(w2) - F.col("c"))
     picked = vals.groupBy(*gk).agg(
         F.first("n").alias("n"),
         *[F.first(f"pos{i}").alias(f"pos{i}") for i in range(len(ps))],
@@ -142,7 +169,6 @@ def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
         # shuffled to one task for the join: the group table is written once
         # and broadcast when its row count is within the checked bound; above
         # it, a shuffle join with AQE's skew-join splitting is used.
-        from ..session import cut_lineage
         med = cut_lineage(med)
         if med.count() <= BROADCAST_MAX_GROUPS:
             med = F.broadcast(med)
@@ -164,7 +190,3 @@ def pair_corr(a: str, b: str) -> Column:
     x = F.when(both, F.col(a).cast("double"))
     y = F.when(both, F.col(b).cast("double"))
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

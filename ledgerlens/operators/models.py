@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import fill_with_medians, pair_corr
-from .features import THREE_WAY
+from .registry import describe
 
 # Base ratios, macro columns and targets of the analysed model.
 LAYER1_RATIOS = ["gross_margin", "operating_margin", "debt_ratio", "debt_to_equity",
@@ -42,28 +42,29 @@ class GBTConfig:
     validation_tol: float = 0.0
 
 
+# Registry families whose columns are model inputs.
+MODEL_FAMILIES = ("lag", "trend", "rolling", "interaction", "three_way", "regime_dummy", "regime_product")
+# Single columns that are model inputs beside those families.
+MODEL_STATE = ["stress_intensity", "regime", "regime_confidence"]
+# Families whose columns hold the current value of their source variable.
+CURRENT_VALUE_FAMILIES = ("trend", "rolling", "regime_product")
+
+
 def feature_columns(df, targets=TARGETS, mode: str = "clean") -> list[str]:
-    """The model's feature list from name families, sorted for a
-    stable order.  ``clean`` drops terms that contain a target's current
-    value (its rolling mean, trend and regime products); ``reference`` keeps
-    them as the analysed pipeline does.  ``df`` is a DataFrame or a list of
-    column names."""
-    cols = list(df) if isinstance(df, (list, tuple)) else df.columns
-    fs = [c for c in LAYER1_RATIOS if c in cols]
-    fs += [c for c in cols if "_lag" in c and "x_regime" not in c]
-    fs += [c for c in cols if "_trend" in c]
-    fs += [c for c in cols if "_rolling" in c]
-    fs += [c for c in cols if "interaction" in c and "x_regime" not in c]
-    fs += [c for c in THREE_WAY if c in cols]
-    fs += [c for c in ("stress_intensity", "regime", "regime_confidence") if c in cols]
-    fs += [c for c in cols if "regime_" in c and "dummy" in c]
-    fs += [c for c in cols if "x_regime_" in c]
-    fs += [c for c in MACRO_BASE if c in cols]
-    out = sorted(set(fs) - set(targets) - {"roe"})
-    if mode == "clean":
-        leak = {f"{t}_rolling3" for t in targets} | {f"{t}_trend" for t in targets}
-        out = [c for c in out if c not in leak and not any(c.startswith(f"{t}_x_regime_") for t in targets)]
-    return out
+    """The model's features, a registry query in sorted order.  Mode
+    ``clean`` leaves out columns that hold a target's current value (its
+    rolling mean, trend and regime products); ``reference`` keeps them as the
+    analysed pipeline does.  ``df`` is a DataFrame or a list of names."""
+    names = df if isinstance(df, (list, tuple)) else df.columns
+    single = {*LAYER1_RATIOS, *MACRO_BASE, *MODEL_STATE} - {*targets, "roe"}
+
+    def wanted(name: str) -> bool:
+        entry = describe(name)
+        if entry is None or entry.family not in MODEL_FAMILIES:
+            return name in single
+        return mode != "clean" or entry.family not in CURRENT_VALUE_FAMILIES or entry.source not in targets
+
+    return sorted({n for n in names if wanted(n)})
 
 
 def split_col(time_col: str = "year", train_end: int = 1999, test_start: int = 2001) -> Column:

@@ -55,15 +55,6 @@ def macro_columns(df: DataFrame) -> list[str]:
     return out
 
 
-def macro_table(df: DataFrame, time_col: str = "year", cols=None) -> DataFrame:
-    """Distinct (period, macro values), NULL rows dropped.  If macros
-    disagree inside a period the table has more rows than periods;
-    ``n_in_period`` exposes that."""
-    cols = cols or macro_columns(df)
-    t = df.select(time_col, *cols).distinct().dropna()
-    return t.withColumn("n_in_period", F.count(F.lit(1)).over(Window.partitionBy(time_col)))
-
-
 def macro_series(df: DataFrame, time_col: str = "year", cols=None) -> DataFrame:
     """Macro time series (columns resolved from candidates) with each
     variable's mean over the periods (a window over the bounded period table)."""
@@ -150,11 +141,9 @@ def kmeans_sweep(t: DataFrame, zcols: list[str], k_max: int = 6, seed: int = 42)
         else:
             km = KMeans(k=k, seed=seed, maxIter=100).fit(vec)
             sse = km.summary.trainingCost
-            try:
-                gm = GaussianMixture(k=k, seed=seed, maxIter=100).fit(vec)
-                ll = gm.summary.logLikelihood
-            except Exception:  # noqa: BLE001  (degenerate covariance on tiny tables)
-                ll = float("nan")
+            ll = float("nan")
+            if n > d:       # fewer rows leave no full covariance to fit
+                ll = GaussianMixture(k=k, seed=seed, maxIter=100).fit(vec).summary.logLikelihood
         p = k * (d + d * (d + 1) / 2) + k - 1
         bic = -2 * ll + p * math.log(n) if ll == ll else None
         return (k, float(sse), bic)

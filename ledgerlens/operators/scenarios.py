@@ -1,20 +1,20 @@
 """Scenario scoring and the macro bootstrap.
 
-Firms x scenarios and firms x draws are generated map-side with ``explode``
-over a bounded literal array (7 scenarios; n_sims draws, a parameter with a
-checked cap), so no join and no shuffle is needed to build them; the only
-shuffles are the final group-bys, which pre-aggregate map-side.
+Firms x scenarios are generated map-side with ``explode`` over the 7 literal
+scenarios, firms x draws with ``explode`` over the draw numbers and a
+size-checked broadcast of the draw table; the only shuffles are the final
+group-bys, which pre-aggregate map-side.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, safe_div
 from ..functions.stats import percentiles
+from .registry import Macro, shocked_forms
 
 # Scenario shifts on (inflation, interest rate, gdp growth).
 SCENARIOS = [
@@ -44,12 +44,10 @@ LINEAR_SCORER = {
                              ("volatility_debt_interaction", -0.1), ("stress_intensity", -0.0008),
                              ("profit_margin_lag1", 0.4)]),
 }
-MAX_DRAWS = 100_000
-MAX_PERIODS = 100_000
 # Bootstrap noise standard deviations per macro variable.
 NOISE_SD = {"inflation": 0.5, "fed_rate": 0.3, "gdp_growth": 0.5}
-LCG_M = 2147483647        # Park-Miller modulus 2^31 - 1
-LCG_A = 48271
+BROADCAST_DRAWS = 1_000_000     # rows of a draw table broadcast at most (32 bytes each)
+HASH_DIGITS = 15                # hex digits of a draw's hash: 60 bits
 
 
 def linear_score(target: str, scorer=LINEAR_SCORER) -> Column:
@@ -98,62 +96,13 @@ def scenario_table(spark, base: dict) -> DataFrame:
 
 def update_macro_terms(df: DataFrame, infl: Column, rate: Column, gdp: Column,
                        mode: str = "reference") -> DataFrame:
-    """Overwrite the macro columns and recompute the terms that depend on
-    them.  ``reference`` recomputes exactly the set the analysed pipeline
-    does (others stay stale); ``full`` also recomputes the recession flag,
-    perfect storm, default triple, distress signal and cash-rate terms."""
-    c = F.col
-    cols = set(df.columns)
-    e: dict[str, Column] = {}
-    for name, v in (("inflation", infl), ("fed_rate", rate), ("gdp_growth", gdp), ("gdp", gdp)):
-        if name in cols:
-            e[name] = v
-    if "debt_ratio" in cols:
-        e["inflation_debt_interaction"] = infl * c("debt_ratio")
-        e["rate_debt_interaction"] = rate * c("debt_ratio")
-        if "debt_to_equity" in cols:
-            e["gdp_leverage_interaction"] = gdp * c("debt_to_equity")
-    if "current_ratio" in cols:
-        e["rate_liquidity_interaction"] = rate * safe_div(F.lit(1.0), clip("current_ratio", lower=0.1))
-    if "gross_margin" in cols:
-        e["inflation_margin_interaction"] = infl * safe_div(F.lit(1.0), clip("gross_margin", lower=0.01))
-    if "asset_turnover" in cols:
-        e["gdp_efficiency_interaction"] = gdp * c("asset_turnover")
-        e["turnover_inflation_interaction"] = infl * c("asset_turnover")
-    if "profit_margin" in cols:
-        e["margin_rate_interaction"] = c("profit_margin") * rate
-    if "firm_size" in cols:
-        e["size_gdp_interaction"] = c("firm_size") * gdp
-    if "quick_ratio" in cols:
-        e["liquidity_gdp_interaction"] = c("quick_ratio") * gdp
-    if {"roa_volatility", "debt_ratio"} <= cols:
-        e["volatility_debt_interaction"] = c("roa_volatility") * c("debt_ratio")
-        e["rollover_risk"] = c("roa_volatility") * c("debt_ratio") * rate
-    if {"debt_ratio", "profit_margin"} <= cols:
-        e["inflation_squeeze"] = (infl * safe_div(F.lit(1.0), clip(F.abs(c("profit_margin")), lower=0.01))
-                                  * c("debt_ratio"))
-    if {"debt_to_equity", "current_ratio"} <= cols:
-        e["liquidity_crisis"] = (F.greatest(F.lit(0.0), -gdp) * c("debt_to_equity")
-                                 * safe_div(F.lit(1.0), clip("current_ratio", lower=0.01)))
-    if {"asset_turnover", "profit_margin"} <= cols:
-        e["pricing_power"] = infl * c("asset_turnover") * c("profit_margin")
-    stress = (F.least(F.lit(0.25), F.greatest(F.lit(0.0), infl) / 10)
-              + F.least(F.lit(0.25), F.greatest(F.lit(0.0), rate) / 8)
-              + F.least(F.lit(0.25), F.greatest(F.lit(0.0), -gdp) / 20))
-    if mode == "full":
-        rec = (gdp < 0).cast("int")
-        e["recession"] = rec
-        if "debt_ratio" in cols:
-            e["perfect_storm_risk"] = infl * c("debt_ratio") * rate
-            e["default_risk_triple"] = c("debt_ratio") * rate * rec
-            if "stock_return_company" in cols:
-                e["distress_signal"] = (F.abs(F.least(c("stock_return_company"), F.lit(0.0)))
-                                        * c("debt_ratio") * rec)
-        if "cash_ratio" in cols:
-            e["cash_rate_interaction"] = c("cash_ratio") * rate
-        stress = stress + rec * 0.25
-    e["stress_intensity"] = stress * 100
-    return df.withColumns(e)
+    """The panel's macro columns replaced, and the registry's
+    macro-dependent columns evaluated on the new values.  ``reference`` leaves
+    the recession flag, perfect storm, default triple, distress signal and
+    cash-rate terms stale, as the analysed pipeline does; ``full`` does not."""
+    given = {"inflation": infl, "fed_rate": rate, "gdp_growth": gdp, "gdp": gdp}
+    macros = {n: v for n, v in given.items() if n in df.columns}
+    return df.withColumns(macros | shocked_forms(df.columns, Macro(infl, rate, gdp), mode))
 
 
 def firms_by_scenario(latest: DataFrame, base: dict, mode: str = "reference") -> DataFrame:
@@ -211,69 +160,64 @@ def stress_impacts(wide: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ bootstrap --
 
-def _lcg(seed: Column, rounds: int = 2) -> Column:
-    x = seed
-    for _ in range(rounds):
-        x = (x * LCG_A) % LCG_M
-    return x
+def _hash(*parts) -> Column:
+    """An integer below 2^60 from the md5 of the parts."""
+    key = F.concat_ws(":", *[F.lit(p) if isinstance(p, (int, str)) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def draw_table(panel: DataFrame, n_sims: int = 500, time_col: str = "year",
                seed: int = 42) -> DataFrame:
     """J8 draws: for each sim and macro variable, a period picked with
     probability proportional to its panel rows (as picking a random panel
-    row), plus normal noise.  Integer Park-Miller streams per (sim, variable)
-    make the table reproducible and independent of partitioning.
-
-    The per-period table (one row per period, size-checked) is inlined as
-    literal arrays; the pick is ``size(filter(starts, s -> s <= r))``, so no
-    join is needed."""
-    if n_sims > MAX_DRAWS:
-        raise ValueError("n_sims above the checked cap")
-    spark = panel.sparkSession
-    vars_ = list(NOISE_SD)
-    per = (panel.groupBy(time_col).agg(F.count(F.lit(1)).alias("n_rows"),
-                                       *[F.min(v).alias(v) for v in vars_])
-                .orderBy(time_col).limit(MAX_PERIODS + 1).collect())
-    if len(per) > MAX_PERIODS:
-        raise ValueError("period table above the checked cap")
-    starts, total = [], 0
-    for r in per:
-        starts.append(total)
-        total += int(r["n_rows"])
-    start_arr = F.array(*[F.lit(int(x)) for x in starts])
-    sims = spark.range(n_sims).withColumnRenamed("id", "sim_id")
-    cols = {}
-    for j, v in enumerate(vars_):
-        base = F.col("sim_id") * 7919 + (j + 1) * 104729 + seed
-        pick = _lcg(1 + base % (LCG_M - 1)) % F.lit(total)
-        idx = F.size(F.filter(start_arr, lambda s: s <= pick))
-        hist = F.element_at(F.array(*[F.lit(None if r[v] is None else float(r[v])).cast("double")
-                                      for r in per]), idx)
-        u1 = _lcg(1 + (base + 1_000_003) % (LCG_M - 1)).cast("double") / LCG_M
-        u2 = _lcg(1 + (base + 2_000_003) % (LCG_M - 1)).cast("double") / LCG_M
-        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        cols[v] = hist + z * NOISE_SD[v]
-    return sims.withColumns(cols).select("sim_id", *vars_)
+    row), plus normal noise.  Pick and noise are independent hashes of (seed,
+    sim, variable, stream), so the table does not depend on partitioning.
+
+    The period table has one row per period; it reaches the draws as a scalar
+    subquery (an array sorted by period), with no join and no trip to the
+    driver program.  An empty panel gives NULL macros."""
+    variables = list(NOISE_SD)
+    earlier = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)   # one row per period
+    periods = panel.groupBy(time_col).agg(F.count(F.lit(1)).alias("n_rows"),
+                                          *[F.min(v).cast("double").alias(v) for v in variables])
+    periods = periods.withColumn("start", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
+    table = periods.agg(
+        F.array_sort(F.collect_list(F.struct("start", *variables))).alias("periods"),
+        F.sum("n_rows").alias("total"))
+    sims = panel.sparkSession.range(n_sims).select(
+        F.col("id").alias("sim_id"), table.select(F.struct("periods", "total")).scalar().alias("t"))
+    unit = float(16 ** HASH_DIGITS)
+    drawn = {}
+    for v in variables:
+        pick, u1, u2 = (_hash(seed, F.col("sim_id"), v, stream) for stream in ("pick", "radius", "angle"))
+        row = pick % F.col("t.total")
+        period = F.try_element_at(F.filter("t.periods", lambda p: p["start"] <= row), F.lit(-1))
+        z = (F.sqrt(-2.0 * F.log((u1 + 1).cast("double") / unit))
+             * F.cos(2 * math.pi * (u2.cast("double") / unit)))
+        drawn[v] = period[v] + z * NOISE_SD[v]
+    return sims.withColumns(drawn).select("sim_id", *variables)
 
 
 def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],
                     scorer=LINEAR_SCORER) -> DataFrame:
     """Rescore every firm under every draw; mean prediction per draw.
-    The draw table (bounded by n_sims) is exploded onto each firm row."""
-    rows = draws.orderBy("sim_id").collect()
-    if len(rows) > MAX_DRAWS:
-        raise ValueError("draw table above the checked cap")
-    arr = F.array(*[F.struct(F.lit(int(r["sim_id"])).alias("sim_id"), F.lit(float(r["inflation"])).alias("i"),
-                             F.lit(float(r["fed_rate"])).alias("r"), F.lit(float(r["gdp_growth"])).alias("g"))
-                    for r in rows])
-    x = latest.withColumn("__d", F.explode(arr))
-    x = update_macro_terms(x, F.col("__d.i"), F.col("__d.r"), F.col("__d.g"))
+    Draws are numbered from 0, so each firm row is exploded over the numbers
+    and joined with the draw table by number: broadcast up to a checked
+    number of draws, shuffled on the (evenly spread) number beyond it."""
+    n = draws.count()
+    if n == 0:
+        return draws.select(F.lit(None).cast("string").alias("target"), "sim_id",
+                            F.lit(None).cast("double").alias("mean_prediction")).limit(0)
+    numbered = draws.select("sim_id", *[F.col(v).alias(f"__{v}") for v in NOISE_SD])
+    if n <= BROADCAST_DRAWS:
+        numbered = F.broadcast(numbered)
+    x = latest.withColumn("sim_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    x = x.join(numbered, "sim_id")
+    x = update_macro_terms(x, *[F.col(f"__{v}") for v in NOISE_SD])
     parts = F.array(*[F.struct(F.lit(t).alias("target"), linear_score(t, scorer).alias("p"))
                       for t in targets])
-    x = x.select(F.col("__d.sim_id").alias("sim_id"), F.explode(parts).alias("q"))
-    return x.groupBy("q.target", "sim_id").agg(F.avg("q.p").alias("mean_prediction")).select(
-        F.col("target"), "sim_id", "mean_prediction")
+    return (x.select("sim_id", F.explode(parts).alias("q")).groupBy("q.target", "sim_id")
+             .agg(F.avg("q.p").alias("mean_prediction")).select("target", "sim_id", "mean_prediction"))
 
 
 def bootstrap_summary(means: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _CACHE: dict[tuple, DataFrame] = {}
 
 
 def _layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _CACHE:
         # raw is a scan + aggregate read once by cleaning; clean and l1 end in
         # projections over their own internal checkpoints; l2 ends in a
@@ -331,7 +331,7 @@ def c6_ratio_impute(spark, sf_dir):
     return FE.impute_ratios(FE.add_ratios(clean(spark, sf_dir))).select("company", "year", *_RC)
 
 
-_FAM = [c for c in FE.layer1_new_columns() if "interaction" in c or "volatility" in c]
+_FAM = FE.members(FE.layer1_new_columns(), "interaction", "volatility")
 
 
 @query("c9_interaction_impute", O.with_layers("l1", "SELECT company, year, " + ", ".join(_FAM) + " FROM l1"))
@@ -358,8 +358,8 @@ _D7 = FE.INTERACTION_COLUMNS + ["cash_rate_interaction"]
 def d7_interactions(spark, sf_dir):
     """Macro x firm interactions before imputation."""
     df = FE.add_history(FE.impute_ratios(FE.add_ratios(clean(spark, sf_dir))))
-    df = df.withColumns(FE.interaction_exprs())
-    df = df.withColumn("cash_rate_interaction", F.col("cash_ratio") * F.col("fed_rate"))
+    df = df.withColumns(FE.layer_forms(FE.INTERACTION_COLUMNS, FE.panel_macro()))
+    df = df.withColumns(FE.layer_forms(["cash_rate_interaction"], FE.panel_macro()))
     return df.select("company", "year", *_D7)
 
 
@@ -512,7 +512,7 @@ def _latest(spark, sf_dir):
 
 
 def _pred(spark, sf_dir):
-    key = (id(spark), sf_dir, "pred")
+    key = (spark.sparkContext.applicationId, sf_dir, "pred")
     if key not in _CACHE:
         p = l2(spark, sf_dir)
         _CACHE[key] = cut_lineage(S.score_scenarios(_latest(spark, sf_dir), S.baseline_macros(p), TARGETS))
@@ -524,7 +524,7 @@ def _wide(spark, sf_dir):
 
 
 def _risk(spark, sf_dir):
-    key = (id(spark), sf_dir, "risk")
+    key = (spark.sparkContext.applicationId, sf_dir, "risk")
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(RK.risk_scores(_wide(spark, sf_dir), RK.roa_history(l2(spark, sf_dir))))
     return _CACHE[key]
@@ -727,34 +727,32 @@ N_SIMS = 500
 
 
 def _draws(spark, sf_dir):
-    key = (id(spark), sf_dir, "draws")
+    key = (spark.sparkContext.applicationId, sf_dir, "draws")
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(S.draw_table(l2(spark, sf_dir), N_SIMS))
     return _CACHE[key]
 
 
 def _boot(spark, sf_dir):
-    key = (id(spark), sf_dir, "boot")
+    key = (spark.sparkContext.applicationId, sf_dir, "boot")
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(S.bootstrap_means(_latest(spark, sf_dir), _draws(spark, sf_dir), TARGETS))
     return _CACHE[key]
 
 
-def _lcg_sql(seed: str) -> str:
-    x = seed
-    for _ in range(2):
-        x = f"(({x}) * {S.LCG_A}) % {S.LCG_M}"
-    return x
+def _hash_sql(variable: str, stream: str) -> str:
+    """The 60-bit hash of one draw, spelled out."""
+    return (f"CAST(concat('0x', substr(md5(concat('42:', sim_id, ':{variable}:{stream}')), 1, 15)) AS BIGINT)")
 
 
 _bvars = list(S.NOISE_SD)
 _draw_cols = []
-for _j, _v in enumerate(_bvars):
-    _base = f"(sim_id * 7919 + {(_j + 1) * 104729 + 42})"
+for _v in _bvars:
     _draw_cols += [
-        f"{_lcg_sql(f'1 + {_base} % {S.LCG_M - 1}')} AS pick_{_v}",
-        f"sqrt(-2.0 * ln(CAST({_lcg_sql(f'1 + ({_base} + 1000003) % {S.LCG_M - 1}')} AS DOUBLE) / {S.LCG_M})) * "
-        f"cos({O.d(2 * 3.141592653589793)} * (CAST({_lcg_sql(f'1 + ({_base} + 2000003) % {S.LCG_M - 1}')} AS DOUBLE) / {S.LCG_M})) AS z_{_v}"]
+        f"{_hash_sql(_v, 'pick')} AS pick_{_v}",
+        f"sqrt(-2.0 * ln(CAST({_hash_sql(_v, 'radius')} + 1 AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE))) * "
+        f"cos({O.d(2 * 3.141592653589793)} * (CAST({_hash_sql(_v, 'angle')} AS DOUBLE) / "
+        f"CAST(1152921504606846976 AS DOUBLE))) AS z_{_v}"]
 _draw_sel = ", ".join(
     f"(SELECT p.{_v} FROM perc p WHERE pick_{_v} % p.total >= p.cum - p.n_rows AND pick_{_v} % p.total < p.cum) "
     f"+ z_{_v} * {O.d(S.NOISE_SD[_v])} AS {_v}" for _v in _bvars)
@@ -921,14 +919,14 @@ _C_Z = [f"z_{c}" for c in _C_VARS]
 
 
 def _months_z(spark, sf_dir):
-    key = (id(spark), sf_dir, "months_z")
+    key = (spark.sparkContext.applicationId, sf_dir, "months_z")
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(R.standardize(months_c(spark, sf_dir), _C_VARS))
     return _CACHE[key]
 
 
 def _sweep(spark, sf_dir):
-    key = (id(spark), sf_dir, "sweep")
+    key = (spark.sparkContext.applicationId, sf_dir, "sweep")
     if key not in _CACHE:
         _CACHE[key] = R.kmeans_sweep(_months_z(spark, sf_dir), _C_Z, 6).cache()
     return _CACHE[key]
@@ -939,7 +937,7 @@ def _k(spark, sf_dir) -> int:
 
 
 def _kmeans_c(spark, sf_dir):
-    key = (id(spark), sf_dir, "kmeans_c")
+    key = (spark.sparkContext.applicationId, sf_dir, "kmeans_c")
     if key not in _CACHE:
         out, centers, cost = R.fit_kmeans(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
         _CACHE[key] = (cut_lineage(out), centers, cost)
@@ -1002,7 +1000,7 @@ def i8_pca(spark, sf_dir):
 def l3(spark, sf_dir):
     """Layer 3: k-means / GMM regimes of the panel's macro table joined back
     by year, named by rules, with regime dummies and products (D20)."""
-    key = (id(spark), sf_dir, "l3")
+    key = (spark.sparkContext.applicationId, sf_dir, "l3")
     if key not in _CACHE:
         p = l2(spark, sf_dir)
         t = R.standardize(p.select("year", *_MV).distinct().dropna(), _MV)
@@ -1010,12 +1008,8 @@ def l3(spark, sf_dir):
         k = int(R.choose_k(R.kmeans_sweep(t, z, 6)).first()["k"])
         km, _centers, _cost = R.fit_kmeans(t, z, k)
         labels = km.select("year", F.col("regime_kmeans").alias("regime"))
-        try:
-            g = R.fit_gmm(t, z, k).select("year", "regime_gmm", "regime_confidence")
-            labels = labels.join(g, "year", "left")
-        except Exception:  # noqa: BLE001  (degenerate mixture on very few periods)
-            labels = labels.withColumns({"regime_gmm": F.lit(None).cast("int"),
-                                         "regime_confidence": F.lit(None).cast("double")})
+        g = R.fit_gmm(t, z, k).select("year", "regime_gmm", "regime_confidence", "low_confidence")
+        labels = labels.join(g, "year", "left")
         names = R.cluster_profile(km.withColumnRenamed("regime_kmeans", "regime"), "regime", _MV).select(
             "regime", "regime_name")
         labels = labels.join(names, "regime", "left")
@@ -1032,7 +1026,7 @@ def d20_regime_products(spark, sf_dir):
     """Panel rows with k-means regime, GMM confidence, name,
     dummies and regime x feature products."""
     p = l3(spark, sf_dir)
-    cols = ["company", "year", "regime", "regime_gmm", "regime_confidence", "regime_name"]
+    cols = ["company", "year", "regime", "regime_gmm", "regime_confidence", "low_confidence", "regime_name"]
     cols += [c for c in p.columns if c.startswith("regime_") and c.endswith("_dummy")]
     cols += [c for c in p.columns if "_x_regime_" in c]
     return p.select(*cols)
@@ -1043,7 +1037,7 @@ def _features(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    key = (id(spark), sf_dir, "matrix")
+    key = (spark.sparkContext.applicationId, sf_dir, "matrix")
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(MD.model_matrix(l3(spark, sf_dir), _features(spark, sf_dir), TARGETS))
     return _CACHE[key]
@@ -1051,13 +1045,13 @@ def _matrix(spark, sf_dir):
 
 def _gbt(spark, sf_dir, target):
     """Boosted trees per target; both targets are fitted as concurrent jobs."""
-    key = (id(spark), sf_dir, "gbt", target)
+    key = (spark.sparkContext.applicationId, sf_dir, "gbt", target)
     if key not in _CACHE:
         m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
-        todo = [t for t in TARGETS if (id(spark), sf_dir, "gbt", t) not in _CACHE]
+        todo = [t for t in TARGETS if (spark.sparkContext.applicationId, sf_dir, "gbt", t) not in _CACHE]
         models = R.parallel_map(lambda t: MD.train_gbt(m, feats, t), todo)
         for t, mod in zip(todo, models):
-            _CACHE[(id(spark), sf_dir, "gbt", t)] = mod
+            _CACHE[(spark.sparkContext.applicationId, sf_dir, "gbt", t)] = mod
     return _CACHE[key]
 
 
@@ -1145,7 +1139,7 @@ def j4b_gbt_scenarios(spark, sf_dir):
 
 
 def _attr_wide(spark, sf_dir, target):
-    key = (id(spark), sf_dir, "attr", target)
+    key = (spark.sparkContext.applicationId, sf_dir, "attr", target)
     if key not in _CACHE:
         p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
         _CACHE[key] = cut_lineage(AT.attributions(MD.score_matrix(p, feats), _gbt(spark, sf_dir, target),

@@ -56,16 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and scan it back.
 
     Used between panel layers and imputation steps: a lost executor then
-    recomputes from the last written table, later plans stay shallow, the
-    frame is computed once (a plain ``checkpoint()`` of an unpersisted frame
-    computes it twice), and downstream scans prune columns and push filters.
+    recomputes from the last written table, later plans stay shallow, and
+    downstream scans prune columns and push filters.
     """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()

@@ -105,3 +105,32 @@ def test_feature_modes():
     assert {"roa_rolling3", "roa_trend", "roa_x_regime_0"} <= set(ref)
     assert not {"roa_rolling3", "roa_trend", "roa_x_regime_0"} & set(clean)
     assert clean == sorted(clean)
+
+
+def test_hot_quantiles_cut_crowded_buckets(spark, monkeypatch):
+    from ledgerlens.functions import stats
+    monkeypatch.setattr(stats, "LEAF_ROWS", 500)
+    rng = np.random.default_rng(9)
+    n = 40_000
+    pdf = pd.DataFrame({"g": ["hot"] * (n - 7) + ["b"] * 7,
+                        "near": 0.05 + rng.random(n) * 1e-6,          # one first bucket
+                        "tiny": rng.random(n) * 2e-4,
+                        "tied": np.where(rng.random(n) < 0.9, 3.0, rng.normal(0, 1, n)),
+                        "wide": rng.normal(0, 1, n) * 10.0 ** rng.integers(-300, 300, n)})
+    pdf.loc[::11, "near"] = np.nan
+    df = spark.createDataFrame(pdf)
+    cols, ps = ["near", "tiny", "tied", "wide"], [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.col): list(r)[2:] for r in hot_quantiles_by(df, ["g"], cols, ps).collect()}
+    for g, part in pdf.groupby("g"):
+        for c in cols:
+            assert np.allclose(got[g, c], part[c].quantile(ps).to_numpy(), rtol=1e-12, atol=0)
+
+
+def test_cut_lineage_scans_prune_and_push(spark):
+    from ledgerlens.session import cut_lineage
+    df = spark.range(10).selectExpr("id AS year", "id * 2 AS a", "id * 3 AS b")
+    cut = cut_lineage(df).where("year = 3").select("a")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<year:bigint,a:bigint>" in plan and "EqualTo(year,3)" in plan
+    assert [r.a for r in cut.collect()] == [6]
+    assert cut_lineage(df.limit(0)).count() == 0

@@ -46,17 +46,59 @@ def test_draw_table_independent_of_partitioning(spark):
     assert len(a) == 50 and years
 
 
-def test_base_scenario_has_zero_impact(spark):
-    pred = catalog._pred(spark, SF_SMALL)
-    wide = S.base_vs_scenarios(pred)
-    d = wide.select(F.max(F.abs(F.col("base") - F.col("base"))).alias("z")).first()["z"]
-    assert d == 0.0
-    # BASE scenario reproduces the baseline macros exactly
-    base = S.baseline_macros(catalog.l2(spark, SF_SMALL))
+def test_draws_are_independent(spark):
+    p = spark.createDataFrame([(f"c{i}", 1995 + i % 7, float(i % 7), float(i % 7), float(i % 7)) for i in range(70)],
+                              "company string, year int, inflation double, fed_rate double, gdp_growth double")
+    names, n = list(S.NOISE_SD), 20_000
+    zero = p.select("company", "year", *[F.lit(0.0).alias(v) for v in names])
+    noise = S.draw_table(zero, n).orderBy("sim_id").select(*names).toPandas().to_numpy()
+    picked = S.draw_table(p, n).orderBy("sim_id").select(*names).toPandas().to_numpy() - noise
+    assert np.allclose(picked, np.rint(picked), atol=1e-9)
+    # independent picks give about 269 of the 343 year triples in 500 draws
+    assert len({tuple(r) for r in np.rint(picked[:500])}) >= 220
+    assert np.abs(np.bincount(np.rint(picked).astype(int).ravel(), minlength=7) / (3 * n) - 1 / 7).max() < 0.01
+    noise = noise / np.array(list(S.NOISE_SD.values()))
+    four_sigma = 4 / np.sqrt(n)
+    assert (np.abs(noise.mean(axis=0)) < four_sigma).all()
+    assert (np.abs(noise.std(axis=0) - 1) < four_sigma).all()
+    assert (np.abs(np.corrcoef(np.hstack([picked, noise]).T) - np.eye(6)) < four_sigma).all()
+
+
+def test_draws_of_an_empty_panel_are_null(spark):
+    p = spark.createDataFrame([], "company string, year int, inflation double, fed_rate double, gdp_growth double")
+    rows = S.draw_table(p, 3).collect()
+    assert len(rows) == 3 and all(r[v] is None for r in rows for v in S.NOISE_SD)
+
+
+def test_base_scenario_equals_scoring_the_unshifted_rows(spark):
+    panel = catalog.l2(spark, SF_SMALL)
+    base = S.baseline_macros(panel)
+    latest = catalog._latest(spark, SF_SMALL)
+    still = S.update_macro_terms(latest, *[F.lit(base[v]) for v in ("inflation", "fed_rate", "gdp_growth")])
+    for t in catalog.TARGETS:
+        alone = still.select("company", S.linear_score(t).alias("p"))
+        pred = catalog._pred(spark, SF_SMALL).where((F.col("target") == t) & (F.col("scenario") == "BASE"))
+        gap = pred.join(alone, "company").select(F.max(F.abs(F.col("predicted") - F.col("p"))), F.count(F.lit(1))).first()
+        assert gap[0] < 1e-12 and gap[1] == latest.count()
     vals = dict((k, (i, r, g)) for k, _n, i, r, g in S.scenario_values(base))
     assert vals["BASE"] == (base["inflation"], base["fed_rate"], base["gdp_growth"])
 
 
+def test_scenario_modes(spark):
+    df = spark.createDataFrame([("a", 5.0, 4.0, 2.0, 0.5, -3.0, 0.2, 9.0, 9.0, 9.0, 0)],
+                               "company string, inflation double, fed_rate double, gdp_growth double, debt_ratio double, "
+                               "stock_return_company double, cash_ratio double, perfect_storm_risk double, "
+                               "distress_signal double, stress_intensity double, recession int")
+    shock = [F.lit(10.0), F.lit(8.0), F.lit(-2.0)]
+    ref = S.update_macro_terms(df, *shock).first()
+    full = S.update_macro_terms(df, *shock, mode="full").first()
+    assert (ref.inflation, ref.inflation_debt_interaction) == (10.0, 5.0)
+    assert (ref.perfect_storm_risk, ref.distress_signal, ref.recession) == (9.0, 9.0, 0)
+    assert abs(ref.stress_intensity - 60.0) < 1e-9
+    assert (full.perfect_storm_risk, full.distress_signal, full.recession) == (40.0, 1.5, 1)
+    assert abs(full.cash_rate_interaction - 1.6) < 1e-12 and abs(full.stress_intensity - 85.0) < 1e-9
+
+
 def test_risk_scores_in_range(spark):
     risk = catalog._risk(spark, SF_SMALL)
     r = risk.agg(F.min("risk_score"), F.max("risk_score"), F.count(F.lit(1))).first()
