@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,20 @@ def predict(model, df: DataFrame, features: list[str], out_col: str) -> DataFram
     return model.transform(assemble(df, features)).withColumnRenamed("prediction", out_col).drop("features")
 
 
+def model_scorer(models: dict, features: list[str]):
+    """A scorer (see ``scenarios.linear_scorer``) from one trained model per
+    target.  C11: absent and missing feature values count as 0 in the feature
+    vector; the frame's own columns stay as they are."""
+    def score(df: DataFrame, targets: list[str]) -> DataFrame:
+        have = set(df.columns)
+        values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0) for f in features]
+        x = df.withColumn("features", array_to_vector(F.array(*values)))
+        for t in targets:
+            x = models[t].transform(x).withColumnRenamed("prediction", f"predicted_{t}")
+        return x.drop("features")
+    return score
+
+
 def metrics(pred: DataFrame, target: str, pred_col: str, group_cols=("split",)) -> DataFrame:
     """R2, RMSE, MAE per group in one aggregate pass."""
     y, p = F.col(target), F.col(pred_col)

@@ -9,6 +9,7 @@ group-bys, which pre-aggregate map-side.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def linear_score(target: str, scorer=LINEAR_SCORER) -> Column:
     return e
 
 
+def linear_scorer(scorer=LINEAR_SCORER) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """A scorer adds a column ``predicted_<target>`` for each target; this one
+    does so with linear terms, ``models.model_scorer`` with trained models."""
+    return lambda df, targets: df.withColumns({f"predicted_{t}": linear_score(t, scorer) for t in targets})
+
+
+def _by_target(scored: DataFrame, targets: list[str], keep: list) -> DataFrame:
+    """One row per target from the columns a scorer added."""
+    parts = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"predicted_{t}").alias("predicted")) for t in targets])
+    return scored.select(*keep, F.explode(parts).alias("p")).select("*", "p.*").drop("p")
+
+
 def latest_per_company(df: DataFrame, cols: list[str], key: str = "company",
                        time_col: str = "year") -> DataFrame:
     """Pandas ``groupby.last()``: per column, the value of the latest
@@ -119,16 +132,13 @@ def firms_by_scenario(latest: DataFrame, base: dict, mode: str = "reference") ->
 
 
 def score_scenarios(latest: DataFrame, base: dict, targets: list[str],
-                    scorer=LINEAR_SCORER, mode: str = "reference") -> DataFrame:
-    """J4 with the linear scorer: (target, scenario, company, sector, predicted,
+                    scorer=linear_scorer(), mode: str = "reference") -> DataFrame:
+    """J4 with any scorer: (target, scenario, company, sector, predicted,
     debt_ratio, current_ratio)."""
-    x = firms_by_scenario(latest, base, mode)
-    parts = F.array(*[F.struct(F.lit(t).alias("target"), linear_score(t, scorer).alias("predicted"))
-                      for t in targets])
-    return (x.select("scenario", "company", F.coalesce(F.col("sector"), F.lit("Unknown")).alias("sector"),
-                     "debt_ratio", "current_ratio", F.explode(parts).alias("p"))
-             .select("p.target", "scenario", "company", "sector", "p.predicted",
-                     "debt_ratio", "current_ratio"))
+    x = scorer(firms_by_scenario(latest, base, mode), targets)
+    sector = F.coalesce(F.col("sector"), F.lit("Unknown")).alias("sector")
+    return _by_target(x, targets, ["scenario", "company", sector, "debt_ratio", "current_ratio"]).select(
+        "target", "scenario", "company", "sector", "predicted", "debt_ratio", "current_ratio")
 
 
 def base_vs_scenarios(pred: DataFrame, scenarios=None) -> DataFrame:
@@ -199,8 +209,8 @@ def draw_table(panel: DataFrame, n_sims: int = 500, time_col: str = "year",
 
 
 def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],
-                    scorer=LINEAR_SCORER) -> DataFrame:
-    """Rescore every firm under every draw; mean prediction per draw.
+                    scorer=linear_scorer()) -> DataFrame:
+    """J8 with any scorer: every firm under every draw; mean prediction per draw.
     Draws are numbered from 0, so each firm row is exploded over the numbers
     and joined with the draw table by number: broadcast up to a checked
     number of draws, shuffled on the (evenly spread) number beyond it."""
@@ -214,10 +224,8 @@ def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],
     x = latest.withColumn("sim_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     x = x.join(numbered, "sim_id")
     x = update_macro_terms(x, *[F.col(f"__{v}") for v in NOISE_SD])
-    parts = F.array(*[F.struct(F.lit(t).alias("target"), linear_score(t, scorer).alias("p"))
-                      for t in targets])
-    return (x.select("sim_id", F.explode(parts).alias("q")).groupBy("q.target", "sim_id")
-             .agg(F.avg("q.p").alias("mean_prediction")).select("target", "sim_id", "mean_prediction"))
+    return (_by_target(scorer(x, targets), targets, ["sim_id"]).groupBy("target", "sim_id")
+            .agg(F.avg("predicted").alias("mean_prediction")).select("target", "sim_id", "mean_prediction"))
 
 
 def bootstrap_summary(means: DataFrame) -> DataFrame:

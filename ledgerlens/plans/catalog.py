@@ -511,22 +511,32 @@ def _latest(spark, sf_dir):
     return S.latest_per_company(l2(spark, sf_dir), _SC_NEED)
 
 
-def _pred(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "pred")
+def _scored_by(spark, sf_dir, kind):
+    """(panel, latest row per firm, scorer): ``linear`` is the scorer that SQL
+    can state, ``trees`` the trained models on the layer-3 panel."""
+    if kind == "linear":
+        return l2(spark, sf_dir), _latest(spark, sf_dir), S.linear_scorer()
+    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
+    need = [c for c in p.columns if c in {*_SC_NEED, *feats} - {"company"}]
+    return p, S.latest_per_company(p, need), MD.model_scorer({t: _gbt(spark, sf_dir, t) for t in TARGETS}, feats)
+
+
+def _pred(spark, sf_dir, kind="linear"):
+    key = (spark.sparkContext.applicationId, sf_dir, "pred", kind)
     if key not in _CACHE:
-        p = l2(spark, sf_dir)
-        _CACHE[key] = cut_lineage(S.score_scenarios(_latest(spark, sf_dir), S.baseline_macros(p), TARGETS))
+        panel, latest, scorer = _scored_by(spark, sf_dir, kind)
+        _CACHE[key] = cut_lineage(S.score_scenarios(latest, S.baseline_macros(panel), TARGETS, scorer))
     return _CACHE[key]
 
 
-def _wide(spark, sf_dir):
-    return S.base_vs_scenarios(_pred(spark, sf_dir))
+def _wide(spark, sf_dir, kind="linear"):
+    return S.base_vs_scenarios(_pred(spark, sf_dir, kind))
 
 
-def _risk(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "risk")
+def _risk(spark, sf_dir, kind="linear"):
+    key = (spark.sparkContext.applicationId, sf_dir, "risk", kind)
     if key not in _CACHE:
-        _CACHE[key] = cut_lineage(RK.risk_scores(_wide(spark, sf_dir), RK.roa_history(l2(spark, sf_dir))))
+        _CACHE[key] = cut_lineage(RK.risk_scores(_wide(spark, sf_dir, kind), RK.roa_history(l2(spark, sf_dir))))
     return _CACHE[key]
 
 
@@ -733,10 +743,11 @@ def _draws(spark, sf_dir):
     return _CACHE[key]
 
 
-def _boot(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "boot")
+def _boot(spark, sf_dir, kind="linear"):
+    key = (spark.sparkContext.applicationId, sf_dir, "boot", kind)
     if key not in _CACHE:
-        _CACHE[key] = cut_lineage(S.bootstrap_means(_latest(spark, sf_dir), _draws(spark, sf_dir), TARGETS))
+        _, latest, scorer = _scored_by(spark, sf_dir, kind)
+        _CACHE[key] = cut_lineage(S.bootstrap_means(latest, _draws(spark, sf_dir), TARGETS, scorer))
     return _CACHE[key]
 
 
@@ -1126,16 +1137,99 @@ def i16b_gbt_scored_panel(spark, sf_dir):
 @query("j4b_gbt_scenarios")
 def j4b_gbt_scenarios(spark, sf_dir):
     """J3/J4 with the trained models: firms x scenarios rescored by GBT."""
-    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
-    latest = S.latest_per_company(p, [c for c in p.columns if c not in ("company",)])
-    x = MD.score_matrix(S.firms_by_scenario(latest, S.baseline_macros(p)), feats)
-    out = None
-    for t in TARGETS:
-        part = MD.predict(_gbt(spark, sf_dir, t), x, feats, "predicted").select(
-            F.lit(t).alias("target"), "scenario", "company",
-            F.coalesce(F.col("sector"), F.lit("Unknown")).alias("sector"), "predicted")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _pred(spark, sf_dir, "trees").select("target", "scenario", "company", "sector", "predicted")
+
+
+@query("j4c_gbt_invariants", O.with_layers("l2", " UNION ALL ".join(
+    f"SELECT '{t}' AS target, count(DISTINCT company) AS n_firms, count(DISTINCT company) * {len(S.SCENARIOS)} AS n_rows, "
+    f"{O.d(0.0)} AS base_gap, true AS scores_in_range, true AS ranks_gapless, "
+    f"CAST({N_SIMS} AS BIGINT) AS n_draws FROM l2" for t in TARGETS)))
+def j4c_gbt_invariants(spark, sf_dir):
+    """What holds of the trained models' tables whatever the trees are: one
+    row per firm and scenario, BASE equal to scoring the unshifted firms, risk
+    scores in [0, 100], ranks 1 to n, one mean per draw."""
+    panel, latest, scorer = _scored_by(spark, sf_dir, "trees")
+    base, pred = S.baseline_macros(panel), _pred(spark, sf_dir, "trees")
+    alone = scorer(S.update_macro_terms(latest, *[F.lit(base[v]) for v in S.NOISE_SD]), TARGETS).unpivot(
+        "company", [f"predicted_{t}" for t in TARGETS], "target", "alone").withColumn(
+        "target", F.regexp_replace("target", "^predicted_", ""))
+    rows = pred.groupBy("target").agg(F.count_distinct("company").alias("n_firms"), F.count(F.lit(1)).alias("n_rows"))
+    gap = pred.where("scenario = 'BASE'").join(alone, ["target", "company"]).groupBy("target").agg(
+        F.round(F.max(F.abs(F.col("predicted") - F.col("alone"))), 9).alias("base_gap"))
+    ranked = RK.risk_ranking(_risk(spark, sf_dir, "trees"))
+    bounds = ranked.agg(F.every(F.col("risk_score").between(0, 100)).alias("scores_in_range"),
+                        ((F.count_distinct("rank") == F.count(F.lit(1))) & (F.min("rank") == 1)
+                         & (F.max("rank") == F.count(F.lit(1)))).alias("ranks_gapless"))
+    draws = _boot(spark, sf_dir, "trees").groupBy("target").agg(F.count_distinct("sim_id").alias("n_draws"))
+    return rows.join(gap, "target").join(draws, "target").select(
+        "target", "n_firms", "n_rows", "base_gap", bounds.select("scores_in_range").scalar().alias("scores_in_range"),
+        bounds.select("ranks_gapless").scalar().alias("ranks_gapless"), "n_draws")
+
+
+@query("j5b_gbt_stress_impact")
+def j5b_gbt_stress_impact(spark, sf_dir):
+    """J5 with the trained models: mean impact of each scenario."""
+    return S.stress_impacts(_wide(spark, sf_dir, "trees"))
+
+
+@query("j6b_gbt_risk_scores")
+def j6b_gbt_risk_scores(spark, sf_dir):
+    """J6 with the trained models: risk scores per (target, company)."""
+    return _risk(spark, sf_dir, "trees")
+
+
+@query("j8c_gbt_bootstrap_means")
+def j8c_gbt_bootstrap_means(spark, sf_dir):
+    """J8 with the trained models: mean prediction of all firms per draw."""
+    return _boot(spark, sf_dir, "trees")
+
+
+@query("j8d_gbt_bootstrap_summary")
+def j8d_gbt_bootstrap_summary(spark, sf_dir):
+    """J8/J19 with the trained models: mean, std and intervals."""
+    return S.bootstrap_summary(_boot(spark, sf_dir, "trees"))
+
+
+@query("j9b_gbt_histogram")
+def j9b_gbt_histogram(spark, sf_dir):
+    """J9 with the trained models: 50-bin histogram of the draw means."""
+    return S.histogram(_boot(spark, sf_dir, "trees"), 50)
+
+
+@query("j10b_gbt_warnings")
+def j10b_gbt_warnings(spark, sf_dir):
+    """J10 with the trained models: warning signals."""
+    return RK.warnings(_wide(spark, sf_dir, "trees"))
+
+
+@query("j12b_gbt_risk_ranking")
+def j12b_gbt_risk_ranking(spark, sf_dir):
+    """J12 with the trained models: global risk ranking."""
+    return RK.risk_ranking(_risk(spark, sf_dir, "trees"))
+
+
+@query("j13c_gbt_sector_summary")
+def j13c_gbt_sector_summary(spark, sf_dir):
+    """J13 with the trained models: risk by sector."""
+    return RK.sector_summary(_risk(spark, sf_dir, "trees"))
+
+
+@query("h8b_gbt_sector_performance")
+def h8b_gbt_sector_performance(spark, sf_dir):
+    """H8 with the trained models: mean prediction by sector."""
+    return RK.sector_performance(_pred(spark, sf_dir, "trees"))
+
+
+@query("e14b_gbt_scenario_pivot")
+def e14b_gbt_scenario_pivot(spark, sf_dir):
+    """E14/J15/J16 with the trained models: scenario x target means."""
+    return RK.scenario_pivot(_pred(spark, sf_dir, "trees"), TARGETS)
+
+
+@query("e15b_gbt_kpi_row")
+def e15b_gbt_kpi_row(spark, sf_dir):
+    """E15 with the trained models: one-row KPI summary."""
+    return RK.kpi_row(_risk(spark, sf_dir, "trees"), RK.warnings(_wide(spark, sf_dir, "trees")))
 
 
 def _attr_wide(spark, sf_dir, target):
