@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, workers_ready
-from .tokens import BLOCK_CHARS, UNITS_KEPT, encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 SEQUENCE = 1024
+BLOCK_CHARS = 8_000_000         # characters encoded at a time: a batch is one block
+UNITS_KEPT = 500_000            # cached units of a worker
 SHARD_PIECES = 6_000
 ROUNDS = 2                      # dealings; the last packs what earlier ones left underfull
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
