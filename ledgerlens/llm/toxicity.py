@@ -6,8 +6,9 @@ over distinct neighbour pairs, so that copies of one toxic text do not make
 its ordinary words look toxic.  A trie holds the terms; the Levenshtein
 automaton of every term is run over the whole trie at once (states are sets
 of (trie node, edits), determinised as words are read), which finds exact,
-misspelled and inflected forms in one pass over a word.  Words seen in clean
-training texts are never taken for misspellings.  Each hit is weighed by its
+misspelled and inflected forms in one pass over a word, a misspelled stem or
+first letter among them.  Words seen in clean training texts are never taken
+for misspellings, nor what these words begin with for a misspelled stem.  Each hit is weighed by its
 context window: quotation marks and reporting words make it count less,
 second-person words more.  A logistic model over the document's summed
 weights gives the score.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +60,20 @@ def edits_allowed(term: str, stem: bool) -> int:
 class FuzzyTrie:
     """Levenshtein automata of all terms, run together over their trie.
 
-    ``match(word)`` is the least number of edits to a term, or None.  The
-    first letter must agree.  Stems match any word they begin exactly.
+    ``match(word)`` is the least number of edits to a term, or None.  Stems
+    match any word they begin.  With ``strict`` the first letter must agree
+    and stems must be exact; without, a stem may have the edits of a whole
+    word of its length, and the first letter may be edited as any other.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str] = frozenset(), strict: bool = True):
         self.kids: list[dict[str, int]] = [{}]
-        self.budget, self.ends, self.stem = [0], [-1], [False]
-        self.clean = clean
+        self.budget, self.ends, self.stem = [0], [-1], [-1]      # edits; -1: no term, no stem ends here
+        self.clean, self.strict = clean, strict
         for term, is_stem in terms:
-            k, node = edits_allowed(term, is_stem), 0
+            k, node = edits_allowed(term, is_stem and strict), 0
+            if not strict:
+                self.budget[0] = max(self.budget[0], k)
             for ch in term:
                 nxt = self.kids[node].get(ch)
                 if nxt is None:
@@ -75,17 +81,20 @@ class FuzzyTrie:
                     self.kids.append({})
                     self.budget.append(0)
                     self.ends.append(-1)
-                    self.stem.append(False)
+                    self.stem.append(-1)
                 node = nxt
                 self.budget[node] = max(self.budget[node], k)
             self.ends[node] = max(self.ends[node], k)
-            self.stem[node] = self.stem[node] or is_stem
+            if is_stem:
+                self.stem[node] = max(self.stem[node], k)
         self._ids: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._steps: list[dict[str, int]] = []
         self._accept: list[int] = []          # edits when the word ends here, or -1
-        self._sure: list[bool] = []           # a stem was read without edits
-        self._start = self._state({0: 0}, False)
+        self._begun: list[int] = []           # edits of a stem that ends here, or -1
+        self._start = self._state({0: 0}, not strict)
+        self.clean_begins: frozenset[str] = frozenset()
+        self.clean_begins = frozenset(w[:i] for w in clean for i, _ in self._stems(w))
 
     def _state(self, best: dict[int, int], start: bool = True) -> int:
         todo = list(best.items()) if start else []
@@ -101,7 +110,7 @@ class FuzzyTrie:
             self._sets.append(key)
             self._steps.append({})
             self._accept.append(min((e for n, e in key if e <= self.ends[n]), default=-1))
-            self._sure.append(any(e == 0 and self.stem[n] for n, e in key))
+            self._begun.append(min((e for n, e in key if e <= self.stem[n]), default=-1))
         return self._ids[key]
 
     def _step(self, state: int, ch: str) -> int:
@@ -109,26 +118,44 @@ class FuzzyTrie:
         for node, e in self._sets[state]:
             for c, kid in self.kids[node].items():
                 cost = e if c == ch else e + 1
-                if (node or c == ch) and cost <= self.budget[kid] and cost < best.get(kid, 9):
+                if (node or c == ch or not self.strict) and cost <= self.budget[kid] and cost < best.get(kid, 9):
                     best[kid] = cost
-            if node and e + 1 <= self.budget[node] and e + 1 < best.get(node, 9):
+            if (node or not self.strict) and e + 1 <= self.budget[node] and e + 1 < best.get(node, 9):
                 best[node] = e + 1
         to = self._state(best) if best else -1
         self._steps[state][ch] = to
         return to
 
+    def _stems(self, word: str):
+        """(letters read, edits) wherever a misspelled stem begins the word."""
+        state = self._start
+        for i, ch in enumerate(word, 1):
+            to = self._steps[state].get(ch)
+            state = self._step(state, ch) if to is None else to
+            if state < 0:
+                return
+            if self._begun[state] > 0:
+                yield i, self._begun[state]
+
     def match(self, word: str) -> int | None:
-        state, steps = self._start, self._steps
-        for ch in word:
+        state, steps, begun = self._start, self._steps, -1
+        for i, ch in enumerate(word, 1):
             to = steps[state].get(ch)
             if to is None:
                 to = self._step(state, ch)
             if to < 0:
-                return None
-            if self._sure[to]:
+                e = begun
+                break
+            e = self._begun[to]
+            if e == 0:
                 return 0
+            if e > 0 and (begun < 0 or e < begun) and word[:i] not in self.clean_begins:
+                begun = e
             state = to
-        e = self._accept[state]
+        else:
+            e = self._accept[state]
+            if e < 0 or 0 < begun < e:
+                e = begun
         return None if e < 0 or (e > 0 and word in self.clean) else e
 
 
@@ -136,7 +163,7 @@ class Scanner:
     """Hits of a lexicon in texts, weighed by context."""
 
     def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str], limit: int = 150_000):
-        self.trie = FuzzyTrie(terms, clean)
+        self.trie = FuzzyTrie(terms, clean, strict=False)
         self.token = re.compile(TOKEN)
         self.known: set[str] = set()
         self.hits: dict[str, int] = {}
@@ -187,7 +214,9 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> Dat
 
 def learn_terms(sample: DataFrame, min_log_odds: float = MIN_LOG_ODDS,
                 most: int = LEXICON_TERMS) -> list[tuple[str, bool]]:
-    """(term, is_stem) pairs that mark toxic texts of the sample."""
+    """(term, is_stem) pairs that mark toxic texts of the sample: the ``most``
+    frequent stems and words outside them, and every accepted word behind one
+    of these stems."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:
@@ -230,7 +259,10 @@ def learn_terms(sample: DataFrame, min_log_odds: float = MIN_LOG_ODDS,
     for t, n in whole.items():
         if not any((t[:k], True) in terms for k in range(lo, len(t) + 1)):
             terms[t, False] = n
-    return sorted(terms, key=lambda t: (-terms[t], t))[:most]
+    kept = sorted(terms, key=lambda t: (-terms[t], t))[:most]
+    behind = [t for t in sorted(whole) if (t, False) not in terms
+              and any((t[:k], True) in kept for k in range(lo, len(t) + 1))]
+    return kept + [(t, False) for t in behind]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -261,20 +293,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
         return {"terms": [], "clean": frozenset(), "weights": [0.0, 0.0, -3.0]}
 
     def near_words(batches):
-        trie = FuzzyTrie(terms)
-        token, seen = re.compile(TOKEN), set()
+        trie = FuzzyTrie(terms, strict=False)
+        token, seen = re.compile(TOKEN), Counter()
         for b in sliced(batches):
             for text in b.column("text").to_pylist():
-                seen |= set(token.findall(text.lower()))
-        yield pa.RecordBatch.from_pydict({"w": pa.array(sorted(w for w in seen if trie.match(w)), pa.string())})
+                seen.update(set(token.findall(text.lower())))
+        near = sorted(w for w in seen if trie.match(w))
+        yield pa.RecordBatch.from_pydict({"w": pa.array(near, pa.string()),
+                                          "n": pa.array([seen[w] for w in near], pa.int64())})
 
-    clean = frozenset(r["w"] for r in sample.where("toxic = 0").select("text")
-                      .mapInArrow(near_words, "w string").distinct().collect())
+    counts = {r["w"]: r["n"] for r in sample.where("toxic = 0").select("text")
+              .mapInArrow(near_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    clean = frozenset(counts)
+    elsewhere = frozenset(w for w, n in counts.items() if n > 1)
 
     def observe(batches):
-        scan = Scanner(terms, clean)
+        # a clean text is judged by the words of the other clean texts, as an unseen one is
+        scans = (Scanner(terms, elsewhere), Scanner(terms, clean))
         for b in sliced(batches):
-            f = [scan.features(t) for t in b.column("text").to_pylist()]
+            f = [scans[y].features(t) for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())]
             yield pa.RecordBatch.from_pydict({"f": pa.array(f, pa.list_(pa.float64())), "y": b.column("toxic")})
 
     seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")) \

@@ -307,6 +307,23 @@ def test_fuzzy_trie_against_edit_distance():
         assert trie.match(w) == (None if w == "marons" else best), w
 
 
+def test_inflected_terms_keep_their_edits(spark):
+    forms = ["stupid"] * 12 + ["stupidly"] * 9 + ["stupiid"] * 9
+    rows = [(i, 1, f"a{i} {w} b{i}") for i, w in enumerate(forms)] + [(100 + i, 0, f"a{i} plain b{i}") for i in range(60)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
+    stems = [t for t, is_stem in terms if is_stem]
+    assert stems and {("stupid", False), ("stupidly", False)} <= set(terms)
+    trie = toxicity.Scanner(terms, frozenset({"stun"})).trie
+    assert {w: trie.match(w) for w in ("stupid", "stupidity", "stuoid", "stpid", "xtupid", "tupid", "stun")} == {
+        "stupid": 0, "stupidity": 0, "stuoid": 1, "stpid": 1, "xtupid": 1, "tupid": 1, "stun": None}
+
+
+def test_misspelled_stems():
+    trie = toxicity.FuzzyTrie([("lowei", True), ("stup", True)], frozenset({"loweyly"}), strict=False)
+    assert [trie.match(w) for w in ("loweiung", "lowiung", "xoweiung", "owei", "stqpid", "loweyly", "loweyness")] == [
+        0, 1, 1, 1, None, None, None]
+
+
 def test_quoted_terms_count_less():
     scan = toxicity.Scanner([("moron", False)], frozenset())
     assert scan.features('they said the word "moron" is old')[0] < scan.features("you are a moron")[0]
