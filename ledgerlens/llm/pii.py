@@ -34,7 +34,27 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Added kinds.
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+# ISO 13616 lengths by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_regex() -> str:
+    """A number of a listed country ends at its country's length, whatever
+    follows behind a blank; else the longest run of groups that ends with a
+    word, else the longest run."""
+    def run(n):
+        return rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    listed = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{run(n)}" for n, c in IBAN_LENGTHS.items())
+    other = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    end = "(?![A-Za-z0-9])"
+    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{listed}){end}|{other}{end}|{other})"
+
+
+IBAN = _iban_regex()
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PAN = r"[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}"
 

@@ -96,6 +96,28 @@ def test_personal_data_matches_plain_search(docs, rows):
     assert {"iban", "ssn", "pan"} <= added
 
 
+def test_ibans_before_other_words(spark):
+    numbers = ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466",
+               "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947",
+               "GB82 WEST 1234 5698 7654 32"]
+    behind = ["", " Bitte", " The", " 2024", " 17", " A", ".", " 12345 x", " DE89 3704 0044 0532 0130 00"]
+    rows = [(i, f"to {n}{b}", n, b) for i, (n, b) in enumerate((n, b) for n in numbers for b in behind)]
+    rows += [(1000, "x AT61 1904 3002 3457 3202 Bitte", None, None), (1001, "DE89370400440532013000abc", None, None)]
+    out = pii.scan(spark.createDataFrame(rows, "doc_id long, text string, number string, behind string")).collect()
+    for r in out:
+        found = [(s["start"], s["text"]) for s in r["pii_spans"] if s["kind"] == "iban"]
+        if r["doc_id"] >= 1000:
+            assert found == ([] if r["doc_id"] == 1000 else [(0, "DE89370400440532013000")])
+            continue
+        whole = [(3, r["number"])]
+        if r["behind"].startswith(" DE"):
+            whole.append((4 + len(r["number"]), r["behind"][1:]))
+        assert found == whole, r["text"]
+    left = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, number string, behind string")
+                      .where("number IS NOT NULL")).collect()
+    assert all(r["text"].startswith("to [IBAN]") for r in left)
+
+
 def test_redaction(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns
