@@ -4,7 +4,8 @@ A document is its ids and an end id.  One longer than the sequence is cut
 into full pieces behind a first piece that may be shorter; full pieces are
 sequences of their own, so at most one piece of a document is left to pack.
 
-Pieces are dealt at random to shards of about ``SHARD_PIECES``.  In a shard
+Pieces are numbered where they are first written and dealt by a hash of that
+number to shards of about ``SHARD_PIECES``, equal rows too.  In a shard
 they are placed best fit, largest first; then a swap-based local search works
 on the underfull bins: it takes the emptiest bin and moves a piece out of it,
 exchanges one piece for a smaller one, or one for two, always so that the
@@ -20,7 +21,10 @@ result.
 from __future__ import annotations
 
 import bisect
+import functools
+import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,72 +99,112 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of
-    squared fills."""
-    fills = [int(lengths[b].sum()) for b in bins]
-    under = sorted((i for i in range(len(bins)) if fills[i] < size), key=lambda i: fills[i])
-    while len(under) > 1:
-        poor = under.pop(0)                       # the emptiest bin gives
-        while bins[poor]:
-            step = _best_step(poor, under, bins, fills, lengths, size)
+    squared fills.  Bins that hold the same lengths are one kind, which is
+    searched once however many bins it has."""
+    bins = [sorted(b, key=lambda x: int(lengths[x])) for b in bins]
+    kinds = [tuple(int(lengths[x]) for x in b) for b in bins]
+    groups: dict[tuple, list[int]] = {}            # kind -> underfull bins in the search
+    for i, k in enumerate(kinds):
+        if k and sum(k) < size:
+            groups.setdefault(k, []).append(i)
+
+    def leave(kind):
+        i = groups[kind].pop()
+        if not groups[kind]:
+            del groups[kind]
+        return i
+
+    heap = [(sum(k), k) for k in groups]
+    heapq.heapify(heap)
+    while heap:
+        poor_kind = heap[0][1]                     # the emptiest kind gives
+        if poor_kind not in groups:
+            heapq.heappop(heap)
+            continue
+        poor = leave(poor_kind)
+        changed = False
+        while kinds[poor]:
+            step = _best_step(kinds[poor], groups, size)
             if step is None:
                 break
-            give, other, take = step
-            for x in give:
-                bins[poor].remove(x)
-            for x in take:
-                bins[other].remove(x)
-            bins[other] += give
-            bins[poor] += take
-            moved = int(lengths[give].sum()) - int(lengths[take].sum() if take else 0)
-            fills[poor] -= moved
-            fills[other] += moved
-            if fills[other] == size:
-                under.remove(other)
+            give, kind, take = step
+            other = leave(kind)
+            given, taken = _out(bins[poor], give, lengths), _out(bins[other], take, lengths)
+            bins[poor] += taken
+            bins[other] += given
+            for i in (poor, other):
+                bins[i].sort(key=lambda x: int(lengths[x]))
+                kinds[i] = tuple(int(lengths[x]) for x in bins[i])
+            if sum(kinds[other]) < size:
+                if kinds[other] not in groups:
+                    heapq.heappush(heap, (sum(kinds[other]), kinds[other]))
+                groups.setdefault(kinds[other], []).append(other)
+            changed = True
+        if not changed:
+            groups.pop(poor_kind, None)            # its like have no step either
     return [b for b in bins if b]
 
 
-def _best_step(poor, under, bins, fills, lengths, size):
-    """(given, other bin, taken) that fills another bin most: a move (gives
-    one, takes none), one for one, or one for two; None when nothing helps.
-    The other bin must be at least as full, so every step raises the sum of
-    squares."""
-    ids = np.array([x for o in under for x in bins[o]], np.int64)
-    if not len(ids):
+def _out(pieces_of: list[int], wanted: list[int], lengths: np.ndarray) -> list[int]:
+    """Take pieces of these lengths out of a bin."""
+    found = []
+    for n in wanted:
+        x = next(x for x in pieces_of if lengths[x] == n)
+        pieces_of.remove(x)
+        found.append(x)
+    return found
+
+
+@functools.lru_cache(maxsize=20_000)
+def _pair_sums(kind: tuple) -> tuple[list[int], list[tuple[int, int]]]:
+    """Sorted distinct sums of two pieces of a kind, with one pair for each."""
+    once = sorted(set(kind))
+    sums = {x + y: (x, y) for i, x in enumerate(once) for y in once[i + 1:]}
+    sums |= {2 * x: (x, x) for x, n in Counter(kind).items() if n > 1}
+    order = sorted(sums)
+    return order, [sums[n] for n in order]
+
+
+def _best_step(own: tuple, groups: dict[tuple, list[int]], size: int):
+    """(given lengths, other kind, taken lengths) that fills another bin most:
+    a move (gives one, takes none), one for one, one for two, or two for one;
+    None when nothing helps.  The other bins must be at least as full, so
+    every step raises the sum of squares."""
+    others = list(groups)
+    if not others:
         return None
-    owner = np.array([o for o in under for _ in bins[o]], np.int64)
-    free = size - np.array(fills)[owner]
-    sizes = lengths[ids]
-    bin_free = size - np.array([fills[o] for o in under])
-    own_fill = fills[poor]
+    room = [size - sum(k) for k in others]
+    once = [sorted(set(k)) for k in others]
+    owner = np.repeat(np.arange(len(others)), [len(x) for x in once])
+    sizes = np.fromiter((n for x in once for n in x), np.int64, len(owner))
+    bin_free = np.array(room)
+    free = bin_free[owner]
     best, found = 0, None
-    for a in sorted(set(bins[poor]), key=lambda x: -lengths[x]):
-        n = int(lengths[a])
+    for n in sorted(set(own), reverse=True):
         if n <= best:
             break
         fits = np.flatnonzero(bin_free >= n)
         if len(fits):                                               # move
-            o = under[int(fits[np.argmin(bin_free[fits])])]
-            return [a], o, []
+            return [n], others[int(fits[np.argmin(bin_free[fits])])], []
         gain = n - sizes                                            # one for one
         ok = (gain > best) & (gain <= free)
         if ok.any():
             j = int(np.argmax(np.where(ok, gain, 0)))
-            best, found = int(gain[j]), ([a], int(owner[j]), [int(ids[j])])
-        for o, f in zip(under, bin_free.tolist()):                  # one for two
-            if len(bins[o]) > 1 and f > best:
-                s = sorted((int(lengths[x]), x) for x in bins[o])
-                for k in range(len(s) - 1):
-                    g = n - s[k][0] - s[k + 1][0]
-                    if best < g <= f:
-                        best, found = g, ([a], o, [s[k][1], s[k + 1][1]])
-    pairs = [(int(lengths[x] + lengths[y]), x, y) for i, x in enumerate(bins[poor]) for y in bins[poor][i + 1:]]
-    for n, x, y in pairs[:64]:                                      # two for one
-        gain = n - sizes
-        ok = (gain > best) & (gain <= free)
-        if ok.any():
-            j = int(np.argmax(np.where(ok, gain, 0)))
-            best, found = int(gain[j]), ([x, y], int(owner[j]), [int(ids[j])])
-    return found if own_fill else None
+            best, found = int(gain[j]), ([n], others[owner[j]], [int(sizes[j])])
+        for k, f in zip(others, room):                              # one for two
+            if len(k) > 1 and f > best and k[0] + k[1] < n - best:
+                sums, pairs = _pair_sums(k)
+                at = bisect.bisect_left(sums, n - f)
+                if at < len(sums) and n - sums[at] > best:
+                    best, found = n - sums[at], ([n], k, list(pairs[at]))
+    if len(own) > 1:
+        for n, pair in zip(*_pair_sums(own)):                       # two for one
+            gain = n - sizes
+            ok = (gain > best) & (gain <= free)
+            if ok.any():
+                j = int(np.argmax(np.where(ok, gain, 0)))
+                best, found = int(gain[j]), (list(pair), others[owner[j]], [int(sizes[j])])
+    return found
 
 
 def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
@@ -169,7 +213,7 @@ def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
 
 def _deal(rows: DataFrame, n: int, salt: int) -> DataFrame:
     shards = max(1, -(-n // SHARD_PIECES))
-    key = F.xxhash64(F.lit(salt), "doc_id", "piece", "length", "ids_crc32")
+    key = F.xxhash64(F.lit(salt), "row")            # equal rows go apart
     return rows.withColumn("shard", F.pmod(key, F.lit(shards)))
 
 
@@ -201,16 +245,17 @@ def pack(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece (PIECES columns)."""
     spark = cut.sparkSession
     workers_ready(spark)
-    left = shared_table(cut, "pieces")
+    # numbered once: the number is stored with the piece
+    left = shared_table(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     done = []
     for number in range(ROUNDS):
         last = number == ROUNDS - 1
         n = left.count()
         placed = shared_table(
             _deal(left, n, number).groupBy("shard").applyInArrow(
-                _placer(number, size), f"{PIECES}, sequence_id bigint, offset bigint, closed boolean"), "packed")
+                _placer(number, size), f"{PIECES}, row bigint, sequence_id bigint, offset bigint, closed boolean"), "packed")
         keep = placed if last else placed.where("closed")
-        done.append(keep.drop("closed"))
+        done.append(keep.drop("closed", "row"))
         left = placed.where("NOT closed").select(*left.columns)
     out = done[0]
     for d in done[1:]:

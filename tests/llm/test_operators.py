@@ -190,6 +190,25 @@ def test_local_search_empties_bins():
     assert sorted(x for b in out for x in b) == list(range(6)) and len(out) == 2
 
 
+def test_equal_pieces_are_dealt_apart(spark):
+    n = 3 * packing.SHARD_PIECES
+    same = spark.range(n).selectExpr("CAST(NULL AS bigint) AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "7L AS ids_crc32")
+    out = packing.pack(same.union(spark.range(n).selectExpr("id", "0", "0L", "400L", "id"))).cache()
+    shards = out.groupBy((F.col("sequence_id").bitwiseAND(-(1 << 24))).alias("shard")).count()
+    assert shards.agg(F.max("count")).first()[0] < 1.2 * packing.SHARD_PIECES
+    fills = out.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
+    assert out.count() == 2 * n and fills.agg(F.max("fill")).first()[0] <= 1024
+    assert fills.count() <= 1.05 * n
+
+
+def test_equal_bins_are_searched_once():
+    import time
+    t = time.process_time()
+    assert len(packing.pack_lengths(np.full(30_000, 600), 1024)) == 30_000
+    assert len(packing.pack_lengths(np.array([600] * 3000 + [1] * 3000), 1024)) == 3000
+    assert time.process_time() - t < 10
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(60, 40)), 3, axis=0).astype(float)
