@@ -8,9 +8,10 @@ Pieces are numbered where they are first written and dealt by a hash of that
 number to shards of about ``SHARD_PIECES``, equal rows too.  In a shard
 they are placed best fit, largest first; then a swap-based local search works
 on the underfull bins: it takes the emptiest bin and moves a piece out of it,
-exchanges one piece for a smaller one, or one for two, always so that the
-other bin gets fuller, until bins empty or no step raises the sum of squared
-fills.  Bins that stay underfull are dealt anew, fewer shards each round, and
+exchanges one piece for a smaller one, one for two or two for one (all pairs
+are looked at), always so that a bin no emptier gets fuller, which raises the
+sum of squared fills; passes over the underfull bins repeat until in one no
+bin has a step towards a fuller one.  Bins that stay underfull are dealt anew, fewer shards each round, and
 packed again.
 
 Defined results: null and empty texts are one piece of the end id; repeated
@@ -99,10 +100,19 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of
-    squared fills.  Bins that hold the same lengths are one kind, which is
-    searched once however many bins it has."""
+    squared fills, in passes until one finds no step.  Bins that hold the same
+    lengths are one kind, which is searched once however many bins it has."""
     bins = [sorted(b, key=lambda x: int(lengths[x])) for b in bins]
     kinds = [tuple(int(lengths[x]) for x in b) for b in bins]
+    while _search_pass(bins, kinds, lengths, size):
+        pass
+    return [b for b in bins if b]
+
+
+def _search_pass(bins: list[list[int]], kinds: list[tuple], lengths: np.ndarray, size: int) -> bool:
+    """Let every underfull bin give once, the emptiest first; whether any
+    step was made."""
+    raised = False
     groups: dict[tuple, list[int]] = {}            # kind -> underfull bins in the search
     for i, k in enumerate(kinds):
         if k and sum(k) < size:
@@ -139,10 +149,10 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
                 if kinds[other] not in groups:
                     heapq.heappush(heap, (sum(kinds[other]), kinds[other]))
                 groups.setdefault(kinds[other], []).append(other)
-            changed = True
+            changed = raised = True
         if not changed:
             groups.pop(poor_kind, None)            # its like have no step either
-    return [b for b in bins if b]
+    return raised
 
 
 def _out(pieces_of: list[int], wanted: list[int], lengths: np.ndarray) -> list[int]:

@@ -209,6 +209,26 @@ def test_equal_bins_are_searched_once():
     assert time.process_time() - t < 10
 
 
+def test_local_search_looks_at_all_pairs():
+    # the only pair that fits (50 + 51 for 100) is the last of 105
+    own = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 50, 51)
+    assert packing._best_step(own, {(100, 922): [0]}, 1023) == ([50, 51], (100, 922), [100])
+    # smallest and largest of three are no neighbours
+    assert packing._best_step((20,), {(3, 7, 16): [0]}, 27) == ([20], (3, 7, 16), [3, 16])
+
+
+def test_local_search_ends_without_a_step():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(20, 90, 200)
+        bins = packing.local_search(packing.best_fit(lengths, 256), lengths, 256)
+        assert sorted(x for b in bins for x in b) == list(range(200))
+        kinds = [tuple(sorted(int(lengths[x]) for x in b)) for b in bins]
+        for k in kinds:
+            fuller = {o: [0] for o in kinds if sum(k) < sum(o) < 256}
+            assert sum(k) == 256 or packing._best_step(k, fuller, 256) is None
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(60, 40)), 3, axis=0).astype(float)
