@@ -302,6 +302,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = COORD
         _long_lists(members.where(F.col("size") > SHORT), classes, docs, width, percent, coords, matches))
     second = _confirmed(_ordered(rest), docs, width, percent)
     links = shared_table(first.union(second), "links")
+    # an id on different texts joins their classes
+    several = shared_table(known.groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
+                           .where("lo <> hi").select("doc_id"), "several")
+    n = several.count()
+    if n:
+        texts = known.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id").select("doc_id", *keys).distinct()
+        links = links.union(texts.join(classes.withColumnRenamed("n", "n_shingles"), keys)
+                            .select(F.col("doc_id").alias("a"), F.col("cls").alias("b")))
     comp = components(links)
 
     named = classes.select(F.col("set_hi"), F.col("set_lo"), F.col("n").alias("n_shingles"), "cls").join(comp, "cls", "left")

@@ -337,6 +337,20 @@ def test_links_match_all_pairs(spark, docs, rows):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_an_id_on_different_texts_is_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, "c1 c2 c3 c4 c5 c6"), (11, None), (None, a)]
+    out = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in out) == [
+        (0, 0, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (11, 11, True)]
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{i}_{j}" for j in range(20)) for i in range(40)]
+    rows = [(int(i), texts[t]) for i, t in zip(rng.integers(0, 60, 70), rng.integers(0, 40, 70))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_links(table.collect(), 4, 80)
+    assert all(r["component_id"] == expected[r["doc_id"]] for r in neardup.link(table, width=4).collect())
+
+
 def test_language_and_toxicity_held_out(spark, docs):
     model = langid.fit(docs, crc_bucket(F.col("doc_id"), 4) != 2)
     out = langid.identify(docs, model)
