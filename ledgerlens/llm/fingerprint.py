@@ -5,7 +5,8 @@ space); a shorter text has one shingle, its whole word sequence, and a text
 without words none.  The sketch is the sorted array of the ``K`` smallest
 distinct 64-bit shingle hashes.  Sketches merge by union (also across parts
 of a corpus), and give estimates of resemblance, containment and the number
-of distinct shingles; texts with at most ``K`` shingles are compared exactly.
+of distinct shingles; texts with fewer than ``K`` distinct shingles, whose
+sketches are whole sets, are compared exactly.
 
 Built from DataFrame functions throughout.
 
@@ -48,8 +49,10 @@ def with_sketches(df: DataFrame, texts: dict[str, str], k: int = K, width: int =
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard likeness of the shingle sets behind two sketches."""
-    low = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    """Estimated Jaccard likeness of the shingle sets behind two sketches;
+    exact when both hold fewer than ``k`` hashes."""
+    every = F.array_union(a, b)
+    low = F.when((F.size(a) < k) & (F.size(b) < k), every).otherwise(F.slice(F.sort_array(every), 1, k))
     both = F.array_intersect(F.array_intersect(a, b), low)
     return F.when(F.size(low) == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(low))
 

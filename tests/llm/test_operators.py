@@ -296,6 +296,14 @@ def test_sketches_merge(spark):
     assert abs(pair["j"] - 196 / 596) < 0.2 and abs(pair["c"] - 196 / 396) < 0.25
 
 
+def test_whole_sketches_compare_exactly(spark):
+    x, y = " ".join(f"a{i}" for i in range(104)), " ".join(f"a{i}" for i in range(60, 170))   # 100 and 106 shingles
+    pair = fingerprint.with_sketches(spark.createDataFrame([(x, y)], "x string, y string"), {"a": F.col("x"), "b": F.col("y")})
+    r = pair.select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("j"),
+                    fingerprint.containment(F.col("a"), F.col("b")).alias("c")).first()
+    assert r["j"] == 40 / 166 and abs(r["c"] - 40 / 100) < 1e-12
+
+
 def brute_links(rows, width, percent):
     sets, ids = [], []
     for r in rows:
