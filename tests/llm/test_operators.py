@@ -428,4 +428,4 @@ def test_empty_tables(spark, nothing):
 
 
 def test_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES] == list(range(1, 14))
