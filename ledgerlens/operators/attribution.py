@@ -1,10 +1,16 @@
-"""Tree attributions.
+"""Attributions.
 
-Per-row, per-feature additive contributions of a Spark GBT model computed by
-path-dependent TreeSHAP inside ``mapInPandas``: each task scores its own
-Arrow batches, vectorised over the rows of the batch.  The model's node table
-is read with Spark from the saved model and shipped to the executors as a
-broadcast variable (its size is bounded by trees x nodes, not by the data).
+Per-row, per-feature additive contributions.  For boosted trees they come from
+path-dependent TreeSHAP (Lundberg et al., 2018, "Consistent Individualized
+Feature Attribution for Tree Ensembles") inside ``mapInPandas``: each task
+explains its own Arrow batches, vectorised over the rows of the batch, with the
+node arrays as a broadcast variable (bounded by trees x nodes, not by the
+data).  For a linear scorer they are ``w * (x - mean(x))`` as expressions.
+
+Both give the same wide table, one array of contributions a row.  Rows are
+chosen before the model explains them (one firm's row, the latest row of each
+firm, a sample), and importances are taken per array position: the long table
+of rows x features is only made where it is the result.
 
 Local accuracy holds by construction: base value + sum of contributions =
 the model's prediction.
@@ -12,52 +18,37 @@ the model's prediction.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ship_package
 
 
 # ------------------------------------------------------------ tree table --
 
-def model_trees(spark: SparkSession, model) -> list[dict]:
-    """Node arrays of every tree of a fitted GBT model, with tree weights.
-
-    The node table is read back from the model's own saved form (its
-    ``data`` parquet) with Spark; weights come from ``treeWeights``."""
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/gbt-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(path + "/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount",
-        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold")).toPandas()
-    weights = dict(enumerate(model.treeWeights))
+def model_trees(model) -> list[dict]:
+    """Node arrays of a fitted ensemble's trees."""
     trees = []
-    for tid, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        arr = {k: np.full(n, -1, dtype=np.int64) for k in ("left", "right", "feature")}
-        val = np.zeros(n)
-        cover = np.zeros(n)
-        thr = np.zeros(n)
-        ids = g["id"].to_numpy()
-        arr["left"][ids] = g["leftChild"].to_numpy()
-        arr["right"][ids] = g["rightChild"].to_numpy()
-        arr["feature"][ids] = g["featureIndex"].fillna(-1).to_numpy()
-        val[ids] = g["prediction"].to_numpy()
-        cover[ids] = g["rawCount"].to_numpy().astype(float)
-        thr[ids] = g["threshold"].fillna(0.0).to_numpy()
-        root = int(ids[0]) if 0 not in ids else 0
-        trees.append({"left": arr["left"], "right": arr["right"], "feature": arr["feature"],
-                      "threshold": thr, "value": val, "cover": np.maximum(cover, 1e-12),
-                      "root": root, "weight": float(weights.get(tid, 1.0))})
+    for t in model.trees:
+        feature = np.array(t.feature)
+        threshold = np.array([model.cuts[f][b] if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin)])
+        trees.append({"left": np.array(t.left), "right": np.array(t.right), "feature": feature, "threshold": threshold,
+                      "value": np.array(t.value, float), "cover": np.maximum(np.array(t.rows, float), 1e-12), "root": 0,
+                      "weight": 1.0, "expected": _expected(t)})
     return trees
 
 
+def _expected(t) -> float:
+    """Mean value of a tree's leaves over the rows it was grown on."""
+    def of(j: int) -> float:
+        if t.left[j] < 0:
+            return t.value[j]
+        a, b = t.left[j], t.right[j]
+        return (t.rows[a] * of(a) + t.rows[b] * of(b)) / max(1, t.rows[a] + t.rows[b])
+    return float(of(0))
+
+
 # -------------------------------------------------------------- TreeSHAP --
 
 def _extend(path, pz, po, pi):
@@ -105,9 +96,9 @@ def _unwound_sum(path, idx):
     return total
 
 
-def tree_shap(X: np.ndarray, tree: dict, phi: np.ndarray) -> float:
+def tree_shap(X: np.ndarray, tree: dict, phi: np.ndarray) -> None:
     """Add one tree's contributions for all rows of ``X`` into ``phi``
-    (rows x features); returns the tree's expected value."""
+    (rows x features)."""
     left, right, feat = tree["left"], tree["right"], tree["feature"]
     thr, val, cover = tree["threshold"], tree["value"], tree["cover"]
     n = X.shape[0]
@@ -132,24 +123,13 @@ def tree_shap(X: np.ndarray, tree: dict, phi: np.ndarray) -> float:
 
     recurse(tree["root"], [], 1.0, np.ones(n), -1)
 
-    def expected(j):
-        if left[j] < 0:
-            return val[j]
-        a, b = int(left[j]), int(right[j])
-        return (cover[a] * expected(a) + cover[b] * expected(b)) / (cover[a] + cover[b])
-
-    return float(expected(tree["root"]))
 
-
-def explain_batch(X: np.ndarray, trees: list[dict]) -> tuple[np.ndarray, float]:
-    """Weighted sum over the ensemble: (contributions, base value)."""
+def explain_batch(X: np.ndarray, trees: list[dict]) -> np.ndarray:
+    """Contributions summed over the ensemble."""
     phi = np.zeros(X.shape, dtype=float)
-    base = 0.0
     for t in trees:
-        part = np.zeros(X.shape, dtype=float)
-        base += t["weight"] * tree_shap(X, t, part)
-        phi += t["weight"] * part
-    return phi, base
+        tree_shap(X, t, phi)
+    return phi
 
 
 def attributions(df: DataFrame, model, features: list[str], target: str,
@@ -159,8 +139,9 @@ def attributions(df: DataFrame, model, features: list[str], target: str,
     on the executors."""
     spark = df.sparkSession
     ship_package(spark)
-    trees = model_trees(spark, model)
+    trees = model_trees(model)
     bc = spark.sparkContext.broadcast(trees)
+    base = model.base + sum(t["expected"] for t in trees)
     feats = list(features)
     keys = list(keys)
 
@@ -168,7 +149,7 @@ def attributions(df: DataFrame, model, features: list[str], target: str,
         ts = bc.value
         for pdf in batches:
             X = pdf[feats].to_numpy(dtype=float, na_value=0.0)
-            phi, base = explain_batch(X, ts)
+            phi = explain_batch(X, ts)
             out = pdf[keys].copy()
             out["target"] = target
             out["base_value"] = base
@@ -182,6 +163,22 @@ def attributions(df: DataFrame, model, features: list[str], target: str,
     return src.mapInPandas(run, schema)
 
 
+def linear_attributions(df: DataFrame, scorer: dict, features: list[str], target: str,
+                        keys=("company", "year"), over: DataFrame | None = None) -> DataFrame:
+    """I18 for a linear scorer: contributions ``w * (x - mean(x))``, the mean
+    over ``over`` (default: the explained rows); missing values count as 0."""
+    intercept, terms = scorer[target]
+    weight = dict(terms)
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in weight}
+    means = (df if over is None else over).agg(F.struct(*[F.avg(x[f]).alias(f) for f in weight]).alias("m")).select("m").scalar()
+    rows = df.withColumn("__m", means)
+    mine = F.array(*[F.lit(float(weight[f])) * (x[f] - F.col("__m")[f]) if f in weight else F.lit(0.0) for f in features])
+    base = sum((F.lit(float(w)) * F.col("__m")[f] for f, w in terms), F.lit(float(intercept)))
+    out = rows.select(*keys, F.lit(target).alias("target"), base.alias("base_value"), mine.alias("contributions"))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    return out.select(*keys, "target", "base_value", (F.col("base_value") + total).alias("prediction"), "contributions")
+
+
 def long_form(wide: DataFrame, features: list[str], keys=("company", "year")) -> DataFrame:
     """(keys, target, feature, contribution) by ``posexplode`` of the array."""
     names = F.array(*[F.lit(f) for f in features])
@@ -189,44 +186,74 @@ def long_form(wide: DataFrame, features: list[str], keys=("company", "year")) ->
     return x.select(*keys, "target", names[F.col("pos")].alias("feature"), "contribution")
 
 
-def global_importance(long: DataFrame, k: int | None = 15) -> DataFrame:
+def _per_feature(wide: DataFrame, features: list[str], measure, name: str) -> DataFrame:
+    """(target, feature, name): a mean per array position, one row a target
+    before it is turned around."""
+    one = wide.groupBy("target").agg(*[F.avg(measure(F.col("contributions")[i])).alias(f) for i, f in enumerate(features)])
+    return one.unpivot("target", list(features), "feature", name)
+
+
+def global_importance(wide: DataFrame, features: list[str], k: int | None = 15) -> DataFrame:
     """Mean |contribution| per feature, top k (None: all)."""
-    out = long.groupBy("target", "feature").agg(F.avg(F.abs("contribution")).alias("importance"))
+    out = _per_feature(wide, features, F.abs, "importance")
     return out if k is None else out.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def risk_drivers(long: DataFrame, k: int = 10) -> DataFrame:
+def risk_drivers(wide: DataFrame, features: list[str], k: int = 10) -> DataFrame:
     """Mean |negative contribution| per feature (others ignored), top k."""
-    return (long.groupBy("target", "feature")
-                .agg(F.avg(F.when(F.col("contribution") < 0, -F.col("contribution"))).alias("mean_negative"))
-                .where(F.col("mean_negative").isNotNull())
-                .orderBy(F.desc("mean_negative"), "feature").limit(k))
+    return (_per_feature(wide, features, lambda c: F.when(c < 0, -c), "mean_negative")
+            .where(F.col("mean_negative").isNotNull()).orderBy(F.desc("mean_negative"), "feature").limit(k))
 
 
-def firm_breakdown(long: DataFrame, firms: list[str]) -> DataFrame:
-    """Contributions of the first listed firm that exists, its first year."""
-    cand = long.where(F.col("company").isin(*firms))
+def firm_row(df: DataFrame, firms: list[str]) -> DataFrame:
+    """The first year's row of the first listed firm that exists."""
     pos = F.array_position(F.array(*[F.lit(f) for f in firms]), F.col("company"))
-    first = cand.select("company", "year", pos.alias("p")).orderBy("p", "year").limit(1)
-    return long.join(first.select("company", "year"), ["company", "year"])
+    return df.where(F.col("company").isin(*firms)).withColumn("__p", pos).orderBy("__p", "year").limit(1).drop("__p")
+
+
+def latest_rows(df: DataFrame) -> DataFrame:
+    """H3: each firm's row of its latest year."""
+    year = df.groupBy("company").agg(F.max("year").alias("year"))
+    return df.join(year, ["company", "year"], "left_semi")
 
 
-def importance_comparison(imp_a: DataFrame, imp_b: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Importances of two targets side by side and their ratios;
-    features missing on one side count as 0."""
+def negative_contributors(wide: DataFrame, features: list[str], k: int = 5, below: float = -0.001) -> DataFrame:
+    """H3: a row's k most negative contributions below the threshold, from its
+    own array (no long table, no window)."""
+    pairs = F.arrays_zip(F.col("contributions").alias("contribution"), F.array(*[F.lit(f) for f in features]).alias("feature"))
+    low = F.slice(F.array_sort(F.filter(pairs, lambda p: p["contribution"] < below)), 1, k)
+    return wide.select("company", "year", "target", F.posexplode(low).alias("k", "p")).select(
+        "company", "year", "target", "p.feature", "p.contribution", (F.col("k") + 1).alias("k"))
+
+
+def importance_comparison(imp_a: DataFrame, imp_b: DataFrame, eps: float = 1e-8, least: float | None = 1.5) -> DataFrame:
+    """Importances of two targets side by side and their ratios; rows
+    where one is over ``least`` times the other, largest ratio first."""
     a = imp_a.select("feature", F.col("importance").alias("importance_a"))
     b = imp_b.select("feature", F.col("importance").alias("importance_b"))
-    j = a.join(b, "feature", "left").na.fill(0.0, subset=["importance_b"])
-    return j.select("feature", "importance_a", "importance_b",
-                    (F.col("importance_a") / (F.col("importance_b") + eps)).alias("ratio_a_over_b"),
-                    (F.col("importance_b") / (F.col("importance_a") + eps)).alias("ratio_b_over_a"))
+    j = a.join(b, "feature").select(
+        "feature", "importance_a", "importance_b",
+        (F.col("importance_a") / (F.col("importance_b") + eps)).alias("ratio_a_over_b"),
+        (F.col("importance_b") / (F.col("importance_a") + eps)).alias("ratio_b_over_a"))
+    if least is not None:
+        j = j.where((F.col("ratio_a_over_b") > least) | (F.col("ratio_b_over_a") > least))
+    return j.orderBy(F.desc(F.greatest("ratio_a_over_b", "ratio_b_over_a")), "feature")
+
+
+def top_in_other(imp_a: DataFrame, imp_b: DataFrame, k: int = 10) -> DataFrame:
+    """The k most important features of one target with their importance
+    for the other, 0 where it has none."""
+    top = imp_a.orderBy(F.desc("importance"), "feature").limit(k).select("feature", F.col("importance").alias("importance_a"))
+    other = imp_b.select("feature", F.col("importance").alias("importance_b"))
+    return (top.join(other, "feature", "left").withColumn("importance_b", F.coalesce("importance_b", F.lit(0.0)))
+            .orderBy(F.desc("importance_a"), "feature"))
 
 
-def dependence_pairs(long: DataFrame, values: DataFrame, top: DataFrame,
+def dependence_pairs(wide: DataFrame, features: list[str], values: DataFrame, top: list[str],
                      keys=("company", "year")) -> DataFrame:
     """Feature value vs contribution for the top features."""
-    vals = values.select(*keys, F.explode(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in values.columns if c not in keys]),
-        F.array(*[F.col(c).cast("double") for c in values.columns if c not in keys]))).alias("feature", "value"))
-    sel = long.join(F.broadcast(top.select("feature")), "feature")   # <= k rows
-    return sel.join(vals, list(keys) + ["feature"])
+    at = {f: i for i, f in enumerate(features)}
+    both = wide.join(values.select(*keys, *top), list(keys))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                               F.col("contributions")[at[f]].alias("contribution")) for f in top])
+    return both.select(*keys, "target", F.explode(pairs).alias("p")).select(*keys, "target", "p.*")

@@ -1,20 +1,18 @@
-"""Models (C10, C11, H7, I9-I17, E8).
+"""Models (C10, C11, H7, I9, I12-I17, E8).
 
-Training and scoring run on executors with Spark ML; evaluation metrics are
-closed-form aggregates per (target, split) in one pass.  A fixed linear
+The boosted trees are in :mod:`.boosting`; evaluation metrics are closed-form
+aggregates per (target, split) in one pass.  A fixed linear
 scorer (``scenarios.LINEAR_SCORER``) gives SQL-checkable predictions for the
 same metric, scoring and scenario operators.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.stats import fill_with_medians, pair_corr
 from .registry import describe
@@ -28,21 +26,6 @@ MACRO_BASE = ["inflation", "fed_rate", "gdp_growth", "sp500", "sector_benchmark"
 TARGETS = ["roa", "profit_margin"]
 
 
-@dataclass
-class GBTConfig:
-    """Boosted-tree settings of the analysed model (300 trees, depth 6, rate
-    .05, row/column subsample .8, min child weight 3, seed 42, early stop on
-    the validation split)."""
-    max_iter: int = 300
-    max_depth: int = 6
-    step_size: float = 0.05
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    min_instances: int = 3
-    seed: int = 42
-    validation_tol: float = 0.0
-
-
 # Registry families whose columns are model inputs.
 MODEL_FAMILIES = ("lag", "trend", "rolling", "interaction", "three_way", "regime_dummy", "regime_product")
 # Single columns that are model inputs beside those families.
@@ -74,6 +57,32 @@ def split_col(time_col: str = "year", train_end: int = 1999, test_start: int = 2
     return F.when(y <= train_end, "train").when(y >= test_start, "test").otherwise("val")
 
 
+def median_year_split(df: DataFrame, time_col: str = "year") -> DataFrame:
+    """H7 for the fallback trainer: rows before the middle one of the distinct
+    years are ``train``, the others ``test``; ``split_year`` is that year.  The
+    years come as one small array in a scalar subquery."""
+    years = df.agg(F.array_sort(F.collect_set(time_col)).alias("y"))       # one value a year
+    middle = years.select(F.try_element_at("y", (F.size("y") / 2).cast("int") + 1)).scalar()
+    return df.withColumn("split_year", middle).withColumn(
+        "split", F.when(F.col(time_col) < F.col("split_year"), "train").otherwise("test"))
+
+
+# Columns that the fallback trainer never takes as features.
+FALLBACK_EXCLUDED = ["company", "year", "sector", "roa", "roe", "profit_margin", "regime_gmm", "regime_name", "gdp_growth"]
+
+
+def fallback_features(df: DataFrame) -> list[str]:
+    """Every numeric column but identifiers, targets and predictions."""
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in FALLBACK_EXCLUDED
+            and "predicted" not in f.name and "error" not in f.name]
+
+
+def fallback_matrix(df: DataFrame, targets=TARGETS) -> DataFrame:
+    """Rows with all targets, features median-filled, median-year split."""
+    known = df.dropna(subset=list(targets))
+    return median_year_split(fill_with_medians(known, [], fallback_features(known)))
+
+
 def model_matrix(df: DataFrame, features: list[str], targets=TARGETS, **split) -> DataFrame:
     """Rows with all targets, features median-filled (exact global
     medians), plus the split column."""
@@ -93,26 +102,6 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
         df.withColumns({c: F.col(c).cast("double") for c in features}))
 
 
-def train_gbt(matrix: DataFrame, features: list[str], target: str, cfg: GBTConfig = GBTConfig()):
-    """One boosted-tree regressor per target; the validation split only
-    drives early stopping."""
-    data = assemble(matrix.where(F.col("split").isin("train", "val")), features).withColumn(
-        "is_val", F.col("split") == "val")
-    # row sampling is seeded per partition: fix the layout so a given cluster
-    # configuration always trains the same model
-    keys = [c for c in ("company", "year") if c in data.columns]
-    if keys:
-        n = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        data = data.repartition(n, *keys).sortWithinPartitions(*keys)
-    has_val = data.where(F.col("is_val")).limit(1).count() > 0
-    extra = {"validationIndicatorCol": "is_val", "validationTol": cfg.validation_tol} if has_val else {}
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
-                       maxIter=cfg.max_iter, maxDepth=cfg.max_depth, stepSize=cfg.step_size,
-                       subsamplingRate=cfg.subsampling_rate, featureSubsetStrategy=cfg.feature_subset,
-                       minInstancesPerNode=cfg.min_instances, seed=cfg.seed, **extra)
-    return gbt.fit(data)
-
-
 def train_linear(matrix: DataFrame, features: list[str], target: str):
     """Ordinary least squares baseline on the training split."""
     data = assemble(matrix.where(F.col("split") == "train"), features)
@@ -124,20 +113,6 @@ def predict(model, df: DataFrame, features: list[str], out_col: str) -> DataFram
     return model.transform(assemble(df, features)).withColumnRenamed("prediction", out_col).drop("features")
 
 
-def model_scorer(models: dict, features: list[str]):
-    """A scorer (see ``scenarios.linear_scorer``) from one trained model per
-    target.  C11: absent and missing feature values count as 0 in the feature
-    vector; the frame's own columns stay as they are."""
-    def score(df: DataFrame, targets: list[str]) -> DataFrame:
-        have = set(df.columns)
-        values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0) for f in features]
-        x = df.withColumn("features", array_to_vector(F.array(*values)))
-        for t in targets:
-            x = models[t].transform(x).withColumnRenamed("prediction", f"predicted_{t}")
-        return x.drop("features")
-    return score
-
-
 def metrics(pred: DataFrame, target: str, pred_col: str, group_cols=("split",)) -> DataFrame:
     """R2, RMSE, MAE per group in one aggregate pass."""
     y, p = F.col(target), F.col(pred_col)
@@ -166,11 +141,9 @@ def overfit_report(m: DataFrame) -> DataFrame:
                     r2_status(F.col("test_r2")).alias("status"))
 
 
-def importance_table(model, features: list[str], spark) -> DataFrame:
-    """The model's feature importances as a table, descending."""
-    imp = model.featureImportances.toArray()
-    rows = [(f, float(imp[i])) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+def importance_table(model, spark) -> DataFrame:
+    """The features' shares of the mean split gain as a table."""
+    return spark.createDataFrame([(model.target, *r) for r in model.importance()], "target string, feature string, importance double")
 
 
 def with_errors(df: DataFrame, target: str, pred_col: str) -> DataFrame:
@@ -181,9 +154,11 @@ def with_errors(df: DataFrame, target: str, pred_col: str) -> DataFrame:
 
 
 def error_corr(df: DataFrame, targets=TARGETS) -> DataFrame:
-    """Pairwise correlation of the targets' prediction errors (long form)."""
+    """Pairwise correlation of the targets' prediction errors (long form),
+    pairs of different errors above 0.5 marked."""
     cols = [f"{t}_error" for t in targets]
     one = df.agg(*[pair_corr(a, b).alias(f"{a}|{b}") for a in cols for b in cols])
     long = one.unpivot([], [f"{a}|{b}" for a in cols for b in cols], "pair", "corr")
-    return long.select(F.split("pair", r"\|").getItem(0).alias("error_a"),
-                       F.split("pair", r"\|").getItem(1).alias("error_b"), "corr")
+    a, b = F.split("pair", r"\|").getItem(0), F.split("pair", r"\|").getItem(1)
+    return long.select(a.alias("error_a"), b.alias("error_b"), "corr",
+                       (F.coalesce(F.abs("corr") > 0.5, F.lit(False)) & (a != b)).alias("strong"))

@@ -63,7 +63,7 @@ def linear_score(target: str, scorer=LINEAR_SCORER) -> Column:
 
 def linear_scorer(scorer=LINEAR_SCORER) -> Callable[[DataFrame, list[str]], DataFrame]:
     """A scorer adds a column ``predicted_<target>`` for each target; this one
-    does so with linear terms, ``models.model_scorer`` with trained models."""
+    does so with linear terms, ``boosting.arrow_scorer`` with trained trees."""
     return lambda df, targets: df.withColumns({f"predicted_{t}": linear_score(t, scorer) for t in targets})
 
 

@@ -518,7 +518,7 @@ def _scored_by(spark, sf_dir, kind):
         return l2(spark, sf_dir), _latest(spark, sf_dir), S.linear_scorer()
     p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
     need = [c for c in p.columns if c in {*_SC_NEED, *feats} - {"company"}]
-    return p, S.latest_per_company(p, need), MD.model_scorer({t: _gbt(spark, sf_dir, t) for t in TARGETS}, feats)
+    return p, S.latest_per_company(p, need), BO.arrow_scorer(_boosted(spark, sf_dir))
 
 
 def _pred(spark, sf_dir, kind="linear"):
@@ -822,6 +822,7 @@ def j9_histogram(spark, sf_dir):
 
 
 # --------------------------------------- model metrics (linear scorer) --
+from ..operators import boosting as BO  # noqa: E402
 from ..operators import models as MD  # noqa: E402
 
 _SPLIT_SQL = "CASE WHEN year <= 1999 THEN 'train' WHEN year >= 2001 THEN 'test' ELSE 'val' END"
@@ -909,7 +910,7 @@ _E8 = [f"{t}_error" for t in TARGETS]
 
 
 @query("e8_error_corr", O.with_layers(
-    "l2", "SELECT a AS error_a, b AS error_b, round(c, 9) AS corr FROM (" + " UNION ALL ".join(
+    "l2", "SELECT a AS error_a, b AS error_b, round(c, 9) AS corr, coalesce(abs(c) > 0.5, false) AND a <> b AS strong FROM (" + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, covar_samp(x_{a}, x_{b}) / NULLIF(stddev_samp(x_{a}) * stddev_samp(x_{b}), 0) AS c "
         f"FROM (SELECT " + ", ".join(f"max(CASE WHEN target = '{t}' THEN error END) AS x_{t}_error" for t in TARGETS)
         + " FROM scored GROUP BY company, year) w" for a in _E8 for b in _E8) + ") t", _SCORED_CTES))
@@ -1054,15 +1055,11 @@ def _matrix(spark, sf_dir):
     return _CACHE[key]
 
 
-def _gbt(spark, sf_dir, target):
-    """Boosted trees per target; both targets are fitted as concurrent jobs."""
-    key = (spark.sparkContext.applicationId, sf_dir, "gbt", target)
+def _boosted(spark, sf_dir) -> dict:
+    """The boosted trees of both targets, grown in the same passes."""
+    key = (spark.sparkContext.applicationId, sf_dir, "boosted")
     if key not in _CACHE:
-        m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
-        todo = [t for t in TARGETS if (spark.sparkContext.applicationId, sf_dir, "gbt", t) not in _CACHE]
-        models = R.parallel_map(lambda t: MD.train_gbt(m, feats, t), todo)
-        for t, mod in zip(todo, models):
-            _CACHE[(spark.sparkContext.applicationId, sf_dir, "gbt", t)] = mod
+        _CACHE[key] = BO.train(_matrix(spark, sf_dir), _features(spark, sf_dir), TARGETS)
     return _CACHE[key]
 
 
@@ -1075,25 +1072,48 @@ def i9_feature_list(spark, sf_dir):
     return one.unpivot([], feats, "feature", "n_values")
 
 
-@query("i10_gbt_metrics")
-def i10_gbt_metrics(spark, sf_dir):
-    """Boosted trees per target; R2/RMSE/MAE per split."""
-    m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+def _split_metrics(scored: DataFrame) -> DataFrame:
+    """I12 for every target's ``predicted_`` column."""
     out = None
     for t in TARGETS:
-        pr = MD.predict(_gbt(spark, sf_dir, t), m, feats, "pred")
-        part = MD.metrics(pr, t, "pred")
+        part = MD.metrics(scored, t, f"predicted_{t}")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("i10_gbt_metrics")
+def i10_gbt_metrics(spark, sf_dir):
+    """Boosted trees per target; R2/RMSE/MAE per split."""
+    return _split_metrics(BO.arrow_scorer(_boosted(spark, sf_dir))(_matrix(spark, sf_dir), TARGETS))
+
+
+@query("i10c_rounds")
+def i10c_rounds(spark, sf_dir):
+    """Best and stop round of each target, and the validation errors there."""
+    rows = [(t, m.best, m.grown, m.errors[m.best - 1] if m.errors else None, m.errors[-1] if m.errors else None)
+            for t, m in _boosted(spark, sf_dir).items()]
+    return spark.createDataFrame(rows, "target string, best_round int, stop_round int, best_rmse double, last_rmse double")
+
+
+@query("i10d_round_rules", " UNION ALL ".join(
+    f"SELECT '{t}' AS target, true AS stops_by_patience, true AS best_is_least, true AS leaves_hold_three" for t in TARGETS))
+def i10d_round_rules(spark, sf_dir):
+    """What holds of the rounds whatever the data: the last round is the
+    best plus 30 or 300, the best has the least error, no leaf is under three rows."""
+    rows = i10c_rounds(spark, sf_dir).select(
+        "target", (F.col("stop_round") == F.least(F.lit(300), F.col("best_round") + 30)).alias("stops_by_patience"),
+        F.coalesce(F.col("best_rmse") <= F.col("last_rmse"), F.lit(False)).alias("best_is_least"))
+    leaves = BO.node_table(spark, list(_boosted(spark, sf_dir).values())).where("node > 0").groupBy("target").agg(
+        F.every(F.col("n_rows") >= 3).alias("leaves_hold_three"))
+    return rows.join(leaves, "target", "left").na.fill(True, ["leaves_hold_three"])
+
+
 @query("i13_importance")
 def i13_importance(spark, sf_dir):
     """Gain importances of each target's model, descending."""
-    feats = _features(spark, sf_dir)
     out = None
-    for t in TARGETS:
-        part = MD.importance_table(_gbt(spark, sf_dir, t), feats, spark).withColumn("target", F.lit(t))
+    for m in _boosted(spark, sf_dir).values():
+        part = MD.importance_table(m, spark)
         out = part if out is None else out.unionByName(part)
     return out.orderBy("target", F.desc("importance"), "feature")
 
@@ -1102,15 +1122,14 @@ def i13_importance(spark, sf_dir):
 def i14_linear_baseline(spark, sf_dir):
     """Least-squares baseline vs boosted trees on the test split."""
     m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
+    test = BO.arrow_scorer(_boosted(spark, sf_dir))(m.where(F.col("split") == "test"), TARGETS)
     out = None
     for t in TARGETS:
-        lr = MD.train_linear(m, feats, t)
-        test = m.where(F.col("split") == "test")
-        both = MD.predict(_gbt(spark, sf_dir, t), MD.predict(lr, test, feats, "lr_pred"), feats, "gbt_pred")
+        both = MD.predict(MD.train_linear(m, feats, t), test, feats, "lr_pred")
         y = F.col(t)
         a = both.agg(F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("vy"),
                      F.sum((y - F.col("lr_pred")) ** 2).alias("sse_lr"),
-                     F.sum((y - F.col("gbt_pred")) ** 2).alias("sse_gbt"))
+                     F.sum((y - F.col(f"predicted_{t}")) ** 2).alias("sse_gbt"))
         part = a.select(
             F.lit(t).alias("target"),
             (1 - F.try_divide(F.col("sse_lr"), F.col("vy") * F.col("n"))).alias("lr_r2"),
@@ -1126,14 +1145,87 @@ def i14_linear_baseline(spark, sf_dir):
 @query("i16b_gbt_scored_panel")
 def i16b_gbt_scored_panel(spark, sf_dir):
     """I16: every panel row scored by the boosted trees, with errors."""
-    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
-    x = MD.score_matrix(p, feats)
+    x = BO.arrow_scorer(_boosted(spark, sf_dir))(l3(spark, sf_dir), TARGETS)
     for t in TARGETS:
-        x = MD.with_errors(MD.predict(_gbt(spark, sf_dir, t), x, feats, f"{t}_predicted"), t, f"{t}_predicted")
+        x = MD.with_errors(x.withColumnRenamed(f"predicted_{t}", f"{t}_predicted"), t, f"{t}_predicted")
     return x.select("company", "year", *[c for t in TARGETS for c in (t, f"{t}_predicted", f"{t}_error",
                                                                        f"{t}_error_pct")])
 
 
+# ------------------------------- small ensembles, trained again in SQL --
+from . import trees as T  # noqa: E402
+
+_SMALL = BO.BoostConfig(rounds=2, depth=2, row_share=1.0, column_share=1.0, patience=None, bins=8)
+_SMALL_FEATS = ["asset_turnover", "current_ratio", "debt_ratio", "firm_size", "gross_margin", "liquidity_crisis", "roa_lag1",
+                "stress_intensity"]
+_SMALL_CTES = T.training_ctes(f"SELECT company, year, {', '.join(_SMALL_FEATS)}, roa AS y FROM l2 WHERE year <= 1999 AND roa IS NOT NULL",
+                              _SMALL_FEATS)
+
+
+def _small(spark, sf_dir) -> dict:
+    key = (spark.sparkContext.applicationId, sf_dir, "small")
+    if key not in _CACHE:
+        rows = l2(spark, sf_dir).where("roa IS NOT NULL").withColumn("split", MD.split_col())
+        _CACHE[key] = BO.train(rows, _SMALL_FEATS, ["roa"], _SMALL)
+    return _CACHE[key]
+
+
+@query("i10b_first_trees", O.with_layers(
+    "l2", "SELECT e.tree, e.path, list_extract([" + ", ".join(f"'{f}'" for f in _SMALL_FEATS) + "], b.f) AS feature, b.cut AS threshold, "
+          "e.value, CAST(e.n_rows AS BIGINT) AS n_rows, coalesce(b.gain, 0) AS gain FROM ends e LEFT JOIN best b ON e.tree = b.tree AND e.path = b.path",
+    _SMALL_CTES))
+def i10b_first_trees(spark, sf_dir):
+    """Splits, gains, leaf values and row counts of two small trees, which
+    SQL grows again from the panel."""
+    model = _small(spark, sf_dir)["roa"]
+    paths = []
+    for t, tree in enumerate(model.trees):
+        path = {0: ""}
+        for i, (left, right) in enumerate(zip(tree.left, tree.right)):
+            if left >= 0:
+                path[left], path[right] = path[i] + "L", path[i] + "R"
+        paths += [(t, i, p) for i, p in path.items()]
+    names = spark.createDataFrame(paths, "tree int, node int, path string")
+    return BO.node_table(spark, [model]).join(names, ["tree", "node"]).select(
+        "tree", "path", "feature", "threshold", "value", "n_rows", "gain")
+
+
+_WALKED = _SMALL_CTES + T.predicted_ctes("l2", _SMALL_FEATS)
+
+
+@query("i16c_tree_scored_panel", O.with_layers(
+    "l2", "SELECT company, year, roa, predicted, roa - predicted AS error FROM walked", _WALKED))
+def i16c_tree_scored_panel(spark, sf_dir):
+    """I16 with the small trees: their Spark expression on every panel row."""
+    x = BO.tree_scorer(_small(spark, sf_dir))(l2(spark, sf_dir), ["roa"])
+    return x.select("company", "year", "roa", F.col("predicted_roa").alias("predicted"), (F.col("roa") - F.col("predicted_roa")).alias("error"))
+
+
+_TREE_SC = _SC_CTES[:4] + _SMALL_CTES + T.predicted_ctes("fx", _SMALL_FEATS, "fxw") + [
+    ("pred", "SELECT 'roa' AS target, scenario, company, coalesce(sector, 'Unknown') AS sector, predicted, debt_ratio, current_ratio FROM fxw"),
+    _SC_CTES[5], ("risk", _RISK_SQL)]
+
+
+def _small_pred(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "pred", "small")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(S.score_scenarios(_latest(spark, sf_dir), S.baseline_macros(l2(spark, sf_dir)), ["roa"],
+                                                    BO.arrow_scorer(_small(spark, sf_dir))))
+    return _CACHE[key]
+
+
+@query("j4d_tree_scenarios", O.with_layers("l2", "SELECT * FROM pred", _TREE_SC))
+def j4d_tree_scenarios(spark, sf_dir):
+    """J3/J4 with the small trees (Arrow scorer): firms x scenarios."""
+    return _small_pred(spark, sf_dir)
+
+
+@query("j6c_tree_risk_scores", O.with_layers("l2", "SELECT * FROM risk", _TREE_SC))
+def j6c_tree_risk_scores(spark, sf_dir):
+    """J6 with the small trees: risk scores per company."""
+    return RK.risk_scores(S.base_vs_scenarios(_small_pred(spark, sf_dir)), RK.roa_history(l2(spark, sf_dir)))
+
+
 @query("j4b_gbt_scenarios")
 def j4b_gbt_scenarios(spark, sf_dir):
     """J3/J4 with the trained models: firms x scenarios rescored by GBT."""
@@ -1232,72 +1324,178 @@ def e15b_gbt_kpi_row(spark, sf_dir):
     return RK.kpi_row(_risk(spark, sf_dir, "trees"), RK.warnings(_wide(spark, sf_dir, "trees")))
 
 
-def _attr_wide(spark, sf_dir, target):
-    key = (spark.sparkContext.applicationId, sf_dir, "attr", target)
-    if key not in _CACHE:
-        p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
-        _CACHE[key] = cut_lineage(AT.attributions(MD.score_matrix(p, feats), _gbt(spark, sf_dir, target),
-                                                  feats, target))
-    return _CACHE[key]
+_LIN_FEATS = sorted({f for t in TARGETS for f, _ in S.LINEAR_SCORER[t][1]})
+
+
+def _attr(spark, sf_dir, target, kind="trees", rows=None):
+    """(wide attributions, features) of the given rows, all by default; those
+    of all rows are written once."""
+    feats = _features(spark, sf_dir) if kind == "trees" else _LIN_FEATS
+    key = (spark.sparkContext.applicationId, sf_dir, "attr", kind, target)
+    if rows is None and key in _CACHE:
+        return _CACHE[key], feats
+    if kind == "trees":
+        p = l3(spark, sf_dir)
+        wide = AT.attributions(MD.score_matrix(p if rows is None else rows(p), feats), _boosted(spark, sf_dir)[target], feats, target)
+    else:
+        p = l2(spark, sf_dir)
+        wide = AT.linear_attributions(p if rows is None else rows(p), S.LINEAR_SCORER, feats, target, over=p)
+    if rows is None:
+        wide = _CACHE[key] = cut_lineage(wide)
+    return wide, feats
+
+
+def _attr_sql(target: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT company, year, '{target}' AS target, '{f}' AS feature, "
+        + (f"{O.d(dict(S.LINEAR_SCORER[target][1])[f])} * (coalesce({f}, 0) - avg(coalesce({f}, 0)) OVER ())"
+           if f in dict(S.LINEAR_SCORER[target][1]) else "CAST(0 AS DOUBLE)") + " AS contribution FROM l2" for f in _LIN_FEATS)
 
 
-def _attr_long(spark, sf_dir, target):
-    return AT.long_form(_attr_wide(spark, sf_dir, target), _features(spark, sf_dir))
+_ATTR = [(f"c_{t}", _attr_sql(t)) for t in TARGETS] + [
+    (f"imp_{t}", f"SELECT target, feature, avg(abs(contribution)) AS importance FROM c_{t} GROUP BY target, feature") for t in TARGETS]
+
+
+def _sample(df: DataFrame) -> DataFrame:
+    """H6: at most 200 rows by a hash of the row's key and the seed, whatever
+    the partitions."""
+    order = F.md5(F.concat_ws(":", F.col("company"), F.col("year"), F.lit("42")))
+    return df.orderBy(order, "company", "year").limit(200)
+
+
+# Firms of the breakdown in order of preference.
+_FIRMS = ["Supplier#000000007", "Supplier#000000001", "Supplier#000000002"]
 
 
 @query("i18_attributions")
 def i18_attributions(spark, sf_dir):
     """TreeSHAP contributions for every panel row and feature (ROA model)."""
-    return _attr_long(spark, sf_dir, "roa")
+    return AT.long_form(*_attr(spark, sf_dir, "roa"))
 
 
 @query("i18b_local_accuracy")
 def i18b_local_accuracy(spark, sf_dir):
     """I18 check: base + sum(contributions) vs the model's own prediction."""
-    w = _attr_wide(spark, sf_dir, "roa")
-    feats = _features(spark, sf_dir)
-    pr = MD.predict(_gbt(spark, sf_dir, "roa"), MD.score_matrix(l3(spark, sf_dir), feats), feats, "model_pred")
-    j = w.join(pr.select("company", "year", "model_pred"), ["company", "year"])
+    w, _ = _attr(spark, sf_dir, "roa")
+    pr = BO.arrow_scorer(_boosted(spark, sf_dir))(l3(spark, sf_dir), ["roa"]).select("company", "year", "predicted_roa")
+    j = w.join(pr, ["company", "year"])
     return j.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.max(F.abs(F.col("prediction") - F.col("model_pred"))).alias("max_abs_gap"))
+                 F.max(F.abs(F.col("prediction") - F.col("predicted_roa"))).alias("max_abs_gap"))
+
+
+@query("i18c_linear_attributions", O.with_layers("l2", "SELECT * FROM c_roa", _ATTR))
+def i18c_linear_attributions(spark, sf_dir):
+    """I18 with the linear scorer: contributions of every row and feature."""
+    return AT.long_form(*_attr(spark, sf_dir, "roa", "linear"))
+
+
+@query("i18d_tree_accuracy", O.with_layers("l2", "SELECT count(*) AS n_rows, CAST(0 AS DOUBLE) AS gap FROM l2"))
+def i18d_tree_accuracy(spark, sf_dir):
+    """Contributions and base value add up to the trees' prediction on
+    every row (gap rounded to 9 digits)."""
+    return i18b_local_accuracy(spark, sf_dir).select("n_rows", F.round("max_abs_gap", 9).alias("gap"))
+
+
+def _importances(spark, sf_dir, kind, k=None):
+    return [AT.global_importance(*_attr(spark, sf_dir, t, kind), k) for t in TARGETS]
 
 
 @query("i19_global_importance")
 def i19_global_importance(spark, sf_dir):
     """Mean |contribution| per feature, top 15, both targets."""
-    return AT.global_importance(_attr_long(spark, sf_dir, "roa"), 15).unionByName(
-        AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), 15))
+    return DataFrame.unionByName(*_importances(spark, sf_dir, "trees", 15))
+
+
+@query("i19b_linear_importance", O.with_layers("l2", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT * FROM imp_{t} ORDER BY importance DESC, feature LIMIT 15) t" for t in TARGETS), _ATTR))
+def i19b_linear_importance(spark, sf_dir):
+    """I19/E10 with the linear scorer."""
+    return DataFrame.unionByName(*_importances(spark, sf_dir, "linear", 15))
 
 
 @query("i20_risk_drivers")
 def i20_risk_drivers(spark, sf_dir):
     """Mean |negative contribution| per feature, top 10 (ROA)."""
-    return AT.risk_drivers(_attr_long(spark, sf_dir, "roa"), 10)
+    return AT.risk_drivers(*_attr(spark, sf_dir, "roa"), 10)
+
+
+_DRIVERS = ("SELECT target, feature, avg(CASE WHEN contribution < 0 THEN -contribution END) AS mean_negative FROM c_roa "
+            "GROUP BY target, feature HAVING mean_negative IS NOT NULL ORDER BY mean_negative DESC, feature LIMIT 10")
+
+
+@query("i20b_linear_drivers", O.with_layers("l2", _DRIVERS, _ATTR))
+def i20b_linear_drivers(spark, sf_dir):
+    """I20/E10 with the linear scorer."""
+    return AT.risk_drivers(*_attr(spark, sf_dir, "roa", "linear"), 10)
+
+
+def _breakdown(spark, sf_dir, kind):
+    return AT.long_form(*_attr(spark, sf_dir, "roa", kind, lambda p: AT.firm_row(p, _FIRMS)))
 
 
 @query("i21_firm_breakdown")
 def i21_firm_breakdown(spark, sf_dir):
-    """One firm's contributions (first listed firm present, first year)."""
-    firms = ["Supplier#000000007", "Supplier#000000001", "Supplier#000000002"]
-    return AT.firm_breakdown(_attr_long(spark, sf_dir, "roa"), firms)
+    """One firm's contributions (first listed firm present, first year);
+    only its row is explained."""
+    return _breakdown(spark, sf_dir, "trees")
+
+
+@query("i21b_linear_breakdown", O.with_layers(
+    "l2", "SELECT c.* FROM c_roa c JOIN (SELECT company, year FROM l2 WHERE company IN (" + ", ".join(f"'{f}'" for f in _FIRMS)
+          + ") ORDER BY list_position([" + ", ".join(f"'{f}'" for f in _FIRMS) + "], company), year LIMIT 1) f USING (company, year)", _ATTR))
+def i21b_linear_breakdown(spark, sf_dir):
+    """I21 with the linear scorer."""
+    return _breakdown(spark, sf_dir, "linear")
 
 
 @query("i22_importance_comparison")
 def i22_importance_comparison(spark, sf_dir):
-    """ROA vs profit-margin importances with ratios both ways."""
-    a = AT.global_importance(_attr_long(spark, sf_dir, "roa"), None)
-    b = AT.global_importance(_attr_long(spark, sf_dir, "profit_margin"), None)
-    return AT.importance_comparison(a, b)
+    """ROA vs profit-margin importances with ratios both ways, rows
+    with a ratio over 1.5, largest first."""
+    return AT.importance_comparison(*_importances(spark, sf_dir, "trees"))
+
+
+@query("i22b_linear_comparison", O.with_layers(
+    "l2", "SELECT * FROM (SELECT feature, a.importance AS importance_a, b.importance AS importance_b, "
+          "a.importance / (b.importance + CAST('1e-08' AS DOUBLE)) AS ratio_a_over_b, "
+          "b.importance / (a.importance + CAST('1e-08' AS DOUBLE)) AS ratio_b_over_a "
+          "FROM imp_roa a JOIN imp_profit_margin b USING (feature)) r WHERE ratio_a_over_b > 1.5 OR ratio_b_over_a > 1.5", _ATTR))
+def i22b_linear_comparison(spark, sf_dir):
+    """I22/G4 with the linear scorer."""
+    return AT.importance_comparison(*_importances(spark, sf_dir, "linear"))
+
+
+@query("g9_top_in_other", O.with_layers(
+    "l2", "SELECT a.feature, a.importance AS importance_a, coalesce(b.importance, 0) AS importance_b FROM "
+          "(SELECT * FROM imp_roa ORDER BY importance DESC, feature LIMIT 10) a LEFT JOIN "
+          "(SELECT * FROM imp_profit_margin WHERE importance > 0) b USING (feature)", _ATTR))
+def g9_top_in_other(spark, sf_dir):
+    """The ten most important ROA features looked up among those that the
+    profit-margin scorer uses, 0 where it does not."""
+    a, b = _importances(spark, sf_dir, "linear")
+    return AT.top_in_other(a, b.where("importance > 0"))
+
+
+def _dependence(spark, sf_dir, kind):
+    wide, feats = _attr(spark, sf_dir, "roa", kind)
+    names = [r["feature"] for r in AT.global_importance(wide, feats, 6).collect()]      # 6 names
+    panel = l3(spark, sf_dir) if kind == "trees" else l2(spark, sf_dir)
+    return AT.dependence_pairs(wide, feats, MD.score_matrix(panel, names), names)
 
 
 @query("i23_dependence_pairs")
 def i23_dependence_pairs(spark, sf_dir):
     """Value vs contribution for the top 6 ROA features."""
-    feats = _features(spark, sf_dir)
-    top = AT.global_importance(_attr_long(spark, sf_dir, "roa"), 6)
-    names = [r["feature"] for r in top.collect()]            # bounded: 6 names
-    vals = MD.score_matrix(l3(spark, sf_dir), feats).select("company", "year", *names)
-    return AT.dependence_pairs(_attr_long(spark, sf_dir, "roa"), vals, top)
+    return _dependence(spark, sf_dir, "trees")
+
+
+@query("i23b_linear_dependence", O.with_layers(
+    "l2", "SELECT company, year, 'roa' AS target, feature, CAST(value AS DOUBLE) AS value, contribution FROM c_roa JOIN ("
+          + " UNION ALL ".join(f"SELECT company, year, '{f}' AS feature, coalesce({f}, 0) AS value FROM l2" for f in _LIN_FEATS)
+          + ") v USING (company, year, feature) WHERE feature IN (SELECT feature FROM imp_roa ORDER BY importance DESC, feature LIMIT 6)", _ATTR))
+def i23b_linear_dependence(spark, sf_dir):
+    """I23 with the linear scorer."""
+    return _dependence(spark, sf_dir, "linear")
 
 
 # ------------------------------------------------ further inventory keys --
@@ -1391,35 +1589,55 @@ def g7_split_semijoin(spark, sf_dir):
 @query("h3_negative_contributors")
 def h3_negative_contributors(spark, sf_dir):
     """H3: per firm, latest year, the 5 most negative contributions below
-    -0.001 (row_number per company; groups are bounded by the feature count)."""
-    from pyspark.sql import Window
-    long = _attr_long(spark, sf_dir, "roa")
-    latest = long.groupBy("company").agg(F.max("year").alias("year"))
-    x = long.join(latest, ["company", "year"]).where(F.col("contribution") < -0.001)
-    w = Window.partitionBy("company").orderBy("contribution", "feature")
-    return x.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 5)
+    -0.001; only that row of each firm is explained."""
+    return AT.negative_contributors(*_attr(spark, sf_dir, "roa", "trees", AT.latest_rows))
+
+
+@query("h3b_linear_contributors", O.with_layers(
+    "l2", "SELECT * FROM (SELECT c.*, CAST(row_number() OVER (PARTITION BY company ORDER BY contribution, feature) AS INTEGER) AS k "
+          "FROM c_roa c JOIN (SELECT company, max(year) AS year FROM l2 GROUP BY company) m USING (company, year) "
+          "WHERE contribution < -0.001) r WHERE k <= 5", _ATTR))
+def h3b_linear_contributors(spark, sf_dir):
+    """H3 with the linear scorer."""
+    return AT.negative_contributors(*_attr(spark, sf_dir, "roa", "linear", AT.latest_rows))
 
 
 @query("h6_attribution_sample")
 def h6_attribution_sample(spark, sf_dir):
     """A seeded sample of min(200, rows) panel rows (hash order, so it
     does not depend on partitioning) and their contributions."""
-    p, feats = l3(spark, sf_dir), _features(spark, sf_dir)
-    sample = MD.score_matrix(p, feats).orderBy(F.xxhash64("company", "year", F.lit(42)), "company", "year").limit(200)
-    w = AT.attributions(sample, _gbt(spark, sf_dir, "roa"), feats, "roa")
-    return AT.long_form(w, feats)
+    return AT.long_form(*_attr(spark, sf_dir, "roa", "trees", _sample))
+
+
+@query("h6b_linear_sample", O.with_layers(
+    "l2", "SELECT c.* FROM c_roa c JOIN (SELECT company, year FROM l2 ORDER BY md5(concat_ws(':', company, year, '42')), company, year "
+          "LIMIT 200) s USING (company, year)", _ATTR))
+def h6b_linear_sample(spark, sf_dir):
+    """H6/I18 with the linear scorer: the same sample."""
+    return AT.long_form(*_attr(spark, sf_dir, "roa", "linear", _sample))
+
+
+def _fallback(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "fallback")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(MD.fallback_matrix(l3(spark, sf_dir), TARGETS))
+    return _CACHE[key]
+
+
+@query("h7_median_split", O.with_layers(
+    "l2", "SELECT split, y AS split_year, count(*) AS n_rows, min(year) AS first_year, max(year) AS last_year FROM ("
+          "SELECT year, y, CASE WHEN year < y THEN 'train' ELSE 'test' END AS split FROM l2, "
+          "(SELECT list_sort(list(DISTINCT year))[CAST(floor(count(DISTINCT year) / 2) AS INTEGER) + 1] AS y FROM l2) s) r GROUP BY split, y"))
+def h7_median_split(spark, sf_dir):
+    """H7: rows before the middle year against the others."""
+    return MD.median_year_split(l2(spark, sf_dir)).groupBy("split", "split_year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 @query("i11_fallback_gbt")
 def i11_fallback_gbt(spark, sf_dir):
-    """Fallback trainer (200 trees, depth 5, no validation split) and
-    its R2/RMSE/MAE per split."""
-    m, feats = _matrix(spark, sf_dir), _features(spark, sf_dir)
-    cfg = MD.GBTConfig(max_iter=200, max_depth=5)
-    out = None
-    for t in TARGETS:
-        model = MD.train_gbt(m.withColumn("split", F.when(F.col("split") == "val", "train")
-                                          .otherwise(F.col("split"))), feats, t, cfg)
-        part = MD.metrics(MD.predict(model, m, feats, "pred"), t, "pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fallback trainer: 200 trees of depth 5 on the rows before the
+    median year, all numeric columns but the excluded ones, no validation."""
+    m = _fallback(spark, sf_dir)
+    models = BO.train(m, MD.fallback_features(m.drop("split_year")), TARGETS, BO.FALLBACK)
+    return _split_metrics(BO.arrow_scorer(models)(m, TARGETS))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import attribution as AT
-from ledgerlens.operators import models as MD
+from ledgerlens.operators import boosting as BO
 from ledgerlens.operators import regimes as R
 from ledgerlens.operators import risk as RK
 from ledgerlens.operators import scenarios as S
@@ -24,15 +24,15 @@ def test_treeshap_local_accuracy(spark):
         y=y, company=[f"c{i}" for i in range(n)], year=2000, split="train")
     df = spark.createDataFrame(pdf)
     feats = [f"f{i}" for i in range(5)]
-    model = MD.train_gbt(df, feats, "y", MD.GBTConfig(max_iter=15, max_depth=4))
+    model = BO.train(df, feats, ["y"], BO.BoostConfig(rounds=15, depth=4, rate=0.3))["y"]
     w = AT.attributions(df, model, feats, "y").toPandas()
-    pred = MD.predict(model, df, feats, "p").select("company", "p").toPandas()
+    pred = BO.arrow_scorer({"y": model})(df, ["y"]).select("company", F.col("predicted_y").alias("p")).toPandas()
     m = w.merge(pred, on="company")
     assert np.abs(m["prediction"] - m["p"]).max() < 1e-9
     contrib = np.vstack(m["contributions"].to_numpy())
     assert np.allclose(contrib.sum(axis=1) + m["base_value"], m["p"], atol=1e-9)
     # a feature the model never splits on gets zero attribution
-    unused = [i for i, v in enumerate(model.featureImportances.toArray()) if v == 0]
+    unused = [i for i, (_, share) in enumerate(model.importance()) if share == 0]
     for i in unused:
         assert np.allclose(contrib[:, i], 0.0)
 
