@@ -429,8 +429,9 @@ _RULE_SQL = ("CASE WHEN {s} > 60 THEN 'HIGH_STRESS' WHEN {i} > 5 AND {r} > 3 THE
              "WHEN {i} > 5 THEN 'HIGH_INFLATION' WHEN {g} < 0 THEN 'RECESSION' WHEN {r} > 4 THEN 'HIGH_RATES' "
              "WHEN {r} <= 1 THEN 'ZERO_RATES' WHEN {g} > 3 THEN 'STRONG_GROWTH' ELSE 'NORMAL' END")
 _rule = _RULE_SQL.format(i="inflation", r="fed_rate", g="gdp_growth", s="stress_intensity")
-_RULE_CTE = [("rr", f"SELECT DISTINCT year, {cols_sql(_MV)} FROM l2 WHERE "
-                    + " AND ".join(f"{c} IS NOT NULL" for c in ["year"] + _MV)),
+_RULE_CTE = [("rr", f"SELECT year, {cols_sql(_MV)} FROM (SELECT year, {cols_sql(_MV)}, count(*) AS n FROM l2 WHERE "
+                    + " AND ".join(f"{c} IS NOT NULL" for c in ["year"] + _MV)
+                    + f" GROUP BY ALL) v QUALIFY row_number() OVER (PARTITION BY year ORDER BY n DESC, {cols_sql(_MV)}) = 1"),
              ("rn", f"SELECT year, {cols_sql(_MV)}, {_rule} AS regime_name FROM rr")]
 
 
@@ -492,7 +493,7 @@ def j18_regime_economics(spark, sf_dir):
     + " FROM rr", _RULE_CTE[:1]))
 def i1_standardize(spark, sf_dir):
     """Standardised macro table (population std)."""
-    t = l2(spark, sf_dir).select("year", *_MV).distinct().dropna()
+    t = R.period_table(l2(spark, sf_dir), _MV)
     return R.standardize(t, _MV).select("year", *[f"z_{c}" for c in _MV])
 
 
@@ -924,7 +925,8 @@ def e8_error_corr(spark, sf_dir):
 
 # ------------------------------------- clustering (rows-only, Spark ML) --
 from ..operators import attribution as AT  # noqa: E402
-from ..sources.fixtures import months_c  # noqa: E402
+from ..sources.fixtures import MONTHS_C_SQL, months_c  # noqa: E402
+from . import clusters as CU  # noqa: E402
 
 _C_VARS = ["n_orders", "avg_price", "urgent_share", "finished_share"]
 _C_Z = [f"z_{c}" for c in _C_VARS]
@@ -937,10 +939,15 @@ def _months_z(spark, sf_dir):
     return _CACHE[key]
 
 
+_C_POINTS = [("mc", duckdb_sql(MONTHS_C_SQL)), ("pts", "SELECT period, " + ", ".join(
+    f"({c} - avg({c}) OVER ()) / NULLIF(stddev_pop({c}) OVER (), 0) AS z_{c}" for c in _C_VARS) + " FROM mc")]
+_C_KM = _C_POINTS + CU.kmeans_ctes("pts", "period", _C_Z)
+
+
 def _sweep(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "sweep")
     if key not in _CACHE:
-        _CACHE[key] = R.kmeans_sweep(_months_z(spark, sf_dir), _C_Z, 6).cache()
+        _CACHE[key] = cut_lineage(R.kmeans_sweep(_months_z(spark, sf_dir), _C_Z, 6, "period"))
     return _CACHE[key]
 
 
@@ -951,27 +958,32 @@ def _k(spark, sf_dir) -> int:
 def _kmeans_c(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "kmeans_c")
     if key not in _CACHE:
-        out, centers, cost = R.fit_kmeans(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
-        _CACHE[key] = (cut_lineage(out), centers, cost)
+        _CACHE[key] = cut_lineage(R.fit_kmeans(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir), "period"))
     return _CACHE[key]
 
 
-@query("i2_k_sweep")
+@query("i2_k_sweep", CU.chained(_C_KM, "SELECT k, inertia FROM sweep"))
 def i2_k_sweep(spark, sf_dir):
-    """K-means inertia and GMM BIC for k = 1..6 on the month table."""
+    """Inertia of the best of ten restarts for k = 1..6 on the month table."""
     return _sweep(spark, sf_dir)
 
 
-@query("i3_choose_k")
+@query("i2b_gmm_bic")
+def i2b_gmm_bic(spark, sf_dir):
+    """BIC of Gaussian mixtures for k = 1..6 on the month table."""
+    return R.gmm_sweep(_months_z(spark, sf_dir), _C_Z, 6)
+
+
+@query("i3_choose_k", CU.chained(_C_KM, "SELECT CAST(k AS INTEGER) AS k FROM chosen"))
 def i3_choose_k(spark, sf_dir):
     """Elbow choice of k from the sweep."""
     return R.choose_k(_sweep(spark, sf_dir))
 
 
-@query("i4_kmeans_labels")
+@query("i4_kmeans_labels", CU.chained(_C_KM, f"SELECT period, {cols_sql(_C_Z)}, regime AS regime_kmeans FROM labels JOIN pts USING (period)"))
 def i4_kmeans_labels(spark, sf_dir):
     """I4: k-means labels (10 restarts, stable label order) per period."""
-    return _kmeans_c(spark, sf_dir)[0].select("period", *_C_Z, "regime_kmeans")
+    return _kmeans_c(spark, sf_dir).select("period", *_C_Z, "regime_kmeans")
 
 
 @query("i5_gmm_labels")
@@ -981,25 +993,38 @@ def i5_gmm_labels(spark, sf_dir):
     return g.drop("features")
 
 
-@query("i6_cluster_profile")
+@query("i6_cluster_profile", CU.chained(
+    _C_KM, "SELECT regime AS regime_kmeans, " + ", ".join(f"avg({c}) AS avg_{c}" for c in _C_VARS)
+           + ", list_sort(list(period)) AS periods, count(*) AS n_periods FROM labels JOIN mc USING (period) GROUP BY regime"))
 def i6_cluster_profile(spark, sf_dir):
     """Mean of each measure and the period list per k-means label."""
-    return R.cluster_profile(_kmeans_c(spark, sf_dir)[0], "regime_kmeans", _C_VARS, "period")
+    return R.cluster_profile(_kmeans_c(spark, sf_dir), "regime_kmeans", _C_VARS, "period")
+
+
+def _banded(rows: DataFrame, method: str) -> DataFrame:
+    return rows.select(F.lit(method).alias("method"), "silhouette", R.silhouette_band(F.col("silhouette")).alias("quality"))
 
 
-@query("i7_silhouette")
+@query("i7_silhouette", CU.chained(
+    _C_KM, "SELECT 'kmeans' AS method, silhouette, CASE WHEN silhouette > 0.5 THEN 'strong' WHEN silhouette > 0.3 THEN 'reasonable' "
+           f"ELSE 'weak' END AS quality FROM ({CU.silhouette_sql('pts', 'period', _C_Z)}) s"))
 def i7_silhouette(spark, sf_dir):
-    """Silhouette of the k-means and GMM labellings with bands."""
-    km = _kmeans_c(spark, sf_dir)[0]
-    g = R.fit_gmm(_months_z(spark, sf_dir), _C_Z, _k(spark, sf_dir))
-    s_km, s_gm = R.silhouette(km, "regime_kmeans"), R.silhouette(g, "regime_gmm")
-    rows = [("kmeans", s_km), ("gmm", s_gm)]
-    df = spark.createDataFrame(rows, "method string, silhouette double")
-    return df.withColumn("quality", F.when(F.col("silhouette") > 0.5, "strong")
-                         .when(F.col("silhouette") > 0.3, "reasonable").otherwise("weak"))
+    """Exact Euclidean silhouette of the k-means labels with its band."""
+    return _banded(R.silhouette(_kmeans_c(spark, sf_dir), "regime_kmeans", _C_Z), "kmeans")
+
+
+@query("i7b_gmm_silhouette")
+def i7b_gmm_silhouette(spark, sf_dir):
+    """Exact Euclidean silhouette of the mixture's labels."""
+    g = cut_lineage(i5_gmm_labels(spark, sf_dir))
+    return _banded(R.silhouette(g, "regime_gmm", _C_Z), "gmm")
 
 
-@query("i8_pca")
+@query("i8_pca", CU.chained(
+    _C_POINTS + CU.pca_ctes("pts", _C_Z),
+    "SELECT period, " + " + ".join(f"{c} * a.v{i}" for i, c in enumerate(_C_Z)) + " AS pc1, "
+    + " + ".join(f"{c} * b.v{i}" for i, c in enumerate(_C_Z)) + " AS pc2, a.spread / total AS explained_1, b.spread / total AS explained_2 "
+    "FROM pts, pc1v a, pc2v b, whole"))
 def i8_pca(spark, sf_dir):
     """I8: two-component projection of the standardised table."""
     out, ratio = R.pca2(_months_z(spark, sf_dir), _C_Z)
@@ -1015,10 +1040,10 @@ def l3(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, "l3")
     if key not in _CACHE:
         p = l2(spark, sf_dir)
-        t = R.standardize(p.select("year", *_MV).distinct().dropna(), _MV)
+        t = cut_lineage(R.standardize(R.period_table(p, _MV), _MV))
         z = [f"z_{c}" for c in _MV]
         k = int(R.choose_k(R.kmeans_sweep(t, z, 6)).first()["k"])
-        km, _centers, _cost = R.fit_kmeans(t, z, k)
+        km = cut_lineage(R.fit_kmeans(t, z, k))
         labels = km.select("year", F.col("regime_kmeans").alias("regime"))
         g = R.fit_gmm(t, z, k).select("year", "regime_gmm", "regime_confidence", "low_confidence")
         labels = labels.join(g, "year", "left")
@@ -1044,6 +1069,42 @@ def d20_regime_products(spark, sf_dir):
     return p.select(*cols)
 
 
+_L3_KM = _RULE_CTE[:1] + [("pts", "SELECT year, " + cols_sql(_MV) + ", " + ", ".join(
+    f"({c} - avg({c}) OVER ()) / NULLIF(stddev_pop({c}) OVER (), 0) AS z_{c}" for c in _MV) + " FROM rr")] \
+    + CU.kmeans_ctes("pts", "year", [f"z_{c}" for c in _MV]) + [
+    ("named", "SELECT regime, " + _RULE_SQL.format(i="avg(inflation)", r="avg(fed_rate)", g="avg(gdp_growth)", s="avg(stress_intensity)")
+              + " AS regime_name FROM labels JOIN pts USING (year) GROUP BY regime")]
+
+
+@query("d20b_regime_products", CU.chained(
+    O.layer_ctes("l2") + _L3_KM,
+    "SELECT company, l2.year, regime, regime_name, " + ", ".join(
+        f"CAST(coalesce(regime = {r}, false) AS INTEGER) AS regime_{r}_dummy" for r in (0, 1)) + ", "
+    + ", ".join(f"{c} * CAST(coalesce(regime = {r}, false) AS INTEGER) AS {c}_x_regime_{r}" for c in ("roa", "debt_ratio", "rollover_risk") for r in (0, 1))
+    + " FROM l2 LEFT JOIN labels ON l2.year = labels.year LEFT JOIN named USING (regime)"))
+def d20b_regime_products(spark, sf_dir):
+    """K-means regime, its name, and the dummies and some products of
+    the first two regimes, which any choice of k has."""
+    return l3(spark, sf_dir).select("company", "year", "regime", "regime_name", "regime_0_dummy", "regime_1_dummy", *[
+        f"{c}_x_regime_{r}" for c in ("roa", "debt_ratio", "rollover_risk") for r in (0, 1)])
+
+
+@query("g1b_disagreements", O.with_layers(
+    "l2", f"SELECT year, count(*) AS n_variants, CAST(sum(n) - max(n) AS BIGINT) AS n_other_rows FROM (SELECT year, sector_benchmark, {cols_sql(_MV[:3])}, "
+          "count(*) AS n FROM l2 GROUP BY ALL) v GROUP BY year HAVING count(*) > 1"))
+def g1b_disagreements(spark, sf_dir):
+    """G1: years whose rows disagree on a macro (the sector benchmark does by
+    design), and how many rows hold another value than the period table's."""
+    return R.disagreements(l2(spark, sf_dir), ["sector_benchmark", *_MV[:3]])
+
+
+@query("c14_macro_report", "SELECT * FROM (VALUES ('inflation', 'inflation', true), ('interest_rate', 'fed_rate', true), "
+                           "('gdp_growth', 'gdp', true), ('stress', NULL, false)) t(series, column_name, found)")
+def c14_macro_report(spark, sf_dir):
+    """C14: macro series of the raw panel by candidate columns, the missing one reported."""
+    return R.macro_report(raw(spark, sf_dir))
+
+
 def _features(spark, sf_dir):
     return MD.feature_columns(l3(spark, sf_dir), TARGETS, mode="clean")
 

@@ -215,6 +215,10 @@ _LAYERS = {"raw": lambda: [("raw", duckdb_sql(PANEL_A_SQL))],
            "l2": lambda: clean_ctes() + l1_ctes() + l2_ctes()}
 
 
+def layer_ctes(upto: str) -> list[tuple[str, str]]:
+    return _LAYERS[upto]()
+
+
 def with_layers(upto: str, body: str, extra: list[tuple[str, str]] | None = None) -> str:
     ctes = _LAYERS[upto]() + (extra or [])
     return "WITH " + ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes) + "\n" + body
