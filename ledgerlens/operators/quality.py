@@ -23,11 +23,13 @@ def _unpivot_one_row(row_df: DataFrame, names: list[str], value_name: str,
 
 
 def schema_summary(df: DataFrame) -> DataFrame:
-    """B1: rows, columns, numeric columns."""
-    n_cols = len(df.columns)
-    n_num = len(numeric_columns(df))
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(n_cols).alias("n_cols"), F.lit(n_num).alias("n_numeric"))
+    """B1: one row a column: position, name, type, whether it is numeric,
+    beside the table's row and column counts."""
+    numeric = set(numeric_columns(df))
+    rows = [(i, f.name, f.dataType.simpleString(), f.name in numeric) for i, f in enumerate(df.schema.fields)]
+    cols = df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string, is_numeric boolean")
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return cols.withColumns({"n_rows": n, "n_cols": F.lit(len(rows)), "n_numeric": F.lit(len(numeric))})
 
 
 def null_totals(df: DataFrame) -> DataFrame:
@@ -174,23 +176,15 @@ def ranges(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def feature_availability(df: DataFrame, requirements: dict[str, list[str]]) -> DataFrame:
-    """Per layer, how many required columns the table has (present and
-    holding at least one value) and which are missing.  One counting pass."""
+    """Per layer, how many required columns the table's schema has and
+    which are missing (a column without any value is there)."""
     spark = df.sparkSession
-    present = sorted({c for cs in requirements.values() for c in cs if c in df.columns})
-    req = spark.createDataFrame([(layer, c) for layer, cs in requirements.items() for c in cs],
-                                "layer string, column_name string")
-    if present:
-        counts = df.agg(*[F.count(c).alias(c) for c in present]).unpivot(
-            [], present, "column_name", "n_values")
-        req = req.join(F.broadcast(counts), "column_name", "left")   # <= one row per column
-    else:
-        req = req.withColumn("n_values", F.lit(None).cast("long"))
-    ok = F.coalesce(F.col("n_values") > 0, F.lit(False))
+    have = spark.createDataFrame([(c,) for c in df.columns], "have string")
+    req = spark.createDataFrame([(layer, c) for layer, cs in requirements.items() for c in cs], "layer string, column_name string")
+    req = req.join(F.broadcast(have), F.col("column_name") == F.col("have"), "left")            # one row a column
     return req.groupBy("layer").agg(
-        F.count_if(ok).alias("available"),
-        F.count(F.lit(1)).alias("required"),
-        F.array_sort(F.collect_list(F.when(~ok, F.col("column_name")))).alias("missing"))
+        F.count("have").alias("available"), F.count(F.lit(1)).alias("required"),
+        F.array_sort(F.collect_list(F.when(F.col("have").isNull(), F.col("column_name")))).alias("missing"))
 
 
 def clean_gate(df: DataFrame) -> DataFrame:

@@ -30,6 +30,17 @@ def sector_flag(avg) -> "F.Column":
     return F.when(avg >= 40, "!").when(avg >= 25, "?").otherwise(".")
 
 
+def sector_band(avg) -> "F.Column":
+    """Chart bands of the sector comparison: >=40, >=25, >=15, below."""
+    return F.when(avg >= 40, "darkred").when(avg >= 25, "red").when(avg >= 15, "orange").otherwise("green")
+
+
+def mean_of_scores(score) -> "F.Column":
+    """Mean of scores of two digits, summed as decimals: a tie of the rounding
+    does not depend on the order of rows."""
+    return F.sum(score.cast("decimal(12,2)")).cast("double") / F.count(score)
+
+
 def roa_history(panel: DataFrame, key: str = "company") -> DataFrame:
     """Population std of each company's roa history and its length."""
     return panel.groupBy(key).agg(F.stddev_pop("roa").alias("roa_std"),
@@ -51,11 +62,11 @@ def risk_scores(wide: DataFrame, history: DataFrame) -> DataFrame:
         s.alias("stagflation_pred"), vuln.alias("v"), lev.alias("l"), vol.alias("o"), liq.alias("q"))
     score = 0.40 * F.col("v") + 0.30 * F.col("l") + 0.20 * F.col("o") + 0.10 * F.col("q")
     return x.select("company", "sector", "target",
-                    F.round(score, 2).alias("risk_score"),
-                    F.round("v", 2).alias("stress_vulnerability"), F.round("l", 2).alias("leverage_risk"),
-                    F.round("o", 2).alias("volatility_risk"), F.round("q", 2).alias("liquidity_risk"),
-                    F.round("baseline", 4).alias("baseline"),
-                    F.round("stagflation_pred", 4).alias("stagflation"))
+                    F.bround(score, 2).alias("risk_score"),
+                    F.bround("v", 2).alias("stress_vulnerability"), F.bround("l", 2).alias("leverage_risk"),
+                    F.bround("o", 2).alias("volatility_risk"), F.bround("q", 2).alias("liquidity_risk"),
+                    F.bround("baseline", 4).alias("baseline"),
+                    F.bround("stagflation_pred", 4).alias("stagflation"))
 
 
 def primary_extremes(risk: DataFrame, k: int = 10) -> DataFrame:
@@ -85,8 +96,23 @@ def warnings(wide: DataFrame) -> DataFrame:
     x = x.withColumn("warning_list", w).where(F.size("warning_list") > 0)
     return x.select("company", "sector", "target",
                     F.concat_ws(" | ", "warning_list").alias("warnings"),
-                    F.round("drop", 1).alias("stress_drop_pct"), F.round("dr", 3).alias("leverage"),
-                    F.round("cr", 2).alias("current_ratio"))
+                    F.bround("drop", 1).alias("stress_drop_pct"), F.bround("dr", 3).alias("leverage"),
+                    F.bround("cr", 2).alias("current_ratio"))
+
+
+def by_drop(warn: DataFrame) -> DataFrame:
+    """The warning rows, largest drop first."""
+    return warn.orderBy(F.desc("stress_drop_pct"), "company", "target")
+
+
+def sector_impact(pred: DataFrame, target: str = "ROA") -> DataFrame:
+    """Stagflation vs base sector means of one target, % impact with floor
+    .001, most negative first."""
+    perf = sector_performance(pred).where(F.col("target") == target)
+    s, b = (perf.where(F.col("scenario") == k).select("sector", F.col("mean_predicted").alias(f"predicted_{n}"))
+            for k, n in (("STAGFLATION", "stress"), ("BASE", "base")))
+    change = (F.col("predicted_stress") - F.col("predicted_base")) / F.greatest(F.abs(F.col("predicted_base")), F.lit(0.001)) * 100
+    return s.join(b, "sector").withColumn("impact_pct", change).orderBy("impact_pct", "sector")
 
 
 def warning_types(warn: DataFrame) -> DataFrame:
@@ -134,13 +160,14 @@ def sector_summary(risk: DataFrame) -> DataFrame:
     sector may hold a large share of all firms, so it is never collected
     into one array."""
     g = risk.groupBy("sector").agg(
-        F.avg("risk_score").alias("avg_risk"),
-        F.stddev_samp("risk_score").alias("std_risk"),
-        F.round(F.min("risk_score"), 2).alias("min_risk"),
-        F.round(F.max("risk_score"), 2).alias("max_risk"),
+        F.bround(mean_of_scores(F.col("risk_score")), 2).alias("avg_risk"),
+        F.bround(F.stddev_samp("risk_score"), 2).alias("std_risk"),
+        F.bround(F.min("risk_score"), 2).alias("min_risk"),
+        F.bround(F.max("risk_score"), 2).alias("max_risk"),
         F.count("risk_score").alias("firm_count"),
         F.count_distinct("company").alias("n_firms"))
-    return g.withColumn("flag", sector_flag(F.round("avg_risk", 2)))
+    avg = F.col("avg_risk")
+    return g.withColumns({"flag": sector_flag(avg), "band": sector_band(avg)}).orderBy(F.desc("avg_risk"), "sector")
 
 
 def sector_firms(risk: DataFrame) -> DataFrame:
@@ -170,10 +197,10 @@ def sector_performance(pred: DataFrame, scenarios=("BASE", "STAGFLATION", "RECES
                 .agg(F.avg("predicted").alias("mean_predicted")))
 
 
-def kpi_row(risk: DataFrame, warn: DataFrame) -> DataFrame:
-    """One-row dashboard: rows, distinct firms, counts over 40 and 60,
-    leverage and liquidity warning counts, top firm and top sector (ties to
-    the smallest name).  The three inputs are tagged, unioned and reduced by
+def kpi_row(risk: DataFrame, warn: DataFrame, drivers: DataFrame) -> DataFrame:
+    """One-row dashboard: rows, distinct firms, counts over 40 and 60,
+    leverage and liquidity warning counts, top firm, top sector (ties to the
+    smallest name) with its label of 20 characters, top risk driver (I20).  The three inputs are tagged, unioned and reduced by
     one conditional aggregate (no join)."""
     sectors = risk.groupBy("sector").agg(F.avg("risk_score").alias("m"))
     u = (risk.select(F.lit("r").alias("t"), "company", "risk_score", F.lit(None).cast("string").alias("warnings"),
@@ -186,14 +213,16 @@ def kpi_row(risk: DataFrame, warn: DataFrame) -> DataFrame:
                                      F.lit(None).cast("string").alias("warnings"), "sector", "m")))
     r, w, s = F.col("t") == "r", F.col("t") == "w", F.col("t") == "s"
     sc = F.col("risk_score")
-    return u.agg(
+    row = u.agg(
         F.count_if(r).alias("n_rows"),
         F.count_distinct(F.when(r, F.col("company"))).alias("n_firms"),
         F.count_if(r & (sc >= 40)).alias("n_high"),
         F.count_if(r & (sc >= 60)).alias("n_critical"),
         F.min_by(F.when(r, F.col("company")), F.when(r, F.struct((-sc).alias("s"), F.col("company")))).alias("top_firm"),
-        F.round(F.avg(F.when(r, sc)), 2).alias("avg_risk"),
+        F.bround(mean_of_scores(F.when(r, sc)), 2).alias("avg_risk"),
         F.count_if(w & F.col("warnings").contains("HIGH LEVERAGE")).alias("n_leverage_warnings"),
         F.count_if(w & F.col("warnings").contains("LIQUIDITY CRISIS")).alias("n_liquidity_warnings"),
         F.min_by(F.when(s, F.col("sector")), F.when(s, F.struct((-F.col("m")).alias("m"), F.col("sector"))))
          .alias("top_sector"))
+    top = drivers.agg(F.min_by("feature", F.struct((-F.col("mean_negative")).alias("m"), F.col("feature")))).scalar()
+    return row.withColumns({"top_sector_label": F.substring("top_sector", 1, 20), "top_driver": top})

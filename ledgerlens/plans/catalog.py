@@ -17,6 +17,7 @@ from ..operators import clean as CL
 from ..operators import features as FE
 from ..operators import quality as Q
 from ..session import cut_lineage
+from ..sources.panel import MEASURES, read_panel
 from ..sources.fixtures import PANEL_A_MEASURES, PANEL_B_SQL, duckdb_sql, panel_a, panel_b
 from . import oracle as O
 
@@ -101,6 +102,67 @@ def a2_layer_roundtrip(spark, sf_dir):
     return read_layer(spark, path).select(*ALL_RAW)
 
 
+@query("a2b_year_rewrite", O.with_layers(
+    "clean", "SELECT company, year, CASE WHEN year = 2000 THEN net_sales * 2 ELSE net_sales END AS net_sales, total_assets FROM clean "
+             "WHERE year IN (1999, 2000)"))
+def a2b_year_rewrite(spark, sf_dir):
+    """A2: one year of a partitioned layer written anew, the others left alone,
+    two years scanned (pruned to their folders)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import read_layer, rewrite_partitions, write_layer
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/layers/years-{uuid.uuid4().hex}"
+    layer = clean(spark, sf_dir).select("company", "year", "net_sales", "total_assets")
+    write_layer(layer, path, partition_by="year")
+    rewrite_partitions(layer.where("year = 2000").withColumn("net_sales", F.col("net_sales") * 2), path, "year")
+    return read_layer(spark, path, "year IN (1999, 2000)").select("company", "year", "net_sales", "total_assets")
+
+
+_DIRTY = ("cash", "stock_price", "net_income")
+
+
+def _dirty_panel(spark, sf_dir):
+    """The raw panel as a user's CSV: NaN and infinities in three columns, text
+    in the year of firms ending in 9, and a poorer second row for those ending in 3."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    p = raw(spark, sf_dir).select(*ALL_RAW, F.lit("kept out").alias("remark"))
+    last = F.right("company", F.lit(1))
+    texts = {c: F.col(c).cast("string") for c in p.columns}
+    texts["cash"] = F.when(last == "1", "NaN").otherwise(texts["cash"])
+    texts["stock_price"] = F.when(last == "2", "inf").otherwise(texts["stock_price"])
+    texts["net_income"] = F.when(last == "4", "-inf").otherwise(texts["net_income"])
+    texts["year"] = F.when(last == "9", F.concat(F.lit("year "), F.col("year").cast("string"))).otherwise(texts["year"])
+    first = p.select(*[v.alias(c) for c, v in texts.items()])
+    again = first.where(F.right("company", F.lit(1)) == "3").withColumns({c: F.lit(None).cast("string") for c in ("net_sales", "cash")})
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/csv/panel-{uuid.uuid4().hex}"
+    first.unionByName(again).write.option("header", True).csv(path)
+    return read_panel(spark, path)
+
+
+_RIGHT = {"cash": "1", "stock_price": "2", "net_income": "4"}
+
+
+@query("a1b_panel_reader", O.with_layers("raw", "SELECT " + ", ".join(
+    f"CASE WHEN right(company, 1) = '{_RIGHT[c]}' THEN NULL ELSE {c} END AS {c}" if c in _RIGHT else c for c in ALL_RAW)
+    + " FROM raw WHERE right(company, 1) <> '9'"))
+def a1b_panel_reader(spark, sf_dir):
+    """A CSV panel with NaN, infinities, broken lines and repeated keys, read."""
+    return _dirty_panel(spark, sf_dir).rows.select(*ALL_RAW)
+
+
+@query("a1c_panel_findings", O.with_layers(
+    "raw", "SELECT 'rejected line' AS finding, count(*) AS n FROM raw WHERE right(company, 1) = '9' UNION ALL "
+           "SELECT 'repeated key', count(*) FROM raw WHERE right(company, 1) = '3' UNION ALL SELECT 'missing column', 32"))
+def a1c_panel_findings(spark, sf_dir):
+    """A1: what the reader found: lines that do not parse, repeated keys,
+    declared columns that the file lacks."""
+    p = _dirty_panel(spark, sf_dir)
+    return (p.rejected.agg(F.lit("rejected line").alias("finding"), F.count(F.lit(1)).alias("n"))
+            .unionByName(p.repeated.agg(F.lit("repeated key").alias("finding"), F.count(F.lit(1)).alias("n")))
+            .unionByName(spark.createDataFrame([("missing column", len(p.missing))], "finding string, n long")))
+
+
 _PREVIEW = ["company", "year", "roa", "debt_ratio", "current_ratio", "asset_turnover",
             "firm_size", "roa_lag1", "roa_rolling3", "roa_trend"]
 
@@ -116,10 +178,17 @@ def a5_preview(spark, sf_dir):
 _NUM_RAW = [c for c in ALL_RAW if c not in ("company", "sector")]
 
 
+# Fixed values of the twin: the panel's columns and types.
+_B1_TYPES = "company string, year int, sector string, " + ", ".join(f"{c} double" for c in ALL_RAW[3:])
+
+
 @query("b1_schema_summary", O.with_layers(
-    "raw", f"SELECT count(*) AS n_rows, {len(ALL_RAW)} AS n_cols, {len(_NUM_RAW)} AS n_numeric FROM raw"))
+    "raw", "SELECT position, column_name, data_type, data_type <> 'string' AS is_numeric, (SELECT count(*) FROM raw) AS n_rows, "
+           "23 AS n_cols, 21 AS n_numeric FROM (VALUES " + ", ".join(
+               "(%d, '%s', '%s')" % (i, *c.split()) for i, c in enumerate(_B1_TYPES.split(", "))) + ") t(position, column_name, data_type)"))
 def b1_schema_summary(spark, sf_dir):
-    return Q.schema_summary(raw(spark, sf_dir))
+    """B1: the panel's columns by position, name and type, with its counts."""
+    return Q.schema_summary(raw(spark, sf_dir).select(*ALL_RAW))
 
 
 _tot_nulls = " + ".join(f"count_if({c} IS NULL)" for c in ALL_RAW)
@@ -180,27 +249,31 @@ def b6b_missing_pairs(spark, sf_dir):
     return Q.missing_pairs(panel_b(spark, sf_dir))
 
 
-# The named report list, in our column names (some absent on purpose).
-REPORT_COLUMNS = ["net_sales", "gross_profit", "operating_income", "interest_income",
-                  "net_income", "cfo", "capex", "cash", "marketable_securities",
-                  "total_assets", "total_liabilities", "equity", "stock_price",
-                  "other_investing_activities", "other_financing_activities",
-                  "sector_benchmark", "inflation", "fed_rate", "gdp", "sp500"]
-_present = [c for c in REPORT_COLUMNS if c in ALL_RAW]
+# Fixed values of the twin: the 52 names of the report, as text.
+_B7_NAMES = (
+    "net_sales cost_of_sales gross_profit operating_income interest_income interest_expense other_income pretax_income "
+    "income_tax net_income eps_diluted diluted_shares cfo capex acquisitions cfi debt_issuance debt_repayment "
+    "share_buybacks dividends_paid cff net_change_in_cash depreciation stock_compensation working_capital_change cash "
+    "accounts_receivable inventories other_current_assets current_assets ppe_net goodwill other_long_term_assets "
+    "total_assets accounts_payable accrued_liabilities other_current_liabilities current_liabilities long_term_debt "
+    "other_long_term_liabilities total_liabilities equity operating_expenses marketable_securities "
+    "other_investing_activities other_financing_activities stock_price sector_benchmark inflation fed_rate gdp sp500").split()
+_present = [c for c in _B7_NAMES if c in ALL_RAW]
 _b7_rows = " UNION ALL ".join(
     (f"SELECT {i} AS position, '{c}' AS column_name, count_if({c} IS NULL) AS missing_count, "
      f"round(count_if({c} IS NULL) * 100.0 / count(*), 6) AS missing_pct, true AS present FROM raw")
     if c in ALL_RAW else
-    (f"SELECT {i}, '{c}', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false")
-    for i, c in enumerate(REPORT_COLUMNS))
-_b7_total = ("SELECT %d, 'TOTAL', (%s), round((%s) * 100.0 / (count(*) * %d), 6), true FROM raw" % (
-    len(REPORT_COLUMNS), " + ".join(f"count_if({c} IS NULL)" for c in _present),
+    (f"SELECT {i} AS position, '{c}' AS column_name, CAST(NULL AS BIGINT) AS missing_count, CAST(NULL AS DOUBLE) AS missing_pct, false AS present")
+    for i, c in enumerate(_B7_NAMES))
+_b7_total = ("SELECT 52, 'TOTAL', (%s), round((%s) * 100.0 / (count(*) * %d), 6), true FROM raw" % (
+    " + ".join(f"count_if({c} IS NULL)" for c in _present),
     " + ".join(f"count_if({c} IS NULL)" for c in _present), len(_present)))
 
 
 @query("b7_null_report", O.with_layers("raw", f"{_b7_rows} UNION ALL {_b7_total}"))
 def b7_null_report(spark, sf_dir):
-    return Q.null_report(raw(spark, sf_dir), REPORT_COLUMNS)
+    """Nulls of the 52 named measures, absent ones without counts, total."""
+    return Q.null_report(raw(spark, sf_dir), list(MEASURES))
 
 
 _B8 = ["marketable_securities", "cash", "stock_price", "net_income"]
@@ -250,16 +323,10 @@ LAYER_REQUIREMENTS = {
     "7_risk_dashboard": ["total_liabilities", "long_term_debt", "net_income"],
 }
 _b11_vals = ", ".join(f"('{layer}', '{c}')" for layer, cs in LAYER_REQUIREMENTS.items() for c in cs)
-_b11_present = sorted({c for cs in LAYER_REQUIREMENTS.values() for c in cs if c in ALL_RAW})
-_b11_counts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values FROM clean"
-                                 for c in _b11_present)
-
-
-@query("b11_feature_availability", O.with_layers(
-    "clean", f"SELECT layer, count_if(coalesce(n_values > 0, false)) AS available, count(*) AS required, "
-             f"coalesce(list_sort(list(r.column_name) FILTER (WHERE NOT coalesce(n_values > 0, false))), []) AS missing "
-             f"FROM (VALUES {_b11_vals}) r(layer, column_name) LEFT JOIN ({_b11_counts}) c "
-             f"ON r.column_name = c.column_name GROUP BY layer"))
+@query("b11_feature_availability",
+       "SELECT layer, count_if(there) AS available, count(*) AS required, "
+       "coalesce(list_sort(list(column_name) FILTER (WHERE NOT there)), []) AS missing FROM (SELECT *, column_name IN ("
+       + ", ".join(f"'{c}'" for c in ALL_RAW) + f") AS there FROM (VALUES {_b11_vals}) r(layer, column_name)) t GROUP BY layer")
 def b11_feature_availability(spark, sf_dir):
     return Q.feature_availability(clean(spark, sf_dir), LAYER_REQUIREMENTS)
 
@@ -382,6 +449,18 @@ def d10_d15_rule_regimes(spark, sf_dir):
     return l2(spark, sf_dir).select("company", "year", *_D10)
 
 
+@query("d15b_regime_key", O.with_layers(
+    "l2", "SELECT company, year, regime_code, concat(CASE WHEN inflation < 0 THEN 1 WHEN inflation <= 2 THEN 2 WHEN inflation <= 5 THEN 3 "
+          "WHEN inflation > 5 THEN 4 ELSE 0 END, '-', CASE WHEN gdp_growth < -2 THEN 1 WHEN gdp_growth < 0 THEN 2 WHEN gdp_growth < 2 THEN 3 "
+          "WHEN gdp_growth >= 2 THEN 4 ELSE 0 END) AS regime_key FROM l2"))
+def d15b_regime_key(spark, sf_dir):
+    """The regime code, which two band pairs share, beside a key that is
+    one to one with the inflation and growth bands."""
+    p = l2(spark, sf_dir)
+    key = FE.regime_key()
+    return p.select("company", "year", "regime_code", F.concat_ws("-", key["inflation_band"], key["growth_band"]).alias("regime_key"))
+
+
 _D16 = FE.STRESS_PARTS + ["stress_intensity"]
 
 
@@ -597,9 +676,9 @@ def j5_stress_impact(spark, sf_dir):
 
 _RISK_SQL = (
     "SELECT w.company, w.sector, upper(w.target) AS target, "
-    "round(0.4 * v + 0.3 * l + 0.2 * o + 0.1 * q, 2) AS risk_score, round(v, 2) AS stress_vulnerability, "
-    "round(l, 2) AS leverage_risk, round(o, 2) AS volatility_risk, round(q, 2) AS liquidity_risk, "
-    "round(base, 4) AS baseline, round(stagflation, 4) AS stagflation FROM (SELECT w.*, "
+    "round_even(0.4 * v + 0.3 * l + 0.2 * o + 0.1 * q, 2) AS risk_score, round_even(v, 2) AS stress_vulnerability, "
+    "round_even(l, 2) AS leverage_risk, round_even(o, 2) AS volatility_risk, round_even(q, 2) AS liquidity_risk, "
+    "round_even(base, 4) AS baseline, round_even(stagflation, 4) AS stagflation FROM (SELECT w.*, "
     f"greatest({O.d(0.0)}, least({O.d(100.0)}, CASE WHEN abs(base) > 0.001 THEN (base - stagflation) / abs(base) * 100 ELSE {O.d(50.0)} END)) AS v, "
     f"least({O.d(100.0)}, coalesce(debt_ratio, {O.d(0.5)}) * 100) AS l, "
     f"CASE WHEN h.roa_n > 1 THEN least({O.d(100.0)}, h.roa_std * 100 * 2) ELSE {O.d(20.0)} END AS o, "
@@ -632,7 +711,7 @@ _WARN_SQL = (
     "concat_ws(' | ', CASE WHEN dp > 30 THEN printf('CRITICAL: %.0f%% drop under stagflation', dp) END, "
     "CASE WHEN dr > 0.7 THEN printf('HIGH LEVERAGE: %.1f%%', dr * 100) END, "
     "CASE WHEN cr < 1 THEN printf('LIQUIDITY CRISIS: Current ratio = %.2f', cr) END) AS warnings, "
-    "round(dp, 1) AS stress_drop_pct, round(dr, 3) AS leverage, round(cr, 2) AS current_ratio "
+    "round_even(dp, 1) AS stress_drop_pct, round_even(dr, 3) AS leverage, round_even(cr, 2) AS current_ratio "
     f"FROM (SELECT *, CASE WHEN abs(base) > 0.001 THEN (base - stagflation) / abs(base) * 100 ELSE {O.d(0.0)} END AS dp, "
     f"coalesce(debt_ratio, {O.d(0.0)}) AS dr, coalesce(current_ratio, {O.d(1.0)}) AS cr FROM wide) t "
     "WHERE dp > 30 OR dr > 0.7 OR cr < 1")
@@ -641,8 +720,9 @@ _WARN_CTES = _RISK_CTES + [("warn", _WARN_SQL)]
 
 @query("j10_warnings", O.with_layers("l2", "SELECT * FROM warn", _WARN_CTES))
 def j10_warnings(spark, sf_dir):
-    """Warning signals (drop > 30%, leverage > .7, liquidity < 1)."""
-    return RK.warnings(_wide(spark, sf_dir))
+    """Warning signals (drop > 30%, leverage > .7, liquidity < 1),
+    largest drop first."""
+    return RK.by_drop(RK.warnings(_wide(spark, sf_dir)))
 
 
 @query("j11_warning_types", O.with_layers(
@@ -677,13 +757,13 @@ def j12_risk_ranking(spark, sf_dir):
 
 
 @query("j13_sector_summary", O.with_layers(
-    "l2", "SELECT sector, avg(risk_score) AS avg_risk, stddev_samp(risk_score) AS std_risk, "
-          "round(min(risk_score), 2) AS min_risk, round(max(risk_score), 2) AS max_risk, "
-          "count(risk_score) AS firm_count, count(DISTINCT company) AS n_firms, "
-          "CASE WHEN round(avg(risk_score), 2) >= 40 THEN '!' WHEN round(avg(risk_score), 2) >= 25 THEN '?' "
-          "ELSE '.' END AS flag FROM risk GROUP BY sector", _RISK_CTES))
+    "l2", "SELECT *, CASE WHEN avg_risk >= 40 THEN '!' WHEN avg_risk >= 25 THEN '?' ELSE '.' END AS flag, CASE WHEN avg_risk >= 40 THEN "
+          "'darkred' WHEN avg_risk >= 25 THEN 'red' WHEN avg_risk >= 15 THEN 'orange' ELSE 'green' END AS band FROM (SELECT sector, "
+          "round_even(CAST(sum(CAST(risk_score AS DECIMAL(12, 2))) AS DOUBLE) / count(risk_score), 2) AS avg_risk, round_even(stddev_samp(risk_score), 2) AS std_risk, "
+          "round_even(min(risk_score), 2) AS min_risk, round_even(max(risk_score), 2) AS max_risk, "
+          "count(risk_score) AS firm_count, count(DISTINCT company) AS n_firms FROM risk GROUP BY sector) s", _RISK_CTES))
 def j13_sector_summary(spark, sf_dir):
-    """Sector risk summary with flag."""
+    """Sector risk summary, rounded and sorted, with flag and chart band."""
     return RK.sector_summary(_risk(spark, sf_dir))
 
 
@@ -720,19 +800,6 @@ def h8_sector_performance(spark, sf_dir):
     return RK.sector_performance(_pred(spark, sf_dir))
 
 
-@query("e15_kpi_row", O.with_layers(
-    "l2", "SELECT * FROM (SELECT count(*) AS n_rows, count(DISTINCT company) AS n_firms, "
-          "count_if(risk_score >= 40) AS n_high, count_if(risk_score >= 60) AS n_critical, "
-          "arg_min(company, (-risk_score, company)) AS top_firm, round(avg(risk_score), 2) AS avg_risk FROM risk) a, "
-          "(SELECT count_if(contains(warnings, 'HIGH LEVERAGE')) AS n_leverage_warnings, "
-          "count_if(contains(warnings, 'LIQUIDITY CRISIS')) AS n_liquidity_warnings FROM warn) w, "
-          "(SELECT arg_min(sector, (-m, sector)) AS top_sector FROM (SELECT sector, avg(risk_score) AS m "
-          "FROM risk GROUP BY sector) s) s", _WARN_CTES))
-def e15_kpi_row(spark, sf_dir):
-    """One-row KPI summary."""
-    return RK.kpi_row(_risk(spark, sf_dir), RK.warnings(_wide(spark, sf_dir)))
-
-
 # ------------------------------------------------------------ bootstrap --
 N_SIMS = 500
 
@@ -1352,7 +1419,7 @@ def j9b_gbt_histogram(spark, sf_dir):
 @query("j10b_gbt_warnings")
 def j10b_gbt_warnings(spark, sf_dir):
     """J10 with the trained models: warning signals."""
-    return RK.warnings(_wide(spark, sf_dir, "trees"))
+    return RK.by_drop(RK.warnings(_wide(spark, sf_dir, "trees")))
 
 
 @query("j12b_gbt_risk_ranking")
@@ -1379,12 +1446,6 @@ def e14b_gbt_scenario_pivot(spark, sf_dir):
     return RK.scenario_pivot(_pred(spark, sf_dir, "trees"), TARGETS)
 
 
-@query("e15b_gbt_kpi_row")
-def e15b_gbt_kpi_row(spark, sf_dir):
-    """E15 with the trained models: one-row KPI summary."""
-    return RK.kpi_row(_risk(spark, sf_dir, "trees"), RK.warnings(_wide(spark, sf_dir, "trees")))
-
-
 _LIN_FEATS = sorted({f for t in TARGETS for f, _ in S.LINEAR_SCORER[t][1]})
 
 
@@ -1490,8 +1551,29 @@ def i20b_linear_drivers(spark, sf_dir):
     return AT.risk_drivers(*_attr(spark, sf_dir, "roa", "linear"), 10)
 
 
+@query("e15_kpi_row", O.with_layers(
+    "l2", "SELECT *, substr(top_sector, 1, 20) AS top_sector_label, (SELECT feature FROM (" + _DRIVERS + ") d LIMIT 1) AS top_driver "
+          "FROM (SELECT count(*) AS n_rows, count(DISTINCT company) AS n_firms, "
+          "count_if(risk_score >= 40) AS n_high, count_if(risk_score >= 60) AS n_critical, "
+          "arg_min(company, (-risk_score, company)) AS top_firm, round_even(CAST(sum(CAST(risk_score AS DECIMAL(12, 2))) AS DOUBLE) / count(risk_score), 2) AS avg_risk FROM risk) a, "
+          "(SELECT count_if(contains(warnings, 'HIGH LEVERAGE')) AS n_leverage_warnings, "
+          "count_if(contains(warnings, 'LIQUIDITY CRISIS')) AS n_liquidity_warnings FROM warn) w, "
+          "(SELECT arg_min(sector, (-m, sector)) AS top_sector FROM (SELECT sector, avg(risk_score) AS m "
+          "FROM risk GROUP BY sector) s) s", _WARN_CTES + _ATTR))
+def e15_kpi_row(spark, sf_dir):
+    """One-row KPI summary."""
+    return RK.kpi_row(_risk(spark, sf_dir), RK.warnings(_wide(spark, sf_dir)), i20b_linear_drivers(spark, sf_dir))
+
+
+@query("e15b_gbt_kpi_row")
+def e15b_gbt_kpi_row(spark, sf_dir):
+    """E15 with the trained models: one-row KPI summary."""
+    return RK.kpi_row(_risk(spark, sf_dir, "trees"), RK.warnings(_wide(spark, sf_dir, "trees")), i20_risk_drivers(spark, sf_dir))
+
+
 def _breakdown(spark, sf_dir, kind):
-    return AT.long_form(*_attr(spark, sf_dir, "roa", kind, lambda p: AT.firm_row(p, _FIRMS)))
+    long = AT.long_form(*_attr(spark, sf_dir, "roa", kind, lambda p: AT.firm_row(p, _FIRMS)))
+    return long.withColumn("file_name", F.concat(F.lit("waterfall_"), F.replace("company", F.lit(" "), F.lit("_"))))       # D27
 
 
 @query("i21_firm_breakdown")
@@ -1502,7 +1584,7 @@ def i21_firm_breakdown(spark, sf_dir):
 
 
 @query("i21b_linear_breakdown", O.with_layers(
-    "l2", "SELECT c.* FROM c_roa c JOIN (SELECT company, year FROM l2 WHERE company IN (" + ", ".join(f"'{f}'" for f in _FIRMS)
+    "l2", "SELECT c.*, 'waterfall_' || replace(company, ' ', '_') AS file_name FROM c_roa c JOIN (SELECT company, year FROM l2 WHERE company IN (" + ", ".join(f"'{f}'" for f in _FIRMS)
           + ") ORDER BY list_position([" + ", ".join(f"'{f}'" for f in _FIRMS) + "], company), year LIMIT 1) f USING (company, year)", _ATTR))
 def i21b_linear_breakdown(spark, sf_dir):
     """I21 with the linear scorer."""
@@ -1626,13 +1708,8 @@ def e13_fallback_risk(spark, sf_dir):
           "JOIN (SELECT sector, avg(predicted) AS m FROM pred WHERE target = 'roa' AND scenario = 'BASE' GROUP BY sector) b "
           "ON s.sector = b.sector", _SC_CTES))
 def g5_sector_impact(spark, sf_dir):
-    """Stagflation vs base sector means (ROA), % impact with floor .001."""
-    perf = RK.sector_performance(_pred(spark, sf_dir)).where(F.col("target") == "ROA")
-    s = perf.where(F.col("scenario") == "STAGFLATION").select("sector", F.col("mean_predicted").alias("predicted_stress"))
-    b = perf.where(F.col("scenario") == "BASE").select("sector", F.col("mean_predicted").alias("predicted_base"))
-    j = s.join(b, "sector")
-    return j.withColumn("impact_pct", (F.col("predicted_stress") - F.col("predicted_base"))
-                        / F.greatest(F.abs(F.col("predicted_base")), F.lit(0.001)) * 100)
+    """Stagflation vs base sector means (ROA), % impact, most negative first."""
+    return RK.sector_impact(_pred(spark, sf_dir))
 
 
 @query("g7_split_semijoin", O.with_layers(

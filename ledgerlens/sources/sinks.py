@@ -14,8 +14,16 @@ def write_layer(df: DataFrame, path: str, partition_by: str | None = None) -> No
     w.parquet(path)
 
 
-def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def rewrite_partitions(df: DataFrame, path: str, partition_by: str) -> None:
+    """Replace only the partitions that ``df`` holds rows of; the files of the
+    others stay as they are."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+
+
+def read_layer(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
+    """Scan a layer; a condition on the partition column prunes its files."""
+    df = spark.read.parquet(path)
+    return df if where is None else df.where(where)
 
 
 def write_csv(df: DataFrame, path: str, sort_cols: list[str] | None = None) -> None:

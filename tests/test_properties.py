@@ -122,7 +122,7 @@ def test_global_rank_matches_row_number(spark):
 
 def test_clusters_partition_and_probabilities(spark):
     t = R.standardize(catalog.months_c(spark, SF_SMALL), catalog._C_VARS)
-    km, centers, cost = R.fit_kmeans(t, catalog._C_Z, 3, restarts=2)
+    km = R.fit_kmeans(t, catalog._C_Z, 3, "period")
     labels = {r.regime_kmeans for r in km.select("regime_kmeans").distinct().collect()}
     assert labels <= {0, 1, 2} and km.count() == t.count()
     g = R.fit_gmm(t, catalog._C_Z, 2)
