@@ -8,8 +8,13 @@ regression gives one weight vector per language, and both fold into one
 matrix, so that a batch of documents is scored by two matrix products:
 presence (docs x n-grams) times landmarks, then times weights.
 
-Fit on a bounded sample: ``TRAIN_PER_LANG`` expected texts per language and
-``LANDMARKS_PER_LANG`` of them as landmarks (parameters).  Whole texts are
+N-grams are exact numbers made of their code points, so every script keeps
+its own; the columns of the matrix are the n-grams of the landmarks.
+
+Fit on a bounded sample of different texts: at most ``TRAIN_PER_LANG`` a
+language, and ``LANDMARKS_PER_LANG`` landmarks a language, fewer each where
+there are more than ``LANDMARKS`` in all (parameters).  A language with fewer
+texts is learned from all of them, however often rows repeat.  Whole texts are
 read in fitting and in scoring.
 
 Defined results: null text or a text without letters gives ``und`` and score
@@ -25,20 +30,20 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import sliced, workers_ready
 
-TRAIN_PER_LANG = 600        # expected training texts per language
-LANDMARKS_PER_LANG = 40     # expected landmark texts per language
-ALPHABET = 63               # most frequent letters of the landmarks; others share a symbol
+TRAIN_PER_LANG = 600        # training texts per language at most
+LANDMARKS_PER_LANG = 40     # landmark texts per language at most
+LANDMARKS = 400             # landmark texts of all languages together (one each at least)
 RIDGE = 1e-2
 SHARPNESS = 6.0             # softmax scale turning ridge outputs into a 0..1 score
 BATCH = 128                 # documents per matrix product
 
-_BLANK, _OTHER = 0, 1
+_BITS = np.int64(21)         # a code point and the blank need 21 bits
 _LETTERS: np.ndarray | None = None
 
 
@@ -61,66 +66,53 @@ def letters(text: str | None) -> np.ndarray:
     return _lower_letters()[cps]
 
 
-class Grams:
-    """N-gram presence over a fixed alphabet; symbols 0 blank, 1 other letter."""
-
-    def __init__(self, alphabet: list[int]):
-        self.size = len(alphabet) + 2
-        self.table = np.full(sys.maxunicode + 1, _OTHER, np.int32)
-        self.table[0] = _BLANK
-        self.table[np.asarray(alphabet, np.int64)] = np.arange(2, self.size)
-        s = self.size
-        self.space = s + s * s + s * s * s
-
-    def present(self, lett: np.ndarray, flags: np.ndarray) -> None:
-        """Set ``flags`` (a cleared bool array over the n-gram space)."""
-        s = self.size
-        x = np.concatenate(([0], self.table[lett], [0]))
-        x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]   # one blank per gap
-        flags[x] = True
-        two = x[:-1] * s + x[1:]
-        flags[s + two] = True
-        if len(x) > 2:
-            flags[s + s * s + two[:-1] * s + x[2:]] = True
-        flags[0] = False
-
-    def presence(self, lett: np.ndarray) -> np.ndarray:
-        flags = np.zeros(self.space, bool)
-        self.present(lett, flags)
-        return flags
+def grams(lett: np.ndarray) -> np.ndarray:
+    """The different n-grams of a text, sorted: one to three symbols (code
+    point + 1, 1 for a blank) as the digits of one number."""
+    x = np.concatenate(([0], lett, [0]))
+    x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))].astype(np.int64) + 1       # one blank per gap
+    two = (x[:-1] << _BITS) | x[1:]
+    return np.unique(np.concatenate((x[x > 1], two, (two[:-1] << _BITS) | x[2:])))
 
 
 class Scorer:
     """Kernel rows against the landmarks, in blocks of documents."""
 
-    def __init__(self, alphabet: list[int], vocab: np.ndarray, marks: np.ndarray, sizes: np.ndarray):
-        self.grams = Grams(alphabet)
+    def __init__(self, vocab: np.ndarray, marks: np.ndarray, sizes: np.ndarray):
         self.vocab, self.marks, self.sizes = vocab, marks, sizes
-        self._flags = np.zeros(self.grams.space, bool)
 
     def kernel(self, block: list[np.ndarray]) -> np.ndarray:
-        seen = np.empty((len(block), len(self.vocab)), np.float32)
+        seen = np.zeros((len(block), len(self.vocab)), np.float32)
         n = np.empty(len(block), np.float32)
         for i, lett in enumerate(block):
-            self._flags[:] = False
-            self.grams.present(lett, self._flags)
-            n[i] = np.count_nonzero(self._flags)
-            seen[i] = self._flags[self.vocab]
+            g = grams(lett)
+            n[i] = len(g)
+            at = np.searchsorted(self.vocab, g)
+            at[at == len(self.vocab)] = 0
+            seen[i, at[self.vocab[at] == g]] = 1.0
         hits = seen @ self.marks.T
         return hits / np.sqrt(np.maximum(n, 1)[:, None] * self.sizes[None, :])
 
 
-def _per_lang_sample(docs: DataFrame, train: Column, per_lang: int, salt: int) -> DataFrame:
-    """About ``per_lang`` labelled rows of each language, chosen by a hash of
-    the key; the shares come from counts over all labelled rows."""
-    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def _per_lang_sample(docs: DataFrame, train: Column, per_lang: int, salt: int, at_most: int | None = None) -> DataFrame:
+    """(lang, text): at most ``per_lang`` different texts of each language
+    (``at_most`` in all, one each at least), those with the least hashes.
+
+    Counts of different texts thin the rows first, copies of a text meet in a
+    pre-aggregated group, and the exact cut sees little more than it keeps."""
+    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64(F.lit(salt), "text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
-        return labelled.select("doc_id", "lang", "text").limit(0)
+        return labelled.select("lang", "text").limit(0)
+    if at_most is not None:
+        per_lang = max(1, min(per_lang, at_most // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items())
-                           for x in (k, min(1.0, per_lang / n))])
-    u = F.pmod(F.xxhash64(F.lit(salt), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(u < share[F.col("lang")]).select("doc_id", "lang", "text")
+                           for x in (k, min(1.0, (1.5 * per_lang + 20) / max(1, n)))])
+    u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    texts = labelled.where(u < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    return texts.withColumn("n", F.row_number().over(least)).where(F.col("n") <= per_lang).select("lang", "text")
 
 
 def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_PER_LANG,
@@ -128,20 +120,18 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_PER_LANG,
     """Learn the model from rows where ``train`` holds; None without any."""
     spark = docs.sparkSession
     workers_ready(spark)
-    marks = _per_lang_sample(docs, train, landmarks_per_lang, 11).orderBy("doc_id").collect()
-    lett = [(r["lang"], letters(r["text"])) for r in marks]
-    lett = [(g, x) for g, x in lett if x.any()]
-    if not lett:
+    marks = _per_lang_sample(docs, train, landmarks_per_lang, 11, LANDMARKS).collect()
+    lett = sorted(((r["lang"], letters(r["text"])) for r in marks), key=lambda m: (m[0], m[1].tobytes()))
+    rows = [(g, grams(x)) for g, x in lett if x.any()]
+    if not rows:
         return None
-    points, freq = np.unique(np.concatenate([x[x > 0] for _, x in lett]), return_counts=True)
-    alphabet = points[np.argsort(-freq, kind="stable")][:ALPHABET].tolist()
-    grams = Grams(alphabet)
-    rows = np.stack([grams.presence(x) for _, x in lett])
-    vocab = np.flatnonzero(rows.any(axis=0))
-    dense = rows[:, vocab].astype(np.float32)
-    sizes = rows.sum(axis=1).astype(np.float32)
-    langs = sorted({g for g, _ in lett})
-    model = {"alphabet": alphabet, "vocab": vocab, "marks": dense, "sizes": sizes, "langs": langs}
+    vocab = np.unique(np.concatenate([x for _, x in rows]))
+    dense = np.zeros((len(rows), len(vocab)), np.float32)
+    for i, (_, x) in enumerate(rows):
+        dense[i, np.searchsorted(vocab, x)] = 1.0
+    sizes = np.array([len(x) for _, x in rows], np.float32)
+    langs = sorted({g for g, _ in rows})
+    model = {"vocab": vocab, "marks": dense, "sizes": sizes, "langs": langs}
     k_mm = (dense @ dense.T) / np.sqrt(sizes[:, None] * sizes[None, :])
     values, vectors = np.linalg.eigh(k_mm.astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -150,7 +140,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_PER_LANG,
 
     def gram(batches):
         m = shared.value
-        scorer = Scorer(m["alphabet"], m["vocab"], m["marks"], m["sizes"])
+        scorer = Scorer(m["vocab"], m["marks"], m["sizes"])
         d = root.shape[1] + 1
         xx, xy = np.zeros((d, d)), np.zeros((d, len(m["langs"])))
         for b in sliced(batches):
@@ -168,7 +158,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_PER_LANG,
 
     d = root.shape[1] + 1
     xx, xy = np.zeros((d, d)), np.zeros((d, len(langs)))
-    sample = _per_lang_sample(docs, train, per_lang, 13).select("lang", "text")
+    sample = _per_lang_sample(docs, train, per_lang, 13)
     for r in sample.mapInArrow(gram, "xx binary, xy binary").toLocalIterator():
         xx += np.frombuffer(r["xx"]).reshape(xx.shape)
         xy += np.frombuffer(r["xy"]).reshape(xy.shape)
@@ -192,7 +182,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def predict(batches):
         m = shared.value
-        scorer = Scorer(m["alphabet"], m["vocab"], m["marks"], m["sizes"])
+        scorer = Scorer(m["vocab"], m["marks"], m["sizes"])
         for b in sliced(batches):
             texts = b.column(b.schema.get_field_index("text"))
             names, scores = [], []

@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, workers_ready
+from .common import shared_table, sliced, workers_ready
 
-TRAIN_ROWS = 8000           # expected labelled rows to learn from
+TRAIN_ROWS = 8000           # labelled rows to learn from at most
 THRESHOLD = 0.7
-LEXICON_TERMS = 500         # most frequent accepted terms kept
 MIN_LOG_ODDS = 2.5
+STATES = 50_000             # determinised states a scanner holds before it starts anew
 STEMS = (4, 8)              # stem lengths tried
 WINDOW = 6                  # context words on each side
 
@@ -87,14 +87,18 @@ class FuzzyTrie:
             self.ends[node] = max(self.ends[node], k)
             if is_stem:
                 self.stem[node] = max(self.stem[node], k)
+        self.forget()
+        self.clean_begins: frozenset[str] = frozenset()
+        self.clean_begins = frozenset(w[:i] for w in clean for i, _ in self._stems(w))
+
+    def forget(self) -> None:
+        """Drop the determinised states; words make them again."""
         self._ids: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._steps: list[dict[str, int]] = []
         self._accept: list[int] = []          # edits when the word ends here, or -1
         self._begun: list[int] = []           # edits of a stem that ends here, or -1
-        self._start = self._state({0: 0}, not strict)
-        self.clean_begins: frozenset[str] = frozenset()
-        self.clean_begins = frozenset(w[:i] for w in clean for i, _ in self._stems(w))
+        self._start = self._state({0: 0}, not self.strict)
 
     def _state(self, best: dict[int, int], start: bool = True) -> int:
         todo = list(best.items()) if start else []
@@ -113,6 +117,10 @@ class FuzzyTrie:
             self._begun.append(min((e for n, e in key if e <= self.stem[n]), default=-1))
         return self._ids[key]
 
+    @property
+    def states(self) -> int:
+        return len(self._sets)
+
     def _step(self, state: int, ch: str) -> int:
         best: dict[int, int] = {}
         for node, e in self._sets[state]:
@@ -176,6 +184,8 @@ class Scanner:
         if len(self.known) > self.limit:
             self.known.clear()
             self.hits.clear()
+        if self.trie.states > STATES:
+            self.trie.forget()
         for w in own.difference(self.known):
             e = self.trie.match(w)
             if e is not None:
@@ -202,21 +212,25 @@ class Scanner:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
-    """About ``rows`` labelled rows chosen by a hash of the key."""
+    """At most ``rows`` different labelled (id, text), by a hash of the id and
+    then, should an id hold many texts, of the text; written once."""
     pool = (labels.where(F.col("toxic").isin(0, 1) & train)
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = pool.count()
     u = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = pool.where(u < min(1.0, rows / max(1, n)))
-    return (docs.select("doc_id", "text").where(F.col("text").isNotNull())
-            .join(F.broadcast(chosen), "doc_id"))          # bounded: about `rows` small rows
+    each = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
+            .join(F.broadcast(chosen), "doc_id")           # bounded: about `rows` small rows
+            .groupBy("doc_id", "toxic", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")))
+    least = each.orderBy(F.xxhash64(F.lit(17), "doc_id", "h"), "doc_id", "h").limit(rows)
+    return shared_table(least.select("doc_id", "text", "toxic"), "toxic-sample")
 
 
 def learn_terms(sample: DataFrame, min_log_odds: float = MIN_LOG_ODDS,
-                most: int = LEXICON_TERMS) -> list[tuple[str, bool]]:
-    """(term, is_stem) pairs that mark toxic texts of the sample: the ``most``
-    frequent stems and words outside them, and every accepted word behind one
-    of these stems."""
+                most: int | None = None) -> list[tuple[str, bool]]:
+    """(term, is_stem) pairs that mark toxic texts of the sample: stems and
+    words outside them (the ``most`` frequent, all by default), and every
+    accepted word behind one of these stems."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:
@@ -243,7 +257,7 @@ def learn_terms(sample: DataFrame, min_log_odds: float = MIN_LOG_ODDS,
                   F.sum("neg_docs").alias("neg_docs"))
              .where((F.col("pos") >= support) & (F.col("pos_docs") >= support)
                     & (F.length("form") >= 3) & (F.log(a / b) >= min_log_odds))
-             .orderBy(F.desc("pos"), "form", "stem").limit(20 * most).collect())
+             .collect())                                    # accepted forms of the bounded sample
     stems = {r["form"]: r["pos"] for r in found if r["stem"]}
     whole = {r["form"]: r["pos"] for r in found if not r["stem"]}
     terms: dict[tuple[str, bool], int] = {}
@@ -326,7 +340,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     spark = docs.sparkSession
     workers_ready(spark)
     base = docs.drop("score", "predicted")
-    shared = spark.sparkContext.broadcast(model)            # bounded by LEXICON_TERMS and the sample
+    shared = spark.sparkContext.broadcast(model)            # bounded by the sample
     schema = T.StructType(base.schema.fields + [T.StructField("score", T.DoubleType())])
 
     def run(batches):
