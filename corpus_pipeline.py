@@ -6,7 +6,8 @@ near copies stays, personal data is replaced by its kind, and what is left is
 packed into sequences of 1024 ids.  Every stage is written as Parquet and read
 again, so a lost executor repeats a part of one stage only.
 
-Defined results: all stages but the last keep the columns of ``documents``;
+Defined results: all stages but the last keep the columns of ``documents`` with
+their values, whatever their names;
 null and empty texts are not toxic, but have no language and go there; rows
 that repeat an id and text are one document for the near-copy stage; an empty
 table passes through every stage.
@@ -14,7 +15,7 @@ table passes through every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import langid, neardup, packing, pii, toxicity
@@ -24,17 +25,26 @@ LEAST_LANGUAGE_SCORE = 0.3      # below: no language stands out
 BROADCAST_IDS = 2_000_000       # ids of dropped documents broadcast at most
 
 
+def _apart(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with the columns that an operator would replace under other
+    names, and the input's columns out of what the operator returns."""
+    other = {c: f"{c}__of_input" for c in taken if c in docs.columns}
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon model does not predict toxic."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 3) != 1)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, columns = _apart(docs, ("score", "predicted"))
+    return toxicity.score(rows, model).where("predicted = 0").select(columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
     model = langid.fit(docs, crc_bucket(F.col("doc_id"), 4) != 2)
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    rows, columns = _apart(docs, ("lang_pred", "score"))
+    known = langid.identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return known.select(columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +62,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    return pii.redact(docs)
+    rows, columns = _apart(docs, ("pii_spans", "_text", "_new", *[f"_{k}" for k in pii.KINDS]))
+    return pii.redact(rows).select(columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
