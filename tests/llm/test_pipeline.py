@@ -1,5 +1,7 @@
 """The pipeline stage by stage, on a small table with planted cases."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlens.llm.common import read_table, shared_path
 from tests.conftest import SF_SMALL
@@ -35,3 +37,14 @@ def test_run_on_an_empty_table(spark):
     for t in ("documents", "labels"):
         read_table(spark, SF_SMALL, t).limit(0).write.parquet(f"{path}/{t}.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_stages_return_input_values_under_any_name(spark):
+    names = ["score", "predicted", "lang_pred", "kinds", "_text", "_new", "_email", "pii_spans", "kept"]
+    base = read_table(spark, SF_SMALL, "documents").limit(120)
+    docs = base.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
