@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import find_spans, listed
+from .spans import find_spans, in_blocks, let, listed
 
 CONTEXT = 48                    # characters looked at on each side
 LEAST_SCORE = 0.5
@@ -114,7 +114,8 @@ def _scored(spans: Column, kind: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``pii_spans``: (kind, rank, start, end, text, score)."""
-    base = docs.drop("pii_spans").withColumn("_text", F.coalesce("text", F.lit("")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "pii_spans"]
+    base = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     t = F.col("_text")
     rank = {k: i for i, k in enumerate(KINDS)}
 
@@ -138,33 +139,45 @@ def scan(docs: DataFrame) -> DataFrame:
     inside = lambda s, whole: F.exists(                                    # noqa: E731
         whole, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     sure = lambda c: F.filter(F.col(c), lambda s: s["score"] >= LEAST_SCORE)
-    out = base.withColumn("pii_spans", F.concat(
+    return base.select("row.*", F.concat(
         *[F.col(f"_{k}") for k in BASE_KINDS], sure("_iban"), sure("_ssn"),
-        F.filter(sure("_pan"), lambda s: ~inside(s, F.col("_card")))))
-    return out.drop("_text", *[f"_{k}" for k in KINDS])
+        F.filter(sure("_pan"), lambda s: ~inside(s, F.col("_card")))).alias("pii_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """Texts with every span replaced by its kind in brackets (overlapping
     spans by the first kind); ``n_chars`` follows when present."""
-    def cut(acc, s):
-        said = F.concat(acc["out"], F.substr(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]),
-                        F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(s["start"] >= acc["pos"], said).otherwise(acc["out"]).alias("out"))
+    entry = "struct<from:int,start:int,kind:string>"
+    text = F.col("text")
+
+    def place(acc, s):
+        # text goes on behind everything seen so far; a span that begins before is covered
+        kept = F.struct(acc["pos"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
+                        F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.array(kept))).otherwise(acc["out"]).alias("out"))
+
+    def place_block(acc, spans):
+        done = F.aggregate(spans, F.struct(acc["pos"].alias("pos"), F.expr(f"CAST(array() AS array<{entry}>)").alias("out")), place)
+        return let(done, lambda d: F.struct(d["pos"].alias("pos"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def written(block):
+        base = F.element_at(block, 1)["from"]
+        chunk = F.substr(text, base + 1, F.element_at(block, -1)["start"] - base)      # one cut of the text a block
+        return let(chunk, lambda c: F.array_join(F.transform(block, lambda e: F.concat(
+            F.substr(c, e["from"] - base + 1, e["start"] - e["from"]), F.lit("["), F.upper(e["kind"]), F.lit("]"))), ""))
 
     spans = F.sort_array(F.transform("pii_spans", lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), cut,
-                       lambda a: F.concat(a["out"], F.substr(F.col("text"), a["pos"] + 1)))
-    marked = scan(docs)
+    done = let(spans, lambda s: F.aggregate(
+        in_blocks(s), F.struct(F.lit(0).alias("pos"), F.expr(f"CAST(array() AS array<array<{entry}>>)").alias("out")), place_block,
+        lambda a: F.concat(F.array_join(F.transform(F.filter(a["out"], lambda b: F.size(b) > 0), written), ""), F.substr(text, a["pos"] + 1))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     changed = F.col("text").isNotNull() & (F.size("pii_spans") > 0)
-    out = marked.withColumn("_new", F.when(changed, done).otherwise(F.col("text")))
+    marked = scan(docs.select(row, "text")).select("row", changed.alias("changed"), F.when(changed, done).otherwise(text).alias("new"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_new").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).select(*docs.columns)
+        out["n_chars"] = F.when(F.col("changed"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return marked.select(*[v.alias(c) for c, v in out.items()])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -150,7 +150,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (kind, rank, start, end, text)."""
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
-    base = docs.drop("secret_spans").withColumn("_text", F.coalesce("text", F.lit("")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"]
+    base = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     # equal keys of different rows only add candidates, and those are verified
     base = base.withColumn("_key", F.xxhash64("_text"))
     kinds = F.lit(None).cast("array<string>")
@@ -166,8 +167,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             if r.kind in indexed else None
         s = find_spans(t, r.kind, rank, r.regex, r.group, guard=guard)
         parts.append(_long_enough(s, r.least) if r.least else s)
-    out = base.withColumn("secret_spans", F.concat(*parts) if parts else no_spans())
-    return out.drop("_text", "_key", "kinds")
+    return base.select("row.*", (F.concat(*parts) if parts else no_spans()).alias("secret_spans"))
 
 
 def of_kind(spans: Column, kinds: tuple[str, ...]) -> Column:
