@@ -136,16 +136,14 @@ def hot_median_by(df: DataFrame, keys: list[str], cols: list[str],
     return wide
 
 
-def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
-    """The columns that hold at least one NULL (one counting pass)."""
-    if not cols:
-        return []
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c]]
+def null_profile(df: DataFrame, cols: list[str]) -> tuple[int, list[str]]:
+    """The number of rows and the columns that hold at least one NULL (one
+    counting pass)."""
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return row["__n"], [c for c in cols if row[c]]
 
 
-def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
-                      hot: bool = False, only_if_null: bool = True) -> DataFrame:
+def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str], hot: bool = False) -> DataFrame:
     """``x.fillna(x.median())`` per key (``transform('median')``) for all
     ``cols`` in one aggregate and one join.  Empty ``keys`` = global median:
     a one-row aggregate whose values are inlined as literals (the way Spark
@@ -153,18 +151,23 @@ def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
 
     Like the analysed pipeline's ``if df[col].isnull().any()`` guard, a
     counting pass first drops columns without NULLs; when none is left the
-    frame is returned unchanged and no median is computed."""
-    if only_if_null:
-        cols = columns_with_nulls(df, cols)
+    frame is returned unchanged and no median is computed.  It also counts the
+    rows: groups of a frame of at most ``LEAF_ROWS`` rows are as small as the
+    last parts that :func:`hot_quantiles_by` ranks, so one exact aggregate is
+    enough for them."""
+    if not cols:
+        return df
+    n, cols = null_profile(df, cols)
     if not cols:
         return df
+    medians = hot_median_by if (hot or not keys) and n > LEAF_ROWS else median_by
     if not keys:
-        row = hot_median_by(df, [], cols, "__m").first()
+        row = medians(df, [], cols, "__m").first()
         vals = {c: (row[c + "__m"] if row is not None else None) for c in cols}
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(vals[c]).cast("double"))
                                for c in cols if vals[c] is not None})
-    med = (hot_median_by if hot else median_by)(df, keys, cols, "__m")
-    if hot:
+    med = medians(df, keys, cols, "__m")
+    if hot and n > LEAF_ROWS:
         # Hot keys (a sector-year may hold a third of the rows) must not be
         # shuffled to one task for the join: the group table is written once
         # and broadcast when its row count is within the checked bound; above
@@ -172,6 +175,8 @@ def fill_with_medians(df: DataFrame, keys: list[str], cols: list[str],
         med = cut_lineage(med)
         if med.count() <= BROADCAST_MAX_GROUPS:
             med = F.broadcast(med)
+    elif hot:
+        med = F.broadcast(med)                      # at most LEAF_ROWS groups
     joined = df.join(med, on=keys, how="left")
     return joined.select(
         *[F.coalesce(F.col(c), F.col(c + "__m")).alias(c) if c in cols else F.col(c)

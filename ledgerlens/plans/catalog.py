@@ -20,6 +20,7 @@ from ..session import cut_lineage
 from ..sources.panel import MEASURES, read_panel
 from ..sources.fixtures import PANEL_A_MEASURES, PANEL_B_SQL, duckdb_sql, panel_a, panel_b
 from . import oracle as O
+from .analysis import PanelAnalysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1101,30 +1102,21 @@ def i8_pca(spark, sf_dir):
 
 # -------------------------------------- panel regimes + models (rows-only) --
 
-def l3(spark, sf_dir):
-    """Layer 3: k-means / GMM regimes of the panel's macro table joined back
-    by year, named by rules, with regime dummies and products (D20)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "l3")
+def _analysis(spark, sf_dir) -> PanelAnalysis:
+    """Layers 3 and 4 of the fixture panel, on the layers that are there."""
+    key = (spark.sparkContext.applicationId, sf_dir, "analysis")
     if key not in _CACHE:
-        p = l2(spark, sf_dir)
-        t = cut_lineage(R.standardize(R.period_table(p, _MV), _MV))
-        z = [f"z_{c}" for c in _MV]
-        k = int(R.choose_k(R.kmeans_sweep(t, z, 6)).first()["k"])
-        km = cut_lineage(R.fit_kmeans(t, z, k))
-        labels = km.select("year", F.col("regime_kmeans").alias("regime"))
-        g = R.fit_gmm(t, z, k).select("year", "regime_gmm", "regime_confidence", "low_confidence")
-        labels = labels.join(g, "year", "left")
-        names = R.cluster_profile(km.withColumnRenamed("regime_kmeans", "regime"), "regime", _MV).select(
-            "regime", "regime_name")
-        labels = labels.join(names, "regime", "left")
-        panel = R.label_panel(p, labels)
-        panel = R.regime_products(panel, "regime", k, ["roa", "roe", "debt_ratio", "profit_margin",
-                                                       "current_ratio", "asset_turnover"], FE.THREE_WAY)
-        _CACHE[key] = cut_lineage(panel.withColumn("regime_confidence",
-                                                   F.coalesce("regime_confidence", F.lit(0.0))))
+        a = PanelAnalysis(raw(spark, sf_dir), TARGETS, split={"train_end": 1999, "test_start": 2001})
+        a.macro = l2(spark, sf_dir)
+        _CACHE[key] = a
     return _CACHE[key]
 
 
+def l3(spark, sf_dir):
+    """Layer 3: labelled panel."""
+    return _analysis(spark, sf_dir).regimes
+
+
 @query("d20_regime_products")
 def d20_regime_products(spark, sf_dir):
     """Panel rows with k-means regime, GMM confidence, name,
@@ -1173,22 +1165,16 @@ def c14_macro_report(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return MD.feature_columns(l3(spark, sf_dir), TARGETS, mode="clean")
+    return _analysis(spark, sf_dir).feature_names
 
 
 def _matrix(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "matrix")
-    if key not in _CACHE:
-        _CACHE[key] = cut_lineage(MD.model_matrix(l3(spark, sf_dir), _features(spark, sf_dir), TARGETS))
-    return _CACHE[key]
+    return _analysis(spark, sf_dir).matrix
 
 
 def _boosted(spark, sf_dir) -> dict:
     """The boosted trees of both targets, grown in the same passes."""
-    key = (spark.sparkContext.applicationId, sf_dir, "boosted")
-    if key not in _CACHE:
-        _CACHE[key] = BO.train(_matrix(spark, sf_dir), _features(spark, sf_dir), TARGETS)
-    return _CACHE[key]
+    return _analysis(spark, sf_dir).models
 
 
 @query("i9_feature_list")
