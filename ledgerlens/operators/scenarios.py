@@ -188,8 +188,12 @@ def draw_table(panel: DataFrame, n_sims: int = 500, time_col: str = "year",
     driver program.  An empty panel gives NULL macros."""
     variables = list(NOISE_SD)
     earlier = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)   # one row per period
-    periods = panel.groupBy(time_col).agg(F.count(F.lit(1)).alias("n_rows"),
-                                          *[F.min(v).cast("double").alias(v) for v in variables])
+    # where the rows of a period disagree: the values most rows hold, as in the period table
+    each = panel.groupBy(time_col, *variables).agg(F.count(F.lit(1)).alias("n"))
+    known = sum((F.col(v).isNull().cast("int") for v in variables), F.lit(0))
+    order = F.struct(known.alias("unknown"), (-F.col("n")).alias("n"), *variables)
+    periods = each.groupBy(time_col).agg(F.sum("n").alias("n_rows"), F.min_by(F.struct(*variables), order).alias("m"))
+    periods = periods.select(time_col, "n_rows", *[F.col("m")[v].cast("double").alias(v) for v in variables])
     periods = periods.withColumn("start", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
     table = periods.agg(
         F.array_sort(F.collect_list(F.struct("start", *variables))).alias("periods"),

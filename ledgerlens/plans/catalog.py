@@ -839,8 +839,8 @@ _draw_sel = ", ".join(
 _upd_d = O.update_terms_sql("d_i", "d_r", "d_g")
 _firm_cols_d = [c for c in _latest_cols if c not in _upd_d]
 _BOOT_CTES = _SC_CTES[:1] + [
-    ("per", "SELECT year, count(*) AS n_rows, " + ", ".join(f"min({v}) AS {v}" for v in _bvars)
-            + " FROM l2 GROUP BY year"),
+    ("per", "SELECT year, CAST(sum(n) AS BIGINT) AS n_rows, " + ", ".join(f"arg_min({v}, (-n, {', '.join(_bvars)})) AS {v}" for v in _bvars)
+            + f" FROM (SELECT year, {', '.join(_bvars)}, count(*) AS n FROM l2 GROUP BY ALL) v GROUP BY year"),
     ("perc", "SELECT *, sum(n_rows) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, "
              "sum(n_rows) OVER () AS total FROM per"),
     ("sims", f"SELECT sim_id, {', '.join(_draw_cols)} FROM (SELECT range AS sim_id FROM range({N_SIMS})) r"),
@@ -1090,14 +1090,15 @@ def i7b_gmm_silhouette(spark, sf_dir):
 
 @query("i8_pca", CU.chained(
     _C_POINTS + CU.pca_ctes("pts", _C_Z),
-    "SELECT period, " + " + ".join(f"{c} * a.v{i}" for i, c in enumerate(_C_Z)) + " AS pc1, "
-    + " + ".join(f"{c} * b.v{i}" for i, c in enumerate(_C_Z)) + " AS pc2, a.spread / total AS explained_1, b.spread / total AS explained_2 "
+    "SELECT period, round(" + " + ".join(f"{c} * a.v{i}" for i, c in enumerate(_C_Z)) + ", 6) AS pc1, round("
+    + " + ".join(f"{c} * b.v{i}" for i, c in enumerate(_C_Z))
+    + ", 6) AS pc2, round(a.spread / total, 6) AS explained_1, round(b.spread / total, 6) AS explained_2 "
     "FROM pts, pc1v a, pc2v b, whole"))
 def i8_pca(spark, sf_dir):
-    """I8: two-component projection of the standardised table."""
+    """I8: two-component projection of the standardised table, to 6 digits."""
     out, ratio = R.pca2(_months_z(spark, sf_dir), _C_Z)
-    return out.select("period", "pc1", "pc2", F.lit(ratio[0]).alias("explained_1"),
-                      F.lit(ratio[1]).alias("explained_2"))
+    values = {"pc1": F.col("pc1"), "pc2": F.col("pc2"), "explained_1": F.lit(ratio[0]), "explained_2": F.lit(ratio[1])}
+    return out.select("period", *[F.round(v, 6).alias(n) for n, v in values.items()])
 
 
 # -------------------------------------- panel regimes + models (rows-only) --
@@ -1177,7 +1178,28 @@ def _boosted(spark, sf_dir) -> dict:
     return _analysis(spark, sf_dir).models
 
 
-@query("i9_feature_list")
+# Fixed values of the twin: the model's features, and those that come once per regime.
+_I9_NAMES = (
+    "asset_turnover asset_turnover_lag1 asset_turnover_lag2 asset_turnover_rolling3 asset_turnover_trend capex_to_sales "
+    "cash_rate_interaction cash_ratio cfo_to_assets cfo_to_sales current_ratio current_ratio_lag1 current_ratio_lag2 "
+    "debt_ratio debt_ratio_lag1 debt_ratio_lag2 debt_ratio_rolling3 debt_ratio_trend debt_to_equity default_risk_triple "
+    "distress_signal equity_ratio fed_rate firm_size firm_size_lag1 firm_size_lag2 gdp_efficiency_interaction gdp_growth "
+    "gdp_leverage_interaction gross_margin inflation inflation_debt_interaction inflation_margin_interaction "
+    "inflation_squeeze liquidity_crisis liquidity_gdp_interaction margin_rate_interaction market_fundamental_interaction "
+    "operating_margin perfect_storm_risk pricing_power profit_margin_lag1 profit_margin_lag2 quick_ratio "
+    "rate_debt_interaction rate_liquidity_interaction regime regime_confidence roa_lag1 roa_lag2 roa_volatility roe_lag1 "
+    "roe_lag2 roe_rolling3 roe_trend rollover_risk sector_benchmark size_gdp_interaction size_volatility_interaction "
+    "sp500 stress_intensity turnover_inflation_interaction volatility_debt_interaction")
+_I9_PRODUCTS = ("asset_turnover current_ratio debt_ratio default_risk_triple distress_signal inflation_squeeze liquidity_crisis "
+                "perfect_storm_risk pricing_power roe rollover_risk")
+
+
+@query("i9_feature_list", CU.chained(
+    O.layer_ctes("l2") + _L3_KM,
+    "SELECT feature, (SELECT count(*) FROM l2 WHERE roa IS NOT NULL AND profit_margin IS NOT NULL) AS n_values FROM ("
+    f"SELECT unnest(string_split('{_I9_NAMES}', ' ')) AS feature UNION ALL "
+    "SELECT concat('regime_', label, '_dummy') FROM centres UNION ALL "
+    f"SELECT concat(p, '_x_regime_', label) FROM centres, (SELECT unnest(string_split('{_I9_PRODUCTS}', ' ')) AS p)) f"))
 def i9_feature_list(spark, sf_dir):
     """The model feature list (sorted) with each feature's non-null count."""
     m = _matrix(spark, sf_dir)
