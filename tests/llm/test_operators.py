@@ -164,6 +164,75 @@ def test_minimal_perfect_hash():
     assert sorted(token_index.mphf_slots(keys, sizes, bits).tolist()) == list(range(len(keys)))
 
 
+def test_token_index_stored_ranks():
+    keys = token_index.key_bits(np.arange(0, 70_000, 7))
+    sizes, bits = token_index.mphf_build(keys)
+    packed, ranks = token_index.pack_bits(bits)
+    assert (token_index.stored_slots(keys, sizes, packed, ranks) == token_index.mphf_slots(keys, sizes, bits)).all()
+    assert len(ranks) == -(-len(bits) // token_index.RANK_BITS)
+
+
+def test_token_index_fetch_reads_its_blocks_only(spark, docs, rows, monkeypatch, tmp_path):
+    """Files and row groups that hold no asked key are made unreadable."""
+    import glob
+    import shutil
+
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(token_index, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(token_index, "GROUP_BYTES", 4096)
+    path = str(tmp_path / "index")
+    token_index.write(docs, str(tmp_path / "written"))
+    shutil.copytree(tmp_path / "written", path, ignore=shutil.ignore_patterns("*.crc"))
+    keys = sorted(r["doc_id"] for r in rows if r["doc_id"] is not None)
+    wanted = [keys[3], keys[len(keys) // 2], 10 ** 15]
+    asked = spark.createDataFrame([(k,) for k in wanted], "k long")
+    at = {(r["shard"], r["block"]) for r in token_index.places(asked, path).collect()}
+    spoilt = 0
+    for name in glob.glob(f"{path}/payload/part-*.parquet"):
+        meta, data = pq.ParquetFile(name).metadata, bytearray(open(name, "rb").read())
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            low = {group.column(i).path_in_schema: group.column(i).statistics for i in (0, 1)}
+            held = {(low["shard"].min, b) for b in range(low["block"].min, low["block"].max + 1)}
+            if held & at:
+                continue
+            spoilt += 1
+            for i in range(group.num_columns):
+                c = group.column(i)
+                first = c.dictionary_page_offset or c.data_page_offset
+                data[first:first + c.total_compressed_size] = b"\xff" * c.total_compressed_size
+        open(name, "wb").write(data)
+    assert spoilt > 5
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "false")
+    got = token_index.fetch(asked, path).collect()
+    assert grouped((r["key"], r["ids"]) for r in got) == grouped(
+        (k, x.tobytes()) for k, x in plain_ids(rows, 0) if k in wanted)
+
+
+def test_token_index_fetch_of_copies_over_blocks(spark, monkeypatch):
+    """A key goes on in later blocks and shards; null keys are in no slot."""
+    monkeypatch.setattr(token_index, "BLOCK_DOCS", 7)
+    said = [(5, f"one {i}") for i in range(40)] + [(4, "two"), (6, None), (None, "three"), (7, "four"), (7, "four")]
+    docs, path = spark.createDataFrame(said, "doc_id long, text string"), shared_path(spark, "test-index")
+    token_index.write(docs, path)
+    assert spark.read.parquet(f"{path}/runs").count() > 3
+    plain = plain_ids([{"doc_id": k, "text": t} for k, t in said], 0)
+    for limit in (token_index.ASKED_AT_ONCE, 1):                    # sent to the blocks, and by a shuffle
+        monkeypatch.setattr(token_index, "ASKED_AT_ONCE", limit)
+        got = token_index.fetch(spark.createDataFrame([(5,), (6,), (7,), (8,), (None,)], "k long"), path).collect()
+        assert grouped((r["key"], r["ids"]) for r in got) == grouped((k, x.tobytes()) for k, x in plain if k in (5, 6, 7))
+    out = token_index.read_all(docs, path).collect()
+    assert grouped((r["doc_id"], r["ids_crc32"]) for r in out) == grouped((k, zlib.crc32(x.tobytes())) for k, x in plain)
+    assert sorted(r["start"] for r in out) == np.cumsum([0] + [r["n_tokens"] for r in sorted(out, key=lambda r: r["start"])])[:-1].tolist()
+
+
+def test_token_index_raises_for_a_lost_key(spark):
+    docs, path = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), shared_path(spark, "test-index")
+    token_index.write(docs, path)
+    with pytest.raises(Exception, match="not in the index"):
+        token_index.read_all(docs.where("doc_id = 1"), path).collect()
+
+
 def test_packing(docs, rows):
     out = packing.pack(packing.pieces(docs)).collect()
     whole = grouped((k, (len(x), zlib.crc32(x[:(len(x) - 1) % 1024 + 1].tobytes()))) for k, x in plain_ids(rows, 2))
