@@ -9,6 +9,7 @@ so reuse also survives executor loss.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1326,6 +1327,16 @@ def i10b_first_trees(spark, sf_dir):
         "tree", "path", "feature", "threshold", "value", "n_rows", "gain")
 
 
+@query("i13b_small_importance", O.with_layers(
+    "l2", "SELECT 'roa' AS target, feature, CASE WHEN sum(m) OVER () > 0 THEN m / sum(m) OVER () ELSE 0 END AS importance FROM ("
+          "SELECT feature, CAST(coalesce(g.m, 0) AS DOUBLE) AS m FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in _SMALL_FEATS) + "]) AS feature, "
+          f"unnest(range(1, {len(_SMALL_FEATS) + 1})) AS f) n LEFT JOIN (SELECT f, avg(gain) AS m FROM best GROUP BY f) g ON n.f = g.f) s",
+    _SMALL_CTES))
+def i13b_small_importance(spark, sf_dir):
+    """I13 of the small trees: shares of the mean split gain."""
+    return MD.importance_table(_small(spark, sf_dir)["roa"], spark)
+
+
 _WALKED = _SMALL_CTES + T.predicted_ctes("l2", _SMALL_FEATS)
 
 
@@ -1787,3 +1798,61 @@ def i11_fallback_gbt(spark, sf_dir):
     m = _fallback(spark, sf_dir)
     models = BO.train(m, MD.fallback_features(m.drop("split_year")), TARGETS, BO.FALLBACK)
     return _split_metrics(BO.arrow_scorer(models)(m, TARGETS))
+
+
+# The fallback trainer and the least-squares baseline on few features, fitted again in SQL.
+_FEW = ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in _SMALL_FEATS)
+_KNOWN_SQL = f"SELECT company, year, roa, profit_margin, {_FEW} FROM l2 WHERE roa IS NOT NULL AND profit_margin IS NOT NULL"
+
+
+def _fit_sql(rows: str, target: str, actual: str, predicted: str) -> str:
+    """I12 over a CTE: R2, RMSE and MAE per split."""
+    err = f"({actual} - {predicted})"
+    return (f"SELECT '{target}' AS target, split, count(*) AS n, 1 - sum({err} * {err}) / nullif(var_pop({actual}) * count(*), 0) AS r2, "
+            f"sqrt(sum({err} * {err}) / count(*)) AS rmse, avg(abs({err})) AS mae FROM {rows} GROUP BY split")
+
+
+_FALLBACK_CTES = [
+    ("known", _KNOWN_SQL),
+    ("mid", "SELECT list_sort(list(DISTINCT year))[CAST(floor(count(DISTINCT year) / 2) AS INTEGER) + 1] AS y0 FROM known"),
+    ("halves", "SELECT known.*, CASE WHEN year < y0 THEN 'train' ELSE 'test' END AS split FROM known, mid"),
+    *T.training_ctes(f"SELECT company, year, {', '.join(_SMALL_FEATS)}, roa AS y FROM halves WHERE split = 'train'", _SMALL_FEATS),
+    *T.predicted_ctes("halves", _SMALL_FEATS)]
+
+
+@query("i11b_small_fallback", O.with_layers("l2", _fit_sql("walked", "roa", "roa", "predicted"), _FALLBACK_CTES))
+def i11b_small_fallback(spark, sf_dir):
+    """I11 with two small trees: the fallback's rows, median fills, excluded
+    columns and middle-year split."""
+    few = l2(spark, sf_dir).select("company", "year", "sector", *TARGETS, "roe", "gdp_growth", *_SMALL_FEATS)
+    m = cut_lineage(MD.fallback_matrix(few))
+    feats = MD.fallback_features(m.drop("split_year"))
+    models = BO.train(m, feats, ["roa"], replace(_SMALL, seed=BO.FALLBACK.seed))
+    return MD.metrics(BO.arrow_scorer(models)(m, ["roa"]), "roa", "predicted_roa")
+
+
+_LEAST_FEATS = ["debt_ratio", "roa_lag1"]
+
+
+def _plane_ctes(target: str) -> list[tuple[str, str]]:
+    """Least squares on two features in closed form, by covariances."""
+    a, b = _LEAST_FEATS
+    return [
+        (f"cov_{target}", f"SELECT avg({target}) AS my, avg({a}) AS ma, avg({b}) AS mb, var_pop({a}) AS va, var_pop({b}) AS vb, "
+                          f"covar_pop({a}, {b}) AS cab, covar_pop({a}, {target}) AS cay, covar_pop({b}, {target}) AS cby FROM parts WHERE split = 'train'"),
+        (f"plane_{target}", "SELECT *, (cay * vb - cby * cab) / (va * vb - cab * cab) AS wa, "
+                            f"(cby * va - cay * cab) / (va * vb - cab * cab) AS wb FROM cov_{target}"),
+        (f"on_{target}", f"SELECT split, {target} AS actual, my + wa * ({a} - ma) + wb * ({b} - mb) AS predicted FROM parts, plane_{target}")]
+
+
+@query("i14b_least_squares", O.with_layers(
+    "l2", " UNION ALL ".join(_fit_sql(f"on_{t}", t, "actual", "predicted") for t in TARGETS),
+    [("parts", f"SELECT *, {_SPLIT_SQL} AS split FROM ({_KNOWN_SQL}) k"), *(c for t in TARGETS for c in _plane_ctes(t))]))
+def i14b_least_squares(spark, sf_dir):
+    """I14/I12 on two features: the least-squares baseline per target and split."""
+    m = cut_lineage(MD.model_matrix(l2(spark, sf_dir).select("company", "year", *TARGETS, *_LEAST_FEATS), _LEAST_FEATS))
+    out = None
+    for t in TARGETS:
+        part = MD.metrics(MD.predict(MD.train_linear(m, _LEAST_FEATS, t), m, _LEAST_FEATS, "fitted"), t, "fitted")
+        out = part if out is None else out.unionByName(part)
+    return out
