@@ -12,10 +12,10 @@ are drawn per tree; the ensemble is cut at its best validation round once
 
 The rows stay on the executors, as blocks of binned values.  A level of all
 targets' trees is one distributed pass: tasks add up gradients and counts per
-(target, node, feature, bin), ``treeAggregate`` merges them, and the driver
-gets one table of (nodes x features x bins), whose size does not depend on the
-number of rows.  This loop of many small passes over the same blocks is why an
-RDD is used here.
+(target, node, feature, bin), a shuffle by (target, node) merges them, and the
+task that holds a node's merged sums picks its split.  The driver gets a few
+numbers a node, whatever the number of rows, features and bins.  This loop of
+many small passes over the same blocks is why an RDD is used here.
 
 Gradients are summed as whole numbers (2^30 steps of the largest target), row
 draws are hashes of the row's key, so the trees do not depend on how rows are
@@ -36,6 +36,7 @@ from ..session import cut_lineage, ship_package
 
 STEPS = 2.0 ** 30               # steps of the largest |target| in a summed gradient
 BLOCK_ROWS = 16_384             # rows of a block at most
+TASK_BLOCKS = 8                 # blocks of a task at most, where there are more blocks than cores
 RENEW = 10                      # rounds after which blocks take in the trees grown since
 
 
@@ -192,21 +193,28 @@ def _packing(cuts: list[list[float]], n_targets: int):
 
 def _blocks(matrix: DataFrame, features: list[str], targets: list[str], cuts: list[list[float]], base: list[float], n: int):
     """Persisted RDD of (bins, targets, keys, validation flags, predictions);
-    the ``n`` rows are dealt evenly, so that few rows need few tasks."""
+    the ``n`` rows are dealt evenly, so that few rows need few tasks.  Rows for
+    one block are one block, however Arrow cut them into batches."""
     keys = [c for c in ("company", "year") if c in matrix.columns] or features
     rows = matrix.where("split IN ('train', 'val')").select(
         F.xxhash64(*keys).alias("key"), (F.col("split") == "val").alias("val"),
         F.array(*[F.col(t).cast("double") for t in targets]).alias("y"),
         F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
-    parts = -(-n // BLOCK_ROWS)
-    table = cut_lineage(rows.repartition(parts).mapInArrow(_packing(cuts, len(targets)), "bins binary, y binary, keys binary, val binary"))
+    n_blocks = -(-n // BLOCK_ROWS)
+    table = cut_lineage(rows.repartition(n_blocks).mapInArrow(_packing(cuts, len(targets)), "bins binary, y binary, keys binary, val binary"))
     width, t, first = len(features), len(targets), np.array(base)
+    parts = min(n_blocks, max(matrix.sparkSession.sparkContext.defaultParallelism, -(-n_blocks // TASK_BLOCKS)))
 
     def opened(r):
         y = np.frombuffer(r["y"]).reshape(-1, t)
         return (np.frombuffer(r["bins"], np.uint8).reshape(-1, width), y, np.frombuffer(r["keys"], np.int64).view(np.uint64),
                 np.frombuffer(r["val"], np.uint8).astype(bool), np.tile(first, (len(y), 1)))
-    return table.rdd.coalesce(parts).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def joined(part):
+        part = list(part)
+        return [tuple(map(np.concatenate, zip(*part)))] if part else []
+    blocks = table.rdd.coalesce(parts).map(opened)
+    return (blocks.mapPartitions(joined) if parts == 1 else blocks).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _grown(block, pending: list[list[Tree]]):
@@ -247,16 +255,31 @@ def _squared_error(block, k: int, scale: np.ndarray) -> int:
     return int(np.rint(e * e).sum())
 
 
-def _level(blocks, pending, growing: dict, round_: int, cfg: BoostConfig, columns: np.ndarray, scale: np.ndarray, bins: int) -> dict:
-    """One pass over all blocks: the histograms of the growing trees' open nodes."""
-    def of_block(block):
-        block = _grown(block, pending)
-        return _histograms(block, growing, _drawn(block, round_, cfg), columns, scale, bins)
+def _node_splits(hist: np.ndarray, scale: float, cfg: BoostConfig) -> list[tuple]:
+    """(gradient sum, rows, best split) of every open node of a histogram."""
+    return [(int(g), int(h), split) for (g, h), split in zip(hist[:, 0].sum(axis=1), best_splits(hist, scale, cfg))]
+
 
-    def both(a, b):
-        return a and b and {k: a[k] + b[k] for k in a} or a or b
-    merges = 1 if blocks.getNumPartitions() <= 32 else 2
-    return blocks.treeAggregate(None, lambda acc, block: both(acc, of_block(block)), both, merges)
+def _level(blocks, pending, growing: dict, round_: int, cfg: BoostConfig, columns: np.ndarray, scale: np.ndarray, bins: int) -> dict:
+    """One pass over all blocks: the splits of the growing trees' open nodes.
+    A node's histograms meet in one task, which picks the split."""
+    def summed(part):
+        total = {}
+        for block in part:
+            block = _grown(block, pending)
+            for k, h in _histograms(block, growing, _drawn(block, round_, cfg), columns, scale, bins).items():
+                total[k] = total[k] + h if k in total else h
+        return [((k, i), node) for k, h in total.items() for i, node in enumerate(h)]
+
+    def picked(part):
+        total = {}
+        for key, h in part:
+            total[key] = total[key] + h if key in total else h
+        return [(key, _node_splits(h[None], scale[key[0]], cfg)[0]) for key, h in total.items()]
+    nodes = {key: i for i, key in enumerate((k, i) for k, (_, open_) in growing.items() for i in range(len(open_)))}
+    tasks = min(len(nodes), blocks.getNumPartitions())
+    found = dict(blocks.mapPartitions(summed).partitionBy(tasks, nodes.__getitem__).mapPartitions(picked).collect())
+    return {k: [found[k, i] for i in range(len(open_))] for k, (_, open_) in growing.items()}
 
 
 def _errors(blocks, pending, ks: list[int], scale: np.ndarray) -> dict:
@@ -265,8 +288,8 @@ def _errors(blocks, pending, ks: list[int], scale: np.ndarray) -> dict:
         block = _grown(block, pending)
         return [_squared_error(block, k, scale) for k in ks]
     zero = [0] * len(ks)
-    total = blocks.treeAggregate(zero, lambda acc, block: [a + e for a, e in zip(acc, of_block(block))],
-                                 lambda a, b: [x + y for x, y in zip(a, b)], 2)
+    total = blocks.aggregate(zero, lambda acc, block: [a + e for a, e in zip(acc, of_block(block))],
+                             lambda a, b: [x + y for x, y in zip(a, b)])
     return dict(zip(ks, total))
 
 
@@ -302,14 +325,15 @@ def best_splits(hist: np.ndarray, scale: float, cfg: BoostConfig) -> list[tuple
     for i in range(len(hist)):
         at = int(gain[i].argmax())
         c, b = divmod(at, gain.shape[2])
-        out.append((float(gain[i, c, b]), c, b, gl[i, c, b], hl[i, c, b], gr[i, c, b], hr[i, c, b])
+        out.append((float(gain[i, c, b]), c, b, *(float(p[i, c, b]) for p in (gl, hl, gr, hr)))
                    if gain[i, c, b] > 1e-12 else None)
     return out
 
 
-def grow(histograms, ks: list[int], n_features: int, round_: int, cfg: BoostConfig, scale: np.ndarray) -> dict[int, Tree]:
-    """One tree a target; ``histograms(growing, columns)`` sums one level of all
-    of them, on the cluster or in a task that holds all rows."""
+def grow(splits, ks: list[int], n_features: int, round_: int, cfg: BoostConfig, scale: np.ndarray) -> dict[int, Tree]:
+    """One tree a target; ``splits(growing, columns)`` finds the splits of one
+    level of all of them (see ``_node_splits``), on the cluster or in a task
+    that holds all rows."""
     columns = drawn_columns(n_features, cfg.column_share, cfg.seed, round_)
     growing = {k: (Tree(), [0]) for k in ks}
     for tree, _ in growing.values():
@@ -318,13 +342,13 @@ def grow(histograms, ks: list[int], n_features: int, round_: int, cfg: BoostConf
         todo = {k: v for k, v in growing.items() if v[1]}
         if not todo:
             break
-        found = histograms(todo, columns)
+        found = splits(todo, columns)
         for k, (tree, open_) in todo.items():
             after = []
             if depth == 0:
-                g, h = found[k][0, 0].sum(axis=0)
-                tree.value[0], tree.rows[0] = leaf_value(g / scale[k], h, cfg), int(h)
-            for node, split in zip(open_, best_splits(found[k], scale[k], cfg)):
+                g, h, _ = found[k][0]
+                tree.value[0], tree.rows[0] = leaf_value(g / scale[k], h, cfg), h
+            for node, (_, _, split) in zip(open_, found[k]):
                 if split is None:
                     continue
                 gain, c, b, gl, hl, gr, hr = split
@@ -341,8 +365,10 @@ def _grow_in_task(block, k: int, first: int, last: int, cfg: BoostConfig, scale:
     out = []
     for round_ in range(first, last):
         drawn = _drawn(block, round_, cfg)
-        tree = grow(lambda growing, columns: _histograms(block, growing, drawn, columns, scale, bins),
-                    [k], block[0].shape[1], round_, cfg, scale)[k]
+        def splits(growing, columns):
+            found = _histograms(block, growing, drawn, columns, scale, bins)
+            return {j: _node_splits(h, scale[j], cfg) for j, h in found.items()}
+        tree = grow(splits, [k], block[0].shape[1], round_, cfg, scale)[k]
         alone = [[] for _ in range(block[1].shape[1])]
         alone[k] = [tree]
         block = _grown(block, alone)

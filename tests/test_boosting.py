@@ -1,8 +1,11 @@
 """The tree trainer against hand-computed leaves, a plain trainer and itself
 under other layouts."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import boosting as B
@@ -100,6 +103,27 @@ def test_layout_does_not_change_the_trees(spark, noisy, monkeypatch):
     assert one.trees == many.trees and one.errors == many.errors and one.base == many.base
 
 
+def test_the_driver_gets_a_few_numbers_a_node(noisy, monkeypatch):
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: got.append(collect(rdd)) or got[-1])
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    B.train(noisy, [f"f{j}" for j in range(6)], ["y"], B.BoostConfig(rounds=2, depth=4, bins=64))
+    assert len(got) >= 8 and max(len(pickle.dumps(g)) for g in got) < 8 * 200      # 8 nodes at most, of 6 x 64 sums each
+
+
+def test_one_block_of_several_batches_is_whole(spark, noisy):
+    cfg, feats = B.BoostConfig(rounds=3, depth=3, bins=16), [f"f{j}" for j in range(6)]
+    one = B.train(noisy, feats, ["y"], cfg)["y"]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "150")
+    try:
+        several = B.train(noisy, feats, ["y"], cfg)["y"]
+    finally:
+        spark.conf.set(key, before)
+    assert several.trees == one.trees and several.errors == one.errors and one.trees[0].rows[0] > 200
+
+
 def test_patience_cuts_at_the_best_round(noisy):
     cfg, feats = B.BoostConfig(rounds=120, depth=5, rate=0.3, patience=6), [f"f{j}" for j in range(6)]
     m = B.train(noisy, feats, ["y"], cfg)["y"]
