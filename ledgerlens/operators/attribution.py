@@ -22,7 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import dealt, ship_package
+
+EXPLAINED_ROWS = 5_000          # rows that a task explains at most, about
 
 
 # ------------------------------------------------------------ tree table --
@@ -160,7 +162,7 @@ def attributions(df: DataFrame, model, features: list[str], target: str,
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema += ", target string, base_value double, prediction double, contributions array<double>"
     src = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
-    return src.mapInPandas(run, schema)
+    return dealt(src, df.count(), EXPLAINED_ROWS).mapInPandas(run, schema)
 
 
 def linear_attributions(df: DataFrame, scorer: dict, features: list[str], target: str,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import percentiles
+from ..session import dealt
 from .registry import Macro, shocked_forms
 
 # Scenario shifts on (inflation, interest rate, gdp growth).
@@ -49,6 +50,8 @@ LINEAR_SCORER = {
 NOISE_SD = {"inflation": 0.5, "fed_rate": 0.3, "gdp_growth": 0.5}
 BROADCAST_DRAWS = 1_000_000     # rows of a draw table broadcast at most (32 bytes each)
 HASH_DIGITS = 15                # hex digits of a draw's hash: 60 bits
+SCORED_ROWS = 100_000           # rows that a task scores at most, about
+DRAWS_AT_ONCE = 10_000          # draws that a firm's row is exploded to in one task at most
 
 
 def linear_score(target: str, scorer=LINEAR_SCORER) -> Column:
@@ -135,6 +138,7 @@ def score_scenarios(latest: DataFrame, base: dict, targets: list[str],
                     scorer=linear_scorer(), mode: str = "reference") -> DataFrame:
     """J4 with any scorer: (target, scenario, company, sector, predicted,
     debt_ratio, current_ratio)."""
+    latest = dealt(latest, latest.count(), SCORED_ROWS // len(SCENARIOS))
     x = scorer(firms_by_scenario(latest, base, mode), targets)
     sector = F.coalesce(F.col("sector"), F.lit("Unknown")).alias("sector")
     return _by_target(x, targets, ["scenario", "company", sector, "debt_ratio", "current_ratio"]).select(
@@ -217,7 +221,9 @@ def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],
     """J8 with any scorer: every firm under every draw; mean prediction per draw.
     Draws are numbered from 0, so each firm row is exploded over the numbers
     and joined with the draw table by number: broadcast up to a checked
-    number of draws, shuffled on the (evenly spread) number beyond it."""
+    number of draws, shuffled on the (evenly spread) number beyond it.  Firms
+    are few bytes but many scored rows, so they are dealt to tasks by the
+    number of rows that they become."""
     n = draws.count()
     if n == 0:
         return draws.select(F.lit(None).cast("string").alias("target"), "sim_id",
@@ -225,8 +231,11 @@ def bootstrap_means(latest: DataFrame, draws: DataFrame, targets: list[str],
     numbered = draws.select("sim_id", *[F.col(v).alias(f"__{v}") for v in NOISE_SD])
     if n <= BROADCAST_DRAWS:
         numbered = F.broadcast(numbered)
-    x = latest.withColumn("sim_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    x = x.join(numbered, "sim_id")
+    step = min(n, DRAWS_AT_ONCE)
+    x = latest.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(step).cast("long"))))
+    x = dealt(x, latest.count() * -(-n // step), max(1, SCORED_ROWS // step))
+    x = x.withColumn("sim_id", F.explode(F.sequence("__from", F.least(F.col("__from") + (step - 1), F.lit(n - 1)))))
+    x = x.drop("__from").join(numbered, "sim_id")
     x = update_macro_terms(x, *[F.col(f"__{v}") for v in NOISE_SD])
     return (_by_target(scorer(x, targets), targets, ["sim_id"]).groupBy("target", "sim_id")
             .agg(F.avg("predicted").alias("mean_prediction")).select("target", "sim_id", "mean_prediction"))

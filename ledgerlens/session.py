@@ -65,6 +65,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """The frame dealt evenly to tasks of at most ``most`` of its ``rows``.
+
+    Used before steps that cost much more per row than the row's bytes tell:
+    Spark sizes its tasks by bytes and would give thousands of rows to one."""
+    parts = -(-rows // most)
+    return df.repartition(parts) if parts > 1 else df
+
+
 _SHIPPED: set = set()
 
 

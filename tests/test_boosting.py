@@ -8,8 +8,10 @@ import pytest
 from pyspark import RDD
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import attribution as AT
 from ledgerlens.operators import boosting as B
 from ledgerlens.operators import models as MD
+from ledgerlens.operators import scenarios as S
 
 PLAIN = dict(row_share=1.0, column_share=1.0, patience=None)
 
@@ -163,3 +165,40 @@ def test_fallback_split_and_features(spark):
     assert MD.fallback_features(df) == ["cash", "n"]
     out = MD.fallback_matrix(df)
     assert {(r["year"], r["split"]) for r in out.collect()} == {(y, "train" if y < 2002 else "test") for y in range(2000, 2005)}
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_firms_are_dealt_by_the_rows_they_become(spark, monkeypatch):
+    firms = spark.range(40).coalesce(1).select(
+        F.concat(F.lit("c"), "id").alias("company"), F.lit("s").alias("sector"), (F.col("id") / 40).alias("debt_ratio"),
+        F.lit(1.5).alias("current_ratio"), F.lit(2.0).alias("inflation"), F.lit(3.0).alias("fed_rate"), F.lit(1.0).alias("gdp_growth"))
+    draws = spark.range(30).select(F.col("id").alias("sim_id"), *[(F.col("id") * 0.1).alias(v) for v in S.NOISE_SD])
+    seen = []
+
+    def scorer(df, targets):
+        seen.append(most_in_a_task(df))
+        return df.withColumn("predicted_y", F.col("inflation") * F.col("debt_ratio"))
+
+    def both():
+        means = S.bootstrap_means(firms, draws, ["y"], scorer).collect()
+        return ({r["sim_id"]: round(r["mean_prediction"], 9) for r in means},
+                sorted(S.score_scenarios(firms, {"inflation": 2.0, "fed_rate": 3.0, "gdp_growth": 1.0}, ["y"], scorer).collect()))
+    whole = both()
+    monkeypatch.setattr(S, "SCORED_ROWS", 140, raising=False)
+    monkeypatch.setattr(S, "DRAWS_AT_ONCE", 7, raising=False)          # pieces of 7, 7, 7, 7 and 2 draws
+    assert both() == whole and whole[0] == {i: round(i * 0.1 * 19.5 / 40, 9) for i in range(30)} and len(whole[1]) == 7 * 40
+    assert seen[:2] == [40 * 30, 40 * 7] and seen[2] <= 180 and seen[3] <= 180
+
+
+def test_explained_rows_are_dealt(noisy, monkeypatch):
+    feats = [f"f{j}" for j in range(6)]
+    m = B.train(noisy, feats, ["y"], B.BoostConfig(rounds=3, depth=3, patience=None))["y"]
+    rows = noisy.select("company", "year", *feats).coalesce(1)
+    whole = {r["company"]: r["contributions"] for r in AT.attributions(rows, m, feats, "y").collect()}
+    monkeypatch.setattr(AT, "EXPLAINED_ROWS", 50, raising=False)
+    wide = AT.attributions(rows, m, feats, "y")
+    assert {r["company"]: r["contributions"] for r in wide.collect()} == whole and len(whole) == 400
+    assert most_in_a_task(wide) <= 60
