@@ -5,7 +5,10 @@ path-dependent TreeSHAP (Lundberg et al., 2018, "Consistent Individualized
 Feature Attribution for Tree Ensembles") inside ``mapInPandas``: each task
 explains its own Arrow batches, vectorised over the rows of the batch, with the
 node arrays as a broadcast variable (bounded by trees x nodes, not by the
-data).  For a linear scorer they are ``w * (x - mean(x))`` as expressions.
+data).  A leaf's contributions depend on which of its path's decisions a row
+fulfils, and on nothing else of the row; so they are computed once for every
+pattern, the leaves below a node together, and looked up for each row.  For a
+linear scorer they are ``w * (x - mean(x))`` as expressions.
 
 Both give the same wide table, one array of contributions a row.  Rows are
 chosen before the model explains them (one firm's row, the latest row of each
@@ -18,13 +21,17 @@ the model's prediction.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import dealt, ship_package
 
-EXPLAINED_ROWS = 5_000          # rows that a task explains at most, about
+EXPLAINED_ROWS = 20_000         # rows that a task explains at most, about
+TABLE_BITS = 12                 # decisions of a table at most; deeper trees are walked a row at a time
+BELOW = 2                       # levels of decisions below a table's top node
 
 
 # ------------------------------------------------------------ tree table --
@@ -126,12 +133,117 @@ def tree_shap(X: np.ndarray, tree: dict, phi: np.ndarray) -> None:
     recurse(tree["root"], [], 1.0, np.ones(n), -1)
 
 
+def _leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, bool, float]]]]:
+    """(leaf, its path as (node, whether it goes right, share of rows kept))."""
+    at, out = [(tree["root"], [])], []
+    while at:
+        j, path = at.pop()
+        if tree["left"][j] < 0:
+            out.append((j, path))
+            continue
+        for child, right in ((int(tree["left"][j]), False), (int(tree["right"][j]), True)):
+            at.append((child, path + [(j, right, tree["cover"][child] / tree["cover"][j])]))
+    return out
+
+
+def _pattern_values(zero: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values (leaves x 2^m patterns x m features) of leaves whose m
+    features keep shares ``zero`` of the rows if unknown; bit i of a pattern is
+    set where a row fulfils all decisions on feature i.  A feature with share 1
+    that is fulfilled has no part, so it can fill up shorter paths."""
+    n, m = zero.shape
+    ones = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    out = np.empty((n, 1 << m, m))
+    weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+    for i in range(m):
+        sums = [np.ones((n, 1 << m))]                    # by number of known features: products of the others' shares
+        for j in (j for j in range(m) if j != i):
+            z, o = zero[:, j, None], ones[None, :, j]
+            sums = [a * z + b * o for a, b in zip([*sums, 0.0], [0.0, *sums])]
+        out[:, :, i] = sum(w * s for w, s in zip(weight, sums)) * (ones[None, :, i] - zero[:, i, None]) * value[:, None]
+    return out
+
+
+def shap_tables(tree: dict) -> list[tuple] | None:
+    """The tree's contributions by decision patterns: (nodes whose decisions
+    make up the pattern, features, contributions (features x patterns)) per
+    group of leaves below one node; bit i of a pattern is set where a row goes
+    left at the i-th node.  None if the tree is too deep for it."""
+    leaves = _leaf_paths(tree)
+    if len(leaves) == 1:
+        return []
+    if max(len(path) for _, path in leaves) > TABLE_BITS - 2 ** BELOW:
+        return None
+    height, inside = {}, {}                              # decisions below a node: levels and nodes
+
+    def measure(j: int) -> int:
+        a, b = int(tree["left"][j]), int(tree["right"][j])
+        height[j] = 0 if a < 0 else 1 + max(measure(a), measure(b))
+        inside[j] = [] if a < 0 else [j, *inside[a], *inside[b]]
+        return height[j]
+    measure(tree["root"])
+    kept = [{} for _ in leaves]                          # per leaf: share kept by feature
+    for shares, (_, path) in zip(kept, leaves):
+        for j, _, share in path:
+            f = int(tree["feature"][j])
+            shares[f] = shares.get(f, 1.0) * share
+    m = max(map(len, kept))
+    zero = np.array([[*shares.values()] + [1.0] * (m - len(shares)) for shares in kept])
+    values = _pattern_values(zero, np.array([tree["value"][leaf] for leaf, _ in leaves]))
+    groups: dict[int, list[int]] = {}
+    for at, (leaf, path) in enumerate(leaves):
+        top = next((j for j, *_ in path if height[j] <= BELOW), leaf)
+        groups.setdefault(top, []).append(at)
+    out = []
+    for top, members in groups.items():
+        path = [j for j, *_ in leaves[members[0]][1]]
+        nodes = (path[: path.index(top)] if top in path else path) + inside[top]
+        left = {j: np.arange(1 << len(nodes)) >> i & 1 == 1 for i, j in enumerate(nodes)}
+        table: dict[int, np.ndarray] = {}
+        for at in members:
+            good = {f: np.ones(1 << len(nodes), bool) for f in kept[at]}
+            for j, goes_right, _ in leaves[at][1]:
+                good[int(tree["feature"][j])] &= left[j] != goes_right
+            code = np.full(1 << len(nodes), (1 << m) - (1 << len(good)))
+            for i, fulfilled in enumerate(good.values()):
+                code += fulfilled.astype(code.dtype) << i
+            for i, f in enumerate(good):
+                table[f] = table.get(f, 0.0) + values[at, :, i][code]
+        out.append((tuple(nodes), list(table), np.stack(list(table.values()))))
+    return out
+
+
+def _add_from_tables(X: np.ndarray, tree: dict, tables: list[tuple], phi: np.ndarray) -> None:
+    """Add one tree's contributions for all rows into ``phi``; both arrays are
+    features x rows."""
+    kind = np.uint8 if max(len(nodes) for nodes, *_ in tables) <= 8 else np.uint16
+    left = {j: (X[int(f)] <= t).view(np.uint8).astype(kind, copy=False)
+            for j, (f, t, a) in enumerate(zip(tree["feature"], tree["threshold"], tree["left"])) if a >= 0}
+    codes: dict[tuple, np.ndarray] = {}
+
+    def code(nodes: tuple) -> np.ndarray:
+        if nodes not in codes:
+            last = left[nodes[-1]] << (len(nodes) - 1)
+            codes[nodes] = code(nodes[:-1]) | last if len(nodes) > 1 else last
+        return codes[nodes]
+    for nodes, features, values in tables:
+        found = values.take(code(nodes).astype(np.intp), axis=1, mode="clip")
+        for f, v in zip(features, found):
+            np.add(phi[f], v, out=phi[f])
+
+
 def explain_batch(X: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Contributions summed over the ensemble."""
-    phi = np.zeros(X.shape, dtype=float)
+    """Contributions summed over the ensemble.  The trees keep their tables, so
+    a Python worker makes them once for all its tasks."""
+    columns, phi = np.ascontiguousarray(X.T), np.zeros(X.shape[::-1])
     for t in trees:
-        tree_shap(X, t, phi)
-    return phi
+        if "tables" not in t:
+            t["tables"] = shap_tables(t)
+        if t["tables"] is None:
+            tree_shap(X, t, phi.T)
+        elif t["tables"]:
+            _add_from_tables(columns, t, t["tables"], phi)
+    return np.ascontiguousarray(phi.T)
 
 
 def attributions(df: DataFrame, model, features: list[str], target: str,

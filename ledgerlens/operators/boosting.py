@@ -10,12 +10,16 @@ L1 soft threshold; a leaf answers -rate * T(G) / (H + l2).  Rows and columns
 are drawn per tree; the ensemble is cut at its best validation round once
 ``patience`` rounds brought no better one.
 
-The rows stay on the executors, as blocks of binned values.  A level of all
-targets' trees is one distributed pass: tasks add up gradients and counts per
-(target, node, feature, bin), a shuffle by (target, node) merges them, and the
-task that holds a node's merged sums picks its split.  The driver gets a few
-numbers a node, whatever the number of rows, features and bins.  This loop of
-many small passes over the same blocks is why an RDD is used here.
+The rows stay on the executors, as blocks of binned values, a column after the
+other.  A level of all targets' trees is one distributed pass: tasks add up
+gradients and counts per (target, node, feature, bin), a shuffle by (target,
+node) merges them, and the task that holds a node's merged sums picks its
+split.  The driver gets a few numbers a node, whatever the number of rows,
+features and bins.  This loop of many small passes over the same blocks is why
+an RDD is used here.  Rows that fit one block are grown without passes.
+
+Trees are walked for all rows of a block at once (:func:`paths`): each node's
+comparison is a packed bit a row, and the bits of a path are chosen bottom-up.
 
 Gradients are summed as whole numbers (2^30 steps of the largest target), row
 draws are hashes of the row's key, so the trees do not depend on how rows are
@@ -35,8 +39,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, ship_package
 
 STEPS = 2.0 ** 30               # steps of the largest |target| in a summed gradient
-BLOCK_ROWS = 16_384             # rows of a block at most
-TASK_BLOCKS = 8                 # blocks of a task at most, where there are more blocks than cores
+BLOCK_ROWS = 2 ** 19            # rows of a block at most; sums of 2^19 gradients are exact in doubles
+BLOCK_VALUES = 2 ** 26          # binned values of a block at most, a byte each
+PIECE_ROWS = 16_384             # rows that a task bins at once, at most
+WALKED_ROWS = 65_536            # rows whose paths are found at once, about
 RENEW = 10                      # rounds after which blocks take in the trees grown since
 
 
@@ -78,16 +84,45 @@ class Tree:
         return len(self.value) - 1
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        """Node in which every row of binned values ends."""
-        feature, at, left, right = (np.array(c) for c in (self.feature, self.bin, self.left, self.right))
-        node = np.zeros(len(x), np.int64)
-        while True:
-            open_ = np.flatnonzero(left[node] >= 0)
-            if not len(open_):
-                return node
-            here = node[open_]
-            low = x[open_, feature[here]] <= at[here]
-            node[open_] = np.where(low, left[here], right[here])
+        """Node in which every row of binned values (features x rows) ends."""
+        ends, out = path_ends(self.left, self.right), np.empty(x.shape[1], np.int64)
+        for lo in range(0, len(out), WALKED_ROWS):
+            some = x[:, lo: lo + WALKED_ROWS]
+            codes = paths(self.left, self.right, some.shape[1], lambda j: np.packbits(some[self.feature[j]] > self.bin[j]))
+            np.take(ends, codes, out=out[lo: lo + WALKED_ROWS], mode="clip")
+        return out
+
+
+def path_ends(left: list, right: list) -> np.ndarray:
+    """Leaf of every path code (see :func:`paths`) of a tree."""
+    at = [(0, 0, 0)]
+    for node, code, depth in at:                                    # grows as it goes
+        if left[node] >= 0:
+            at += [(left[node], code, depth + 1), (right[node], code | 1 << depth, depth + 1)]
+    out = np.zeros(1 << max(depth for *_, depth in at), np.int64)
+    for node, code, _ in at:
+        if left[node] < 0:
+            out[code] = node
+    return out
+
+
+def paths(left: list, right: list, n: int, right_of) -> np.ndarray:
+    """Each of ``n`` rows' path code: bit d is set where the row goes right at
+    depth d.  ``right_of(node)`` gives the rows right of its split as packed
+    bits."""
+    def below(node: int) -> list[np.ndarray]:
+        if left[node] < 0:
+            return []
+        here = right_of(node)
+        a, b = below(left[node]), below(right[node])
+        bits = [x ^ ((x ^ y) & here) for x, y in zip(a, b)]
+        bits += [x & ~here for x in a[len(bits):]] if len(a) > len(b) else [y & here for y in b[len(bits):]]
+        return [here, *bits]
+    bits = below(0)
+    codes = np.zeros(n, np.uint8 if len(bits) <= 8 else np.uint32)
+    for d, packed in enumerate(bits):
+        codes |= np.unpackbits(packed, count=n).astype(codes.dtype, copy=False) << d
+    return codes
 
 
 @dataclass
@@ -172,49 +207,58 @@ def cut_points(matrix: DataFrame, features: list[str], bins: int) -> list[list[f
 
 
 def _packing(cuts: list[list[float]], n_targets: int):
-    """Arrow task: rows (key, val, targets, values) -> one row a block."""
+    """Arrow task: rows (key, val, targets, values) -> one row a piece."""
     def run(batches):
+        from pyspark import TaskContext
+        piece = TaskContext.get().partitionId()
         for b in batches:
-            for lo in range(0, b.num_rows, BLOCK_ROWS):
-                s = b.slice(lo, BLOCK_ROWS)
+            for lo in range(0, b.num_rows, PIECE_ROWS):
+                s = b.slice(lo, PIECE_ROWS)
                 n = s.num_rows
                 v = s.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, len(cuts))
-                bins = np.empty((n, len(cuts)), np.uint8)
+                bins = np.empty((len(cuts), n), np.uint8)
                 for j, c in enumerate(cuts):
-                    bins[:, j] = np.searchsorted(c, v[:, j], side="left")
+                    bins[j] = np.searchsorted(c, v[:, j], side="left")
                 y = s.column("y").flatten().to_numpy(zero_copy_only=False).reshape(n, n_targets)
                 keys = s.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
                 val = s.column("val").to_numpy(zero_copy_only=False).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a.tobytes()], pa.binary()) for a in (bins, y.astype(np.float64), keys, val)],
-                    ["bins", "y", "keys", "val"])
+                    [pa.array([piece], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (bins, y.astype(np.float64), keys, val))],
+                    ["piece", "bins", "y", "keys", "val"])
     return run
 
 
 def _blocks(matrix: DataFrame, features: list[str], targets: list[str], cuts: list[list[float]], base: list[float], n: int):
-    """Persisted RDD of (bins, targets, keys, validation flags, predictions);
-    the ``n`` rows are dealt evenly, so that few rows need few tasks.  Rows for
-    one block are one block, however Arrow cut them into batches."""
+    """Persisted RDD of (bins (features x rows), targets, keys, validation
+    flags, predictions), one block a partition.  The ``n`` rows are binned in
+    pieces and the pieces dealt to blocks: one where the rows fit it, else as
+    many as there are cores, or more to keep blocks small."""
     keys = [c for c in ("company", "year") if c in matrix.columns] or features
     rows = matrix.where("split IN ('train', 'val')").select(
         F.xxhash64(*keys).alias("key"), (F.col("split") == "val").alias("val"),
         F.array(*[F.col(t).cast("double") for t in targets]).alias("y"),
         F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
-    n_blocks = -(-n // BLOCK_ROWS)
-    table = cut_lineage(rows.repartition(n_blocks).mapInArrow(_packing(cuts, len(targets)), "bins binary, y binary, keys binary, val binary"))
     width, t, first = len(features), len(targets), np.array(base)
-    parts = min(n_blocks, max(matrix.sparkSession.sparkContext.defaultParallelism, -(-n_blocks // TASK_BLOCKS)))
+    n_blocks = -(-n // max(1, min(BLOCK_ROWS, BLOCK_VALUES // width)))
+    if n_blocks > 1:
+        n_blocks = max(n_blocks, matrix.sparkSession.sparkContext.defaultParallelism)
+    pieces = n_blocks * -(-n // (n_blocks * PIECE_ROWS))            # as many for every block
+    table = cut_lineage(rows.repartition(pieces).mapInArrow(
+        _packing(cuts, t), "piece int, bins binary, y binary, keys binary, val binary"))
 
     def opened(r):
         y = np.frombuffer(r["y"]).reshape(-1, t)
-        return (np.frombuffer(r["bins"], np.uint8).reshape(-1, width), y, np.frombuffer(r["keys"], np.int64).view(np.uint64),
+        return (np.frombuffer(r["bins"], np.uint8).reshape(width, -1), y, np.frombuffer(r["keys"], np.int64).view(np.uint64),
                 np.frombuffer(r["val"], np.uint8).astype(bool), np.tile(first, (len(y), 1)))
 
     def joined(part):
-        part = list(part)
-        return [tuple(map(np.concatenate, zip(*part)))] if part else []
-    blocks = table.rdd.coalesce(parts).map(opened)
-    return (blocks.mapPartitions(joined) if parts == 1 else blocks).persist(StorageLevel.MEMORY_AND_DISK)
+        part = [opened(r) for r in part]
+        return [(np.concatenate([p[0] for p in part], axis=1), *map(np.concatenate, list(zip(*part))[1:]))] if part else []
+    if n_blocks == 1:
+        dealt = table.rdd.coalesce(1)
+    else:
+        dealt = table.rdd.map(lambda r: (r["piece"], r)).partitionBy(n_blocks, lambda piece: piece % n_blocks).values()
+    return dealt.mapPartitions(joined).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _grown(block, pending: list[list[Tree]]):
@@ -229,25 +273,58 @@ def _grown(block, pending: list[list[Tree]]):
     return bins, y, keys, val, f
 
 
+def _cell_sums(x: np.ndarray, columns: np.ndarray, rows: np.ndarray, node: np.ndarray, g: np.ndarray, n_nodes: int, bins: int) -> np.ndarray:
+    """Sums of ``g`` and row counts per (node, column, bin) of the listed rows.
+    Many rows are added up for two columns at once, in cells of their pairs of
+    bins, and a column's sums taken from these."""
+    out = np.empty((n_nodes, len(columns), bins, 2), np.int64)
+    paired = len(rows) >= 4 * n_nodes * bins * bins
+    first = {w: node * bins ** w for w in range(1, 2 + paired)}
+    for lo in range(0, len(columns), 1 + paired):
+        some = columns[lo: lo + 1 + paired]
+        size, cell = bins ** len(some), x[some[0]].take(rows)
+        if len(some) == 2:
+            cell = cell.astype(np.uint16) * np.uint16(bins) + x[some[1]].take(rows)
+        cell = first[len(some)] + cell
+        for i, sums in enumerate((np.bincount(cell, g, n_nodes * size), np.bincount(cell, minlength=n_nodes * size))):
+            if len(some) == 1:
+                out[:, lo, :, i] = sums.reshape(n_nodes, bins)
+            else:
+                sums = sums.reshape(n_nodes, bins, bins)
+                out[:, lo, :, i], out[:, lo + 1, :, i] = sums.sum(axis=2), sums.sum(axis=1)
+    return out
+
+
 def _histograms(block, growing: dict, drawn: np.ndarray, columns: np.ndarray, scale: np.ndarray, bins: int) -> dict:
     """Gradient sums and counts of a block: {target: (open nodes, columns, bins, 2)}."""
     x, y, _, _, f = block
-    rows = x[drawn]
-    sub = rows[:, columns].astype(np.int64)
     out = {}
     for k, (tree, open_) in growing.items():
         slot = np.full(len(tree.value), -1)
         slot[open_] = np.arange(len(open_))
-        node = slot[tree.leaves_of(rows)]
-        here = node >= 0
-        g = np.rint((f[drawn, k] - y[drawn, k])[here] * scale[k])
-        cell = ((node[here][:, None] * len(columns) + np.arange(len(columns))) * bins + sub[here]).ravel()
-        size = len(open_) * len(columns) * bins
-        out[k] = np.stack([np.bincount(cell, np.repeat(g, len(columns)), size),
-                           np.bincount(cell, minlength=size)], 1).astype(np.int64).reshape(len(open_), len(columns), bins, 2)
+        node = slot[tree.leaves_of(x)]
+        rows = np.flatnonzero(drawn & (node >= 0))
+        g = np.rint((f[rows, k] - y[rows, k]) * scale[k])
+        out[k] = _cell_sums(x, columns, rows, node[rows], g, len(open_), bins)
     return out
 
 
+def _histograms_in_task(block, tree: Tree, open_: list[int], k: int, drawn: np.ndarray, columns: np.ndarray, scale: np.ndarray,
+                        bins: int, before: dict) -> np.ndarray:
+    """The open nodes' histograms of a block that holds all rows: of two
+    children the one of fewer rows is added up, the other is what it leaves of
+    its parent's sums (whole numbers).  ``before`` has the level above by node."""
+    pairs = [(i, *((a, b) if tree.rows[a] <= tree.rows[b] else (b, a)))
+             for i in before for a, b in [(tree.left[i], tree.right[i])] if a >= 0]
+    few = [a for _, a, _ in pairs] or open_
+    found = dict(zip(few, _histograms(block, {k: (tree, few)}, drawn, columns, scale, bins)[k]))
+    for i, a, b in pairs:
+        found[b] = before[i] - found[a]
+    before.clear()
+    before.update(found)
+    return np.stack([found[i] for i in open_])
+
+
 def _squared_error(block, k: int, scale: np.ndarray) -> int:
     """Validation errors of a block, squared and summed in whole steps."""
     _, y, _, val, f = block
@@ -260,26 +337,31 @@ def _node_splits(hist: np.ndarray, scale: float, cfg: BoostConfig) -> list[tuple
     return [(int(g), int(h), split) for (g, h), split in zip(hist[:, 0].sum(axis=1), best_splits(hist, scale, cfg))]
 
 
-def _level(blocks, pending, growing: dict, round_: int, cfg: BoostConfig, columns: np.ndarray, scale: np.ndarray, bins: int) -> dict:
-    """One pass over all blocks: the splits of the growing trees' open nodes.
-    A node's histograms meet in one task, which picks the split."""
+def _level(blocks, pending, growing: dict, round_: int, cfg: BoostConfig, columns: np.ndarray, scale: np.ndarray, bins: int,
+           watched=()) -> tuple[dict, dict]:
+    """One pass over all blocks: the splits of the growing trees' open nodes,
+    and the summed squared validation errors of the watched targets.  A node's
+    histograms meet in one task, which picks the split."""
     def summed(part):
         total = {}
         for block in part:
             block = _grown(block, pending)
-            for k, h in _histograms(block, growing, _drawn(block, round_, cfg), columns, scale, bins).items():
-                total[k] = total[k] + h if k in total else h
-        return [((k, i), node) for k, h in total.items() for i, node in enumerate(h)]
+            found = {(k, i): node for k, h in _histograms(block, growing, _drawn(block, round_, cfg), columns, scale, bins).items()
+                     for i, node in enumerate(h)}
+            for key, h in [*found.items(), *(((k, -1), _squared_error(block, k, scale)) for k in watched)]:
+                total[key] = total[key] + h if key in total else h
+        return list(total.items())
 
     def picked(part):
         total = {}
         for key, h in part:
             total[key] = total[key] + h if key in total else h
-        return [(key, _node_splits(h[None], scale[key[0]], cfg)[0]) for key, h in total.items()]
-    nodes = {key: i for i, key in enumerate((k, i) for k, (_, open_) in growing.items() for i in range(len(open_)))}
-    tasks = min(len(nodes), blocks.getNumPartitions())
-    found = dict(blocks.mapPartitions(summed).partitionBy(tasks, nodes.__getitem__).mapPartitions(picked).collect())
-    return {k: [found[k, i] for i in range(len(open_))] for k, (_, open_) in growing.items()}
+        return [(key, h if key[1] < 0 else _node_splits(h[None], scale[key[0]], cfg)[0]) for key, h in total.items()]
+    place = {key: i for i, key in enumerate([(k, i) for k, (_, open_) in growing.items() for i in range(len(open_))]
+                                            + [(k, -1) for k in watched])}
+    tasks = min(len(place), blocks.getNumPartitions())
+    found = dict(blocks.mapPartitions(summed).partitionBy(tasks, place.__getitem__).mapPartitions(picked).collect())
+    return {k: [found[k, i] for i in range(len(open_))] for k, (_, open_) in growing.items()}, {k: found[k, -1] for k in watched}
 
 
 def _errors(blocks, pending, ks: list[int], scale: np.ndarray) -> dict:
@@ -364,11 +446,12 @@ def _grow_in_task(block, k: int, first: int, last: int, cfg: BoostConfig, scale:
     training set that is one block."""
     out = []
     for round_ in range(first, last):
-        drawn = _drawn(block, round_, cfg)
+        drawn, before = _drawn(block, round_, cfg), {}
+
         def splits(growing, columns):
-            found = _histograms(block, growing, drawn, columns, scale, bins)
-            return {j: _node_splits(h, scale[j], cfg) for j, h in found.items()}
-        tree = grow(splits, [k], block[0].shape[1], round_, cfg, scale)[k]
+            found = _histograms_in_task(block, *growing[k], k, drawn, columns, scale, bins, before)
+            return {k: _node_splits(found, scale[k], cfg)}
+        tree = grow(splits, [k], len(block[0]), round_, cfg, scale)[k]
         alone = [[] for _ in range(block[1].shape[1])]
         alone[k] = [tree]
         block = _grown(block, alone)
@@ -377,21 +460,38 @@ def _grow_in_task(block, k: int, first: int, last: int, cfg: BoostConfig, scale:
 
 
 def _next_rounds(blocks, pending, going: list[int], round_: int, cfg: BoostConfig, scale: np.ndarray, bins: int,
-                 n_features: int, watched: bool) -> dict[int, list[tuple]]:
+                 n_features: int, watched: bool, ahead: dict) -> dict[int, list[tuple]]:
     """{target: [(tree, error)]} of the next round or rounds.
 
     Rows that are one block are grown in memory by a task per target, several
     rounds at once, as in PLANET's second phase; more rows by a pass a level.
-    Both ways run the same functions on the same whole numbers and give the
-    same trees."""
+    The pass that takes a round's errors also takes the first level of the next
+    round, kept in ``ahead``.  Both ways run the same functions on the same
+    whole numbers and give the same trees."""
     if blocks.getNumPartitions() == 1:
         last = min(cfg.rounds, round_ + RENEW)
         tasks = [blocks.map(lambda block, k=k: (k, _grow_in_task(block, k, round_, last, cfg, scale, bins))) for k in going]
         return dict(blocks.context.union(tasks).collect())
-    trees = grow(lambda growing, columns: _level(blocks, pending, growing, round_, cfg, columns, scale, bins),
-                 going, n_features, round_, cfg, scale)
+
+    def splits(growing, columns):
+        if ahead and all(len(tree.value) == 1 for tree, _ in growing.values()):
+            found = dict(ahead)
+            ahead.clear()
+            return found
+        return _level(blocks, pending, growing, round_, cfg, columns, scale, bins)[0]
+    trees = grow(splits, going, n_features, round_, cfg, scale)
+    if not watched:
+        return {k: [(trees[k], 0)] for k in going}
     after = [p + ([trees[k]] if k in trees else []) for k, p in enumerate(pending)]
-    off = _errors(blocks, after, going, scale) if watched else dict.fromkeys(going, 0)
+    if round_ + 1 < cfg.rounds and cfg.depth:
+        seeds = {k: (Tree(), [0]) for k in going}
+        for tree, _ in seeds.values():
+            tree.add(0.0, 0)
+        found, off = _level(blocks, after, seeds, round_ + 1, cfg, drawn_columns(n_features, cfg.column_share, cfg.seed, round_ + 1),
+                            scale, bins, going)
+        ahead.update(found)
+    else:
+        off = _errors(blocks, after, going, scale)
     return {k: [(trees[k], off[k])] for k in going}
 
 
@@ -415,13 +515,13 @@ def train(matrix: DataFrame, features: list[str], targets: list[str], cfg: Boost
     blocks = _blocks(matrix, features, targets, cuts, base, stats["n"] + stats["n_val"])
     bins = max(2, 1 + max(map(len, cuts)))
     watched = cfg.patience is not None and stats["n_val"] > 0
-    trees, errors, pending, going, round_, renewed = [[] for _ in targets], [[] for _ in targets], [[] for _ in targets], \
-        list(range(len(targets))), 0, 0
+    trees, errors, pending, going, round_, renewed, ahead = [[] for _ in targets], [[] for _ in targets], [[] for _ in targets], \
+        list(range(len(targets))), 0, 0, {}
 
     def waited_long(k: int) -> bool:
         return watched and bool(errors[k]) and len(errors[k]) - 1 - int(np.argmin(errors[k])) >= cfg.patience
     while round_ < cfg.rounds and going:
-        found = _next_rounds(blocks, pending, going, round_, cfg, scale, bins, len(features), watched)
+        found = _next_rounds(blocks, pending, going, round_, cfg, scale, bins, len(features), watched, ahead)
         round_ += max(len(v) for v in found.values())
         for k, grown in found.items():
             for tree, off in grown:

@@ -202,3 +202,89 @@ def test_explained_rows_are_dealt(noisy, monkeypatch):
     wide = AT.attributions(rows, m, feats, "y")
     assert {r["company"]: r["contributions"] for r in wide.collect()} == whole and len(whole) == 400
     assert most_in_a_task(wide) <= 60
+
+
+def test_rows_of_a_few_blocks_are_grown_without_passes(spark, monkeypatch):
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: got.append(1) or collect(rdd))
+    df = spark.range(40_000).select(
+        F.concat(F.lit("c"), "id").alias("company"), F.lit(2000).alias("year"), (F.col("id") % 97).cast("double").alias("f0"),
+        (F.col("id") % 11).cast("double").alias("f1"), (F.col("id") % 97 * 2.0 - F.col("id") % 11).alias("y"),
+        F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"))
+    m = B.train(df, ["f0", "f1"], ["y"], B.BoostConfig(rounds=3, depth=3))["y"]
+    assert len(got) == 1 and len(m.trees) == 3 and 25_000 < m.trees[0].rows[0] < 26_200
+
+
+def test_a_pass_takes_errors_and_the_next_first_level(noisy, monkeypatch):
+    cfg, feats = B.BoostConfig(rounds=4, depth=3, bins=16), [f"f{j}" for j in range(6)]
+    one = B.train(noisy, feats, ["y"], cfg)["y"]
+    got, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: got.append(1) or collect(rdd))
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    many = B.train(noisy, feats, ["y"], cfg)["y"]
+    assert many.trees == one.trees and many.errors == one.errors
+    assert len(got) == 4 * 3 + 1                                    # levels, and the last errors
+
+
+def test_paired_and_single_columns_have_the_same_sums():
+    rng = np.random.default_rng(3)
+    x, rows = rng.integers(0, 5, (3, 900)).astype(np.uint8), np.arange(0, 900, 2)
+    node, g = rng.integers(0, 3, len(rows)), rng.integers(-2 ** 30, 2 ** 30, len(rows)).astype(float)
+    want = np.zeros((3, 3, 5, 2), np.int64)
+    for c in range(3):
+        np.add.at(want[:, c, :, 0], (node, x[c, rows]), g.astype(np.int64))
+        np.add.at(want[:, c, :, 1], (node, x[c, rows]), 1)
+    at = np.arange(3)
+    assert (B._cell_sums(x, at, rows, node, g, 3, 5) == want).all()                              # 450 rows, 3 x 25 cells: pairs
+    few = [B._cell_sums(x, at, rows[lo: lo + 150], node[lo: lo + 150], g[lo: lo + 150], 3, 5) for lo in (0, 150, 300)]
+    assert (sum(few) == want).all()
+
+
+def grown_tree(rng, depth, features, bins=7):
+    t, at = B.Tree(), [(0, 0)]
+    t.add(0.5, 1000)
+    for node, d in at:
+        if d < depth and (d < 2 or rng.random() < 0.8) and t.rows[node] > 1:
+            n = int(rng.integers(1, t.rows[node]))
+            t.feature[node], t.bin[node] = int(rng.integers(features)), int(rng.integers(bins))
+            t.left[node], t.right[node] = t.add(float(rng.normal()), n), t.add(float(rng.normal()), t.rows[node] - n)
+            at += [(t.left[node], d + 1), (t.right[node], d + 1)]
+    return t
+
+
+def walked(t, goes_right):
+    node = 0
+    while t.left[node] >= 0:
+        node = t.right[node] if goes_right(t.feature[node], t.bin[node]) else t.left[node]
+    return node
+
+
+@pytest.mark.parametrize("depth", [0, 1, 6, 9])
+def test_paths_end_where_a_walk_ends(depth):
+    rng = np.random.default_rng(depth)
+    x = rng.integers(0, 8, (3, 203)).astype(np.uint8)
+    for t in (grown_tree(rng, depth, 3) for _ in range(4)):
+        assert t.leaves_of(x).tolist() == [walked(t, lambda f, b: r[f] > b) for r in x.T]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 6])
+def test_contributions_are_looked_up(depth, monkeypatch):
+    rng = np.random.default_rng(depth)
+    m = B.Boosted("y", [f"f{j}" for j in range(4)], [sorted(rng.normal(size=7)) for _ in range(4)], 0.0,
+                  [grown_tree(rng, depth, 4) for _ in range(5)], [], 5)
+    x, want = np.vstack([rng.normal(size=(300, 4)), [[c[2] for c in m.cuts], [np.nan] * 4]]), np.zeros((302, 4))
+    trees = AT.model_trees(m)
+    for t in trees:
+        AT.tree_shap(x, t, want)
+    monkeypatch.setattr(AT, "tree_shap", None)                      # no tree is walked row by row
+    assert np.allclose(AT.explain_batch(x, trees), want, atol=1e-12)
+    assert np.allclose(AT.explain_batch(x, trees), want, atol=1e-12)        # with the tables at hand
+
+
+def test_deep_trees_are_walked():
+    rng = np.random.default_rng(9)
+    t = grown_tree(rng, 10, 4)
+    m = B.Boosted("y", list("abcd"), [sorted(rng.normal(size=7)) for _ in range(4)], 0.0, [t], [], 1)
+    x, want = rng.normal(size=(50, 4)), np.zeros((50, 4))
+    AT.tree_shap(x, AT.model_trees(m)[0], want)
+    assert np.allclose(AT.explain_batch(x, AT.model_trees(m)), want) and AT.shap_tables(AT.model_trees(m)[0]) is None
