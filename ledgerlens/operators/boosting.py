@@ -28,6 +28,7 @@ dealt to tasks, and a lost block is computed again to the same bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -592,47 +593,60 @@ def tree_scorer(models: dict[str, Boosted]):
     return score
 
 
-def _walkable(model: Boosted, place: dict[str, int]) -> list[tuple[np.ndarray, ...]]:
-    """Per tree: feature places, thresholds, children and values; a leaf is its
-    own child."""
-    out = []
-    for tree in model.trees:
-        own, left = np.arange(len(tree.value)), np.array(tree.left)
-        inner = left >= 0
-        out.append((np.array([place[model.features[f]] if f >= 0 else 0 for f in tree.feature]),
-                    np.array([model.cuts[f][b] if f >= 0 else 0.0 for f, b in zip(tree.feature, tree.bin)]),
-                    np.where(inner, left, own), np.where(inner, tree.right, own), np.array(tree.value)))
+def _scored(x: np.ndarray, splits: list[tuple[int, list[float]]], models: list[tuple]) -> np.ndarray:
+    """Predictions (rows x models) for values (features x rows).  ``splits``
+    are the cuts made anywhere, each compared once; a model is its base and per
+    tree (left, right, numbers of its nodes' splits, leaf values by path code)."""
+    bits = [np.packbits(~(x[at] <= cut)) for at, cuts in splits for cut in cuts]
+    out = np.empty((x.shape[1], len(models)))
+    for k, (base, trees) in enumerate(models):
+        total = np.full(len(out), base)
+        for left, right, made, value in trees:
+            total += value.take(paths(left, right, len(out), lambda j: bits[made[j]]), mode="clip")
+        out[:, k] = total
     return out
 
 
+def _gathered(batches, rows: int):
+    """Lists of batches of about so many rows together."""
+    some = []
+    for b in batches:
+        some.append(b)
+        if sum(map(len, some)) >= rows:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 def arrow_scorer(models: dict[str, Boosted]):
     """A scorer from ensembles of any size: an Arrow function of the feature
     values only, the frame's other columns stay in the JVM."""
     names = sorted({f for m in models.values() for f in m.features})
-    place = {f: i for i, f in enumerate(names)}
-    walks = {t: (m.base, _walkable(m, place)) for t, m in models.items()}
+    cut: dict[str, set] = {f: set() for f in names}
+    for m in models.values():
+        for tree in m.trees:
+            for f, b in zip(tree.feature, tree.bin):
+                if f >= 0:
+                    cut[m.features[f]].add(m.cuts[f][b])
+    splits = [(i, sorted(cut[f])) for i, f in enumerate(names)]
+    number = {s: i for i, s in enumerate((names[i], c) for i, cuts in splits for c in cuts)}
+    ready = {t: (m.base, [(tree.left, tree.right, [number[m.features[f], m.cuts[f][b]] if f >= 0 else -1 for f, b in zip(tree.feature, tree.bin)],
+                           np.array(tree.value)[path_ends(tree.left, tree.right)]) for tree in m.trees]) for t, m in models.items()}
 
     def score(df: DataFrame, targets: list[str]) -> DataFrame:
         ship_package(df.sparkSession)
         have = set(df.columns)
 
         @F.arrow_udf("array<double>")
-        def predicted(x: pa.Array) -> pa.Array:
-            v = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(names))
-            rows, out = np.arange(len(v)), np.empty((len(v), len(targets)))
-            for k, t in enumerate(targets):
-                base, trees = walks[t]
-                total = np.full(len(v), base)
-                for feature, threshold, left, right, value in trees:
-                    node = np.zeros(len(v), np.int64)
-                    while True:
-                        after = np.where(v[rows, feature[node]] <= threshold[node], left[node], right[node])
-                        if (after == node).all():
-                            break
-                        node = after
-                    total += value[node]
-                out[:, k] = total
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(targets)), pa.array(out.ravel()))
+        def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for some in _gathered(batches, WALKED_ROWS):
+                x = [b.flatten().to_numpy(zero_copy_only=False).reshape(len(b), len(names)).T for b in some]
+                scores, lo = _scored(np.concatenate(x, axis=1), splits, [ready[t] for t in targets]), 0
+                for b in some:
+                    here = scores[lo: lo + len(b)]
+                    lo += len(b)
+                    yield pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * len(targets)), pa.array(here.ravel()))
         x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0) for f in names])
         df = df.withColumn("_predicted", predicted(x))
         return df.withColumns({f"predicted_{t}": F.col("_predicted")[k] for k, t in enumerate(targets)}).drop("_predicted")

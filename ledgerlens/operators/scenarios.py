@@ -50,7 +50,7 @@ LINEAR_SCORER = {
 NOISE_SD = {"inflation": 0.5, "fed_rate": 0.3, "gdp_growth": 0.5}
 BROADCAST_DRAWS = 1_000_000     # rows of a draw table broadcast at most (32 bytes each)
 HASH_DIGITS = 15                # hex digits of a draw's hash: 60 bits
-SCORED_ROWS = 100_000           # rows that a task scores at most, about
+SCORED_ROWS = 200_000           # rows that a task scores at most, about
 DRAWS_AT_ONCE = 10_000          # draws that a firm's row is exploded to in one task at most
 
 

@@ -267,6 +267,36 @@ def test_paths_end_where_a_walk_ends(depth):
         assert t.leaves_of(x).tolist() == [walked(t, lambda f, b: r[f] > b) for r in x.T]
 
 
+def test_batches_are_scored_together_and_each_split_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cuts = [sorted(rng.normal(size=7)) for _ in range(3)]
+    m = B.Boosted("y", ["f0", "f1", "f2"], cuts, 0.25, [grown_tree(rng, 5, 3) for _ in range(20)], [], 20)
+    x = np.vstack([rng.normal(size=(398, 3)), [[np.nan] * 3, [cuts[j][3] for j in range(3)]]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, f0 double, f1 double, f2 double").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "90")
+    try:
+        got = [r["predicted_y"] for r in B.arrow_scorer({"y": m})(df, ["y"]).orderBy("i").collect()]
+    finally:
+        spark.conf.set(key, before)
+
+    def total(row):
+        out = m.base
+        for t in m.trees:
+            out += t.value[walked(t, lambda f, b: not row[f] <= cuts[f][b])]
+        return out
+    assert got == [total(r) for r in x]
+    compared, pack = [], np.packbits
+    monkeypatch.setattr(np, "packbits", lambda a: compared.append(1) or pack(a))
+    splits = {(f, b) for t in m.trees for f, b in zip(t.feature, t.bin) if f >= 0}
+    number = {s: i for i, s in enumerate(sorted(splits))}
+    trees = [(t.left, t.right, [number.get((f, b), -1) for f, b in zip(t.feature, t.bin)], np.array(t.value)[B.path_ends(t.left, t.right)])
+             for t in m.trees]
+    scores = B._scored(np.ascontiguousarray(x.T), [(f, [cuts[f][b] for g, b in sorted(splits) if g == f]) for f in range(3)], [(m.base, trees)])
+    assert scores[:, 0].tolist() == got and len(compared) == len(splits) < sum(len(t.left) // 2 for t in m.trees)
+
+
 @pytest.mark.parametrize("depth", [0, 1, 4, 6])
 def test_contributions_are_looked_up(depth, monkeypatch):
     rng = np.random.default_rng(depth)
